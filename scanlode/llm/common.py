@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +57,19 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def filtered(docs: DataFrame, keep) -> DataFrame:
+    """Rows of ``docs``, all columns as they are, whose text ``keep`` (texts of a slice to booleans) lets through; no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at_text = batch.schema.get_field_index("text")
+            for at in range(0, batch.num_rows, 256):
+                b = batch.slice(at, 256)
+                yield b.filter(pa.array(keep(b.column(at_text).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def bucket_of(column: str, modulus: int):
     """crc32 of an id written as text, modulo: the folds that the contracts name."""
     return F.crc32(F.col(column).cast("string")) % modulus

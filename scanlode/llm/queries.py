@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanlode.llm import minhash_dedup, mixing, packing, token_files
+from scanlode.llm import embedding_dedup, html_text, language_id, licenses, media, minhash_dedup, mixing, packing, token_files, toxicity
 from scanlode.llm.common import table
 
 
@@ -14,10 +14,30 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_output(table(spark, sf_dir, "documents"), token_files.tokenizer_path()).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(table(spark, sf_dir, "documents")).drop("true_type")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), token_files.tokenizer_path())
 
@@ -26,8 +46,13 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op6_token_files, op8_packing, op9_minhash_near_dedup)}
+    own = (op1_mixing, op2_language_id, op3_toxicity, op4_html_text, op5_embedding_near_dedup, op6_token_files, op7_media_columns, op8_packing, op9_minhash_near_dedup, op10_license_scan)
+    return {f.__name__: f for f in own}
 
 
 OP1_SQL = r"""
@@ -55,6 +80,20 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+#: All pairs of equal label and a recursive closure: for small tables.
+OP5_SQL = r"""
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+comps AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN comps ON comps.a = e.vec_id
+"""
+
 #: Near duplicates by all shared shingles and a recursive closure: for small tables.
 OP9_SQL = r"""
 WITH RECURSIVE words AS (
@@ -74,4 +113,4 @@ FROM documents d JOIN comps ON a = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.do
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op9_minhash_near_dedup": OP9_SQL}
+    return {"op1_mixing": OP1_SQL, "op5_embedding_near_dedup": OP5_SQL, "op9_minhash_near_dedup": OP9_SQL, "op10_license_scan": licenses.oracle()}

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -127,10 +128,9 @@ def token_digests(index: DataFrame, folder: str) -> DataFrame:
                 if opened[0] != k:
                     opened = (k, ShardReader(f"{folder}/{k}.arrows"))
                 crc.append(zlib.crc32(opened[1].span(at, n).astype("<u4").tobytes()))
-            start = pa.compute.add(b.column("at"), b.column("shard_start"))
+            start = pc.add(b.column("at"), b.column("shard_start"))
             yield pa.record_batch([b.column("doc_id"), b.column("shard"), start, b.column("n_tokens"), pa.array(crc, pa.int64())], names=["doc_id", "shard", "start", "n_tokens", "ids_crc32"])
 
-    import pyarrow.compute  # noqa: F401
 
     return with_starts(index, "n_tokens").mapInArrow(read, "doc_id long, shard int, start long, n_tokens long, ids_crc32 long")
 
