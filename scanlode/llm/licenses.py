@@ -80,8 +80,22 @@ def hashes(w: Column) -> Column:
 
 def minima(h: Column) -> Column:
     """A (band, least value) hash for each band: the least of the hashes under another mask."""
-    masks = [(0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64 - 2**63 for k in range(BANDS)]
-    return F.array(*[F.xxhash64(F.lit(k), F.array_min(F.transform(h, lambda x, m=m: x.bitwiseXOR(F.lit(m))))) for k, m in enumerate(masks)])
+
+
+    def least(k: int) -> Column:
+        mask = F.lit((0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64 - 2**63)
+        return F.array_min(F.transform(h, lambda x: x.bitwiseXOR(mask)))
+
+    return F.array(*[F.xxhash64(F.lit(k), least(k)) for k in range(BANDS)])
+
+
+def windows_near(n: int) -> Column:
+    """Windows of n words that begin within n words of an anchor: (window, h), h the window's shingle hashes."""
+    step = max(1, n // 4)
+    reach = F.sequence(F.lit(-(n // step) - 1), F.lit(n // step + 1))
+    starts = F.transform("anchors", lambda p: F.transform(reach, lambda k: F.greatest(F.lit(0), (F.floor(p / step).cast("int") + k) * step)))
+    starts = F.filter(F.array_distinct(F.flatten(starts)), lambda i: i < F.size("h"))
+    return F.transform(starts, lambda i: F.struct(F.lit(n).alias("window"), F.slice("h", i + 1, max(1, n - WORDS + 1)).alias("h")))
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
@@ -102,13 +116,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     anchor = F.transform("w", lambda x, i: F.when(x.isin(*ANCHORS), i))
     near = near.select("doc_id", hashes(F.col("w")).alias("h"), F.array_compact(anchor).alias("anchors")).where((F.size("h") > 0) & (F.size("anchors") > 0))
     near = materialize(near, "license-words")
-    spans = []
-    for n in used:
-        step = max(1, n // 4)
-        starts = F.transform("anchors", lambda p, n=n, s=step: F.transform(F.sequence(F.lit(-(n // s) - 1), F.lit(n // s + 1)), lambda k: F.greatest(F.lit(0), (F.floor(p / s).cast("int") + k) * s)))
-        starts = F.filter(F.array_distinct(F.flatten(starts)), lambda i: i < F.size("h"))
-        spans.append(F.transform(starts, lambda i, n=n: F.struct(F.lit(n).alias("window"), F.slice("h", i + 1, max(1, n - WORDS + 1)).alias("h"))))
-    windows = near.select("doc_id", F.explode(F.concat(*spans)).alias("x")).select("doc_id", "x.window", minima(F.col("x.h")).alias("m"))
+    windows = near.select("doc_id", F.explode(F.concat(*map(windows_near, used))).alias("x")).select("doc_id", "x.window", minima(F.col("x.h")).alias("m"))
     windows = windows.select("doc_id", "window", F.explode("m").alias("band")).distinct()
     bands = known.select("template", "window", F.explode(minima(F.col("shingles"))).alias("band"))
     # The constant table of templates: BANDS rows each.
