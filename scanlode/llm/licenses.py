@@ -20,6 +20,8 @@ give one row per template, of the best match; an empty table gives an empty resu
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +30,9 @@ from scanlode.llm.common import materialize
 
 WORDS, LEAST, BANDS = 5, 0.8, 24
 LENGTHS = (6, 9, 14, 21, 32, 48, 72, 108, 162)
-ANCHORS = ("license", "licensed", "licenses", "copyright", "permission", "warranty", "redistributions", "redistribution", "domain", "copyrights", "modification", "permitted", "software", "mpl", "commons")
+ANCHORS = ("license", "licensed", "copyright", "software", "warranty", "modification", "mpl")
+#: Every anchor begins with one of these; a text without them needs no splitting.
+BEGINNINGS = ("licens", "copyright", "software", "warrant", "modification", "mpl")
 
 #: Notices of public licenses: fixed values.
 TEMPLATES = {
@@ -78,24 +82,30 @@ def hashes(w: Column) -> Column:
     return F.when(F.size(w) >= WORDS, F.transform(F.sequence(F.lit(1), F.size(w) - (WORDS - 1)), lambda i: F.xxhash64(F.slice(w, i, WORDS)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def minima(h: Column) -> Column:
-    """A (band, least value) hash for each band: the least of the hashes under another mask."""
+MASKS = tuple((0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64 - 2**63 for k in range(BANDS))
 
 
-    def least(k: int) -> Column:
-        mask = F.lit((0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64 - 2**63)
-        return F.array_min(F.transform(h, lambda x: x.bitwiseXOR(mask)))
+def minima(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """Columns ``keep``, window and a (band, least value) hash for each band and window.
 
-    return F.array(*[F.xxhash64(F.lit(k), least(k)) for k in range(BANDS)])
+    ``rows`` has h (hashes by place) and windows (window, first, n). A band's least value is
+    the least of the hashes under the band's mask, which permutes them; the hashes
+    are masked once per row, then a window is only a minimum over a slice.
+    """
+    masks = F.array(*[F.struct(F.lit(k).alias("band"), F.lit(m).alias("mask")) for k, m in enumerate(MASKS)])
+    rows = rows.select(*keep, "h", "windows", F.explode(masks).alias("b"))
+    rows = rows.select(*keep, "windows", "b.band", F.transform("h", lambda x: x.bitwiseXOR(F.col("b.mask"))).alias("masked"))
+    rows = rows.select(*keep, "band", "masked", F.explode("windows").alias("w"))
+    return rows.select(*keep, "w.window", F.xxhash64("band", F.array_min(F.slice("masked", F.col("w.first") + 1, F.col("w.n")))).alias("key"))
 
 
 def windows_near(n: int) -> Column:
-    """Windows of n words that begin within n words of an anchor: (window, h), h the window's shingle hashes."""
+    """Windows of n words that begin within n words of an anchor: (window, first, n), n the number of shingles."""
     step = max(1, n // 4)
     reach = F.sequence(F.lit(-(n // step) - 1), F.lit(n // step + 1))
     starts = F.transform("anchors", lambda p: F.transform(reach, lambda k: F.greatest(F.lit(0), (F.floor(p / step).cast("int") + k) * step)))
     starts = F.filter(F.array_distinct(F.flatten(starts)), lambda i: i < F.size("h"))
-    return F.transform(starts, lambda i: F.struct(F.lit(n).alias("window"), F.slice("h", i + 1, max(1, n - WORDS + 1)).alias("h")))
+    return F.transform(starts, lambda i: F.struct(F.lit(n).alias("window"), i.alias("first"), F.lit(max(1, n - WORDS + 1)).alias("n")))
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
@@ -111,16 +121,16 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     spark = docs.sparkSession
     known = template_table(spark, templates)
     used = sorted({min((n for n in LENGTHS if n >= len(template_words(t))), default=LENGTHS[-1]) for t in templates.values()})
-    near = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.translate("text", UPPER, LOWER).rlike("|".join(ANCHORS)))
-    near = near.select("doc_id", words(F.col("text")).alias("w"))
+    near = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(reduce(or_, (F.lower("text").contains(x) for x in BEGINNINGS)))
+    near = materialize(near.select("doc_id", words(F.col("text")).alias("w")), "license-words")
     anchor = F.transform("w", lambda x, i: F.when(x.isin(*ANCHORS), i))
     near = near.select("doc_id", hashes(F.col("w")).alias("h"), F.array_compact(anchor).alias("anchors")).where((F.size("h") > 0) & (F.size("anchors") > 0))
-    near = materialize(near, "license-words")
-    windows = near.select("doc_id", F.explode(F.concat(*map(windows_near, used))).alias("x")).select("doc_id", "x.window", minima(F.col("x.h")).alias("m"))
-    windows = windows.select("doc_id", "window", F.explode("m").alias("band")).distinct()
-    bands = known.select("template", "window", F.explode(minima(F.col("shingles"))).alias("band"))
+    near = materialize(near, "license-hashes")  # in tables, or the optimizer would put the splitting into every use
+    keys = minima(near.select("doc_id", "h", F.concat(*map(windows_near, used)).alias("windows")), ["doc_id"])
+    whole = F.array(F.struct("window", F.lit(0).alias("first"), F.size("shingles").alias("n")))
+    bands = minima(known.select("template", F.col("shingles").alias("h"), whole.alias("windows")), ["template"])
     # The constant table of templates: BANDS rows each.
-    found = windows.join(F.broadcast(bands), ["window", "band"]).select("doc_id", "template").distinct()
+    found = keys.join(F.broadcast(bands), ["window", "key"]).select("doc_id", "template").distinct()
     shared = F.array_intersect("shingles", "h")
     out = near.join(found, "doc_id").join(F.broadcast(known.select("template", "shingles")), "template")
     out = out.select("doc_id", "template", F.size("shingles").cast("long").alias("n_shingles"), (F.size(shared) / F.size("shingles")).alias("containment"), F.array_min(F.transform(shared, lambda x: F.array_position("h", x) - 1)).alias("first_word"))
