@@ -34,11 +34,9 @@ def suffix(path: Column) -> Column:
 
 
 def _route(path: Column, part: int) -> Column:
-    name, ext = F.lower(file_name(path)), suffix(path)
-    out = F.lit(None).cast("string")
-    for e, info in EXTENSIONS.items():
-        out = F.when(ext == e, info[part]).otherwise(out)
-    return F.when(name.isin(".env", ".envrc") | name.startswith(".env."), ("secrets", "env")[part]).otherwise(out)
+    name = F.lower(file_name(path))
+    table = F.create_map(*[F.lit(x) for e, info in EXTENSIONS.items() for x in (e, info[part])])
+    return F.when(name.isin(".env", ".envrc") | name.startswith(".env."), ("secrets", "env")[part]).otherwise(table[suffix(path)])
 
 
 def tier(path: Column) -> Column:
