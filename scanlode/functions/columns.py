@@ -51,6 +51,11 @@ def lines(content: Column) -> Column:
     return F.split(content, "\n")
 
 
+def stripped(text: Column) -> Column:
+    """Without white space (tabs included) at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def snippet(content: Column, line: Column) -> Column:
     """A line without white space at its end; empty if there is no such line."""
     return F.coalesce(F.regexp_replace(F.try_element_at(lines(content), line), r"[\s]+$", ""), F.lit(""))

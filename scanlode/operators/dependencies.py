@@ -25,7 +25,7 @@ def ecosystem(path: Column) -> Column:
 
 
 def _numbered(files: DataFrame) -> DataFrame:
-    return files.select("file_path", "ecosystem", "content", F.posexplode(C.lines(F.col("content"))).alias("i", "raw")).withColumn("t", F.trim(F.regexp_replace("raw", r"\s+$", "")))
+    return files.select("file_path", "ecosystem", "content", F.posexplode(C.lines(F.col("content"))).alias("i", "raw")).withColumn("t", C.stripped(F.col("raw")))
 
 
 def requirements(files: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def go_mod(files: DataFrame) -> DataFrame:
         .when(s["open"] | x.startswith("require "), F.struct(s["open"].alias("open"), F.concat(s["got"], F.array(F.trim(F.regexp_replace(x, "^require ", "")))).alias("got")))
         .otherwise(s)
     )
-    got = F.aggregate(F.transform(C.lines(F.col("content")), F.trim), start, step)["got"]
+    got = F.aggregate(F.transform(C.lines(F.col("content")), C.stripped), start, step)["got"]
     rows = files.select("file_path", "ecosystem", "content", F.explode(got).alias("t")).withColumn("p", F.split("t", r"\s+"))
     return rows.where(F.size("p") >= 2).select("file_path", "ecosystem", "content", F.element_at("p", 1).alias("name"), F.regexp_replace(F.element_at("p", 2), "^v+", "").alias("version"))
 

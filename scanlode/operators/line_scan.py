@@ -39,7 +39,7 @@ def shell(files: DataFrame) -> DataFrame:
     meta = F.element_at(F.array(*[F.struct(F.lit(a).alias("rule_id"), F.lit(b).alias("rule_name"), F.lit(c).alias("severity")) for a, b, c, _ in SHELL]), F.col("which") + 1)
     rows = rows.withColumn("which", which).where(F.col("which").isNotNull()).withColumn("m", meta)
     text = ("Text from a variable is run or split by the shell.", "Quote the variable and avoid evaluating text.")
-    rows = rows.select(F.col("m.rule_id").alias("rule_id"), F.col("m.rule_name").alias("rule_name"), F.col("m.severity").alias("severity"), "file_path", "line_number", F.trim("line").alias("snippet"), "language")
+    rows = rows.select(F.col("m.rule_id").alias("rule_id"), F.col("m.rule_name").alias("rule_name"), F.col("m.severity").alias("severity"), "file_path", "line_number", C.stripped(F.col("line")).alias("snippet"), "language")
     return rows.withColumns({"description": F.lit(text[0]), "fix": F.lit(text[1]), "confidence": F.lit("HIGH"), "evidence": no_evidence()}).select(*COLUMNS)
 
 
@@ -48,7 +48,7 @@ def real_value(value: Column) -> Column:
 
 
 def _pairs(files: DataFrame, rule_id: str, name: str) -> DataFrame:
-    rows = _lines(files).withColumn("t", F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))).where((F.col("t") != "") & ~F.col("t").rlike("^[#;]"))
+    rows = _lines(files).withColumn("t", C.stripped(F.col("line"))).where((F.col("t") != "") & ~F.col("t").rlike("^[#;]"))
     value = F.coalesce(*[F.nullif(F.regexp_extract("t", PAIR, g), F.lit("")) for g in (2, 3, 4)])
     rows = rows.withColumns({"key": F.regexp_extract("t", PAIR, 1), "value": F.trim(value)})
     rows = rows.where((F.col("key") != "") & F.col("key").rlike(SECRET_KEY) & real_value(F.col("value")))
