@@ -36,7 +36,7 @@ def suppressed(line: Column, rule_id: Column, today: datetime.date, enforce: boo
     ``enforce`` both a reason and a date are needed.
     """
     ids = F.regexp_extract(line, r"scanlode:\s*ignore\[([^\]]+)\]", 1)
-    covered = (ids == "") | F.array_contains(F.transform(F.split(ids, ","), F.trim), rule_id)
+    covered = (ids == "") | F.array_contains(F.transform(F.split(ids, ","), lambda x: F.trim(x)), rule_id)
     until = F.regexp_extract(line, r"\buntil\s*=\s*(\d{4}-\d{2}-\d{2})", 1)
     date = F.try_to_date(until, "yyyy-MM-dd")
     alive = (until == "") | F.coalesce(date >= F.lit(today), F.lit(False))
