@@ -15,8 +15,9 @@ from collections.abc import Iterable
 
 import numpy as np
 
-#: Chunks kept before the cache starts anew, and the longest chunk that is kept.
-CACHE_ENTRIES, CACHE_CHARS = 1_000_000, 40
+#: Chunks in a generation of the cache, and the longest chunk that is kept. A full generation
+#: becomes the older one, from which chunks that are met again move up.
+CACHE_ENTRIES, CACHE_CHARS = 120_000, 40
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85᠎]")
 #: One pre-token of the vocabulary, or one before a full stop or comma.
 _PLAIN = re.compile("([A-Za-zß-öø-ÿ]+)([.,]?)")
@@ -36,6 +37,8 @@ class _Chunks(dict):
         self.letters = {ord(x): y for x, y in _byte_letters(tokenizer)}
         self.marks = {m: self.whole(m) for m in ".,"} | {"": b""}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
@@ -45,22 +48,25 @@ class _Chunks(dict):
         spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
         return b"".join([t.id.to_bytes(2, "little") for t in self.tokenize(spelt)])
 
+    def _of_word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            ids = self.older_words.get(word) or self.word(word)
+            if len(word) <= CACHE_CHARS:
+                if len(self.words) >= CACHE_ENTRIES // 2:
+                    self.older_words, self.words = self.words, {}
+                self.words[word] = ids
+        return ids
+
     def __missing__(self, chunk: str) -> bytes:
-        m = _PLAIN.fullmatch(chunk)
-        if m is None:
-            ids = self.whole(chunk)
-        else:
-            w = m[1].lower()
-            ids = self.words.get(w)
-            if ids is None:
-                ids = self.word(w)
-                if len(w) <= CACHE_CHARS:
-                    self.words[w] = ids
-            ids += self.marks[m[2]]
+        ids = self.older.get(chunk)
+        if ids is None:
+            m = _PLAIN.fullmatch(chunk)
+            ids = self.whole(chunk) if m is None else self._of_word(m[1].lower()) + self.marks[m[2]]
         if len(chunk) <= CACHE_CHARS:
             if len(self) >= CACHE_ENTRIES:
+                self.older = dict(self)
                 self.clear()
-                self.words.clear()
             self[chunk] = ids
         return ids
 

@@ -57,6 +57,16 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows in an Arrow batch: texts of several kilobytes each make the default of 10,000 too large.
+BATCH_ROWS = 2000
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df`` itself, with Arrow batches of ``BATCH_ROWS`` rows from now on in its session."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return df
+
+
 def filtered(docs: DataFrame, keep) -> DataFrame:
     """Rows of ``docs``, all columns as they are, whose text ``keep`` (texts of a slice to booleans) lets through; no shuffle."""
 
@@ -67,7 +77,7 @@ def filtered(docs: DataFrame, keep) -> DataFrame:
                 b = batch.slice(at, 256)
                 yield b.filter(pa.array(keep(b.column(at_text).to_pylist()), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs).mapInArrow(run, docs.schema)
 
 
 def bucket_of(column: str, modulus: int):

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanlode.llm.common import materialize
+from scanlode.llm.common import in_batches, materialize
 from scanlode.llm.components import components
 
 LEAST, PASSES, BITS, NEIGHBOURS, BLOCK = 0.98, 24, 60, 32, 1024
@@ -153,9 +153,9 @@ def near_embeddings(vectors: DataFrame) -> DataFrame:
     reps = rows.join(classes.select(F.col("label").alias("_l"), F.col("digest").alias("_d"), "rep", "copies"), (F.col("label") == F.col("_l")) & (F.col("digest") == F.col("_d")) & (F.col("vec_id") == F.col("rep")))
     reps = materialize(reps.select("label", "digest", "rep", "copies", "v").dropDuplicates(["label", "digest"]), "vector-reps")
     label = reps.schema["label"].dataType.simpleString()
-    keyed = reps.select("label", "rep", "v").mapInArrow(_keys, f"pass int, label {label}, size int, key long, rep long, v array<double>")
+    keyed = in_batches(reps.select("label", "rep", "v")).mapInArrow(_keys, f"pass int, label {label}, size int, key long, rep long, v array<double>")
     ranged = keyed.repartitionByRange("pass", "label", "size", "key").sortWithinPartitions("pass", "label", "size", "key", "rep")
-    comps = materialize(components(ranged.mapInArrow(_neighbours, "a long, b long")), "vector-components")
+    comps = materialize(components(in_batches(ranged).mapInArrow(_neighbours, "a long, b long")), "vector-components")
     sizes = comps.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     within = reps.join(comps, F.col("rep") == F.col("node")).join(sizes, "component")
     within = within.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).select("component", "rep", "copies", "v", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -163,7 +163,7 @@ def near_embeddings(vectors: DataFrame) -> DataFrame:
     # Components of one block share units, those of several have a unit for each pair of blocks.
     unit = F.xxhash64("component", low, high)
     within = within.select(unit.alias("unit"), "component", low.alias("low"), high.alias("high"), F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), "rep", "copies", "v")
-    counted = within.repartition("unit").sortWithinPartitions("unit", "component", "low", "high", "side", "rep").mapInArrow(_counts, "rep long, others long")
+    counted = in_batches(within.repartition("unit").sortWithinPartitions("unit", "component", "low", "high", "side", "rep")).mapInArrow(_counts, "rep long, others long")
     counted = counted.groupBy("rep").agg(F.sum("others").alias("others"))
     of = classes.join(comps, F.col("rep") == F.col("node"), "left").join(counted, "rep", "left")
     of = of.select("label", "digest", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("component"))

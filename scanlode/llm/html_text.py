@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scanlode.llm.common import in_batches
+
 LENGTH_LOW, LENGTH_HIGH, STOP_LOW, STOP_HIGH, LINKS_MOST, HEADING_REACH = 70, 200, 0.15, 0.30, 0.33, 200
 
 #: Frequent function words of languages the pages may be in.
@@ -236,4 +238,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts = [main_text(t) for t in b.column(2).to_pylist()]
                 yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return in_batches(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")

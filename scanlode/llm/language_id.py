@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanlode.llm.common import bucket_of, filtered
+from scanlode.llm.common import bucket_of, filtered, in_batches
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 PER_LANGUAGE, WINDOWS, EPOCHS, BATCH = 400, 6, 10, 128
@@ -190,7 +190,7 @@ def identify(docs: DataFrame, net: ByteNet | None) -> DataFrame:
                 langs, scores = _predict(model, b.column(1).to_pylist())
                 yield pa.record_batch([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(predict, "doc_id long, lang_pred string, score double")
+    return in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(predict, "doc_id long, lang_pred string, score double")
 
 
 def _predict(model: ByteNet | None, texts: list[str | None]) -> tuple[list[str], list[float]]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanlode.llm.common import materialize
+from scanlode.llm.common import in_batches, materialize
 
 UNIT, PIXELS = 192, 64
 LEVEL = 1
@@ -240,7 +240,7 @@ def sniffed(rows: DataFrame, media: str, declared: str | None = None) -> DataFra
             yield pa.record_batch([*(b.column(c) for c in keep), pa.array(types, pa.string()), pa.array(wrong, pa.bool_()), pa.array(inside, own)], names=[*keep, "true_type", "corrected", "embedded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
-    return rows.select(*keep).mapInArrow(run, f"{schema}, {kinds}")
+    return in_batches(rows.select(*keep)).mapInArrow(run, f"{schema}, {kinds}")
 
 
 def stored_media(docs: DataFrame) -> DataFrame:
@@ -254,7 +254,7 @@ def stored_media(docs: DataFrame) -> DataFrame:
                 media = [to_png(x.ljust(max(1, -(-len(x) // UNIT)) * UNIT, b" ")) for x in raw]
                 yield pa.record_batch([b.column(0), pa.array(map(len, raw), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, n_bytes long, media binary")
+    rows = in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(encode, "doc_id long, n_bytes long, media binary")
     return materialize(rows, "media")
 
 
@@ -284,4 +284,4 @@ def media_columns(docs: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
                 yield pa.record_batch([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in types.split(", ")])
 
-    return stored_media(docs).mapInArrow(digest, types)
+    return in_batches(stored_media(docs)).mapInArrow(digest, types)

@@ -32,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanlode.llm.common import discard, materialize
+from scanlode.llm.common import discard, in_batches, materialize
 from scanlode.llm.components import components
-from scanlode.llm.shingles import mixed, shingle_set
+from scanlode.llm.shingles import forget, mixed, shingle_set
 
 #: Links are 100 * intersection >= NEAR_PERCENT * union.
 NEAR_PERCENT = 85
@@ -110,10 +110,11 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 h2.append(np.add.reduce(mixed(s ^ np.uint64(0x9E3779B97F4A7C15))).view(np.int64) if len(s) else 0)
                 sig.append(signature(s).tobytes() if len(s) else None)
             yield pa.record_batch([b.column(0), pa.array(size, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n", "h1", "h2", "sig"])
+    forget()
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sign, "doc_id long, n long, h1 long, h2 long, sig binary")
+    return in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(_sign, "doc_id long, n long, h1 long, h2 long, sig binary")
 
 
 def _table(column, width: int = HASHES) -> np.ndarray:
@@ -130,7 +131,7 @@ def _posterior(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def plausible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs (a, b) whose signatures survive the sequential comparison."""
     one, two = (reps.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_posterior, "a long, b long")
+    return in_batches(pairs.join(one, "a").join(two, "b").select("a", "b", "sig_a", "sig_b")).mapInArrow(_posterior, "a long, b long")
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +170,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = materialize(pairs, "near-pairs")
     texts = texts_of(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct(), docs)
     one, two = (texts.select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    out = materialize(pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInArrow(_exact, "a long, b long"), "near-links")
+    out = materialize(in_batches(pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").sortWithinPartitions("a")).mapInArrow(_exact, "a long, b long"), "near-links")
     discard(pairs)
     discard(texts)
     return out
@@ -276,10 +277,10 @@ def leftovers(rows: DataFrame, comps: DataFrame, reps: DataFrame, docs: DataFram
     signs = reps.select("rep", "sig")
     types = "unit long, side int, band int, rep long, n long, component long"
     asked = rows.join(signs, "rep").select("unit", "side", "band", "rep", "n", "component", "sig").repartition("unit").sortWithinPartitions("unit", "side", "rep")
-    asked = materialize(asked.mapInArrow(_in_question, types), "in-question")
+    asked = materialize(in_batches(asked).mapInArrow(_in_question, types), "in-question")
     texts = texts_of(asked.select("rep").distinct(), docs)
     full = asked.join(signs, "rep").join(texts, "rep").select("unit", "side", "band", "n", "component", "rep", "sig", "text")
-    links = materialize(full.repartition("unit").sortWithinPartitions("unit", "side", "rep").mapInArrow(_confirm_units, "a long, b long").distinct(), "more-links")
+    links = materialize(in_batches(full.repartition("unit").sortWithinPartitions("unit", "side", "rep")).mapInArrow(_confirm_units, "a long, b long").distinct(), "more-links")
     discard(asked)
     discard(texts)
     return links

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from scanlode.llm.common import materialize
+from scanlode.llm.common import in_batches, materialize
 from scanlode.llm.ordered import by_doc_id, encoded, shard, with_starts
 
 WINDOW, END = 4096, 2
@@ -37,7 +37,7 @@ def encoded_documents(docs: DataFrame, vocabulary: str, end: int = END) -> DataF
             yield pa.record_batch([pa.array([k] * len(ids), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(ends - sizes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], names=["shard", "doc_id", "at", "n_tokens", "ids"])
             at = int(ends[-1])
 
-    return materialize(by_doc_id(docs).mapInArrow(encode, "shard int, doc_id long, at long, n_tokens long, ids binary"), "packing-ids")
+    return materialize(in_batches(by_doc_id(docs)).mapInArrow(encode, "shard int, doc_id long, at long, n_tokens long, ids binary"), "packing-ids")
 
 
 def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int = END, with_ids: bool = False) -> DataFrame:
@@ -59,4 +59,4 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int = END,
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
                 yield pa.record_batch([pa.array(x, pa.binary() if c == "ids" else pa.int64()) for c, x in zip(names, zip(*rows, strict=True), strict=True)], names=names)
 
-    return placed.mapInArrow(cut, PIECES + ", ids binary" * with_ids)
+    return in_batches(placed).mapInArrow(cut, PIECES + ", ids binary" * with_ids)

@@ -6,7 +6,8 @@ import numpy as np
 import xxhash
 
 WORDS = 5
-_CACHE = 1_000_000
+#: Words whose hashes are kept at a time.
+_CACHE = 250_000
 _rng = np.random.default_rng(20240607)
 _PLACE = _rng.integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FEWER = _rng.integers(1, 2**63, WORDS + 1, dtype=np.uint64)
@@ -22,7 +23,13 @@ class _Words(dict):
         return h
 
 
-_hash = _Words().__getitem__
+_words = _Words()
+_hash = _words.__getitem__
+
+
+def forget() -> None:
+    """Frees the words kept so far, at the end of a task."""
+    _words.clear()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

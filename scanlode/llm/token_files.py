@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from scanlode.llm.common import materialize, new_path
+from scanlode.llm.common import in_batches, materialize, new_path
 from scanlode.llm.ordered import by_doc_id, encoded, shard, with_starts
 
 LENGTH, BATCH, END = 2048, 64, 1
@@ -114,7 +114,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end: int =
             out.close()
             where.move(own, f"{path}/{k}.arrows")
 
-    return materialize(by_doc_id(docs).mapInArrow(write, INDEX), "token-index")
+    return materialize(in_batches(by_doc_id(docs)).mapInArrow(write, INDEX), "token-index")
 
 
 def token_digests(index: DataFrame, folder: str) -> DataFrame:
@@ -132,7 +132,7 @@ def token_digests(index: DataFrame, folder: str) -> DataFrame:
             yield pa.record_batch([b.column("doc_id"), b.column("shard"), start, b.column("n_tokens"), pa.array(crc, pa.int64())], names=["doc_id", "shard", "start", "n_tokens", "ids_crc32"])
 
 
-    return with_starts(index, "n_tokens").mapInArrow(read, "doc_id long, shard int, start long, n_tokens long, ids_crc32 long")
+    return in_batches(with_starts(index, "n_tokens")).mapInArrow(read, "doc_id long, shard int, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, vocabulary: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanlode.llm.common import bucket_of, filtered
+from scanlode.llm.common import bucket_of, filtered, in_batches
 
 LABELLED = 12_000
 STEMS = (4, 5, 6)
@@ -214,7 +214,7 @@ def scores(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([own.score(t) for t in b.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, score double")
+    return in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(score, "doc_id long, score double")
 
 
 def kept_rows(docs: DataFrame, lexicon: Lexicon, most: float = 0.5) -> DataFrame:
