@@ -101,10 +101,9 @@ def shard(files: DataFrame, index: int, count: int) -> DataFrame:
 
 def by_severity(findings: DataFrame) -> DataFrame:
     """Counts of every severity, none left out, and their total."""
-    spark = findings.sparkSession
-    domain = spark.createDataFrame([(s,) for s in SEVERITIES], "severity string")
-    counts = domain.join(findings.groupBy("severity").agg(F.count(F.lit(1)).alias("n")), "severity", "left").select("severity", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-    return counts.unionByName(counts.agg(F.lit("TOTAL").alias("severity"), F.sum("n").alias("n")))
+    domain = findings.sparkSession.createDataFrame([(s,) for s in (*SEVERITIES, "TOTAL")], "severity string")
+    counts = findings.where(F.col("severity").isNotNull()).rollup("severity").agg(F.count(F.lit(1)).alias("_n")).select(F.coalesce("severity", F.lit("TOTAL")).alias("severity"), "_n")
+    return domain.join(counts, "severity", "left").select("severity", F.coalesce("_n", F.lit(0)).cast("long").alias("n"))
 
 
 def top_rules(findings: DataFrame, n: int = 5) -> DataFrame:

@@ -9,41 +9,46 @@ that a known form or an assignment reports is not reported for its entropy again
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanlode.functions import columns as C
 from scanlode.operators.findings import COLUMNS, no_evidence
 
-#: Public token formats: fixed values.
+#: Public token formats, each with a text that every match holds (a cheap test before the pattern): fixed values.
 TOKENS = (
-    ("SEC001", "AWS access key id", r"\bAKIA[0-9A-Z]{16}\b"),
-    ("SEC001B", "AWS secret access key", r"aws_?secret_?access_?key[\"']?\s*[:=]\s*[\"']?[A-Za-z0-9/+=]{40}\b"),
-    ("SEC002", "GitHub personal token", r"\bghp_[A-Za-z0-9]{30,}\b"),
-    ("SEC004B", "GitHub fine-grained token", r"\bgithub_pat_[A-Za-z0-9_]{22,}\b"),
-    ("SEC004C", "GitLab token", r"\bglpat-[A-Za-z0-9_\-]{20,}"),
-    ("SEC005", "Stripe live key", r"\bsk_live_[A-Za-z0-9]{16,}\b"),
-    ("SEC007B", "Slack webhook", r"https://hooks\.slack\.com/services/T[A-Za-z0-9]+/B[A-Za-z0-9]+/[A-Za-z0-9]+"),
-    ("SEC008", "Private key block", r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----"),
-    ("SEC009", "SendGrid key", r"\bSG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}"),
-    ("SEC010", "Google API key", r"\bAIza[0-9A-Za-z_\-]{35}"),
-    ("SEC010B", "Google OAuth secret", r"\bGOCSPX-[A-Za-z0-9_\-]{20,}"),
-    ("SEC010C", "Google service-account key", r"\"type\"\s*:\s*\"service_account\""),
-    ("SEC012", "JSON web token", r"\beyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}"),
-    ("SEC015", "sk- API key", r"\bsk-[A-Za-z0-9]{20,}\b"),
-    ("SEC016", "sk-ant- API key", r"\bsk-ant-[A-Za-z0-9_\-]{20,}"),
-    ("SEC017", "Azure storage connection", r"DefaultEndpointsProtocol=https?;AccountName=[^;\s]+;AccountKey=[A-Za-z0-9+/=]{40,}"),
-    ("SEC018", "npm token", r"\bnpm_[A-Za-z0-9]{30,}\b"),
-    ("SEC020", "Telegram bot token", r"\b[0-9]{8,10}:AA[A-Za-z0-9_\-]{32,}"),
-    ("SEC021", "Discord bot token", r"\b[MN][A-Za-z0-9]{23,25}\.[A-Za-z0-9_\-]{6}\.[A-Za-z0-9_\-]{27,}"),
-    ("SEC024", "PyPI token", r"\bpypi-[A-Za-z0-9_\-]{30,}"),
-    ("SEC025", "Hugging Face token", r"\bhf_[A-Za-z0-9]{30,}\b"),
-    ("SEC026", "Databricks token", r"\bdapi[0-9a-f]{32}\b"),
-    ("SEC028", "Vault token", r"\bhvs\.[A-Za-z0-9_\-]{20,}"),
-    ("SEC029", "Shopify token", r"\bshpat_[0-9a-fA-F]{32}\b"),
-    ("SEC031", "Database address with credentials", r"\b(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?)://[^\s:/@\"']+:[^\s:/@\"']+@[^\s\"']+"),
+    ("SEC001", "AWS access key id", "AKIA", r"\bAKIA[0-9A-Z]{16}\b"),
+    ("SEC001B", "AWS secret access key", "", r"(?i)aws_?secret_?access_?key[\"']?\s*[:=]\s*[\"']?[A-Za-z0-9/+=]{40}\b"),
+    ("SEC002", "GitHub personal token", "ghp_", r"\bghp_[A-Za-z0-9]{30,}\b"),
+    ("SEC004B", "GitHub fine-grained token", "github_pat_", r"\bgithub_pat_[A-Za-z0-9_]{22,}\b"),
+    ("SEC004C", "GitLab token", "glpat-", r"\bglpat-[A-Za-z0-9_\-]{20,}"),
+    ("SEC005", "Stripe live key", "sk_live_", r"\bsk_live_[A-Za-z0-9]{16,}\b"),
+    ("SEC007B", "Slack webhook", "hooks.slack.com", r"https://hooks\.slack\.com/services/T[A-Za-z0-9]+/B[A-Za-z0-9]+/[A-Za-z0-9]+"),
+    ("SEC008", "Private key block", "PRIVATE KEY", r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----"),
+    ("SEC009", "SendGrid key", "SG.", r"\bSG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}"),
+    ("SEC010", "Google API key", "AIza", r"\bAIza[0-9A-Za-z_\-]{35}"),
+    ("SEC010B", "Google OAuth secret", "GOCSPX-", r"\bGOCSPX-[A-Za-z0-9_\-]{20,}"),
+    ("SEC010C", "Google service-account key", "service_account", r"\"type\"\s*:\s*\"service_account\""),
+    ("SEC012", "JSON web token", "eyJ", r"\beyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}"),
+    ("SEC015", "sk- API key", "sk-", r"\bsk-[A-Za-z0-9]{20,}\b"),
+    ("SEC016", "sk-ant- API key", "sk-ant-", r"\bsk-ant-[A-Za-z0-9_\-]{20,}"),
+    ("SEC017", "Azure storage connection", "AccountKey=", r"DefaultEndpointsProtocol=https?;AccountName=[^;\s]+;AccountKey=[A-Za-z0-9+/=]{40,}"),
+    ("SEC018", "npm token", "npm_", r"\bnpm_[A-Za-z0-9]{30,}\b"),
+    ("SEC020", "Telegram bot token", ":AA", r"\b[0-9]{8,10}:AA[A-Za-z0-9_\-]{32,}"),
+    ("SEC021", "Discord bot token", ".", r"\b[MN][A-Za-z0-9]{23,25}\.[A-Za-z0-9_\-]{6}\.[A-Za-z0-9_\-]{27,}"),
+    ("SEC024", "PyPI token", "pypi-", r"\bpypi-[A-Za-z0-9_\-]{30,}"),
+    ("SEC025", "Hugging Face token", "hf_", r"\bhf_[A-Za-z0-9]{30,}\b"),
+    ("SEC026", "Databricks token", "dapi", r"\bdapi[0-9a-f]{32}\b"),
+    ("SEC028", "Vault token", "hvs.", r"\bhvs\.[A-Za-z0-9_\-]{20,}"),
+    ("SEC029", "Shopify token", "shpat_", r"\bshpat_[0-9a-fA-F]{32}\b"),
+    ("SEC031", "Database address with credentials", "://", r"\b(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?)://[^\s:/@\"']+:[^\s:/@\"']+@[^\s\"']+"),
 )
 ASSIGNMENT = r"(?i)(?:password|passwd|pwd|secret|token|api[-_]?key|auth[-_]?key|access[-_]?key|client[-_]?secret|private[-_]?key)[\"']?\s*[:=]+\s*[\"'][^\"'\s]{8,}[\"']"
+#: Every name of ASSIGNMENT holds one of these.
+KEY_PARTS = ("pass", "pwd", "secret", "token", "key")
 VALUE = r"[\"']([^\"'\s]{8,})[\"']$"
 HARMLESS = r"(?i)your|change|insert|replace|example|placeholder|dummy|<|>|\*{3,}|xxx|\$\{|process\.env|os\.environ|getenv"
 CONSTANT = r"^[A-Z][A-Z0-9_]*$"
@@ -53,8 +58,11 @@ LEAST_BITS = 4.0
 
 def secret_matches(files: DataFrame) -> DataFrame:
     """file_path, content, language, rule_id, rule_name, severity, line_number, text of every secret."""
-    rules = [(i, n, "HIGH", p) for i, n, p in TOKENS] + [("SEC013", "Credential assigned in source", "HIGH", ASSIGNMENT), ("SEC014", "High-entropy text", "MEDIUM", LITERAL)]
-    cells = [F.when(F.col("content").rlike(p), F.struct(F.lit(i).alias("rule_id"), F.lit(n).alias("rule_name"), F.lit(s).alias("severity"), F.regexp_extract_all("content", F.lit(p), F.lit(0)).alias("matches"), F.split("content", p, -1).alias("gaps"))) for i, n, s, p in rules]
+    quoted = F.col("content").contains('"') | F.col("content").contains("'")
+    named = reduce(or_, (F.lower("content").contains(x) for x in KEY_PARTS))
+    rules = [(i, n, "HIGH", p, F.col("content").contains(h) if h else named) for i, n, h, p in TOKENS]
+    rules += [("SEC013", "Credential assigned in source", "HIGH", ASSIGNMENT, quoted & named), ("SEC014", "High-entropy text", "MEDIUM", LITERAL, quoted)]
+    cells = [F.when(cheap & F.col("content").rlike(p), F.struct(F.lit(i).alias("rule_id"), F.lit(n).alias("rule_name"), F.lit(s).alias("severity"), F.regexp_extract_all("content", F.lit(p), F.lit(0)).alias("matches"), F.split("content", p, -1).alias("gaps"))) for i, n, s, p, cheap in rules]
     rows = files.where(F.col("language").isNotNull()).select("file_path", "content", "language", F.array_compact(F.array(*cells)).alias("hits")).where(F.size("hits") > 0)
     rows = rows.select("file_path", "content", "language", F.explode("hits").alias("h"))
     rows = rows.select("file_path", "content", "language", "h.rule_id", "h.rule_name", "h.severity", "h.matches", "h.gaps", F.posexplode("h.matches").alias("at", "text"))

@@ -93,7 +93,7 @@ _BITS = "(SELECT -sum(p * log2(p)) FROM (SELECT count(*) / len({0}) AS p FROM un
 
 def _secret_matches(source: str = "source_files") -> str:
     """CTE ``secret_rows``: matches that count as secrets."""
-    rules = [(i, n, "HIGH", p) for i, n, p in secrets.TOKENS] + [("SEC013", "Credential assigned in source", "HIGH", secrets.ASSIGNMENT), ("SEC014", "High-entropy text", "MEDIUM", secrets.LITERAL)]
+    rules = [(i, n, "HIGH", p) for i, n, _, p in secrets.TOKENS] + [("SEC013", "Credential assigned in source", "HIGH", secrets.ASSIGNMENT), ("SEC014", "High-entropy text", "MEDIUM", secrets.LITERAL)]
     cuts = " UNION ALL ".join(_cut(p, f"{_q(i)} AS rule_id, {_q(n)} AS rule_name, {_q(s)} AS severity", "language IS NOT NULL") for i, n, s, p in rules).replace("FROM source_files", f"FROM {source}")
     return f"""secret_cuts AS ({cuts}),
 secret_found AS (

@@ -12,6 +12,7 @@ from scanlode.functions import columns as C
 from scanlode.operators import dependencies, impact, js_flow, line_scan, py_ast, quality, regex_scan, secrets
 from scanlode.operators import findings as fd
 from scanlode.plans import scan as plan
+from scanlode.plans.tables import cut, spread
 from scanlode.sources import corpus
 from scanlode.sources.manifests import ADVISORIES, manifest_files
 
@@ -24,7 +25,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan.routed(corpus.source_files(spark, _table(spark, sf_dir, "orders")))
+    return plan.routed(corpus.source_files(spark, spread(_table(spark, sf_dir, "orders").select("o_orderkey"))))
 
 
 def _native(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +82,7 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Credential assignments in prose, with the entropy of the value."""
-    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_path"), F.col("text").alias("content"), F.lit("text").alias("language"))
+    docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("file_path"), F.col("text").alias("content"), F.lit("text").alias("language"))
     rows = secrets.secret_matches(docs).where("rule_id = 'SEC013'")
     return rows.select(F.col("file_path").alias("doc_id"), "line_number", F.round(C.entropy(F.regexp_extract("text", secrets.VALUE, 1)), 4).alias("bits"))
 
@@ -89,7 +90,7 @@ def document_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Credential assignments in pages, whose quotes are written as character references."""
     plain = F.replace(F.replace("html", F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
-    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("file_path"), plain.alias("content"), F.lit("html").alias("language"))
+    pages = spread(_table(spark, sf_dir, "pages").select("page_id", "html")).select(F.col("page_id").alias("file_path"), plain.alias("content"), F.lit("html").alias("language"))
     return secrets.secret_matches(pages).where("rule_id = 'SEC013'").select(F.col("file_path").alias("page_id"), "line_number")
 
 
@@ -123,7 +124,7 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def new_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings that a baseline of every finding on an even line lacks."""
-    rows = _seen(spark, sf_dir)
+    rows = cut(_seen(spark, sf_dir))  # read twice: once for the baseline
     return fd.new_since(rows, fd.baseline_of(rows.where("line_number % 2 = 0"))).select("file_path", "line_number", "rule_id")
 
 

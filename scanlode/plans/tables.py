@@ -18,3 +18,9 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{folder.rstrip('/')}/scanlode-tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores where it has fewer partitions: a small file is one split, but what follows may be costly."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
