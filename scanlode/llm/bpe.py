@@ -15,10 +15,13 @@ from collections.abc import Iterable
 
 import numpy as np
 
-#: Chunks in a generation of the cache, and the longest chunk that is kept. A full generation
-#: becomes the older one, from which chunks that are met again move up.
-CACHE_ENTRIES, CACHE_CHARS = 120_000, 40
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85᠎]")
+#: Chunks in a generation of the cache, and the longest that is kept. A full generation becomes
+#: the older one, from which what is met again moves up.
+CACHE_ENTRIES, CACHE_CHARS = 350_000, 40
+_ODD_SPACE = re.compile("[\x1c-\x1f\x85\u180e]")
+_BEYOND_LATIN = re.compile("[^\x00-\xff]")
+#: A full stop or comma that ends a chunk and belongs to a run of marks.
+_MARKS = re.compile(r"(?:[^\w\s]|_)[.,][ \n]")
 #: One pre-token of the vocabulary, or one before a full stop or comma.
 _PLAIN = re.compile("([A-Za-zß-öø-ÿ]+)([.,]?)")
 
@@ -36,9 +39,8 @@ class _Chunks(dict):
         self.encode, self.tokenize = tokenizer.encode, tokenizer.model.tokenize
         self.letters = {ord(x): y for x, y in _byte_letters(tokenizer)}
         self.marks = {m: self.whole(m) for m in ".,"} | {"": b""}
-        self.words: dict[str, bytes] = {}
+        self.packed = [i.to_bytes(2, "little") for i in range(tokenizer.get_vocab_size())]
         self.older: dict[str, bytes] = {}
-        self.older_words: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
@@ -46,23 +48,19 @@ class _Chunks(dict):
     def word(self, word: str) -> bytes:
         """One lower-case pre-token: straight to the library's merges."""
         spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        return b"".join([t.id.to_bytes(2, "little") for t in self.tokenize(spelt)])
-
-    def _of_word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            ids = self.older_words.get(word) or self.word(word)
-            if len(word) <= CACHE_CHARS:
-                if len(self.words) >= CACHE_ENTRIES // 2:
-                    self.older_words, self.words = self.words, {}
-                self.words[word] = ids
-        return ids
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.tokenize(spelt)])
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.older.get(chunk)
         if ids is None:
             m = _PLAIN.fullmatch(chunk)
-            ids = self.whole(chunk) if m is None else self._of_word(m[1].lower()) + self.marks[m[2]]
+            if m is None:
+                ids = self.whole(chunk)
+            elif m[2]:
+                ids = self[m[1]] + self.marks[m[2]]
+            else:
+                ids = self.word(chunk.lower())
         if len(chunk) <= CACHE_CHARS:
             if len(self) >= CACHE_ENTRIES:
                 self.older = dict(self)
@@ -96,6 +94,11 @@ class Encoder:
             return b""
         if _ODD_SPACE.search(text):
             return self.chunks.whole(text)
+        if not _BEYOND_LATIN.search(text) and "<|" not in text:
+            # The library lowers these letters as Python does, and sets single marks apart anyway: fewer different chunks.
+            text = text.lower()
+            if not _MARKS.search(text):
+                text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
         return b"".join(map(self.get, text.split()))
 
     def ids(self, texts: Iterable[str | None]) -> list[bytes]:
