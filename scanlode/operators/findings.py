@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,11 @@ from scanlode.functions.domains import CONFIDENCES, POLICIES, SEVERITIES
 EVIDENCE = "struct<sink: string, sink_rule: string, taint_sources: array<string>, taint_path: string>"
 SCHEMA = f"rule_id string, rule_name string, severity string, file_path string, line_number int, snippet string, description string, fix string, language string, confidence string, evidence {EVIDENCE}"
 COLUMNS = [c.split()[0] for c in SCHEMA.replace(EVIDENCE, "struct").split(", ")]
+#: The same columns for rows that Arrow batches emit.
+ARROW = pa.schema([
+    *((c, pa.int32() if c == "line_number" else pa.string()) for c in COLUMNS if c != "evidence"),
+    ("evidence", pa.struct([("sink", pa.string()), ("sink_rule", pa.string()), ("taint_sources", pa.list_(pa.string())), ("taint_path", pa.string())])),
+])
 MARK = "scanlode: ignore"
 
 

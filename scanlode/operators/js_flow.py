@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,14 +42,20 @@ def cleaned(steps: Column) -> Column:
     return F.transform(F.filter(steps, lambda s: s["clean"]), lambda s: s["name"])
 
 
-def gated(files: DataFrame, rules: list[Rule] = BUILTIN) -> DataFrame:
-    """Findings of all rules; gated ones only with evidence of a flow, which they carry."""
-    rows = regex_scan.matches(files, rules).withColumn("line", C.snippet(F.col("content"), F.col("line_number")))
+def with_flows(rows: DataFrame, finish: Callable[[DataFrame, Column], DataFrame]) -> DataFrame:
+    """Drops gated matches without evidence of a flow; ``finish`` gets the rest and its evidence column."""
+    rows = rows.withColumn("line", C.snippet(F.col("content"), F.col("line_number")))
     rows = rows.withColumn("steps", F.when(F.col("gated"), _steps(F.col("content"))))
     source = "(?i)" + SOURCES
     used = F.array_intersect(F.array_union(_names(F.col("text")), _names(F.col("line"))), tainted(F.col("steps")))
-    rows = rows.select("*", F.struct((F.col("line").rlike(source) | F.col("text").rlike(source)).alias("direct"), used.alias("used"), cleaned(F.col("steps")).alias("cleaned")).alias("flow"))
+    flow = F.struct((F.col("line").rlike(source) | F.col("text").rlike(source)).alias("direct"), used.alias("used"), cleaned(F.col("steps")).alias("cleaned"))
+    rows = rows.select("*", F.when(F.col("gated"), flow).alias("flow"))
     open_ = F.col("flow.direct") | ((F.size("flow.used") > 0) & (F.size(F.array_except("flow.used", "flow.cleaned")) > 0))
     proof = F.when(F.col("flow.direct"), F.array(F.lit("direct_source"))).otherwise(F.array_sort("flow.used"))
     evidence = F.struct(F.lit(None).cast("string").alias("sink"), F.col("rule_id").alias("sink_rule"), proof.alias("taint_sources"), F.concat(F.array_join(proof, ", "), F.lit(" -> "), "rule_id").alias("taint_path")).cast(EVIDENCE)
-    return regex_scan.as_findings(rows.where(~F.col("gated") | open_), F.when(F.col("gated"), evidence))
+    return finish(rows.where(~F.col("gated") | open_), F.when(F.col("gated"), evidence))
+
+
+def gated(files: DataFrame, rules: list[Rule] = BUILTIN) -> DataFrame:
+    """Findings of all rules; gated ones only with evidence of a flow, which they carry."""
+    return with_flows(regex_scan.matches(files, rules), regex_scan.as_findings)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanlode.functions import columns as C
-from scanlode.operators.findings import COLUMNS, no_evidence
+from scanlode.operators.findings import ARROW, COLUMNS, SCHEMA, no_evidence
 
 #: Shell rules in order of priority; a line has one finding at most: fixed values.
 SHELL = (
@@ -47,11 +47,18 @@ def real_value(value: Column) -> Column:
     return (F.length(value) >= 6) & ~value.rlike(PLACEHOLDER)
 
 
+def _value(t: Column) -> Column:
+    return F.trim(F.coalesce(*[F.nullif(F.regexp_extract(t, PAIR, g), F.lit("")) for g in (2, 3, 4)]))
+
+
+def holds_credential(t: Column) -> Column:
+    """Whether a stripped line is no comment and gives a credential's key a real value."""
+    key = F.regexp_extract(t, PAIR, 1)
+    return F.coalesce((t != "") & ~t.rlike("^[#;]") & (key != "") & key.rlike(SECRET_KEY) & real_value(_value(t)), F.lit(False))
+
+
 def _pairs(files: DataFrame, rule_id: str, name: str) -> DataFrame:
-    rows = _lines(files).withColumn("t", C.stripped(F.col("line"))).where((F.col("t") != "") & ~F.col("t").rlike("^[#;]"))
-    value = F.coalesce(*[F.nullif(F.regexp_extract("t", PAIR, g), F.lit("")) for g in (2, 3, 4)])
-    rows = rows.withColumns({"key": F.regexp_extract("t", PAIR, 1), "value": F.trim(value)})
-    rows = rows.where((F.col("key") != "") & F.col("key").rlike(SECRET_KEY) & real_value(F.col("value")))
+    rows = _lines(files).withColumn("t", C.stripped(F.col("line"))).where(holds_credential(F.col("t"))).withColumn("key", F.regexp_extract("t", PAIR, 1))
     own = {
         "rule_id": F.lit(rule_id), "rule_name": F.lit(name), "severity": F.lit("HIGH"), "snippet": F.col("t"), "confidence": F.lit("MEDIUM"), "evidence": no_evidence(),
         "description": F.concat(F.lit("The key "), "key", F.lit(" holds a credential in plain text.")), "fix": F.lit("Read it from the environment or a secret store."),
@@ -84,36 +91,38 @@ def _members(value: object, depth: int = 0) -> Iterator[tuple[str, str]]:
             yield from _members(x, depth + 1)
 
 
+_SECRET, _PLACEHOLDER = re.compile(SECRET_KEY), re.compile(PLACEHOLDER)
+
+
+def json_findings(path: str, content: str | None) -> list[dict]:
+    """CFG002 of one file; none if it is no valid JSON."""
+    try:
+        tree = json.loads(content or "")
+    except (ValueError, RecursionError):
+        return []
+    text, out = content.lower().split("\n"), []
+    for key, value in _members(tree):
+        if _SECRET.search(key) and len(value) >= 6 and not _PLACEHOLDER.search(value):
+            quoted = f'"{key.lower()}"'
+            line = next((i for i, x in enumerate(text, 1) if quoted in x), 1)
+            said = f"The key {key} holds a credential in plain text."
+            out.append({"rule_id": "CFG002", "rule_name": "Credential in a JSON file", "severity": "HIGH", "file_path": path, "line_number": line, "snippet": f'"{key}": "{"*" * min(len(value), 8)}..."', "description": said, "fix": "Read it from the environment or a secret store.", "language": "json", "confidence": "MEDIUM", "evidence": None})
+    return out
+
+
 def config_json(files: DataFrame) -> DataFrame:
-    """CFG002: string members of parsed JSON under a credential's name, down to ``JSON_DEPTH`` levels; none of invalid JSON.
+    """CFG002: string members of parsed JSON under a credential's name, down to ``JSON_DEPTH`` levels.
 
     Levels of unknown number are a walk, not a join, so this one detector runs in Arrow batches.
     """
-    secret, placeholder = re.compile(SECRET_KEY), re.compile(PLACEHOLDER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                try:
-                    tree = json.loads(content or "")
-                except (ValueError, RecursionError):
-                    continue
-                text = content.lower().split("\n")
-                for key, value in _members(tree):
-                    if secret.search(key) and len(value) >= 6 and not placeholder.search(value):
-                        quoted = f'"{key.lower()}"'
-                        line = next((i for i, x in enumerate(text, 1) if quoted in x), 1)
-                        rows.append((path, line, key, f'"{key}": "{"*" * min(len(value), 8)}..."'))
+            rows = [r for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in json_findings(p, t)]
             if rows:
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.string(), pa.string()), strict=True)], names=["file_path", "line_number", "key", "snippet"])
+                yield pa.RecordBatch.from_pylist(rows, ARROW)
 
-    found = files.where(F.col("language") == "json").select("file_path", "content").mapInArrow(run, "file_path string, line_number int, key string, snippet string")
-    own = {
-        "rule_id": F.lit("CFG002"), "rule_name": F.lit("Credential in a JSON file"), "severity": F.lit("HIGH"), "confidence": F.lit("MEDIUM"), "evidence": no_evidence(), "language": F.lit("json"),
-        "description": F.concat(F.lit("The key "), "key", F.lit(" holds a credential in plain text.")), "fix": F.lit("Read it from the environment or a secret store."),
-    }
-    return found.withColumns(own).select(*COLUMNS)
+    return files.where(F.col("language") == "json").select("file_path", "content").mapInArrow(run, SCHEMA)
 
 
 def config(files: DataFrame) -> DataFrame:

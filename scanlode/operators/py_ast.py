@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanlode.operators.findings import COLUMNS, SCHEMA
+from scanlode.operators.findings import ARROW, SCHEMA
 
 #: Where outside data enters and what cleans it: fixed values.
 CLEANERS = frozenset(("int", "float", "bool", "quote", "quote_plus", "escape", "literal_eval"))
@@ -284,12 +284,6 @@ def analyse(path: str, content: str | None) -> list[dict]:
     return list(found.values())
 
 
-_ARROW = pa.schema([
-    *((c, pa.int32() if c == "line_number" else pa.string()) for c in COLUMNS if c != "evidence"),
-    ("evidence", pa.struct([("sink", pa.string()), ("sink_rule", pa.string()), ("taint_sources", pa.list_(pa.string())), ("taint_path", pa.string())])),
-])
-
-
 def python_findings(files: DataFrame) -> DataFrame:
     """Findings of the Python files of ``files(file_path, content, language)``."""
 
@@ -297,6 +291,6 @@ def python_findings(files: DataFrame) -> DataFrame:
         for b in batches:
             rows = [r for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in analyse(p, t)]
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, _ARROW)
+                yield pa.RecordBatch.from_pylist(rows, ARROW)
 
     return files.where(F.col("language") == "python").select("file_path", "content").mapInArrow(run, SCHEMA)

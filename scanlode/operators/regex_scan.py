@@ -31,9 +31,9 @@ def matches(files: DataFrame, rules: list[Rule] = BUILTIN) -> DataFrame:
     """``files(file_path, content, language)`` to a row per match, with its rule's columns, ``at`` (its number) and ``text``."""
     numbered = list(enumerate(rules))
     hits = F.lit(None)
-    for language, family in FAMILY.items():
+    for family in dict.fromkeys(FAMILY.values()):
         own = {id(r) for r in for_language(rules, family)}
-        hits = F.when(F.col("language") == language, _hits([(i, r) for i, r in numbered if id(r) in own])).otherwise(hits)
+        hits = F.when(F.col("language").isin(*[k for k, v in FAMILY.items() if v == family]), _hits([(i, r) for i, r in numbered if id(r) in own])).otherwise(hits)
     rows = files.where(F.col("language").isin(*FAMILY)).select("file_path", "content", "language", hits.alias("hits")).where(F.size("hits") > 0)
     rows = rows.select("file_path", "content", "language", F.explode("hits").alias("hit"))
     rows = rows.select("file_path", "content", "language", "hit", F.posexplode("hit.matches").alias("at", "text"))
@@ -45,14 +45,18 @@ def matches(files: DataFrame, rules: list[Rule] = BUILTIN) -> DataFrame:
     return rows.where((F.col("unless") == "") | ~F.rlike(F.col("text"), F.concat(F.lit(FLAGS), "unless")))
 
 
-def as_findings(rows: DataFrame, evidence: Column | None = None) -> DataFrame:
+def as_findings(rows: DataFrame, evidence: Column | None = None, snippet: Column | None = None, repeats: Column | None = None) -> DataFrame:
     """Rows of ``matches`` as findings; one per line and rule, but for languages that report every match.
 
+    ``snippet`` replaces the match's line where it is not null; ``repeats`` says which rows such languages may report again.
+
     A file's rows leave one task together, so the aggregate only exchanges what is found.
     """
-    label = F.when(F.col("language") == "kotlin", "java").otherwise(F.col("language"))
-    out = rows.withColumn("snippet", C.snippet(F.col("content"), F.col("line_number"))).withColumn("evidence", no_evidence() if evidence is None else evidence)
-    out = out.withColumn("language", label).withColumn("turn", F.when(F.col("language").isin(*REPEATING), F.col("at")).otherwise(-1))
+    label = F.when((F.col("language") == "kotlin") & (F.lit(True) if repeats is None else repeats), "java").otherwise(F.col("language"))
+    again = F.col("language").isin(*REPEATING) & (F.lit(True) if repeats is None else repeats)
+    line = C.snippet(F.col("content"), F.col("line_number"))
+    out = rows.withColumn("turn", F.when(again, F.col("at")).otherwise(-1)).withColumn("snippet", line if snippet is None else F.coalesce(snippet, line)).withColumn("evidence", no_evidence() if evidence is None else evidence)
+    out = out.withColumn("language", label)
     keys = ["file_path", "line_number", "rule_id"]
     rest = [c for c in COLUMNS if c not in keys]
     return out.groupBy(*keys, "turn").agg(F.min_by(F.struct(*rest), "at").alias("x")).select(*keys, *[f"x.{c}" for c in rest]).select(*COLUMNS)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanlode.functions import columns as C
@@ -56,6 +56,18 @@ LITERAL = r"[\"'][A-Za-z0-9+/_\-]{20,}[\"']"
 LEAST_BITS = 4.0
 
 
+def is_assigned(text: Column) -> Column:
+    """Whether an assignment's value is a secret by its looks."""
+    value = F.regexp_extract(text, VALUE, 1)
+    return ~value.rlike(HARMLESS) & ~value.rlike(CONSTANT)
+
+
+def is_random(text: Column) -> Column:
+    """Whether a literal looks random."""
+    bare = F.regexp_replace(text, "[\"']", "")
+    return bare.rlike("[0-9]") & bare.rlike("[A-Za-z]") & ~bare.rlike(HARMLESS) & (C.entropy(bare) >= LEAST_BITS)
+
+
 def secret_matches(files: DataFrame) -> DataFrame:
     """file_path, content, language, rule_id, rule_name, severity, line_number, text of every secret."""
     quoted = F.col("content").contains('"') | F.col("content").contains("'")
@@ -67,11 +79,7 @@ def secret_matches(files: DataFrame) -> DataFrame:
     rows = rows.select("file_path", "content", "language", F.explode("hits").alias("h"))
     rows = rows.select("file_path", "content", "language", "h.rule_id", "h.rule_name", "h.severity", "h.matches", "h.gaps", F.posexplode("h.matches").alias("at", "text"))
     rows = rows.withColumn("line_number", C.line_of(F.col("gaps"), F.col("matches"), F.col("at")).cast("int"))
-    value = F.regexp_extract("text", VALUE, 1)
-    bare = F.regexp_replace("text", "[\"']", "")
-    assigned = ~value.rlike(HARMLESS) & ~value.rlike(CONSTANT)
-    random = bare.rlike("[0-9]") & bare.rlike("[A-Za-z]") & ~bare.rlike(HARMLESS) & (C.entropy(bare) >= LEAST_BITS)
-    return rows.where(F.when(F.col("rule_id") == "SEC013", assigned).when(F.col("rule_id") == "SEC014", random).otherwise(True)).select("file_path", "content", "language", "rule_id", "rule_name", "severity", "line_number", "text")
+    return rows.where(F.when(F.col("rule_id") == "SEC013", is_assigned(F.col("text"))).when(F.col("rule_id") == "SEC014", is_random(F.col("text"))).otherwise(True)).select("file_path", "content", "language", "rule_id", "rule_name", "severity", "line_number", "text")
 
 
 def secrets(files: DataFrame) -> DataFrame:

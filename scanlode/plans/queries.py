@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanlode.functions import columns as C
-from scanlode.operators import dependencies, impact, js_flow, line_scan, py_ast, quality, regex_scan, secrets
+from scanlode.operators import dependencies, impact, js_flow, line_scan, one_pass, py_ast, quality, regex_scan, secrets
 from scanlode.operators import findings as fd
 from scanlode.plans import scan as plan
 from scanlode.plans.tables import cut, spread
@@ -30,12 +30,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _native(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of the detectors that stay in the JVM."""
-    files = _files(spark, sf_dir)
-    parts = (js_flow.gated(files), line_scan.shell(files), line_scan.config_pairs(files), line_scan.config_yaml(files), secrets.secrets(files))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return one_pass.native(_files(spark, sf_dir))
 
 
 def _found(rows: DataFrame) -> DataFrame:

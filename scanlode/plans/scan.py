@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from scanlode.functions import columns as C
 from scanlode.functions.rules import BUILTIN, Rule
 from scanlode.operators import findings as fd
-from scanlode.operators import js_flow, line_scan, py_ast, secrets
+from scanlode.operators.one_pass import detect
 
 
 @dataclass
@@ -38,15 +38,6 @@ def admitted(files: DataFrame, excluded: tuple[str, ...] = ()) -> DataFrame:
     return out
 
 
-def detect(files: DataFrame, rules: list[Rule] = BUILTIN) -> DataFrame:
-    """Raw findings of all detectors over ``files(file_path, content, language)``."""
-    parts = (js_flow.gated(files, rules), line_scan.shell(files), line_scan.config(files), secrets.secrets(files), py_ast.python_findings(files))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def scan(files: DataFrame, options: Options | None = None, baseline: DataFrame | None = None) -> DataFrame:
     """Findings with fingerprints of ``files(file_path, content)``."""
     o = options or Options()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanlode.operators import findings as fd
-from scanlode.operators import js_flow, line_scan
+from scanlode.operators import line_scan, one_pass
 from scanlode.plans.scan import admitted, routed
 
 ARRIVALS = "file_path string, content string, ts timestamp"
@@ -44,10 +44,10 @@ def _timed(rows: DataFrame) -> DataFrame:
 
 
 def scan_batches(files: DataFrame, path: str, checkpoint: str):
-    """Starts a query that runs the native script rules over each micro-batch and appends new findings to a table."""
+    """Starts a query that runs the whole scan over each micro-batch and appends new findings to a table."""
 
     def one(batch: DataFrame, _: int) -> None:
         rows = admitted(routed(batch.select("file_path", "content")))
-        fd.with_fingerprints(fd.calibrate(js_flow.gated(rows))).write.mode("append").parquet(path)
+        fd.with_fingerprints(fd.calibrate(one_pass.detect(rows))).write.mode("append").parquet(path)
 
     return files.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
