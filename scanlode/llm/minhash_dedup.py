@@ -267,8 +267,11 @@ def leftovers(rows: DataFrame, comps: DataFrame, reps: DataFrame, docs: DataFram
     their texts are fetched, and no pair leaves a unit before it is confirmed.
     """
     known = rows.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    known = known.withColumn("component", F.coalesce("component", "rep"))
+    # Both in tables: their sizes are known when the join is planned, so a small list of keys is
+    # broadcast without dealing the rows by key, and a large one is joined with skewed keys split.
+    known = materialize(known.select("key", "band", "rep", "n", F.coalesce("component", "rep").alias("component")), "bucket-members")
     open_keys = known.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    open_keys = materialize(open_keys, "open-buckets")
     rows = known.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     rows = rows.select("key", "band", "rep", "n", "component", "block", other)
@@ -281,8 +284,8 @@ def leftovers(rows: DataFrame, comps: DataFrame, reps: DataFrame, docs: DataFram
     texts = texts_of(asked.select("rep").distinct(), docs)
     full = asked.join(signs, "rep").join(texts, "rep").select("unit", "side", "band", "n", "component", "rep", "sig", "text")
     links = materialize(in_batches(full.repartition("unit").sortWithinPartitions("unit", "side", "rep")).mapInArrow(_confirm_units, "a long, b long").distinct(), "more-links")
-    discard(asked)
-    discard(texts)
+    for x in (asked, texts, known, open_keys):
+        discard(x)
     return links
 
 
