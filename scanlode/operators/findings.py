@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scanlode.functions import columns as C
 from scanlode.functions.domains import CONFIDENCES, POLICIES, SEVERITIES
+from scanlode.plans.tables import cut
 
 EVIDENCE = "struct<sink: string, sink_rule: string, taint_sources: array<string>, taint_path: string>"
 SCHEMA = f"rule_id string, rule_name string, severity string, file_path string, line_number int, snippet string, description string, fix string, language string, confidence string, evidence {EVIDENCE}"
@@ -96,7 +97,8 @@ def shard(files: DataFrame, index: int, count: int) -> DataFrame:
     """
     if not 0 <= index < count:
         raise ValueError("a shard's index must be from 0 to count - 1")
-    ranged = files.repartitionByRange("file_path").withColumn("_part", F.spark_partition_id())
+    # In a table: both uses below must see the same partitions.
+    ranged = cut(files.repartitionByRange("file_path").withColumn("_part", F.spark_partition_id()))
     within = Window.partitionBy("_part").orderBy("file_path")
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
