@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanlode.llm.common import WORD
+from scanlode.llm.common import WORD, materialize
 
 #: Weights by source in code-point order, null last, repeating.
 WEIGHTS = (3, 1, 2)
@@ -67,6 +67,7 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, sha
     key = F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 16)
     keyed = docs.select("doc_id", "source", n_words().alias("size"), key.alias("key"))
     keyed = keyed.withColumn("range", F.floor(F.conv(F.substring("key", 1, 4), 16, 10).cast("int") * RANGES / 65536).cast("int"))
+    keyed = materialize(keyed, "mix-keys")  # texts are read and counted once, for the totals and for the cut
     totals = keyed.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     targets = source_targets(totals.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, epochs)
     ranged = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
