@@ -37,7 +37,10 @@ class _Chunks(dict):
         if tokenizer.get_vocab_size() > 65536:
             raise ValueError("ids of this vocabulary don't fit 16 bits")
         self.encode, self.tokenize = tokenizer.encode, tokenizer.model.tokenize
-        self.letters = {ord(x): y for x, y in _byte_letters(tokenizer)}
+        try:
+            self.letters = {ord(x): y for x, y in _byte_letters(tokenizer)}
+        except (AttributeError, IndexError, TypeError):  # a vocabulary without byte letters; the probes then rule chunks out
+            self.letters = {}
         self.marks = {m: self.whole(m) for m in ".,"} | {"": b""}
         self.packed = [i.to_bytes(2, "little") for i in range(tokenizer.get_vocab_size())]
         self.older: dict[str, bytes] = {}
@@ -85,9 +88,14 @@ def _byte_letters(tokenizer) -> list[tuple[str, str]]:
 class Encoder:
     """``ids(texts)``: little-endian unsigned 16-bit ids of each text (null: none), as bytes."""
 
+    #: Texts that any vocabulary must encode by chunks as it does whole, or chunks are not used with it.
+    PROBES = ("The quick, brown fox's 12 jumps. Über\nGrößen; ça... va?!", "a  b\tc", " x", "Don't stop - it's 3.14, no.", "étude ÉTUDE ß ÿ")
+
     def __init__(self, vocabulary: str):
         self.chunks = _Chunks(vocabulary)
         self.get = self.chunks.__getitem__
+        if any(self.one(t) != self.chunks.whole(t) for t in self.PROBES):
+            self.one = lambda text: self.chunks.whole(text or "")
 
     def one(self, text: str | None) -> bytes:
         if not text:

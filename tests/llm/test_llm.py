@@ -477,3 +477,9 @@ def test_pipeline_drops_texts_without_a_language(spark, sf):
 def test_every_operator_is_registered():
     names = queries.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and set(queries.oracle_sql()) <= set(names)
+
+
+def test_other_vocabularies_are_encoded_whole():
+    encoder = Encoder(token_files.tokenizer_path("byte_bpe_50k.json"))
+    for t in ("two  words, here.", "", None, "Über\n"):
+        assert encoder.one(t) == encoder.chunks.whole(t or "")
