@@ -58,6 +58,8 @@ _GOOD_NAMES = re.compile(r"(?:^|[^a-z])(?:article|articlebody|post|entry|story|c
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>?", re.S)
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:$|[\s=/])|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
+#: Names that tell a page's state, not what an element is.
+_STATES = re.compile(r"(?<![\w-])(?:has|with|without|no|show|hide|is|js)-[\w-]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -79,8 +81,8 @@ def _ends(name: str) -> re.Pattern:
 _RAW_ENDS = {name: _ends(name) for name in _RAW}
 
 
-def blocks_of(page: str) -> tuple[list[Block], bool]:
-    """Blocks with text, in page order, and whether the page marks an article."""
+def blocks_of(page: str, by_name: bool = True) -> tuple[list[Block], bool]:
+    """Blocks with text, in page order, and whether the page marks an article; ``by_name``: names of elements count."""
     done: list[Block] = []
     open_tags: list[tuple[str, bool, bool]] = []  # name, furniture, article
     furniture = article = 0
@@ -146,8 +148,8 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
             if name in _BLOCKS:
                 close()
             continue
-        names = " ".join(x for x in (a or b or c for a, b, c in _NAMED.findall(m[3])) if x) if m[3] else ""
-        names = _CAMEL.sub("-", names).lower()
+        names = " ".join(x for x in (a or b or c for a, b, c in _NAMED.findall(m[3])) if x) if m[3] and by_name else ""
+        names = _STATES.sub("", _CAMEL.sub("-", names).lower())
         inside = article > 0
         bad = name in _FURNITURE or (name == "header" and not inside) or bool(names and name not in ("body", "html", "article", "main") and _BAD_NAMES.search(names)) or bool(m[3] and _HIDDEN.search(m[3]))
         good = not bad and (name in _ARTICLE or bool(names and name in ("div", "section", "td") and _GOOD_NAMES.search(names)))
@@ -225,6 +227,9 @@ def main_text(page: str | None) -> str:
         return ""
     blocks, marked = blocks_of(page)
     second_pass(blocks, marked)
+    if not any(b.kind == "good" for b in blocks):  # a name around the whole page says nothing
+        blocks, marked = blocks_of(page, by_name=False)
+        second_pass(blocks, marked)
     return "\n".join(b.text for b in blocks if b.kind == "good")
 
 

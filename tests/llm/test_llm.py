@@ -176,6 +176,8 @@ LONG = "It was the best of times and it was the worst of times, and that is what
         (f"<article><p>Hi.</p><section id='comments'><p>{LONG}</p></section></article>", "Hi."),
         (f"<div><p>{LONG}</p></div><form><p>{LONG}</p></form><footer>{LONG}</footer><nav>{LONG}</nav>", LONG),
         (f"<p title='a > b'>{LONG}</p><p>{LONG} <a href=x>{LONG} {LONG}</a></p>", LONG),
+        (f"<div class='page has-sidebar'><p>{LONG}</p><div class='sidebar'><p>{LONG}</p></div></div>", LONG),
+        (f"<div class='popup'><p>{LONG}</p><nav>{LONG}</nav></div>", LONG),
         (f"<article><p>{LONG}<br>x</p><style>p{{}}</style><noscript><p>{LONG}</p></noscript></article>", LONG + " x"),
     ],
 )
