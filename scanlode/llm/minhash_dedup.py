@@ -42,7 +42,7 @@ ROWS, BANDS = 5, 24
 HASHES = ROWS * BANDS
 #: Hashes compared before each decision, and the chance at which a pair may be dropped wrongly.
 STEP, MISS = 20, 1e-7
-BLOCK = 512
+BLOCK = 1024
 #: Ids up to which the wanted rows of a large table are found by a broadcast (8 bytes each); beyond it they are joined.
 BROADCAST_IDS = 1_000_000
 
