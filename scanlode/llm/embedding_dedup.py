@@ -1,21 +1,16 @@
-"""Near-duplicate embeddings by sorted projection passes.
+"""Near-duplicate embeddings by exact comparison of every two vectors of a label.
 
 1. Vectors of one label that are equal component by component form a class; only
    its least vec_id goes on, with the class's size.
-2. In each of ``PASSES`` passes a class gets ``BITS`` random hyperplane signs as its sort
-   key. Rows are dealt by ranges of (pass, label, key) and sorted; each row is
-   compared with the ``NEIGHBOURS`` rows before it in exact double-precision cosine.
-   A task unites the pairs it verifies and emits at most one link per row and pass.
-3. Links of all passes give components.
-4. Links are counted exactly: within a component every two classes are compared,
-   in blocks of ``BLOCK`` (pairs of blocks are units of their own), and only
-   counts leave a unit.
-
-Two vectors at a cosine of 0.98 agree in a random sign with probability 0.936. With
-N vectors of a label, neighbours at most 32 places apart share about log2(N) - 5
-leading bits; at N = 10^6 a pass brings such a pair together with probability 0.37 or
-more, so all 24 passes miss it with probability 2e-5, and a pair within a denser
-group is united through other members besides.
+2. A label's classes are dealt into blocks of ``BLOCK``, and every pair of blocks is a
+   unit of its own. A unit multiplies its sides tile by tile in single precision;
+   what comes within the rounding bound of ``LEAST`` is computed again in double.
+3. Only counts (of classes with links) and a spanning forest of the links leave a
+   unit. The forests of all units give components, the counts add up to n_links.
+
+No pair is left out, however dense or large a label is. The price is quadratic in
+the number of a label's distinct vectors: each is sent to as many units as its label
+has blocks.
 
 Defined cases: a null label or a vector that is null, empty, zero or holds null or
 non-finite components links with nothing; vectors of different length never link;
@@ -36,7 +31,9 @@ from pyspark.sql import functions as F
 from scanlode.llm.common import in_batches, materialize
 from scanlode.llm.components import components
 
-LEAST, PASSES, BITS, NEIGHBOURS, BLOCK = 0.98, 24, 60, 32, 1024
+LEAST, BLOCK = 0.98, 8192
+#: Side of the tiles that a unit multiplies, and the pairs of a tile that are computed again one by one.
+TILE, AGAIN = 1024, 4096
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -54,92 +51,78 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row once per pass, with its sort key."""
-    planes: dict[int, np.ndarray] = {}
-    place = np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64)
-    for batch in batches:
-        lengths = np.asarray(pc.list_value_length(batch.column("v")))
-        for size in np.unique(lengths).tolist():
-            b = batch.filter(pa.array(lengths == size))
-            if size not in planes:
-                planes[size] = np.random.default_rng([size, 98]).normal(size=(size, PASSES * BITS)).astype(np.float32)
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                signs = (_matrix(part.column("v")).astype(np.float32) @ planes[size] > 0).reshape(-1, PASSES, BITS)
-                keys = signs @ place
-                for p in range(PASSES):
-                    yield pa.record_batch([pa.array(np.full(part.num_rows, p, np.int32)), part.column("label"), pa.array(np.full(part.num_rows, size, np.int32)), pa.array(keys[:, p]), part.column("rep"), part.column("v")], names=["pass", "label", "size", "key", "rep", "v"])
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in sorted order: for each row, one verified link to the NEIGHBOURS rows before it, if they hold one that is not united yet."""
-    tail: tuple | None = None
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2048):
-            b = batch.slice(at, 2048)
-            lists = b.column("v")
-            lengths = b.column("size").to_numpy()
-            group = list(zip(b.column("pass").to_pylist(), b.column("label").to_pylist(), lengths.tolist(), strict=True))
-            rep = b.column("rep").to_numpy()
-            cuts = [0, *[i for i in range(1, len(group)) if group[i] != group[i - 1]], len(group)]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                x, ids, old = _matrix(lists.slice(lo, hi - lo)), rep[lo:hi], 0
-                if tail is not None and tail[0] == group[lo]:
-                    x, ids, old = np.concatenate([tail[1], x]), np.concatenate([tail[2], ids]), len(tail[2])
-                top = list(range(len(ids)))
-
-                def root(i: int, top=top) -> int:
-                    while top[i] != i:
-                        top[i] = top[top[i]]
-                        i = top[i]
-                    return i
-
-                a, c = [], []
-                for d in range(1, min(NEIGHBOURS, len(ids) - 1) + 1):
-                    near = np.einsum("ij,ij->i", x[d:], x[:-d]) >= LEAST
-                    for j in np.flatnonzero(near).tolist():
-                        i = j + d
-                        if i >= old and (r := root(i)) != (s := root(j)):
-                            top[r] = s
-                            a.append(ids[i])
-                            c.append(ids[j])
-                tail = (group[lo], x[-NEIGHBOURS:], ids[-NEIGHBOURS:])
-                if a:
-                    yield pa.record_batch([pa.array(np.array(a, np.int64)), pa.array(np.array(c, np.int64))], names=["a", "b"])
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by unit, component and side: links of each class with the others of its block or of the facing block."""
-
-    def of(t: pa.Table) -> pa.RecordBatch:
-        x, side, rep, copies = _matrix(t.column("v")), *(t.column(c).to_numpy() for c in ("side", "rep", "copies"))
-        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        total = np.zeros(len(rep), np.int64)
-        if len(two):
-            near = x[one] @ x[two].T >= LEAST
-            total[one], total[two] = near @ copies[two], copies[one] @ near
-        else:
-            near = x @ x.T >= LEAST
-            np.fill_diagonal(near, False)
-            total = near @ copies
-        return pa.record_batch([pa.array(rep), pa.array(total)], names=["rep", "others"])
-
-    held, now = [], None
+def _near(x: np.ndarray, y: np.ndarray, x32: np.ndarray, y32: np.ndarray) -> np.ndarray:
+    """Which pairs of unit rows have a cosine of LEAST or more, exact as double precision is."""
+    bound = (x.shape[1] + 8) * 1.2e-7
+    cosine = x32 @ y32.T
+    near = cosine >= LEAST - bound
+    if near.any():
+        i, j = np.nonzero(near & (cosine <= LEAST + bound))
+        if len(i) > AGAIN:
+            return x @ y.T >= LEAST
+        near[i, j] = np.einsum("ij,ij->i", x[i], y[j]) >= LEAST
+    return near
+
+
+def _unit(t: pa.Table) -> pa.RecordBatch:
+    """Links (a, b) that span the unit's components, and (a, others) for each class with links to the facing side, or within the only one."""
+    x, side, rep, copies = _matrix(t.column("v")), *(t.column(c).to_numpy() for c in ("side", "rep", "copies"))
+    x32, weight = x.astype(np.float32), copies.astype(np.float64)
+    one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    alone = not len(two)
+    two = one if alone else two
+    total, top, a, b = np.zeros(len(rep)), np.arange(len(rep)), [], []
+    for at in range(0, len(one), TILE):
+        p = one[at : at + TILE]
+        for by in range(at if alone else 0, len(two), TILE):
+            q = two[by : by + TILE]
+            near = _near(x[p], x[q], x32[p], x32[q])
+            if not near.any():
+                continue
+            near &= rep[p][:, None] != rep[q]
+            total[p] += near @ weight[q]
+            if not alone or at != by:
+                total[q] += weight[p] @ near
+            for k in np.flatnonzero(near.any(axis=1)).tolist():
+                i, other = p[k], q[near[k]]
+                other = other[top[other] != top[i]]
+                if len(other):
+                    for c, first in zip(*np.unique(top[other], return_index=True), strict=True):
+                        top[top == c] = top[i]
+                        a.append(rep[i])
+                        b.append(rep[other[first]])
+    linked = np.flatnonzero(total)
+    no = [None]
+    return pa.record_batch(
+        [
+            pa.array(np.concatenate([np.array(a, np.int64), rep[linked]])),
+            pa.array(np.array(b, np.int64).tolist() + no * len(linked), pa.int64()),
+            pa.array(no * len(a) + total[linked].astype(np.int64).tolist(), pa.int64()),
+        ],
+        names=["a", "b", "others"],
+    )
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by unit, label, size and blocks: what each unit finds."""
+    names, held, now = ("unit", "label", "size", "low", "high"), [], None
     for b in batches:
-        keys = np.stack([b.column(c).to_numpy() for c in ("unit", "component", "low", "high")], axis=1)
-        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        if not b.num_rows:
+            continue
+        keys = [b.column(c) for c in names]
+        new = np.zeros(b.num_rows - 1, bool)
+        for k in keys:
+            new |= pc.not_equal(k[1:], k[:-1]).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), b.num_rows]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
-            if hi == lo:
-                continue
-            key = tuple(keys[lo].tolist())
+            key = tuple(k[lo].as_py() for k in keys)
             if held and key != now:
-                yield of(pa.Table.from_batches(held))
+                yield _unit(pa.Table.from_batches(held))
                 held = []
             now = key
             held.append(b.slice(lo, hi - lo))
     if held:
-        yield of(pa.Table.from_batches(held))
+        yield _unit(pa.Table.from_batches(held))
 
 
 def near_embeddings(vectors: DataFrame) -> DataFrame:
@@ -152,19 +135,17 @@ def near_embeddings(vectors: DataFrame) -> DataFrame:
     classes = materialize(classes, "vector-classes")
     reps = rows.join(classes.select(F.col("label").alias("_l"), F.col("digest").alias("_d"), "rep", "copies"), (F.col("label") == F.col("_l")) & (F.col("digest") == F.col("_d")) & (F.col("vec_id") == F.col("rep")))
     reps = materialize(reps.select("label", "digest", "rep", "copies", "v").dropDuplicates(["label", "digest"]), "vector-reps")
-    label = reps.schema["label"].dataType.simpleString()
-    keyed = in_batches(reps.select("label", "rep", "v")).mapInArrow(_keys, f"pass int, label {label}, size int, key long, rep long, v array<double>")
-    ranged = keyed.repartitionByRange("pass", "label", "size", "key").sortWithinPartitions("pass", "label", "size", "key", "rep")
-    comps = materialize(components(in_batches(ranged).mapInArrow(_neighbours, "a long, b long")), "vector-components")
-    sizes = comps.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    within = reps.join(comps, F.col("rep") == F.col("node")).join(sizes, "component")
-    within = within.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).select("component", "rep", "copies", "v", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    reps = reps.withColumn("size", F.size("v"))
+    blocks = reps.groupBy("label", "size").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = reps.join(blocks, ["label", "size"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("label", "size", "rep", "copies", "v", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    # Components of one block share units, those of several have a unit for each pair of blocks.
-    unit = F.xxhash64("component", low, high)
-    within = within.select(unit.alias("unit"), "component", low.alias("low"), high.alias("high"), F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), "rep", "copies", "v")
-    counted = in_batches(within.repartition("unit").sortWithinPartitions("unit", "component", "low", "high", "side", "rep")).mapInArrow(_counts, "rep long, others long")
-    counted = counted.groupBy("rep").agg(F.sum("others").alias("others"))
+    side = F.when(F.col("block") > F.col("other"), 1).otherwise(0)
+    dealt = dealt.select(F.xxhash64("label", "size", low, high).alias("unit"), "label", "size", low.alias("low"), high.alias("high"), side.alias("side"), "rep", "copies", "v")
+    dealt = dealt.repartition("unit").sortWithinPartitions("unit", "label", "size", "low", "high", "side", "rep")
+    found = materialize(in_batches(dealt).mapInArrow(_compare, "a long, b long, others long"), "vector-links")
+    comps = materialize(components(found.where("b IS NOT NULL").select("a", "b")), "vector-components")
+    counted = found.where("others IS NOT NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("others").alias("others"))
     of = classes.join(comps, F.col("rep") == F.col("node"), "left").join(counted, "rep", "left")
     of = of.select("label", "digest", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("component"))
     linked = rows.select("vec_id", "label", "digest").join(of, ["label", "digest"]).groupBy(F.col("vec_id").alias("_id")).agg(F.max("n").alias("n"), F.min("component").alias("component"))

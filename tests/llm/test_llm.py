@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -235,6 +236,25 @@ def test_embedding_blocks_count_every_link(spark, monkeypatch):
     assert rows_of(embedding_dedup.near_embeddings(df)) == want
 
 
+@pytest.mark.parametrize("block", [8192, 700])
+def test_embeddings_of_a_dense_label(spark, monkeypatch, block):
+    """Isolated pairs above 0.98 among vectors at a mutual cosine of 0.97, which sign bits hardly order."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    rng, n, pairs = np.random.default_rng(6), 4000, 300
+    unit = rng.normal(size=(n + 1, 256))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    x = np.sqrt(0.97) * unit[n] + np.sqrt(0.03) * unit[:n]
+    off = rng.normal(size=(pairs, 256))
+    x[-pairs:] = x[:pairs] + 0.19 * off / np.linalg.norm(off, axis=1, keepdims=True)
+    x = x.astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": list(x), "label": np.ones(n, np.int32)}))
+    y = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    near = y @ y.T >= 0.98
+    assert near.sum() == n + 2 * pairs
+    got = rows_of(embedding_dedup.near_embeddings(df))
+    assert sorted(got) == [(i, int(near[i].sum()) - 1, int(near[i].argmax()), int(near[i].argmax()) == i) for i in range(n)]
+
+
 def test_components_of_chains_and_cycles(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7), (200, 150)]
     got = dict(rows_of(components(spark.createDataFrame(edges, "a long, b long"))))
