@@ -18,8 +18,9 @@ A pair at a similarity of exactly 0.85 shares no band with probability
 
 Defined cases: a document without words or text has an empty set and links with
 nothing; fewer than five words count as one shingle; rows that repeat a doc_id
-are one document as far as links go; a null doc_id row is its own class without
-links unless its text repeats; an empty table gives an empty result.
+are one document as far as links go; a null doc_id row belongs to the class of its
+text and is not kept if a row with an id has the same set, otherwise it is its own
+without links; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -292,8 +293,8 @@ def leftovers(rows: DataFrame, comps: DataFrame, reps: DataFrame, docs: DataFram
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row."""
     signs = materialize(signatures(docs), "signatures")
-    least = signs.where("n > 0").groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "sig")).alias("x"))
-    classes = materialize(least.select("h1", "h2", "n", F.col("x.doc_id").alias("rep"), F.col("x.sig").alias("sig")), "classes")
+    # The minimum passes over null ids; equal sets have equal signatures.
+    classes = materialize(signs.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")), "classes")
     reps = classes.where("rep IS NOT NULL").select("rep", "n", "sig")
     rows = bands(reps)
     hubs = rows.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -308,4 +309,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of = classes.select("h1", "h2", "n", "rep").join(comps, F.col("rep") == F.col("node"), "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = signs.select("doc_id", "n", "h1", "h2").join(of, ["h1", "h2", "n"], "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))

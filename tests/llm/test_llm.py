@@ -433,6 +433,13 @@ def test_near_duplicate_edges(odd, none):
     assert minhash_dedup.near_duplicates(odd).count() == odd.count() and minhash_dedup.near_duplicates(none).count() == 0
 
 
+def test_a_null_id_does_not_dissolve_its_group(spark):
+    base = " ".join(f"w{k}" for k in range(100))
+    rows = [(None, base), (4, base), (5, base), (6, base + " more"), (None, None)]
+    got = rows_of(minhash_dedup.near_duplicates(documents(spark, [(i, t, "a") for i, t in rows])))
+    assert got == sorted([(None, 96, 4, False), (4, 96, 4, True), (5, 96, 4, False), (6, 97, 4, False), (None, 0, None, True)], key=repr)
+
+
 def test_signatures_estimate_similarity_and_bands_find_pairs():
     rng, missed, error = np.random.default_rng(0), 0, []
     for _ in range(300):
