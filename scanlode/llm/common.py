@@ -48,6 +48,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``docs`` in a table with a key of its own for each row, and the key's name: ids may be null or repeat."""
+    key = "_row"
+    while key in [c.lower() for c in docs.columns]:
+        key += "_"
+    return materialize(docs.withColumn(key, F.monotonically_increasing_id()), name), key
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that ``materialize`` wrote, once nothing reads it any more."""
     path = getattr(df, "_scanlode_path", None)

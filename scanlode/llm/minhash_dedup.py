@@ -1,7 +1,8 @@
 """Near-duplicate documents: MinHash bands, sequential Bayesian verification, exact check of survivors.
 
 1. Each document's set of 5-word shingles gives a signature and a 128-bit digest
-   of the set. Documents with equal sets form a class; only its least doc_id goes on.
+   of the set. Documents with equal sets form a class; only its least row goes on,
+   by a row key, since ids may be null or repeat.
 2. Bands of the signature put classes in buckets. A bucket's least class is its
    hub and meets every other member: no pairs within a bucket are emitted.
 3. A pair's signatures are compared batch by batch. It is dropped as soon as the
@@ -18,9 +19,10 @@ A pair at a similarity of exactly 0.85 shares no band with probability
 
 Defined cases: a document without words or text has an empty set and links with
 nothing; fewer than five words count as one shingle; rows that repeat a doc_id
-are one document as far as links go; a null doc_id row belongs to the class of its
-text and is not kept if a row with an id has the same set, otherwise it is its own
-without links; an empty table gives an empty result.
+are one document as far as links go, whatever their texts; a null doc_id row is a
+document of its own, linked by its text and not kept if its group has an id; of a
+group without ids one row is kept, with a null component_id; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanlode.llm.common import discard, in_batches, materialize
+from scanlode.llm.common import discard, in_batches, materialize, numbered
 from scanlode.llm.components import components
 from scanlode.llm.shingles import forget, mixed, shingle_set
 
@@ -110,12 +112,12 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 h1.append(np.add.reduce(mixed(s)).view(np.int64) if len(s) else 0)
                 h2.append(np.add.reduce(mixed(s ^ np.uint64(0x9E3779B97F4A7C15))).view(np.int64) if len(s) else 0)
                 sig.append(signature(s).tobytes() if len(s) else None)
-            yield pa.record_batch([b.column(0), pa.array(size, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n", "h1", "h2", "sig"])
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(size, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "row", "n", "h1", "h2", "sig"])
     forget()
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    return in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(_sign, "doc_id long, n long, h1 long, h2 long, sig binary")
+    return in_batches(docs.select("doc_id", "text", "row")).mapInArrow(_sign, "doc_id long, row long, n long, h1 long, h2 long, sig binary")
 
 
 def _table(column, width: int = HASHES) -> np.ndarray:
@@ -157,11 +159,11 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """rep, text of the wanted documents, in a table."""
+    """rep, text of the wanted rows, in a table."""
     ids = materialize(ids, "near-ids")
     small = ids.count() <= BROADCAST_IDS
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(F.broadcast(ids) if small else ids, "rep", "left_semi")
-    texts = materialize(texts.dropDuplicates(["rep"]), "near-texts")
+    texts = docs.select(F.col("row").alias("rep"), "text").join(F.broadcast(ids) if small else ids, "rep", "left_semi")
+    texts = materialize(texts, "near-texts")
     discard(ids)
     return texts
 
@@ -290,23 +292,49 @@ def leftovers(rows: DataFrame, comps: DataFrame, reps: DataFrame, docs: DataFram
     return links
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row."""
+def _one_id(signs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of rows that repeat a doc_id with different sets."""
+    of_set = F.struct("h1", "h2", "n")
+    with_id = signs.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "h1", "h2", "n")
+    several = with_id.groupBy("doc_id").agg(F.min(of_set).alias("x"), F.max(of_set).alias("y")).where("x != y").select("doc_id")
+    reps = with_id.join(several, "doc_id").join(classes.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"])
+    least = reps.groupBy("doc_id").agg(F.min("rep").alias("b"))
+    return reps.join(least, "doc_id").select(F.col("rep").alias("a"), "b").where("a != b").distinct()
+
+
+def grouped(docs: DataFrame, by_id: bool) -> DataFrame:
+    """row, doc_id, n, first (row and doc_id of the group's row with the least id, nulls last; null without words) of each row of ``docs(row, doc_id, text)``.
+
+    ``by_id``: rows that repeat a doc_id are one document, otherwise each is its own.
+    """
     signs = materialize(signatures(docs), "signatures")
-    # The minimum passes over null ids; equal sets have equal signatures.
-    classes = materialize(signs.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")), "classes")
-    reps = classes.where("rep IS NOT NULL").select("rep", "n", "sig")
+    # Equal sets have equal signatures; the first row is the one with the least id.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    classes = materialize(signs.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("row").alias("rep"), F.min("sig").alias("sig"), first.alias("first")), "classes")
+    reps = classes.select("rep", "n", "sig")
     rows = bands(reps)
     hubs = rows.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = materialize(rows.join(hubs, "key").select("key", "band", "rep", "n", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"), "members").where("rep != hub"), "buckets")
     fits = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * NEAR_PERCENT
     pairs = shared.where(fits).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     links = confirmed(plausible(pairs, reps), docs)
+    if by_id:
+        links = links.unionByName(_one_id(signs, classes))
     comps = materialize(components(links), "components")
     more = leftovers(shared.where("members > 2").select("key", "band", "rep", "n"), comps, reps, docs)
     if more.limit(1).count():
         comps = materialize(components(links.unionByName(more)), "components")
-    of = classes.select("h1", "h2", "n", "rep").join(comps, F.col("rep") == F.col("node"), "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
-    out = signs.select("doc_id", "n", "h1", "h2").join(of, ["h1", "h2", "n"], "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    of = classes.join(comps, F.col("rep") == F.col("node"), "left").select("h1", "h2", "n", "first", F.coalesce("component", "rep").alias("component"))
+    firsts = of.groupBy("component").agg(F.min("first").alias("first"))
+    of = materialize(of.select("h1", "h2", "n", "component").join(firsts, "component").select("h1", "h2", "n", "first"), "class-groups")
+    return signs.select("row", "doc_id", "n", "h1", "h2").join(of, ["h1", "h2", "n"], "left").select("row", "doc_id", "n", "first")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row."""
+    keyed, key = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "near-rows")
+    out = grouped(keyed.withColumnRenamed(key, "row"), by_id=True)
+    component = F.coalesce("first.doc_id", "doc_id")
+    # Rows that repeat the least id are all kept.
+    kept = F.col("first").isNull() | (F.col("row") == F.col("first.row")) | F.coalesce(F.col("doc_id") == F.col("first.doc_id"), F.lit(False))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(kept, F.lit(True)).alias("kept"))

@@ -440,6 +440,14 @@ def test_a_null_id_does_not_dissolve_its_group(spark):
     assert got == sorted([(None, 96, 4, False), (4, 96, 4, True), (5, 96, 4, False), (6, 97, 4, False), (None, 0, None, True)], key=repr)
 
 
+def test_near_duplicates_of_both_texts_of_an_id(spark):
+    one, two = (" ".join(f"{c}{k}" for k in range(100)) for c in "ab")
+    rows = [(5, one), (5, two), (6, one + " more"), (7, two + " more"), (8, one), (None, two + " other words"), (None, "no id"), (None, "no id")]
+    want = [(5, 96, 5, True), (5, 96, 5, True), (6, 97, 5, False), (7, 97, 5, False), (8, 96, 5, False), (None, 98, 5, False), (None, 1, None, True), (None, 1, None, False)]
+    for order in (rows, rows[::-1]):
+        assert rows_of(minhash_dedup.near_duplicates(documents(spark, [(i, t, "a") for i, t in order]))) == sorted(want, key=repr)
+
+
 def test_signatures_estimate_similarity_and_bands_find_pairs():
     rng, missed, error = np.random.default_rng(0), 0, []
     for _ in range(300):
