@@ -18,11 +18,6 @@ from scanlode.llm.common import materialize, table
 LEAST_SCORE = 0.3
 
 
-def _rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id (null included) is among ``verdicts._id``."""
-    return docs.join(verdicts, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
-
-
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxicity: scores every text in place and drops those at 0.5 or more."""
     lexicon = toxicity.learn(toxicity.labelled_rows(docs, table(spark, sf_dir, "labels"), lambda i: F.lit(True)))
@@ -36,10 +31,8 @@ def recognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-dedup: of each group the document with the least doc_id stays."""
-    groups = minhash_dedup.near_duplicates(docs)
-    kept = materialize(groups.where("kept").select(F.col("doc_id").alias("_id")).distinct(), "kept-ids")
-    return _rows(docs, kept)
+    """Near-dedup: of each group the row with the least doc_id stays (null last); rows are told apart by a key of their own, not by doc_id."""
+    return minhash_dedup.kept_rows(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

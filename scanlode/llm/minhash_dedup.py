@@ -338,3 +338,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Rows that repeat the least id are all kept.
     kept = F.col("first").isNull() | (F.col("row") == F.col("first.row")) | F.coalesce(F.col("doc_id") == F.col("first.doc_id"), F.lit(False))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(kept, F.lit(True)).alias("kept"))
+
+
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """One row of each group, with all its columns; rows without words all stay, and rows that repeat a doc_id are documents of their own."""
+    keyed, key = numbered(docs, "near-rows")
+    out = grouped(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(key).alias("row")), by_id=False)
+    kept = materialize(out.where("first IS NULL OR row = first.row").select(F.col("row").alias(key)), "kept-rows")
+    return keyed.join(kept, key, "left_semi").select(*docs.columns)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanlode.llm.common import WORD, materialize
+from scanlode.llm.common import WORD, materialize, numbered
 
 #: Weights by source in code-point order, null last, repeating.
 WEIGHTS = (3, 1, 2)
@@ -64,8 +64,13 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, sha
 
     The same rows give the same result at any partitioning.
     """
+    return _taken(docs, [], seed, weights, share, epochs)
+
+
+def _taken(docs: DataFrame, keys: list[str], seed: int, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = MOST_EPOCHS) -> DataFrame:
+    """The columns of ``mix``, and ``keys``, which tell rows apart that repeat a doc_id at one size."""
     key = F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 16)
-    keyed = docs.select("doc_id", "source", n_words().alias("size"), key.alias("key"))
+    keyed = docs.select("doc_id", "source", n_words().alias("size"), key.alias("key"), *keys)
     keyed = keyed.withColumn("range", F.floor(F.conv(F.substring("key", 1, 4), 16, 10).cast("int") * RANGES / 65536).cast("int"))
     keyed = materialize(keyed, "mix-keys")  # texts are read and counted once, for the totals and for the cut
     totals = keyed.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
@@ -74,33 +79,31 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, sha
     starts = totals.withColumn("range_start", F.coalesce(F.sum("range_size").over(ranged), F.lit(0)).cast("long"))
     starts = starts.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")))
     starts = starts.select(F.col("s.source").alias("of"), F.col("s.range").alias("in_range"), "range_start", "source_size", "target")
-    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", *keys).rowsBetween(Window.unboundedPreceding, -1)
     run = keyed.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)).cast("long"))
     run = run.join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("in_range")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.floor(F.col("target")).cast("long") - whole * F.col("source_size")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("range_start") - F.col("inside")))
-    return run.select("doc_id", "source", "size", "source_size", F.col("target").cast("double"), (whole * F.col("size") + part).cast("long").alias("taken"))
+    return run.select("doc_id", "source", "size", "source_size", F.col("target").cast("double"), (whole * F.col("size") + part).cast("long").alias("taken"), *keys)
 
 
 def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each time that a document is taken.
 
     A source's boundary document is cut after its last taken word; ``n_chars``,
-    if there, is counted anew. Rows that repeat a doc_id count once each in the
-    sizes and share their number of takes evenly, whole words first.
+    if there, is counted anew. Rows that repeat a doc_id, or have none, are taken each
+    by its own source, size and turn.
     """
-    taken = mix(docs, seed).groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"), F.count(F.lit(1)).alias("_rows"))
-    taken = taken.where("_taken > 0").select(F.col("doc_id").alias("_of"), "_taken", "_size", "_rows")
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_of")))
-    size, share = n_words(), F.floor(F.col("_taken") / F.col("_rows"))
-    rows = rows.withColumn("_n", F.when(F.col("_rows") == 1, F.col("_taken")).otherwise(share)).withColumn("_words", size).where("_words > 0")
-    rows = rows.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_n") / F.col("_words")).cast("int"))))
-    rows = rows.where(F.col("_n") > 0)
-    left = F.least(F.col("_words"), F.col("_n") - (F.col("_turn") - 1) * F.col("_words")).cast("int")
+    keyed, key = numbered(docs, "mix-rows")
+    of, n, words, turn = (f"{key}_{x}" for x in ("of", "n", "words", "turn"))
+    taken = _taken(keyed, [key], seed).where("taken > 0").select(F.col(key).alias(of), F.col("taken").alias(n), F.col("size").alias(words))
+    rows = keyed.join(taken, F.col(key) == F.col(of))
+    rows = rows.withColumn(turn, F.explode(F.sequence(F.lit(1), F.ceil(F.col(n) / F.col(words)).cast("int"))))
+    left = F.least(F.col(words), F.col(n) - (F.col(turn) - 1) * F.col(words)).cast("int")
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, left), "")
-    text = F.when(left < F.col("_words"), cut).otherwise(F.col("text"))
+    text = F.when(left < F.col(words), cut).otherwise(F.col("text"))
     fresh = {"text": text}
     if "n_chars" in docs.columns:
-        fresh["n_chars"] = F.when(left < F.col("_words"), F.length(cut)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        fresh["n_chars"] = F.when(left < F.col(words), F.length(cut)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return rows.withColumns(fresh).select(*docs.columns)

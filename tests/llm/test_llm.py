@@ -511,6 +511,19 @@ def test_pipeline_drops_texts_without_a_language(spark, sf):
     assert corpus_pipeline.recognised(spark, more, sf).count() == docs.count()
 
 
+def test_pipeline_tells_rows_apart_that_share_an_id(spark, sf):
+    one, two, more = (" ".join(f"{c}{k}" for k in range(n)) for c, n in (("a", 100), ("b", 100), ("c", 900)))
+    rows = [(None, one, "a"), (None, one, "b"), (None, two, "a"), (7, more, "b"), (7, more, "b"), (7, "one two three four five six", "a"), (8, None, "a")]
+    single = corpus_pipeline.distinct_texts(spark, documents(spark, rows), sf)
+    assert sorted(r["text"] or "" for r in single.collect()) == sorted(["", one, two, more, rows[5][1]])
+    mixed = corpus_pipeline.mixed(spark, single, sf).collect()
+    keep, sizes, target = plain_mix([(r["doc_id"], r["text"], r["source"]) for r in single.collect()])
+    words = {s: sum(len(r["text"].split()) for r in mixed if r["source"] == s) for s in sizes}
+    assert words == {s: int(target[s] + 1e-9) for s in sizes}
+    for t in (one, two, more, rows[5][1]):
+        assert sum(t.startswith(r["text"]) for r in mixed) <= 2
+
+
 def test_every_operator_is_registered():
     names = queries.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and set(queries.oracle_sql()) <= set(names)
