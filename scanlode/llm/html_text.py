@@ -45,6 +45,10 @@ _BLOCKS = frozenset("address article aside blockquote body caption center dd det
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no text of the page.
 _RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea title select button datalist noembed noframes xmp head map".split())
+#: Those of them that browsers read as text: they run to the page's end if nothing ends them.
+_RAW_TEXT = frozenset("script style textarea title iframe noscript xmp noembed noframes".split())
+#: Those that a tag can close itself.
+_FOREIGN = frozenset("svg math".split())
 _FURNITURE = frozenset("nav footer aside form menu dialog".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ARTICLE = frozenset("article main".split())
@@ -78,7 +82,20 @@ def _ends(name: str) -> re.Pattern:
     return re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*+>?", re.I)
 
 
-_RAW_ENDS = {name: _ends(name) for name in _RAW}
+_RAW_ENDS = {name: _ends(name) for name in _RAW_TEXT}
+_RAW_TAGS = {name: re.compile(rf"<(/?){name}(?=[\s/>])((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>?", re.I) for name in _RAW - _RAW_TEXT}
+
+
+def _closed(page: str, name: str) -> dict[int, int]:
+    """By the start of each element ``name`` that an end tag of its own closes, the place after that tag."""
+    out, stack = {}, []
+    for m in _RAW_TAGS[name].finditer(page):
+        if m[1]:
+            if stack:
+                out[stack.pop()] = m.end()
+        elif name not in _FOREIGN or not m[2].endswith("/"):
+            stack.append(m.start())
+    return out
 
 
 def blocks_of(page: str, by_name: bool = True) -> tuple[list[Block], bool]:
@@ -88,6 +105,7 @@ def blocks_of(page: str, by_name: bool = True) -> tuple[list[Block], bool]:
     furniture = article = 0
     links, marked, heading = 0, False, 0
     now = Block()
+    closed: dict[str, dict[int, int]] = {}
 
     def close() -> None:
         nonlocal now
@@ -131,8 +149,13 @@ def blocks_of(page: str, by_name: bool = True) -> tuple[list[Block], bool]:
         if name in _RAW:
             if name == "head":  # its own raw elements may hold anything, so it ends where the body begins
                 continue
-            end = _RAW_ENDS[name].search(page, at)
-            at = end.end() if end else len(page)
+            if name in _RAW_TEXT:
+                end = _RAW_ENDS[name].search(page, at)
+                at = end.end() if end else len(page)
+            else:  # what nothing closes, or the tag itself, is read on after the tag
+                if name not in closed:
+                    closed[name] = _closed(page, name)
+                at = closed[name].get(m.start(), at)
             continue
         if name == "br":
             say(" ")

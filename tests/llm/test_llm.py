@@ -186,6 +186,15 @@ def test_blocks(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize("tag", ['<svg class="i"/>', "<math />", "<button>", "<object>", "<canvas>", "<map>", "<select>"])
+def test_elements_that_nothing_closes_leave_the_article(tag):
+    words = "This is the text of the article and it has all the words that it should have in it. " * 3
+    name = tag.strip("<>/ ").split()[0]
+    for after in ("", f"<{name}><{name}>inner</{name}>hidden</{name}>"):
+        got = html_text.main_text(f"<html><body><article><p>{tag}{words}</p>{after}<p>{words}</p></article></body></html>")
+        assert got.split() == (words + words).split()
+
+
 def test_pages_edges(spark):
     df = spark.createDataFrame([(1, None, None), (1, None, None), (None, "u", "<p>x")], "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("n_chars", F.lit("x"))
     assert rows_of(html_text.extract(df)) == [(1, None, "", 0), (1, None, "", 0), (None, "u", "", 0)] and html_text.extract(df.limit(0)).count() == 0
