@@ -19,10 +19,10 @@ other than doc_id and text are never inputs of a score.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import unicodedata
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -169,10 +169,10 @@ def _exceptions(entries: dict[str, float], toxic: list[str], clean: list[str]) -
 
 
 def _once(folded: list[tuple[str, int]]) -> list[tuple[str, int]]:
-    """One of each group of near copies: texts whose least word hashes agree say the same thing twice."""
+    """One of each group of texts with the same label and the same set of words; all others stay."""
     seen = {}
     for t, y in folded:
-        seen.setdefault((y, *sorted(zlib.crc32(w.encode()) for w in set(t.split()))[:3]), t)
+        seen.setdefault((y, hashlib.blake2b(" ".join(sorted(set(t.split()))).encode("utf-8", "surrogatepass"), digest_size=16).digest()), t)
     return [(t, k[0]) for k, t in seen.items()]
 
 

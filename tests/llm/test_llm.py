@@ -145,6 +145,13 @@ def test_exceptions_cancel_and_length_counts(spark):
     assert lex.score("clown") > lex.score("clown " + fill(400))
 
 
+def test_texts_of_few_common_words_all_teach():
+    words = sorted((f"w{k}" for k in range(400)), key=lambda w: zlib.crc32(w.encode()))
+    texts = [" ".join(words[:3] + words[k : k + 50]) for k in range(10, 300, 50)]
+    rows = [(t, 1) for t in texts] + [(texts[0] + " " + words[0], 1), (texts[0], 0)]
+    assert toxicity._once(rows) == [(t, 1) for t in texts] + [(texts[0], 0)]
+
+
 def test_toxicity_edges(spark, odd, none):
     labels = spark.createDataFrame([(4, None, 1), (5, 1, 0), (5, 1, 1), (77, 0, 1), (None, 0, 1)], "doc_id long, quality int, toxic int")
     got = toxicity.toxicity(odd, labels)
