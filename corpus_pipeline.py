@@ -25,7 +25,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def recognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: drops texts without a letter and those whose best language scores under ``LEAST_SCORE``."""
+    """Language ID: drops texts without a letter and those whose best language scores under ``LEAST_SCORE``; without a labelled text to learn from only the former."""
     net = language_id.train(language_id.training_rows(docs, F.lit(True)))
     return language_id.kept_rows(docs, net, LEAST_SCORE)
 

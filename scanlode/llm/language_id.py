@@ -216,7 +216,12 @@ def _predict(model: ByteNet | None, texts: list[str | None]) -> tuple[list[str],
 
 
 def kept_rows(docs: DataFrame, net: ByteNet | None, least: float) -> DataFrame:
-    """The rows, with all their columns, whose language is known with a score of ``least`` or more."""
+    """The rows, with all their columns, whose language is known with a score of ``least`` or more.
+
+    Without a model (no row has both a language and a text) those whose text has a letter.
+    """
+    if net is None:
+        return filtered(docs, lambda texts: [bool(t) and has_letter(t) for t in texts])
     held = docs.sparkSession.sparkContext.broadcast(net)
 
     def keep(texts: list[str | None]) -> list[bool]:

@@ -527,6 +527,11 @@ def test_pipeline_drops_texts_without_a_language(spark, sf):
     assert corpus_pipeline.recognised(spark, more, sf).count() == docs.count()
 
 
+def test_pipeline_without_languages_keeps_texts_with_letters(spark, sf):
+    docs = spark.createDataFrame([(1, "some text", None), (2, "123 456", None), (3, None, None), (4, "", None)], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in corpus_pipeline.recognised(spark, docs, sf).collect()] == [1]
+
+
 def test_pipeline_tells_rows_apart_that_share_an_id(spark, sf):
     one, two, more = (" ".join(f"{c}{k}" for k in range(n)) for c, n in (("a", 100), ("b", 100), ("c", 900)))
     rows = [(None, one, "a"), (None, one, "b"), (None, two, "a"), (7, more, "b"), (7, more, "b"), (7, "one two three four five six", "a"), (8, None, "a")]
