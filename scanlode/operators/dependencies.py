@@ -10,10 +10,11 @@ from scanlode.functions.domains import MANIFESTS
 from scanlode.operators.findings import COLUMNS, no_evidence
 
 ADVISORY = "id string, ecosystem string, name string, aliases array<string>, severity array<struct<type: string, score: string>>, summary string, affected array<struct<ranges: array<struct<events: array<struct<introduced: string, fixed: string>>>>>>"
-#: requirements: a name, an operator and a version; or a bare name.
-PINNED = r"^([A-Za-z0-9_\-\.]+)\s*[=<>!~^]{1,2}=?\s*([0-9][^\s;,]*)"
-BARE = r"^([A-Za-z0-9_\-\.]+)\s*$"
-GEM = r"^ {4}([A-Za-z0-9_\-]+)\s+\(([0-9][^)]*)\)"
+#: A requirement's name, comparison and version, and one of nothing but a name.
+PINNED = r"^([\w.-]+)\s*(?:={1,3}|[~!<>^]=?)\s*(\d[^\s,;]*)"
+BARE = r"^[\w.-]+$"
+#: An entry of a lock file's section: a name and its version, indented by four.
+GEM = r"^ {4}([\w-]+) +\((\d[^)]*)\)"
 SECTIONS = ("dependencies", "devDependencies", "peerDependencies")
 
 
@@ -24,57 +25,55 @@ def ecosystem(path: Column) -> Column:
     return out
 
 
-def _numbered(files: DataFrame) -> DataFrame:
-    return files.select("file_path", "ecosystem", "content", F.posexplode(C.lines(F.col("content"))).alias("i", "raw")).withColumn("t", C.stripped(F.col("raw")))
+def _entry(name: Column, version: Column) -> Column:
+    return F.struct(name.alias("name"), version.alias("version"))
 
 
-def requirements(files: DataFrame) -> DataFrame:
-    rows = _numbered(files).where((F.col("t") != "") & ~F.col("t").rlike(r"^(#|-|git\+|http)"))
-    pinned = F.regexp_extract("t", PINNED, 1)
-    name = F.when(pinned != "", pinned).otherwise(F.regexp_extract("t", BARE, 1))
-    return rows.select("file_path", "ecosystem", "content", name.alias("name"), F.regexp_extract("t", PINNED, 2).alias("version")).where("name != ''")
+# Each parser turns a manifest's text into an array of (name, version); an empty name is no entry.
 
 
-def package_json(files: DataFrame) -> DataFrame:
-    parsed = F.from_json("content", ", ".join(f"{s} map<string,string>" for s in SECTIONS))
-    rows = files.select("file_path", "ecosystem", "content", parsed.alias("p"))
-    rows = rows.select("file_path", "ecosystem", "content", F.explode(F.flatten(F.array(*[F.coalesce(F.map_entries(f"p.{s}"), F.array().cast("array<struct<key:string,value:string>>")) for s in SECTIONS]))).alias("e"))
-    version = F.substring_index(F.regexp_replace("e.value", r"^[\^~>=<v]", ""), " ", 1)
-    return rows.select("file_path", "ecosystem", "content", F.col("e.key").alias("name"), version.alias("version"))
+def requirements(content: Column) -> Column:
+    own = F.filter(F.transform(C.lines(content), C.stripped), lambda t: ~t.rlike(r"^(#|-|git\+|http)"))
+    return F.transform(own, lambda t: _entry(F.when(t.rlike(BARE), t).otherwise(F.regexp_extract(t, PINNED, 1)), F.regexp_extract(t, PINNED, 2)))
 
 
-def go_mod(files: DataFrame) -> DataFrame:
-    """Lines of require blocks and single requires; a fold over the lines keeps whether a block is open."""
-    start = F.struct(F.lit(False).alias("open"), F.array().cast("array<string>").alias("got"))
-    step = lambda s, x: (
-        F.when(x.startswith("require ("), F.struct(F.lit(True).alias("open"), s["got"].alias("got")))
-        .when(s["open"] & (x == ")"), F.struct(F.lit(False).alias("open"), s["got"].alias("got")))
-        .when(s["open"] | x.startswith("require "), F.struct(s["open"].alias("open"), F.concat(s["got"], F.array(F.trim(F.regexp_replace(x, "^require ", "")))).alias("got")))
-        .otherwise(s)
-    )
-    got = F.aggregate(F.transform(C.lines(F.col("content")), C.stripped), start, step)["got"]
-    rows = files.select("file_path", "ecosystem", "content", F.explode(got).alias("t")).withColumn("p", F.split("t", r"\s+"))
-    return rows.where(F.size("p") >= 2).select("file_path", "ecosystem", "content", F.element_at("p", 1).alias("name"), F.regexp_replace(F.element_at("p", 2), "^v+", "").alias("version"))
+def package_json(content: Column) -> Column:
+    parsed = F.from_json(content, ", ".join(f"{s} map<string,string>" for s in SECTIONS))
+    pairs = F.flatten(F.array(*[F.coalesce(F.map_entries(parsed[s]), F.array().cast("array<struct<key:string,value:string>>")) for s in SECTIONS]))
+    return F.transform(pairs, lambda e: _entry(e["key"], F.substring_index(F.regexp_replace(e["value"], r"^[\^~>=<v]", ""), " ", 1)))
 
 
-def gemfile_lock(files: DataFrame) -> DataFrame:
-    """Entries of the GEM section: from its heading to the next line that is not indented."""
-    section = F.regexp_extract("content", r"(?m)^GEM[ \t]*\n((?:[ ].*\n?|\n)*)", 1)
-    rows = files.select("file_path", "ecosystem", "content", F.explode(C.lines(section)).alias("t"))
-    return rows.select("file_path", "ecosystem", "content", F.regexp_extract("t", GEM, 1).alias("name"), F.regexp_extract("t", GEM, 2).alias("version")).where("name != ''")
+def go_mod(content: Column) -> Column:
+    """Lines of require blocks and single requires: the text is cut at the blocks' heads, and a block ends at its bracket."""
+    parts = F.split(content, r"(?m)^[ \t]*require[ \t]*\(")
+    inside = F.flatten(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: C.lines(F.element_at(F.split(x, r"(?m)^[ \t]*\)", 2), 1))))
+    single = F.transform(F.filter(C.lines(content), lambda x: x.rlike(r"^\s*require\s+[^\s(]")), lambda x: F.regexp_replace(x, r"^\s*require\s+", ""))
+    words = F.filter(F.transform(F.concat(inside, single), lambda x: F.split(C.stripped(x), r"\s+")), lambda p: (F.size(p) >= 2) & ~F.get(p, 0).startswith("//"))
+    return F.transform(words, lambda p: _entry(F.get(p, 0), F.regexp_replace(F.get(p, 1), "^v+", "")))
+
+
+def gemfile_lock(content: Column) -> Column:
+    """Entries of the GEM section: the text is cut where a line is not indented, and each part begins with its heading."""
+    own = F.filter(F.split(F.concat(F.lit("\n"), content), r"\n(?=\S)"), lambda x: x.rlike(r"^GEM[ \t]*(?:\r?\n|$)"))
+    return F.transform(F.flatten(F.transform(own, C.lines)), lambda t: _entry(F.regexp_extract(t, GEM, 1), F.regexp_extract(t, GEM, 2)))
 
 
 def dependencies(files: DataFrame) -> DataFrame:
     """file_path, ecosystem, name, version, line (first that holds the name, else 1) of all manifests."""
-    own = files.withColumn("ecosystem", ecosystem(F.col("file_path"))).where(F.col("ecosystem").isNotNull())
-    name = C.file_name(F.col("file_path"))
+    name, content = C.file_name(F.col("file_path")), F.col("content")
     parts = ((name.startswith("requirements"), requirements), (name == "package.json", package_json), (name == "go.mod", go_mod), (name == "Gemfile.lock", gemfile_lock))
-    out = None
+    entries = F.lit(None)
     for test, parse in parts:
-        rows = parse(own.where(test).select("file_path", "ecosystem", "content"))
-        out = rows if out is None else out.unionByName(rows)
-    line = F.array_position(F.transform(C.lines(F.col("content")), lambda x: x.contains(F.col("name"))), True)
-    return out.select("file_path", "ecosystem", "name", "version", F.greatest(line, F.lit(1)).cast("int").alias("line"))
+        entries = F.when(test, parse(content)).otherwise(entries)
+    rows = files.select("file_path", "content", ecosystem(F.col("file_path")).alias("ecosystem")).where("ecosystem IS NOT NULL")
+
+    def line(x: Column) -> Column:
+        before = F.left(content, F.position(x, content))  # empty where the name is written in escapes
+        return F.length(before) - F.length(F.replace(before, F.lit("\n"))) + 1
+
+    # Lines are found before the rows multiply, so a text is held once and not once per entry.
+    placed = F.transform(F.filter(entries, lambda e: e["name"] != ""), lambda e: F.struct(e["name"].alias("name"), e["version"].alias("version"), line(e["name"]).cast("int").alias("line")))
+    return rows.select("file_path", "ecosystem", F.explode(placed).alias("x")).select("file_path", "ecosystem", "x.name", "x.version", "x.line")
 
 
 def version_key(version: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from scanlode.functions.domains import LOW_RULES, MEDIUM_RULES, TAINT_RULES
 from scanlode.functions.rules import BUILTIN, FAMILY, FLAGS, REPEATING
-from scanlode.operators import js_flow, line_scan, secrets
+from scanlode.operators import dependencies, js_flow, line_scan, secrets
 from scanlode.sources import manifests
 from scanlode.sources.corpus import source_files_sql
 
@@ -174,8 +174,7 @@ def _manifests() -> str:
   SELECT concat('deps/', p_partkey, '/', CASE p_partkey % {n} {cases} END) AS file_path, replace(CASE p_partkey % {n} {texts} END, '@K@', CAST(p_partkey AS VARCHAR)) AS content, p_partkey % {n} AS kind FROM part),
 lines AS (SELECT file_path, kind, content, i, string_split(content, {_NL})[i] AS raw, trim(replace(string_split(content, {_NL})[i], chr(9), ' ')) AS t FROM files, unnest(generate_series(1, len(string_split(content, {_NL})))) AS s(i)),
 deps AS (
-  SELECT file_path, content, 'PyPI' AS ecosystem, CASE WHEN regexp_matches(t, '^([A-Za-z0-9_.\\-]+)\\s*[=<>!~^]{{1,2}}=?\\s*([0-9][^\\s;,]*)') THEN regexp_extract(t, '^([A-Za-z0-9_.\\-]+)', 1) ELSE regexp_extract(t, '^([A-Za-z0-9_.\\-]+)\\s*$', 1) END AS name,
-    regexp_extract(t, '^([A-Za-z0-9_.\\-]+)\\s*[=<>!~^]{{1,2}}=?\\s*([0-9][^\\s;,]*)', 2) AS version
+  SELECT file_path, content, 'PyPI' AS ecosystem, CASE WHEN regexp_matches(t, {_q(dependencies.BARE)}) THEN t ELSE regexp_extract(t, {_q(dependencies.PINNED)}, 1) END AS name, regexp_extract(t, {_q(dependencies.PINNED)}, 2) AS version
   FROM lines WHERE kind = 0 AND t <> '' AND NOT regexp_matches(t, '^(#|-|git\\+|http)')
   UNION ALL
   SELECT file_path, content, 'npm', k, string_split(regexp_replace(json_extract_string(content, concat('$.', section, '."', k, '"')), '^[\\^~>=<v]', ''), ' ')[1]
@@ -185,7 +184,7 @@ deps AS (
     SELECT file_path, content, regexp_replace(t, '^require ', '') AS d FROM lines l
     WHERE kind = 2 AND t <> 'require (' AND ((t LIKE 'require %') OR (t <> ')' AND t <> '' AND i > (SELECT min(o.i) FROM lines o WHERE o.file_path = l.file_path AND o.t = 'require (') AND i < (SELECT min(o.i) FROM lines o WHERE o.file_path = l.file_path AND o.t = ')'))))
   UNION ALL
-  SELECT file_path, content, 'RubyGems', regexp_extract(raw, '^ {{4}}([A-Za-z0-9_\\-]+)\\s+\\(([0-9][^)]*)\\)', 1), regexp_extract(raw, '^ {{4}}([A-Za-z0-9_\\-]+)\\s+\\(([0-9][^)]*)\\)', 2) FROM lines WHERE kind = 3),
+  SELECT file_path, content, 'RubyGems', regexp_extract(raw, {_q(dependencies.GEM)}, 1), regexp_extract(raw, {_q(dependencies.GEM)}, 2) FROM lines WHERE kind = 3),
 dependencies AS (
   SELECT file_path, ecosystem, name, version, CAST(coalesce((SELECT min(l.i) FROM lines l WHERE l.file_path = d.file_path AND contains(l.raw, d.name)), 1) AS INTEGER) AS line FROM deps d WHERE name <> '')"""
 

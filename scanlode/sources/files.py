@@ -106,7 +106,7 @@ def changed_paths(spark: SparkSession, root: str) -> DataFrame:
 
 def manifests(spark: SparkSession, root: str) -> DataFrame:
     """``FILES`` of dependency manifests by exact name, skipped folders included."""
-    return read(listing(spark, (r for r in walk(root, prune=False) if os.path.basename(r[0]) in MANIFESTS and r[2] <= 16 * MOST_BYTES)))
+    return read(listing(spark, (r for r in walk(root, prune=False) if os.path.basename(r[0]) in MANIFESTS)))
 
 
 def within(files: DataFrame, root: str) -> DataFrame:
