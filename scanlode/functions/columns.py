@@ -61,17 +61,23 @@ def snippet(content: Column, line: Column) -> Column:
     return F.coalesce(F.regexp_replace(F.try_element_at(lines(content), line), r"[\s]+$", ""), F.lit(""))
 
 
-def line_of(gaps: Column, matches: Column, i: Column) -> Column:
-    """Line, from 1, on which match i (from 0) begins: line feeds in all gaps up to it and all matches before it."""
-    before = F.concat(F.array_join(F.slice(gaps, 1, i + 1), ""), F.array_join(F.slice(matches, 1, i), ""))
-    return F.length(before) - F.length(F.replace(before, F.lit("\n"))) + 1
+def _feeds(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n")))
+
+
+def lines_of(gaps: Column, matches: Column) -> Column:
+    """Line, from 1, on which each match begins: one running total of the line feeds in the gaps and in the matches between them."""
+    step = F.transform(matches, lambda m, i: F.struct(_feeds(F.get(gaps, i)).alias("before"), _feeds(m).alias("own")))
+    start = F.struct(F.lit(1).alias("line"), F.array().cast("array<int>").alias("lines"))
+    run = lambda s, x: F.struct((s["line"] + x["before"] + x["own"]).alias("line"), F.array_append(s["lines"], s["line"] + x["before"]).alias("lines"))
+    return F.aggregate(step, start, run)["lines"]
 
 
 def entropy(text: Column) -> Column:
     """Shannon entropy of a text's characters, in bits."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
     n = F.length(text)
-    share = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda d: d == c)) / n)
+    distinct = F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))
+    share = F.transform(distinct, lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n)
     return F.aggregate(F.array_sort(share), F.lit(0.0), lambda a, p: a - p * F.log2(p))
 
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,15 +70,19 @@ def dependencies(files: DataFrame) -> DataFrame:
     entries = F.lit(None)
     for test, parse in parts:
         entries = F.when(test, parse(content)).otherwise(entries)
-    rows = files.select("file_path", "content", ecosystem(F.col("file_path")).alias("ecosystem")).where("ecosystem IS NOT NULL")
-
-    def line(x: Column) -> Column:
-        before = F.left(content, F.position(x, content))  # empty where the name is written in escapes
-        return F.length(before) - F.length(F.replace(before, F.lit("\n"))) + 1
-
-    # Lines are found before the rows multiply, so a text is held once and not once per entry.
-    placed = F.transform(F.filter(entries, lambda e: e["name"] != ""), lambda e: F.struct(e["name"].alias("name"), e["version"].alias("version"), line(e["name"]).cast("int").alias("line")))
-    return rows.select("file_path", "ecosystem", F.explode(placed).alias("x")).select("file_path", "ecosystem", "x.name", "x.version", "x.line")
+    rows = files.select("file_path", ecosystem(F.col("file_path")).alias("ecosystem"), "content", F.filter(entries, lambda e: e["name"] != "").alias("entries"))
+    return rows.where((F.size("entries") > 0) & F.col("ecosystem").isNotNull()).mapInArrow(_located, "file_path string, ecosystem string, name string, version string, line int")
+
+
+def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per entry with its line. A text is searched for each of its names, so this runs where searching a long text is cheapest."""
+    for b in batches:
+        for path, eco, content, entries in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            text = content.encode()
+            feeds = [m.start() for m in re.finditer(b"\n", text)]
+            lines = [1 + bisect_left(feeds, max(0, text.find(e["name"].encode()))) for e in entries]
+            n = len(entries)
+            yield pa.record_batch([pa.array([path] * n, pa.string()), pa.array([eco] * n, pa.string()), pa.array([e["name"] for e in entries], pa.string()), pa.array([e["version"] for e in entries], pa.string()), pa.array(lines, pa.int32())], names=["file_path", "ecosystem", "name", "version", "line"])
 
 
 def version_key(version: Column) -> Column:

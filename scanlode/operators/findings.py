@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scanlode.functions import columns as C
 from scanlode.functions.domains import CONFIDENCES, POLICIES, SEVERITIES
-from scanlode.plans.tables import cut
+from scanlode.plans.tables import placed
 
 EVIDENCE = "struct<sink: string, sink_rule: string, taint_sources: array<string>, taint_path: string>"
 SCHEMA = f"rule_id string, rule_name string, severity string, file_path string, line_number int, snippet string, description string, fix string, language string, confidence string, evidence {EVIDENCE}"
@@ -90,21 +90,10 @@ def ordered(findings: DataFrame) -> DataFrame:
 
 
 def shard(files: DataFrame, index: int, count: int) -> DataFrame:
-    """Every ``count``-th file by path order, from ``index``; shards are disjoint and cover all.
-
-    Ranks come from range partitions: a count per partition, a prefix sum over those
-    few counts, and a rank within each, so no task sorts all paths.
-    """
+    """Every ``count``-th file by path order, from ``index``; shards are disjoint and cover all."""
     if not 0 <= index < count:
         raise ValueError("a shard's index must be from 0 to count - 1")
-    # In a table: both uses below must see the same partitions.
-    ranged = cut(files.repartitionByRange("file_path").withColumn("_part", F.spark_partition_id()))
-    within = Window.partitionBy("_part").orderBy("file_path")
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    rows = ranged.withColumn("_rank", F.row_number().over(within) - 1).join(starts, "_part")
-    return rows.where((F.col("_rank") + F.col("_start")) % count == index).select(*files.columns)
+    return placed(files, [], "file_path").where(F.col("_rank") % count == index).select(*files.columns)
 
 
 def by_severity(findings: DataFrame) -> DataFrame:

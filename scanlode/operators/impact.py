@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scanlode.functions import columns as C
 
-PY_IMPORT = r"(?m)^[ \t]*import[ \t]+([A-Za-z_][\w.]*(?:[ \t]*,[ \t]*[A-Za-z_][\w.]*)*)"
+PY_IMPORT = r"(?m)^[ \t]*import[ \t]+([^#;\n]+)"
 PY_FROM = r"(?m)^[ \t]*from[ \t]+(\.*[A-Za-z_][\w.]*)[ \t]+import\b"
 JS_IMPORT = r"(?:from|import|require\s*\()\s*['\"](\.{1,2}/[^'\"]+)['\"]"
 JS_ENDS = ("", ".js", ".ts", ".jsx", ".tsx", ".mjs", ".cjs", "/index.js", "/index.ts", "/index.jsx", "/index.tsx", "/index.mjs", "/index.cjs")
@@ -38,8 +38,8 @@ def edges(files: DataFrame) -> DataFrame:
     """src, dst of every import that resolves to a file of ``files(file_path, content)``; paths are relative to the root."""
     ext = C.suffix(F.col("file_path"))
     py = files.where(ext == ".py")
-    plain = F.flatten(F.transform(F.regexp_extract_all("content", F.lit(PY_IMPORT), F.lit(1)), lambda m: F.split(m, r"\s*,\s*")))
-    names = F.array_distinct(F.concat(plain, F.regexp_extract_all("content", F.lit(PY_FROM), F.lit(1))))
+    plain = F.flatten(F.transform(F.regexp_extract_all("content", F.lit(PY_IMPORT), F.lit(1)), lambda m: F.transform(F.split(m, ","), lambda x: F.regexp_extract(x, r"^\s*([A-Za-z_][\w.]*)", 1))))
+    names = F.array_distinct(F.concat(F.filter(plain, lambda x: x != ""), F.regexp_extract_all("content", F.lit(PY_FROM), F.lit(1))))
     py = py.select("file_path", F.explode(names).alias("m"))
     dots = F.length(F.regexp_extract("m", r"^(\.*)", 1))
     tail = F.replace(F.regexp_replace("m", r"^\.+", ""), F.lit("."), F.lit("/"))

@@ -46,7 +46,7 @@ def _cut(number: int, pattern: str, cheap: Column | None = None) -> Column:
 
 def _placed(cuts: Column) -> Column:
     """Matches of each rule with their lines."""
-    one = lambda h: F.transform(h["matches"], lambda m, i: F.struct(h["rule"].alias("rule"), i.alias("at"), C.line_of(h["gaps"], h["matches"], i).cast("int").alias("line"), m.alias("text")))
+    one = lambda h: F.transform(F.arrays_zip(h["matches"].alias("text"), C.lines_of(h["gaps"], h["matches"]).alias("line")), lambda x, i: F.struct(h["rule"].alias("rule"), i.alias("at"), x["line"].alias("line"), x["text"].alias("text")))
     return F.flatten(F.transform(cuts, one))
 
 
@@ -72,7 +72,8 @@ def _valid(cuts: Column, assignment: int, literal: int) -> Column:
 
 def _preferred(valid: Column, literal: int) -> Column:
     """Secrets of a file; entropy stands back where the line has another."""
-    return F.filter(valid, lambda x: (x["rule"] != literal) | ~F.exists(valid, lambda y: (y["line"] == x["line"]) & (y["rule"] != literal)))
+    others = F.transform(F.filter(valid, lambda y: y["rule"] != literal), lambda y: y["line"])
+    return F.filter(valid, lambda x: (x["rule"] != literal) | ~F.array_contains(others, x["line"]))
 
 
 def _by_line(first_shell: int, first_config: int) -> Column:

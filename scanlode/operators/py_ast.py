@@ -14,6 +14,7 @@ from __future__ import annotations
 import ast
 import warnings
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -239,7 +240,7 @@ def _tested_paths(test: ast.AST) -> list[tuple[str, int]]:
 
 
 def analyse(path: str, content: str | None) -> list[dict]:
-    """Findings of one file; none if it doesn't parse."""
+    """Findings of one file; none if it doesn't parse. What is nested too deep to be followed is left out, the rest is reported."""
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
@@ -253,33 +254,40 @@ def analyse(path: str, content: str | None) -> list[dict]:
         made = {"rule_id": rule[0], "rule_name": rule[1], "severity": rule[2], "file_path": path, "line_number": line, "snippet": snippet, "description": f"{rule[1]}.", "fix": ADVICE.get(rule[0][:3], "Avoid the construct or check its input."), "language": "python", "confidence": confidence, "evidence": evidence}
         found.setdefault((line, rule[0]), made)
 
+    def judge(rule: tuple, c: Call) -> None:
+        rule_id, _, _, _, test, needs, shows = rule
+        if needs and (c.first is None or not c.scope.risky(c.first)) or not test(c):
+            return
+        sources = sorted(c.scope.labels(c.first)) if shows and c.first is not None and c.scope.dirty(c.first) else []
+        proof = {"sink": ".".join(c.name), "sink_rule": None, "taint_sources": sources, "taint_path": f"{', '.join(sources)} -> {'.'.join(c.name)}"} if sources else None
+        weaker = rule_id == "CMD003" and not sources
+        emit((rule_id, rule[1], "MEDIUM") if weaker else rule, c.node.lineno, "MEDIUM" if weaker else "HIGH", proof)
+
     def check(nodes: Iterator[ast.AST], scope: Scope) -> None:
         opened, tested = [], {}
         for node in nodes:
-            if isinstance(node, ast.If):
-                for dump, line in _tested_paths(node.test):
-                    tested[dump] = min(line, tested.get(dump, line))
-            if not isinstance(node, ast.Call):
-                continue
-            c = Call(node, chain(node.func), scope)
-            if c.name == ("open",) and c.first is not None:
-                opened.append((ast.dump(c.first), node.lineno))
-            for rule in RULES:
-                rule_id, _, _, _, test, needs, shows = rule
-                if needs and (c.first is None or not scope.risky(c.first)) or not test(c):
-                    continue
-                sources = sorted(scope.labels(c.first)) if shows and c.first is not None and scope.dirty(c.first) else []
-                proof = {"sink": ".".join(c.name), "sink_rule": None, "taint_sources": sources, "taint_path": f"{', '.join(sources)} -> {'.'.join(c.name)}"} if sources else None
-                weaker = rule_id == "CMD003" and not sources
-                emit((rule_id, rule[1], "MEDIUM") if weaker else rule, node.lineno, "MEDIUM" if weaker else "HIGH", proof)
+            with suppress(RecursionError):
+                if isinstance(node, ast.If):
+                    for dump, line in _tested_paths(node.test):
+                        tested[dump] = min(line, tested.get(dump, line))
+                elif isinstance(node, ast.Call):
+                    c = Call(node, chain(node.func), scope)
+                    for rule in RULES:
+                        with suppress(RecursionError):
+                            judge(rule, c)
+                    if c.name == ("open",) and c.first is not None:
+                        opened.append((ast.dump(c.first), node.lineno))
         for dump, line in opened:
             if dump in tested and tested[dump] <= line:
                 emit(RACE, line)
 
     functions = functions_of(tree)
-    returns = returning(functions)
+    returns: set[str] = set()
+    with suppress(RecursionError):
+        returns = returning(functions)
     for f in functions:
-        check(ast.walk(f), Scope(returns, f))
+        with suppress(RecursionError):
+            check(ast.walk(f), Scope(returns, f))
     check(ast.walk(tree), Scope(set()))
     return list(found.values())
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scanlode.functions import columns as C
 from scanlode.functions.domains import CONFIDENCES
+from scanlode.plans.tables import placed
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -78,17 +79,22 @@ def violations(now: DataFrame, before: DataFrame, budget: dict[str, float], key:
 def timings(runs: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     """runs, average, least, median, p95 and most; p95 is the element at round((n - 1) * 0.95), half to even.
 
-    Order statistics come from ranks, so a group's values are never gathered.
+    Order statistics come from the ranks of distinct values with their counts, which are totals
+    over range partitions: neither a group nor a value that many share is in one task.
     """
-    from pyspark.sql import Window
-
     keys = list(by)
-    w = Window.partitionBy(*keys).orderBy(value) if keys else Window.partitionBy(F.lit(0)).orderBy(value)
-    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    rows = runs.where(F.col(value).isNotNull()).withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(whole)})
-    last = F.col("_n") - 1
-    middle = (F.col("_i") == F.floor(last / 2)) | (F.col("_i") == F.ceil(last / 2))
-    return rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("runs"), F.avg(value).alias("average"), F.min(value).alias("least"), F.avg(F.when(middle, F.col(value))).alias("median"),
-        F.max(F.when(F.col("_i") == F.bround(last * 0.95, 0), F.col(value))).alias("p95"), F.max(value).alias("most"),
-    )
+    counted = runs.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    rows = placed(counted, keys, "_v", "_c")
+    totals = counted.groupBy(*keys).agg(F.sum("_c").alias("runs"), (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("average"), F.min("_v").alias("least"), F.max("_v").alias("most"))
+    of = totals.select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)], "runs", "average", "least", "most")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_t{i}"))
+    last = F.col("runs") - 1
+
+    def at(i: Column) -> Column:
+        return F.max(F.when((F.col("_rank") <= i) & (i < F.col("_rank") + F.col("_c")), F.col("_v")))
+
+    joined = rows.join(F.broadcast(of) if not keys else of, same)  # one row without keys
+    out = joined.groupBy(*keys, "runs", "average", "least", "most").agg(((at(F.floor(last / 2)) + at(F.ceil(last / 2))) / 2).alias("median"), at(F.bround(last * 0.95, 0)).alias("p95"))
+    return out.select(*keys, "runs", "average", "least", "median", "p95", "most")

@@ -36,9 +36,8 @@ def matches(files: DataFrame, rules: list[Rule] = BUILTIN) -> DataFrame:
         hits = F.when(F.col("language").isin(*[k for k, v in FAMILY.items() if v == family]), _hits([(i, r) for i, r in numbered if id(r) in own])).otherwise(hits)
     rows = files.where(F.col("language").isin(*FAMILY)).select("file_path", "content", "language", hits.alias("hits")).where(F.size("hits") > 0)
     rows = rows.select("file_path", "content", "language", F.explode("hits").alias("hit"))
-    rows = rows.select("file_path", "content", "language", "hit", F.posexplode("hit.matches").alias("at", "text"))
-    line = C.line_of(F.col("hit.gaps"), F.col("hit.matches"), F.col("at")).cast("int")
-    rows = rows.select("file_path", "content", "language", "at", "text", line.alias("line_number"), F.col("hit.rule").alias("_rule"))
+    rows = rows.select("file_path", "content", "language", F.col("hit.rule").alias("_rule"), F.posexplode(F.arrays_zip(F.col("hit.matches").alias("text"), C.lines_of(F.col("hit.gaps"), F.col("hit.matches")).alias("line"))).alias("at", "x"))
+    rows = rows.select("file_path", "content", "language", "at", "x.text", F.col("x.line").alias("line_number"), "_rule")
     meta = files.sparkSession.createDataFrame([(i, r.rule_id, r.rule_name, r.severity, r.description, r.fix, r.confidence, r.unless, r.gated) for i, r in numbered], "_number int, rule_id string, rule_name string, severity string, description string, fix string, confidence string, unless string, gated boolean")
     # One row per rule of the catalogue.
     rows = rows.join(F.broadcast(meta), F.col("_rule") == F.col("_number")).drop("_rule", "_number")

@@ -77,8 +77,8 @@ def secret_matches(files: DataFrame) -> DataFrame:
     cells = [F.when(cheap & F.col("content").rlike(p), F.struct(F.lit(i).alias("rule_id"), F.lit(n).alias("rule_name"), F.lit(s).alias("severity"), F.regexp_extract_all("content", F.lit(p), F.lit(0)).alias("matches"), F.split("content", p, -1).alias("gaps"))) for i, n, s, p, cheap in rules]
     rows = files.where(F.col("language").isNotNull()).select("file_path", "content", "language", F.array_compact(F.array(*cells)).alias("hits")).where(F.size("hits") > 0)
     rows = rows.select("file_path", "content", "language", F.explode("hits").alias("h"))
-    rows = rows.select("file_path", "content", "language", "h.rule_id", "h.rule_name", "h.severity", "h.matches", "h.gaps", F.posexplode("h.matches").alias("at", "text"))
-    rows = rows.withColumn("line_number", C.line_of(F.col("gaps"), F.col("matches"), F.col("at")).cast("int"))
+    placed = F.arrays_zip(F.col("h.matches").alias("text"), C.lines_of(F.col("h.gaps"), F.col("h.matches")).alias("line_number"))
+    rows = rows.select("file_path", "content", "language", "h.rule_id", "h.rule_name", "h.severity", F.inline(placed))
     return rows.where(F.when(F.col("rule_id") == "SEC013", is_assigned(F.col("text"))).when(F.col("rule_id") == "SEC014", is_random(F.col("text"))).otherwise(True)).select("file_path", "content", "language", "rule_id", "rule_name", "severity", "line_number", "text")
 
 

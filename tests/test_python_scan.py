@@ -54,3 +54,15 @@ def test_evidence_and_null():
     (r,) = analyse("a.py", 'def f(request, c):\n    i = request.args.get("i")\n    c.execute("SELECT " + i)')
     assert r["line_number"] == 3 and "param:request" in r["evidence"]["taint_sources"] and r["evidence"]["sink"] == "c.execute"
     assert analyse("a.py", None) == []
+
+
+@pytest.mark.parametrize(
+    "deep",
+    ["open(" + "+".join(["a"] * 3000) + ")", "x" + ".f()" * 1500, "f(" * 80 + "x" + ")" * 80, "if os.path.exists(" + "+".join(["a"] * 3000) + "):\n    open(" + "+".join(["a"] * 3000) + ")", "def f(request):\n    return " + "+".join(["a"] * 3000), "x = " + "[" * 90 + "1" + "]" * 90],
+)
+def test_deep_code_keeps_the_other_findings(deep):
+    assert {r["rule_id"] for r in analyse("a.py", f"import os, pickle\npickle.loads(b)\n{deep}\n")} >= {"DSER001"}
+
+
+def test_code_too_deep_to_parse():
+    assert analyse("a.py", "open(" + "+".join(["a"] * 100_000) + ")") == [] and analyse("a.py", "(" * 5000) == []
