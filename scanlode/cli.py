@@ -39,11 +39,11 @@ def _chosen(spark: SparkSession, a: argparse.Namespace, o: plan.Options) -> Data
     if a.changed_only or a.impacted_only:
         changed = src.changed_paths(spark, a.path)
         if a.impacted_only:
-            changed = impact.impacted(impact.edges(src.read(listed).select("file_path", "content")), changed)
+            changed = impact.impacted(impact.edges(src.read(listed, a.path).select("file_path", "content")), changed)
         listed = listed.join(changed, "file_path", "left_semi")
     if a.shard_count > 1:
         listed = fd.shard(listed, a.shard_index, a.shard_count)
-    return plan.admitted(plan.routed(src.read(listed)), o.excluded)
+    return plan.admitted(plan.routed(src.read(listed, a.path)), o.excluded)
 
 
 def scan(spark: SparkSession, a: argparse.Namespace) -> int:
@@ -95,9 +95,39 @@ def scan(spark: SparkSession, a: argparse.Namespace) -> int:
     return 1 if n else 0
 
 
+def _report(spark: SparkSession, corpus: str, today: datetime.date) -> dict:
+    """Quality figures over the labelled cases of a file."""
+    cases, thresholds = state.read_cases(spark, corpus)
+    files = cases.select(F.concat(F.lit("cases/"), F.sha1("name"), "extension").alias("file_path"), F.col("code").alias("content"), "name")
+    found = plan.scan(files.select("file_path", "content"), plan.Options(today=today))
+    named = found.join(files.select("file_path", "name"), "file_path").select("name", "rule_id", "confidence")
+    predicted = cut(quality.predictions(cases.select("name", "expected_rule", "expect_finding"), named))
+    rules = quality.against_thresholds(quality.by_rule(predicted), thresholds)
+    return reports.quality_report(quality.overall(predicted).first().asDict(), [r.asDict() for r in rules.collect()], [r.asDict() for r in quality.by_confidence(predicted).collect()])
+
+
 def metrics(spark: SparkSession, a: argparse.Namespace) -> int:
-    for r in state.read_history(spark, a.history, a.last).collect() if a.last else state.read_history(spark, a.history).toLocalIterator():
-        print(json.dumps(r.asDict()))
+    """The newest scans of a history, or with ``--rules`` the figures of each rule over labelled cases."""
+    if a.rules:
+        if not a.corpus:
+            raise SystemExit("--rules needs --corpus")
+        report = _report(spark, a.corpus, datetime.date.today())
+        if a.json:
+            print(json.dumps(report, indent=2, sort_keys=True))
+        else:
+            for rule, x in sorted(report["rules"].items()):
+                print(f"{rule}: precision {x['precision']:.3f}, recall {x['recall']:.3f}, F1 {x['f1']:.3f}, reached: {'yes' if x.get('passed', True) else 'no'}")
+        return 0
+    if not a.history:
+        raise SystemExit("name a history, or --rules with --corpus")
+    rows = state.read_history(spark, a.history, a.limit)
+    shown = reversed([r.asDict() for r in rows.collect()]) if a.limit > 0 else (r.asDict() for r in rows.orderBy("timestamp").toLocalIterator())
+    n = 0
+    for r in shown:
+        n += 1
+        print(json.dumps(r) if a.json else f"{r['timestamp']}  files {r['files_scanned']}, findings {r['findings_shown']}, seconds {r['duration_s']}, policy {r['policy'] or 'balanced'}")
+    if not n and not a.json:
+        print("No scans yet.")
     return 0
 
 
@@ -114,17 +144,11 @@ def benchmark(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def quality_report(spark: SparkSession, a: argparse.Namespace) -> int:
     try:
-        cases, thresholds = state.read_cases(spark, a.corpus)
         before, budget = (json.load(open(a.baseline)), json.load(open(a.budget))) if a.baseline and a.budget else (None, None)
+        report = _report(spark, a.corpus, a.today)
     except FileNotFoundError as e:
         print(f"missing file: {e.filename}", file=sys.stderr)
         return 2
-    files = cases.select(F.concat(F.lit("cases/"), F.sha1("name"), "extension").alias("file_path"), F.col("code").alias("content"), "name")
-    found = plan.scan(files.select("file_path", "content"), plan.Options(today=a.today))
-    named = found.join(files.select("file_path", "name"), "file_path").select("name", "rule_id", "confidence")
-    predicted = cut(quality.predictions(cases.select("name", "expected_rule", "expect_finding"), named))
-    rules = quality.by_rule(predicted)
-    report = reports.quality_report(quality.overall(predicted).first().asDict(), [r.asDict() for r in quality.against_thresholds(rules, thresholds).collect()], [r.asDict() for r in quality.by_confidence(predicted).collect()])
     reports.write_quality(report, a.json, a.markdown)
     print(reports.quality_markdown(report))
     bad = [k for k, v in report["rules"].items() if v.get("passed") is False]
@@ -172,8 +196,11 @@ def parser() -> argparse.ArgumentParser:
     }.items():
         s.add_argument(flag, **more)
     m = sub.add_parser("metrics")
-    m.add_argument("history")
-    m.add_argument("--last", type=int, default=0)
+    m.add_argument("history", nargs="?")
+    m.add_argument("--limit", type=int, default=20)
+    m.add_argument("--rules", action="store_true")
+    m.add_argument("--corpus")
+    m.add_argument("--json", action="store_true")
     b = sub.add_parser("benchmark")
     b.add_argument("path")
     b.add_argument("--runs", type=int, default=5)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from scanlode.functions.domains import LOW_RULES, MEDIUM_RULES, TAINT_RULES
 from scanlode.functions.rules import BUILTIN, FAMILY, FLAGS, REPEATING
-from scanlode.operators import dependencies, js_flow, line_scan, secrets
-from scanlode.sources import manifests
-from scanlode.sources.corpus import source_files_sql
+from scanlode.operators import dependencies, js_flow, line_scan, py_ast, secrets
+from scanlode.operators.reports import LEVELS
+from scanlode.plans.queries import OWN_PATTERN
+from scanlode.sources import corpus, manifests
+from scanlode.sources.corpus import answers_sql, source_files_sql
 
 
 def _q(text: str) -> str:
@@ -119,23 +121,43 @@ def _silent(enforce: bool = False) -> str:
     return f"(contains(snippet, 'scanlode: ignore') AND ({ids} = '' OR list_contains(list_transform(string_split({ids}, ','), lambda x: trim(x)), rule_id)) AND ({until} = '' OR coalesce(TRY_CAST({until} AS DATE) >= DATE '2025-01-01', FALSE)){told})"
 
 
-def _seen() -> str:
-    """CTE ``seen``: native findings, silenced ones gone, calibrated, with fingerprints."""
+def _interpreted() -> str:
+    """CTE ``interpreted``: findings that need an interpreter, from the labelled answers of their templates."""
+    names = ", ".join(f"({_q(r[0])}, {_q(r[1])})" for r in (*py_ast.RULES, py_ast.RACE, ("CFG002", "Credential in a JSON file")))
+    return f"""{answers_sql()}, names(rule_id, rule_name) AS (VALUES {names}),
+interpreted AS (
+  SELECT file_path, line_number, rule_id, rule_name, severity, language,
+    CASE WHEN language = 'json' THEN '"api_key": "********..."' ELSE regexp_replace(string_split(content, {_NL})[line_number], '\\s+$', '') END AS snippet, sources, own
+  FROM source_files JOIN answers USING (template) JOIN names USING (rule_id))"""
+
+
+def _confidence() -> str:
+    return f"""CASE WHEN rule_id IN {_among(LOW_RULES)} THEN 'LOW' WHEN rule_id IN {_among(MEDIUM_RULES)} THEN 'MEDIUM'
+      WHEN rule_id IN {_among(TAINT_RULES)} THEN CASE WHEN sources <> '' THEN 'HIGH' ELSE 'MEDIUM' END ELSE own END"""
+
+
+def _seen(files: str | None = None) -> str:
+    """CTE ``seen``: findings, silenced ones gone, calibrated, with fingerprints."""
     one = "file_path, line_number, rule_id, rule_name, severity, language, snippet, sources"
     found = _once("flows", ", min(sources) AS sources")
-    return f"""{source_files_sql()}, {_matches()}, {_flow()}, {_secret_matches()},
+    return f"""{files or source_files_sql()}, {_matches()}, {_flow()}, {_secret_matches()}, {_interpreted()},
 found AS (
   SELECT {one}, 'HIGH' AS own FROM ({found})
   UNION ALL SELECT {one.replace('sources', "'' AS sources")}, 'HIGH' FROM ({_shell()})
   UNION ALL SELECT {one.replace('sources', "'' AS sources")}, 'MEDIUM' FROM ({_config()})
-  UNION ALL SELECT {one.replace('sources', "'' AS sources")}, 'HIGH' FROM ({_SECRETS})),
-seen AS (
-  SELECT *, CASE WHEN rule_id IN {_among(LOW_RULES)} THEN 'LOW' WHEN rule_id IN {_among(MEDIUM_RULES)} THEN 'MEDIUM'
-      WHEN rule_id IN {_among(TAINT_RULES)} THEN CASE WHEN sources <> '' THEN 'HIGH' ELSE 'MEDIUM' END ELSE own END AS confidence,
+  UNION ALL SELECT {one.replace('sources', "'' AS sources")}, 'HIGH' FROM ({_SECRETS})
+  UNION ALL SELECT {one}, own FROM interpreted),
+seen AS MATERIALIZED (
+  SELECT *, {_confidence()} AS confidence,
     sha1(concat_ws('|', rule_id, file_path, CAST(line_number AS VARCHAR), trim(snippet), language)) AS fingerprint
   FROM found WHERE NOT {_silent()})"""
 
 
+def _tree(where: str = "TRUE") -> str:
+    """``source_files`` of the tree of suppliers' files that a scan enters."""
+    return f"all_{source_files_sql('supplier', 's_suppkey', corpus.FOLDERS).replace('source_files AS', 'tree_files AS')}, source_files AS (SELECT * FROM tree_files WHERE tier IS NOT NULL AND left(file_path, 4) = 'src/' AND {where})".removeprefix("all_")
+
+
 _COLUMNS = "file_path, line_number, rule_id, severity, language, snippet"
 _MATRIX = "CAST(count(*) FILTER (predicted AND expect_finding) AS BIGINT) AS tp, CAST(count(*) FILTER (predicted AND NOT expect_finding) AS BIGINT) AS fp, CAST(count(*) FILTER (NOT predicted AND NOT expect_finding) AS BIGINT) AS tn, CAST(count(*) FILTER (NOT predicted AND expect_finding) AS BIGINT) AS fn"
 
@@ -146,7 +168,7 @@ def _ratio(a: str, b: str) -> str:
 
 def _predicted() -> str:
     return f"""{_seen()},
-cases AS (SELECT file_path AS name, expected AS expected_rule, expected IS NOT NULL AS expect_finding FROM source_files WHERE language IS NOT NULL AND language NOT IN ('python', 'json')),
+cases AS (SELECT file_path AS name, expected AS expected_rule, expected IS NOT NULL AS expect_finding FROM source_files WHERE language IS NOT NULL),
 predicted AS (
   SELECT name, expected_rule, expect_finding, bool_or(coalesce(hit, FALSE)) AS predicted, min(rank) FILTER (hit) AS best FROM (
     SELECT c.*, s.rule_id IS NOT NULL AND (expected_rule IS NULL OR s.rule_id = expected_rule) AS hit, CASE confidence WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END AS rank
@@ -166,12 +188,12 @@ graph AS (
   SELECT DISTINCT a.file_path AS src, b.file_path AS dst FROM modules a JOIN modules b ON b.k = a.k // 2 AND right(a.file_path, 3) = right(b.file_path, 3) AND a.k <> b.k)"""
 
 
-def _manifests() -> str:
+def _manifests(table: str = "part", key: str = "p_partkey", folder: str = "deps/") -> str:
     cases = " ".join(f"WHEN {i} THEN {_q(n)}" for i, (n, _) in enumerate(manifests.templates()))
     texts = " ".join(f"WHEN {i} THEN {_q(t)}" for i, (_, t) in enumerate(manifests.templates()))
     n = len(manifests.templates())
     return f"""files AS (
-  SELECT concat('deps/', p_partkey, '/', CASE p_partkey % {n} {cases} END) AS file_path, replace(CASE p_partkey % {n} {texts} END, '@K@', CAST(p_partkey AS VARCHAR)) AS content, p_partkey % {n} AS kind FROM part),
+  SELECT concat({_q(folder)}, {key}, '/', CASE {key} % {n} {cases} END) AS file_path, replace(CASE {key} % {n} {texts} END, '@K@', CAST({key} AS VARCHAR)) AS content, {key} % {n} AS kind FROM {table}),
 lines AS (SELECT file_path, kind, content, i, string_split(content, {_NL})[i] AS raw, trim(replace(string_split(content, {_NL})[i], chr(9), ' ')) AS t FROM files, unnest(generate_series(1, len(string_split(content, {_NL})))) AS s(i)),
 deps AS (
   SELECT file_path, content, 'PyPI' AS ecosystem, CASE WHEN regexp_matches(t, {_q(dependencies.BARE)}) THEN t ELSE regexp_extract(t, {_q(dependencies.PINNED)}, 1) END AS name, regexp_extract(t, {_q(dependencies.PINNED)}, 2) AS version
@@ -209,6 +231,8 @@ def oracle_sql() -> dict[str, str]:
     files = source_files_sql()
     family = lambda *langs: f"WITH {files}, {_matches(langs)} SELECT {_COLUMNS} FROM ({_once('lined')})"
     seen = f"WITH {_seen()}"
+    bits, measured = f"round({_BITS.format('measured')}, 4) AS bits", "CASE WHEN rule_id = 'SEC013' THEN value ELSE text END AS measured"
+    tree = f"WITH {_seen(_tree())}"
     docs = "documents_as_files AS (SELECT doc_id AS file_path, text AS content, 'text' AS language FROM documents)"
     pages = """pages_as_files AS (SELECT page_id AS file_path, replace(replace(html, '&quot;', '"'), '&amp;', '&') AS content, 'html' AS language FROM pages)"""
     events = "now AS (SELECT event_type AS expected_rule, count(*) FILTER (event_id % 7 <> 0) / count(*) AS precision, count(*) FILTER (event_id % 11 <> 0) / count(*) AS recall FROM events GROUP BY 1)"
@@ -219,13 +243,30 @@ def oracle_sql() -> dict[str, str]:
         "shell_scan": f"WITH {files} SELECT {_COLUMNS} FROM ({_shell()})",
         "config_scan": f"WITH {files} SELECT {_COLUMNS} FROM ({_config()})",
         "secret_scan": f"WITH {files}, {_secret_matches()} SELECT {_COLUMNS} FROM ({_SECRETS})",
-        "document_secrets": f"WITH {docs}, {_secret_matches('documents_as_files')} SELECT file_path AS doc_id, line_number, round({_BITS.format('value')}, 4) AS bits FROM secret_rows WHERE rule_id = 'SEC013'",
-        "page_secrets": f"WITH {pages}, {_secret_matches('pages_as_files')} SELECT file_path AS page_id, line_number FROM secret_rows WHERE rule_id = 'SEC013'",
+        "document_secrets": f"WITH {docs}, {_secret_matches('documents_as_files')} SELECT file_path AS doc_id, rule_id, line_number, {bits} FROM (SELECT *, {measured} FROM secret_rows)",
+        "page_secrets": f"WITH {pages}, {_secret_matches('pages_as_files')} SELECT file_path AS page_id, rule_id, line_number, {bits} FROM (SELECT *, {measured} FROM secret_rows)",
         "suppression": f"WITH {files}, {_matches(('typescript',))} SELECT file_path, line_number, rule_id, {_silent()} AS silent, {_silent(True)} AS silent_enforced FROM ({_once('lined')})",
         "confidence_counts": f"{seen} SELECT rule_id, confidence, count(*) AS n FROM seen GROUP BY ALL",
         "strict_policy": f"{seen} SELECT file_path, line_number, rule_id, severity, confidence FROM seen WHERE severity IN ('CRITICAL', 'HIGH', 'MEDIUM') AND confidence IN ('HIGH', 'MEDIUM')",
         "fingerprints": f"{seen} SELECT file_path, line_number, rule_id, fingerprint FROM seen",
-        "new_findings": f"{seen} SELECT file_path, line_number, rule_id FROM seen WHERE fingerprint NOT IN (SELECT fingerprint FROM seen WHERE line_number % 2 = 0)",
+        "new_findings": f"{seen} SELECT s.file_path, s.line_number, s.rule_id FROM seen s ANTI JOIN (SELECT fingerprint FROM seen WHERE line_number % 2 = 0) USING (fingerprint)",
+        "python_scan": f"WITH {files}, {_interpreted()} SELECT file_path, line_number, rule_id, severity, own AS confidence, nullif(sources, '') AS sources FROM interpreted WHERE language = 'python'",
+        "config_json_scan": f"WITH {files}, {_interpreted()} SELECT {_COLUMNS} FROM interpreted WHERE language = 'json'",
+        "full_scan": f"{seen} SELECT file_path, line_number, rule_id, severity, confidence, language, snippet, fingerprint FROM seen",
+        "tree_files": f"WITH {_tree()} SELECT file_path, CAST(strlen(content) AS BIGINT) AS size, sha256(content) AS sha256 FROM source_files",
+        "tree_scan": f"""WITH {_seen(_tree("NOT regexp_matches(file_path, '^src/java_[^/]*/') AND right(file_path, 5) <> '.rake'"))}
+SELECT file_path, line_number, rule_id, severity, confidence, fingerprint FROM seen WHERE rule_id NOT IN ('CRY102', 'SEC002') AND severity IN ('CRITICAL', 'HIGH', 'MEDIUM') AND confidence IN ('HIGH', 'MEDIUM')""",
+        "manifest_tree": f"WITH {_manifests('supplier', 's_suppkey', 'node_modules/deps/')} SELECT * FROM dependencies",
+        "baseline_file": f"{tree} SELECT DISTINCT fingerprint FROM seen",
+        "json_report": f"{tree} SELECT file_path, line_number, rule_id, rule_name, severity, confidence, language, snippet, fingerprint FROM seen",
+        "sarif_report": f"{tree} SELECT rule_id, CASE severity {' '.join(f'WHEN {_q(s)} THEN {_q(x)}' for s, (x, _) in LEVELS.items())} END AS level, file_path AS uri, line_number AS line, snippet, fingerprint FROM seen",
+        "sarif_rules": f"{tree} SELECT DISTINCT rule_id, rule_name, CASE severity {' '.join(f'WHEN {_q(s)} THEN {_q(x)}' for s, (_, x) in LEVELS.items())} END AS score FROM seen",
+        "cache_file": f"{tree} SELECT file_path, line_number, rule_id, severity, confidence FROM seen JOIN source_files USING (file_path) WHERE key % 2 = 0",
+        "history_file": "SELECT CAST(n AS INTEGER) AS files_scanned, CAST(2 * n AS INTEGER) AS findings_total, CAST(n AS INTEGER) AS findings_shown, 'balanced' AS policy FROM (SELECT count(*) AS n FROM nation UNION ALL SELECT count(*) FROM supplier)",
+        "own_rules": f"""WITH {files}, cuts AS (SELECT * FROM ({_cut("(?im)" + OWN_PATTERN, "'OWN1' AS rule_id, 'LOW' AS severity", "language IN ('javascript', 'typescript', 'go')")})),
+hits AS (SELECT file_path, language, rule_id, severity, content, i, CAST({_LINE} AS INTEGER) AS line_number FROM cuts, unnest(generate_series(1, len(m))) AS s(i))
+SELECT file_path, line_number, rule_id, any_value(severity) AS severity, any_value(language) AS language, regexp_replace(string_split(any_value(content), {_NL})[line_number], '\\s+$', '') AS snippet FROM hits GROUP BY file_path, line_number, rule_id, CASE WHEN language = 'go' THEN i ELSE -1 END""",
+        "labelled_cases": f"WITH t(rule) AS (VALUES {', '.join(f'({_q(t[2])})' for t in corpus.TEMPLATES if t[2])}) SELECT rule AS expected_rule, count(*) AS tp, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn, TRUE AS passed FROM t GROUP BY rule",
         "shard_two_of_three": f"WITH {files} SELECT file_path FROM (SELECT file_path, row_number() OVER (ORDER BY file_path) - 1 AS r FROM source_files) WHERE r % 3 = 1",
         "severity_summary": f"{seen}, counts AS (SELECT d.severity, count(s.severity) AS n FROM (VALUES ('CRITICAL'), ('HIGH'), ('MEDIUM'), ('LOW')) AS d(severity) LEFT JOIN seen s USING (severity) GROUP BY 1) SELECT * FROM counts UNION ALL SELECT 'TOTAL', CAST(sum(n) AS BIGINT) FROM counts",
         "top_rules": f"{seen} SELECT rule_name, count(*) AS n FROM seen GROUP BY 1 ORDER BY n DESC, rule_name LIMIT 5",

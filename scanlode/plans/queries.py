@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import datetime
+import json
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanlode.functions import columns as C
-from scanlode.operators import dependencies, impact, js_flow, line_scan, one_pass, py_ast, quality, regex_scan, secrets
+from scanlode.functions import rules as R
+from scanlode.operators import dependencies, impact, js_flow, line_scan, one_pass, py_ast, quality, regex_scan, reports, secrets
 from scanlode.operators import findings as fd
 from scanlode.plans import scan as plan
-from scanlode.plans.tables import cut, spread
-from scanlode.sources import corpus
+from scanlode.plans.tables import cut, new_path, spread
+from scanlode.sources import corpus, files, state
 from scanlode.sources.manifests import ADVISORIES, manifest_files
 
 #: Tests of dates use this day, so results do not depend on when they run.
 TODAY = datetime.date(2025, 1, 1)
+OWN_PATTERN = r"\b(?:db|conn)\s*\.\s*[a-z]+"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,18 +32,13 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.routed(corpus.source_files(spark, spread(_table(spark, sf_dir, "orders").select("o_orderkey"))))
 
 
-def _native(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of the detectors that stay in the JVM."""
-    return one_pass.native(_files(spark, sf_dir))
-
-
 def _found(rows: DataFrame) -> DataFrame:
     return rows.select("file_path", "line_number", "rule_id", "severity", "language", "snippet")
 
 
 def _seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Native findings, silenced ones gone, calibrated, with fingerprints."""
-    return fd.with_fingerprints(fd.calibrate(fd.unsuppressed(_native(spark, sf_dir), TODAY)))
+    """Findings of all detectors, silenced ones gone, calibrated, with fingerprints."""
+    return fd.with_fingerprints(fd.calibrate(fd.unsuppressed(one_pass.detect(_files(spark, sf_dir)), TODAY)))
 
 
 def route_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +62,8 @@ def shell_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def config_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _files(spark, sf_dir)
-    return _found(line_scan.config_pairs(files).unionByName(line_scan.config_yaml(files)))
+    own = _files(spark, sf_dir)
+    return _found(line_scan.config_pairs(own).unionByName(line_scan.config_yaml(own)))
 
 
 def config_json_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,18 +74,22 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(secrets.secrets(_files(spark, sf_dir)))
 
 
+def _bits() -> Column:
+    """Entropy of an assignment's value, else of the whole match."""
+    return F.round(C.entropy(F.when(F.col("rule_id") == "SEC013", F.regexp_extract("text", secrets.VALUE, 1)).otherwise(F.col("text"))), 4).alias("bits")
+
+
 def document_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Credential assignments in prose, with the entropy of the value."""
+    """Secrets of every family in prose, with their entropy."""
     docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("file_path"), F.col("text").alias("content"), F.lit("text").alias("language"))
-    rows = secrets.secret_matches(docs).where("rule_id = 'SEC013'")
-    return rows.select(F.col("file_path").alias("doc_id"), "line_number", F.round(C.entropy(F.regexp_extract("text", secrets.VALUE, 1)), 4).alias("bits"))
+    return secrets.secret_matches(docs).select(F.col("file_path").alias("doc_id"), "rule_id", "line_number", _bits())
 
 
 def page_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Credential assignments in pages, whose quotes are written as character references."""
+    """Secrets of every family in pages, whose quotes are written as character references."""
     plain = F.replace(F.replace("html", F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
     pages = spread(_table(spark, sf_dir, "pages").select("page_id", "html")).select(F.col("page_id").alias("file_path"), plain.alias("content"), F.lit("html").alias("language"))
-    return secrets.secret_matches(pages).where("rule_id = 'SEC013'").select(F.col("file_path").alias("page_id"), "line_number")
+    return secrets.secret_matches(pages).select(F.col("file_path").alias("page_id"), "rule_id", "line_number", _bits())
 
 
 def python_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,18 +168,17 @@ def impacted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits and misses when every third file has changed since the cache was written."""
-    files = _files(spark, sf_dir).select("file_path", "content", F.length("content").cast("long").alias("size"), F.col("key").alias("mtime_ns"), F.sha2("content", 256).alias("sha256"))
-    none = files.limit(0).select("file_path", F.lit(0).alias("line_number"))
-    cache = impact.cache_table(files, none, "r1")
+    rows = _files(spark, sf_dir).select("file_path", "content", F.length("content").cast("long").alias("size"), F.col("key").alias("mtime_ns"), F.sha2("content", 256).alias("sha256"))
+    none = rows.limit(0).select("file_path", F.lit(0).alias("line_number"))
+    cache = impact.cache_table(rows, none, "r1")
     stale = F.col("mtime_ns") % 3 == 0
-    now = files.withColumns({"sha256": F.when(stale, F.sha2(F.concat("content", F.lit("x")), 256)).otherwise(F.col("sha256")), "size": F.when(stale, F.col("size") + 1).otherwise(F.col("size"))})
+    now = rows.withColumns({"sha256": F.when(stale, F.sha2(F.concat("content", F.lit("x")), 256)).otherwise(F.col("sha256")), "size": F.when(stale, F.col("size") + 1).otherwise(F.col("size"))})
     return impact.cache_counts(now, cache, "r1")
 
 
 def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Templates of native detectors as labelled cases: one case per file."""
-    files = _files(spark, sf_dir).where(F.col("language").isNotNull() & ~F.col("language").isin("python", "json"))
-    cases = files.select(F.col("file_path").alias("name"), F.col("expected").alias("expected_rule"), F.col("expected").isNotNull().alias("expect_finding"))
+    """Templates as labelled cases: one case per file that a scan admits."""
+    cases = _files(spark, sf_dir).where(F.col("language").isNotNull()).select(F.col("file_path").alias("name"), F.col("expected").alias("expected_rule"), F.col("expected").isNotNull().alias("expect_finding"))
     return quality.predictions(cases, _seen(spark, sf_dir).select(F.col("file_path").alias("name"), "rule_id", "confidence"))
 
 
@@ -214,11 +216,115 @@ def vulnerable_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("file_path", "line_number", "rule_id", "severity", "snippet", "fix")
 
 
+# Sources and sinks, over a tree and files in the shared folder.
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with one generated file per supplier, some in folders that a scan doesn't enter."""
+    root = new_path(spark, "tree")
+    corpus.write_tree(corpus.source_files(spark, spread(_table(spark, sf_dir, "supplier").select("s_suppkey")), corpus.FOLDERS), root)
+    return root
+
+
+def tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree listed, admitted and read."""
+    return files.source_tree(spark, _tree(spark, sf_dir)).select("file_path", "size", "sha256")
+
+
+def _tree_findings(spark: SparkSession, sf_dir: str, options: plan.Options | None = None) -> DataFrame:
+    return plan.scan(files.source_tree(spark, _tree(spark, sf_dir)).select("file_path", "content"), options or plan.Options(today=TODAY))
+
+
+def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole scan of a tree on disk, with rules switched off, paths left out and a stricter policy."""
+    options = plan.Options(policy="strict", disabled=("CRY102", "SEC002"), excluded=("src/java_*/**", "*.rake"), today=TODAY)
+    return _tree_findings(spark, sf_dir, options).select("file_path", "line_number", "rule_id", "severity", "confidence", "fingerprint")
+
+
+def manifest_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests found by name in a tree, skipped folders included, and their dependencies."""
+    root = new_path(spark, "manifests")
+    corpus.write_tree(spread(manifest_files(_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("p_partkey")))).withColumn("file_path", F.concat(F.lit("node_modules/"), "file_path")), root)
+    return dependencies.dependencies(files.manifests(spark, root).select("file_path", "content"))
+
+
+def baseline_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of a baseline, written and read back."""
+    path = new_path(spark, "baseline")
+    state.write_baseline(_tree_findings(spark, sf_dir), path)
+    return state.read_baseline(spark, path)
+
+
+def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON report, written, read back and parsed."""
+    path = new_path(spark, "json")
+    found = _tree_findings(spark, sf_dir)
+    reports.write_json(found, path)
+    return spark.read.schema(found.schema).json(path).select("file_path", "line_number", "rule_id", "rule_name", "severity", "confidence", "language", "snippet", "fingerprint")
+
+
+def sarif_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results of a SARIF report, parsed."""
+    shape = "ruleId string, level string, locations array<struct<physicalLocation: struct<artifactLocation: struct<uri: string>, region: struct<startLine: int, snippet: struct<text: string>>>>>, partialFingerprints map<string,string>"
+    rows = reports.sarif_results(_tree_findings(spark, sf_dir)).select(F.from_json("value", shape).alias("r"))
+    place = F.element_at("r.locations", 1)["physicalLocation"]
+    return rows.select(F.col("r.ruleId").alias("rule_id"), "r.level", place["artifactLocation"]["uri"].alias("uri"), place["region"]["startLine"].alias("line"), place["region"]["snippet"]["text"].alias("snippet"), F.element_at(F.map_values("r.partialFingerprints"), 1).alias("fingerprint"))
+
+
+def sarif_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of a SARIF report, parsed."""
+    rows = reports.sarif_rules(_tree_findings(spark, sf_dir)).select(F.from_json("value", "id string, name string, properties map<string,string>").alias("r"))
+    return rows.select(F.col("r.id").alias("rule_id"), F.col("r.name").alias("rule_name"), F.col("r.properties")["security-severity"].alias("score"))
+
+
+def cache_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings from a cache that was written and read back, for files that have not changed since: those with an even key."""
+    path = new_path(spark, "cache")
+    read = cut(plan.admitted(plan.routed(files.source_tree(spark, _tree(spark, sf_dir)))))
+    found = fd.calibrate(fd.unsuppressed(one_pass.detect(read), TODAY))
+    state.write_cache(impact.cache_table(read, found, "r1"), path)
+    odd = F.regexp_extract("file_path", r"(\d)\.\w+$", 1).cast("int") % 2 == 1
+    now = read.withColumns({"sha256": F.when(odd, "changed").otherwise(F.col("sha256")), "mtime_ns": F.col("mtime_ns") + 1})
+    hits, _ = impact.cache_lookup(now, state.read_cache(spark, path), "r1")
+    return hits.select("file_path", "line_number", "rule_id", "severity", "confidence")
+
+
+def history_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest two of three rows appended to a history."""
+    path = new_path(spark, "history")
+    for name in ("region", "nation", "supplier"):
+        n = _table(spark, sf_dir, name).count()
+        state.append_history(spark, path, {"files_scanned": n, "findings_total": 2 * n, "findings_shown": n, "duration_s": 0.5, "severity": "LOW", "min_confidence": "LOW", "policy": "balanced", "changed_only": False})
+    return state.read_history(spark, path, 2).select("files_scanned", "findings_total", "findings_shown", "policy")
+
+
+def own_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of rules from a folder, over the generated files."""
+    with tempfile.TemporaryDirectory() as folder:
+        with open(f"{folder}/own.json", "w") as f:
+            json.dump({"rules": [{"id": "OWN1", "name": "Use of a database handle", "severity": "low", "languages": ["javascript", "go"], "pattern": {"regex": OWN_PATTERN}}, {"id": "BAD", "pattern": "("}]}, f)
+        own = R.from_folder(folder)
+    return _found(regex_scan.scan(_files(spark, sf_dir), own))
+
+
+def labelled_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of each rule over a file of labelled cases, and whether they reach its thresholds."""
+    with tempfile.TemporaryDirectory() as folder:
+        with open(f"{folder}/cases.json", "w") as f:
+            cases = [{"name": n, "detector": "any", "extension": e, "code": c.replace("@K@", "7"), "expect_finding": x is not None, "expected_rule": x} for n, e, x, c in corpus.TEMPLATES]
+            json.dump({"cases": cases, "rule_thresholds": {x: {"precision": 1.0, "recall": 1.0} for _, _, x, _ in corpus.TEMPLATES if x}}, f)
+        rows, thresholds = state.read_cases(spark, f"{folder}/cases.json")
+    code = rows.select(F.concat(F.lit("cases/"), "name", "extension").alias("file_path"), F.col("code").alias("content"), "name")
+    found = plan.scan(code.select("file_path", "content"), plan.Options(today=TODAY)).join(code.select("file_path", "name"), "file_path")
+    predicted = quality.predictions(rows.select("name", "expected_rule", "expect_finding"), found.select("name", "rule_id", "confidence"))
+    return quality.against_thresholds(quality.by_rule(predicted), thresholds).select("expected_rule", "tp", "fp", "fn", "passed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         route_counts, flow_gate, shell_scan, config_scan, config_json_scan, secret_scan, document_secrets, page_secrets, python_scan, full_scan, suppression, confidence_counts, strict_policy, fingerprints, new_findings,
         shard_two_of_three, severity_summary, top_rules, rule_dictionary, findings_by_file, import_edges, impacted_files, cache_hits, quality_overall, quality_by_rule, quality_by_confidence, quality_violations, timing_summary,
-        manifest_dependencies, vulnerable_dependencies,
+        manifest_dependencies, vulnerable_dependencies, tree_files, tree_scan, manifest_tree, baseline_file, json_report, sarif_report, sarif_rules, cache_file, history_file, own_rules, labelled_cases,
     )
     families = {"script_rules": ("javascript", "typescript"), "java_rules": ("java", "kotlin"), "php_rules": ("php",), "ruby_rules": ("ruby",), "go_rules": ("go",)}
     return {name: _family(*langs) for name, langs in families.items()} | {f.__name__: f for f in own}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -63,18 +64,21 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
-    """fingerprint, from ``{"fingerprints": [...]}`` or a bare list; empty if missing or damaged."""
-    empty = spark.createDataFrame([], "fingerprint string")
+    """fingerprint, from lines as ``write_baseline`` writes them, ``{"fingerprints": [...]}`` or a bare list; empty if missing or damaged."""
     if not _exists(spark, path):
-        return empty
-    text = spark.read.text(path, wholetext=True)
+        return spark.createDataFrame([], "fingerprint string")
+    lines = spark.read.text(path)
+    one = F.from_json("value", "struct<fingerprint: string>")["fingerprint"]
+    single = lines.select(one.alias("fingerprint")).where("fingerprint IS NOT NULL")
+    # Only a file that holds one list has to be read in one piece.
+    texts = spark.read.text(path, wholetext=True).where(F.ltrim("value").startswith("[") | F.left("value", F.lit(1000)).contains('"fingerprints"'))
     listed = F.coalesce(F.from_json("value", "struct<fingerprints: array<string>>")["fingerprints"], F.from_json("value", "array<string>"))
-    return text.select(F.explode(listed).alias("fingerprint")).distinct()
+    return single.unionByName(texts.select(F.explode(listed).alias("fingerprint"))).distinct()
 
 
 def write_baseline(findings: DataFrame, path: str) -> None:
-    """Distinct fingerprints in order, as one JSON file per partition of a folder."""
-    findings.select("fingerprint").distinct().sort("fingerprint").agg(F.array_sort(F.collect_list("fingerprint")).alias("fingerprints")).select(F.to_json(F.struct("fingerprints")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """Distinct fingerprints in order, one JSON object a line: ranges are written side by side."""
+    findings.select("fingerprint").distinct().sort("fingerprint").select(F.to_json(F.struct("fingerprint")).alias("value")).write.mode("overwrite").text(path)
 
 
 def read_history(spark: SparkSession, path: str, last: int = 0) -> DataFrame:
@@ -90,23 +94,37 @@ def append_history(spark: SparkSession, path: str, row: dict) -> None:
 
 
 def cache_path() -> str:
-    """Where the cache is kept: a variable's folder, else the home folder."""
-    return os.environ.get("SCANLODE_CACHE") or os.path.join(os.path.expanduser("~"), ".scanlode", "cache.parquet")
+    """Where the cache is kept: a variable's folder, else the first of home, working and temporary folder that can be written."""
+    if os.environ.get("SCANLODE_CACHE"):
+        return os.environ["SCANLODE_CACHE"]
+    for folder in (os.path.expanduser("~"), os.getcwd(), tempfile.gettempdir()):
+        if os.path.isdir(folder) and os.access(folder, os.W_OK):
+            return os.path.join(folder, ".scanlode", "cache.parquet")
+    return os.path.join(tempfile.gettempdir(), ".scanlode", "cache.parquet")
+
+
+_CACHE = f"file_path string, size long, mtime_ns long, sha256 string, ruleset string, findings array<struct<{SCHEMA}>>"
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    schema = f"file_path string, size long, mtime_ns long, sha256 string, ruleset string, findings array<struct<{SCHEMA}>>"
-    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+    """The cache; what is damaged in it is left out and scanned again. A replacement that was interrupted leaves the one before it."""
+    for where in (path, path + ".old"):
+        if _exists(spark, where):
+            return spark.read.schema(_CACHE).option("ignoreCorruptFiles", "true").parquet(where)
+    return spark.createDataFrame([], _CACHE)
 
 
 def write_cache(table: DataFrame, path: str) -> None:
-    """Replaces the cache; written aside first, as the old one may be among the input."""
+    """Replaces the cache: written aside, then the old one steps aside, so one of them is whole at any time."""
     spark = table.sparkSession
-    fs = lambda p: p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    new, old = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path + ".new", path))
+    new, now, old = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path + ".new", path, path + ".old"))
+    store = now.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     table.write.mode("overwrite").parquet(path + ".new")
-    fs(old).delete(old, True)
-    fs(new).rename(new, old)
+    store.delete(old, True)
+    if store.exists(now):
+        store.rename(now, old)
+    store.rename(new, now)
+    store.delete(old, True)
 
 
 def read_cases(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

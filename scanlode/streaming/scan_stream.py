@@ -44,10 +44,13 @@ def _timed(rows: DataFrame) -> DataFrame:
 
 
 def scan_batches(files: DataFrame, path: str, checkpoint: str):
-    """Starts a query that runs the whole scan over each micro-batch and appends new findings to a table."""
+    """Starts a query that runs the whole scan over each micro-batch and adds its findings to a table.
 
-    def one(batch: DataFrame, _: int) -> None:
+    A batch owns a folder named by its number, so one that is replayed after a failure replaces what it wrote.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
         rows = admitted(routed(batch.select("file_path", "content")))
-        fd.with_fingerprints(fd.calibrate(one_pass.detect(rows))).write.mode("append").parquet(path)
+        fd.with_fingerprints(fd.calibrate(one_pass.detect(rows))).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return files.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from scanlode import cli
-from scanlode.operators import dependencies, impact, quality, reports
+from scanlode.operators import dependencies, impact, quality, regex_scan, reports
 from scanlode.operators import findings as fd
 from scanlode.plans import scan as plan
 from scanlode.sources import files as src
@@ -52,6 +52,27 @@ def test_manifests(spark):
     assert got == [("Go", "x/y", "1.0.0", 2), ("Go", "z/w", "2.1.0", 4), ("PyPI", "a", "1.2", 1), ("PyPI", "b", "2.0", 2), ("PyPI", "d", "", 5), ("RubyGems", "rake", "13.0", 3), ("npm", "q", "1.2.3", 1), ("npm", "r", "=4", 1)]
 
 
+def test_large_manifests(spark):
+    gems = "GEM\n  specs:\n" + "".join(f"    gem{i:05} (1.{i}.0)\n      dep (>= 1)\n" for i in range(20_000)) + "\nPLATFORMS\n  ruby\n"
+    mods = "module m\nrequire (\n" + "".join(f"\tx.y/m{i:05} v1.{i}.0 // indirect\n\t// note here\n" for i in range(5000)) + ")\nrequire z/w v2.0.0\n"
+    pins = "".join(f"pkg{i:05}==1.{i}\n" for i in range(5000))
+    files = spark.createDataFrame([("Gemfile.lock", gems), ("go.mod", mods), ("requirements.txt", pins), ("a/Gemfile.lock", "PATH\n  x\n\nGEM\n\n  specs:\n    a-b (2)\nGEM\n    c (3)\n"), ("b/go.mod", None), ("b/package.json", "[]")], "file_path string, content string")
+    got = dependencies.dependencies(files)
+    assert {r["file_path"]: r["n"] for r in got.groupBy("file_path").agg(F.count("*").alias("n")).collect()} == {"Gemfile.lock": 20_000, "go.mod": 5001, "requirements.txt": 5000, "a/Gemfile.lock": 2}
+    assert rows_of(got.where("name IN ('gem19999', 'x.y/m04999', 'pkg04999')"), "version", "line") == [("1.19999.0", 40_001), ("1.4999", 5000), ("1.4999.0", 10_001)]
+
+
+def test_imports_without_end(spark):
+    files = spark.createDataFrame([("a.py", "import " + ", ".join(["b"] * 50_000) + "\nimport c as d, e # f\n"), ("b.py", ""), ("c.py", ""), ("e.py", ""), ("f.py", "")], "file_path string, content string")
+    assert rows_of(impact.edges(files), "src", "dst") == [("a.py", "b.py"), ("a.py", "c.py"), ("a.py", "e.py")]
+
+
+def test_lines_of_many_matches(spark):
+    text = "Math.random()\n" * 20_000
+    got = [r["line_number"] for r in regex_scan.matches(spark.createDataFrame([("a.js", text, "javascript")], "file_path string, content string, language string")).collect()]
+    assert got == list(range(1, 20_001))
+
+
 def test_quality_figures(spark):
     cases = spark.createDataFrame([("a", "R1", True), ("b", "R1", False), ("c", None, False), ("d", "R2", True), ("e", None, True)], "name string, expected_rule string, expect_finding boolean")
     found = spark.createDataFrame([("a", "R1", "LOW"), ("a", "R1", "HIGH"), ("b", "R1", "MEDIUM"), ("d", "R9", "HIGH"), ("e", "R7", "HIGH")], "name string, rule_id string, confidence string")
@@ -69,6 +90,32 @@ def test_timings_of_even_and_odd_counts(spark):
         assert r["p95"] == s[round((len(s) - 1) * 0.95)] and r["median"] == (s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2
 
 
+def test_timings_by_group_with_ties_and_nulls(spark):
+    rows = [("a", float(i % 7)) for i in range(500)] + [("b", 2.0)] * 300 + [("c", None), (None, 1.0), (None, 3.0)]
+    got = {r["g"]: r for r in quality.timings(spark.createDataFrame(rows, "g string, v double"), "v", ["g"]).collect()}
+    assert set(got) == {"a", "b", None}
+    for g in got:
+        s = sorted(v for k, v in rows if k == g)
+        assert (got[g]["runs"], got[g]["p95"], got[g]["median"], got[g]["least"], got[g]["most"]) == (len(s), s[round((len(s) - 1) * 0.95)], (s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2, s[0], s[-1])
+
+
+def test_listing_by_tasks_and_by_address(spark, tmp_path, monkeypatch):
+    for i in range(30):
+        (tmp_path / f"d{i % 5}/e{i}").mkdir(parents=True)
+        (tmp_path / f"d{i % 5}/e{i}/f.py").write_text("x = 1\n")
+    want = rows_of(src.source_tree(spark, str(tmp_path)), "file_path", "size")
+    assert len(want) == 30
+    monkeypatch.setattr(src, "SPREAD", 4)
+    assert rows_of(src.source_tree(spark, str(tmp_path)), "file_path", "size") == want == rows_of(src.source_tree(spark, tmp_path.as_uri()), "file_path", "size")
+    assert rows_of(src.source_tree(spark, str(tmp_path / "d0/e0/f.py")), "file_path", "size") == [("f.py", 6)]
+
+
+def test_manifests_of_any_size(spark, tmp_path):
+    (tmp_path / "node_modules").mkdir()
+    (tmp_path / "node_modules/requirements.txt").write_text("# " + "x" * (9 << 20) + "\na==1\n")
+    assert rows_of(dependencies.dependencies(src.manifests(spark, str(tmp_path)).select("file_path", "content")), "name", "line") == [("a", 2)]
+
+
 def test_source_tree(spark, tmp_path):
     for name, text in {"a.py": b"x=1", ".env": b"K=v", "pkg/__init__.py": b"", "node_modules/b.js": b"x", ".hidden/c.js": b"x", "big.js": b"x" * (513 * 1024), "Dockerfile": b"FROM x", "d.md": b"x", "bad.js": b"\xff\xfe"}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
@@ -108,6 +155,45 @@ def test_changed_and_impacted_files(spark, tmp_path):
     assert src.changed_paths(spark, str(tmp_path / "nowhere")).count() == 0
 
 
+def test_cache_survives_damage_and_interruption(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "cache")
+    files = spark.createDataFrame([("a.rb", "x.send(params[:m])\n", 1, 1, "s")], "file_path string, content string, size long, mtime_ns long, sha256 string")
+    found = fd.calibrate(plan.detect(plan.routed(files)))
+    for _ in range(2):
+        state.write_cache(impact.cache_table(files, found, "r"), path)
+    assert state.read_cache(spark, path).count() == 1
+    (tmp_path / "cache").rename(tmp_path / "cache.old")
+    assert state.read_cache(spark, path).count() == 1
+    (tmp_path / "cache").mkdir()
+    (tmp_path / "cache/part-0.parquet").write_bytes(b"PAR1 nonsense")
+    hits, misses = impact.cache_lookup(files, state.read_cache(spark, path), "r")
+    assert (hits.count(), misses.count()) == (0, 1)
+    monkeypatch.setenv("HOME", str(tmp_path / "nowhere"))
+    monkeypatch.chdir(tmp_path)
+    assert state.cache_path() == str(tmp_path / ".scanlode/cache.parquet")
+
+
+def test_metrics_command(spark, tmp_path, capsys):
+    (tmp_path / "h").mkdir()
+    (tmp_path / "h/a.json").write_text("".join(json.dumps({"timestamp": f"2024-01-{d:02}", "files_scanned": d, "findings_shown": 1, "duration_s": 0.5}) + "\n" for d in range(1, 29)))
+    assert cli.main(["metrics", str(tmp_path / "h")], spark) == 0
+    out = capsys.readouterr().out.splitlines()
+    assert len(out) == 20 and out[0].startswith("2024-01-09") and out[-1].startswith("2024-01-28")
+    cli.main(["metrics", str(tmp_path / "h"), "--limit", "1", "--json"], spark)
+    assert json.loads(capsys.readouterr().out)["files_scanned"] == 28
+    (tmp_path / "c.json").write_text(json.dumps({"rule_thresholds": {"CRY102": {"precision": 1.0, "recall": 1.0}}, "cases": [{"name": "p", "detector": "javascript", "extension": ".js", "code": "Math.random()", "expect_finding": True, "expected_rule": "CRY102"}]}))
+    cli.main(["metrics", "--rules", "--corpus", str(tmp_path / "c.json")], spark)
+    assert capsys.readouterr().out.startswith("CRY102: precision 1.000")
+
+
+def test_replayed_batches_do_not_repeat_findings(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([("a.sh", 'eval "$X"\n')], "file_path string, content string").withColumn("ts", F.lit("2025-01-01").cast("timestamp")).write.parquet(folder)
+    for k in range(2):  # a fresh checkpoint replays batch 0
+        scan_stream.scan_batches(scan_stream.arrivals(spark, folder), out, str(tmp_path / f"c{k}")).awaitTermination(60)
+    assert rows_of(spark.read.parquet(out), "file_path", "rule_id") == [("a.sh", "SH001")]
+
+
 def test_state_survives_damage(spark, tmp_path):
     assert state.read_baseline(spark, str(tmp_path / "no")).count() == 0
     (tmp_path / "bare.json").write_text('["x", "y", "x"]')
