@@ -1,16 +1,25 @@
-"""Near-duplicate embeddings by exact comparison of every two vectors of a label.
+"""Near-duplicate embeddings by sorted projection passes, and exactly where vectors crowd.
 
 1. Vectors of one label that are equal component by component form a class; only
    its least vec_id goes on, with the class's size.
-2. A label's classes are dealt into blocks of ``BLOCK``, and every pair of blocks is a
-   unit of its own. A unit multiplies its sides tile by tile in single precision;
-   what comes within the rounding bound of ``LEAST`` is computed again in double.
-3. Only counts (of classes with links) and a spanning forest of the links leave a
-   unit. The forests of all units give components, the counts add up to n_links.
+2. Signs of ``BITS`` random projections are a vector's sketch. Each of ``PASSES`` passes
+   puts the sketches' bits in another random order and sorts a label's vectors
+   lexicographically by them. Each is compared with the ``WINDOW`` before it, over
+   the borders of partitions too. Only keys and ids are sorted.
+3. Pairs whose sketches differ in at most ``NEAR_BITS`` bits are fetched once and
+   confirmed by their cosine in double precision. At a cosine of exactly 0.98 a bit
+   differs with chance 0.064, so that limit loses a pair with chance 1e-7; all
+   passes together miss one among 300,000 evenly spread vectors of a label with chance
+   1e-4 or so, and less at higher cosines.
+4. A bounded window can't hold the neighbours of a vector in a crowd. Where ``CROWD`` of a
+   window lie within ``LOOSE_BITS`` bits (a cosine of about 0.6), the loosely near are put
+   into one region, over all passes, and a region's vectors are compared exactly: in
+   pairs of blocks of ``BLOCK``, single-precision tiles, double at the border. Only
+   counts and a spanning forest of the links leave a pair of blocks.
+5. Confirmed pairs and forests are united over all passes.
 
-No pair is left out, however dense or large a label is. The price is quadratic in
-the number of a label's distinct vectors: each is sent to as many units as its label
-has blocks.
+Passes are linear in a label's vectors (times the sort), regions quadratic in their own
+size and not in the label's; a region is as large as its crowd.
 
 Defined cases: a null label or a vector that is null, empty, zero or holds null or
 non-finite components links with nothing; vectors of different length never link;
@@ -20,37 +29,199 @@ another vec_id is involved; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanlode.llm.common import in_batches, materialize
+from scanlode.llm.common import discard, in_batches, materialize
 from scanlode.llm.components import components
 
-LEAST, BLOCK = 0.98, 8192
-#: Side of the tiles that a unit multiplies, and the pairs of a tile that are computed again one by one.
-TILE, AGAIN = 1024, 4096
+LEAST = 0.98
+BITS, PASSES, WINDOW = 128, 24, 64
+NEAR_BITS, LOOSE_BITS, CROWD = 26, 38, 16
+#: Rows of a pass that a task sorts, and those that are compared at a time.
+PER_TASK, AT_ONCE = 100_000, 4096
+#: Vectors of a block of a region, the side of the tiles that a pair of blocks multiplies, and the pairs computed again at a time.
+BLOCK, TILE, AGAIN = 4096, 1024, 4096
+KEYS = "unit long, pass int, k1 long, k2 long, rep long"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, label, v (array of double) of the rows that may link."""
-    v = F.col("embedding").cast("array<double>")
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    """vec_id, label, v (as stored) of the rows that may link."""
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    v = F.col("embedding") if kind in ("array<float>", "array<double>") else F.col("embedding").cast("array<double>")
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", v.alias("v")).where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0))
 
 
-def _matrix(column: pa.ListArray) -> np.ndarray:
-    """Unit rows; all lists of one length."""
+def _lists(column) -> list[np.ndarray]:
+    """Double-precision rows of a list column."""
     lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    x = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+    return np.split(flat, ends[:-1]) if len(ends) else []
+
+
+def _unit_rows(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _matrix(column) -> np.ndarray:
+    """Unit rows; all lists of one length."""
+    return _unit_rows(np.stack(_lists(column)))
+
+
+def linked(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The one definition of a link between unit rows."""
+    return np.einsum("ij,ij->i", x, y) >= LEAST
+
+
+# Classes of equal vectors.
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        own = [hashlib.blake2b((x + 0.0).tobytes(), digest_size=16).digest() for x in _lists(b.column("v"))]
+        yield pa.record_batch([*b.columns, pa.array(own, pa.binary())], names=[*b.schema.names, "digest"])
+
+
+# Sorted passes.
+
+
+@cache
+def _projections(size: int) -> np.ndarray:
+    return np.random.default_rng(size).normal(size=(size, BITS))
+
+
+_ORDERS = [np.random.default_rng(98 + p).permutation(BITS) for p in range(PASSES)]
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each vector and pass: the bits of its sketch in the pass's order."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            b = batch.slice(at, 1024)
+            rows, unit, rep = _lists(b.column("v")), b.column("unit").to_numpy(), b.column("rep").to_numpy()
+            sizes = np.array([len(x) for x in rows])
+            for size in np.unique(sizes).tolist():
+                pick = np.flatnonzero(sizes == size)
+                bits = _unit_rows(np.stack([rows[i] for i in pick])) @ _projections(size) > 0
+                for p, order in enumerate(_ORDERS):
+                    k = np.ascontiguousarray(np.packbits(bits[:, order], axis=1)).view(">i8").astype(np.int64)
+                    yield pa.record_batch([pa.array(unit[pick]), pa.array(np.full(len(pick), p, np.int32)), pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), pa.array(rep[pick])], names=["unit", "pass", "k1", "k2", "rep"])
+
+
+def _windows(t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of consecutive rows in order: pairs (a, b) near enough to be fetched, and a spanning forest (node, root) of each crowd."""
+    n, pairs, loose = len(t["rep"]), [], []
+    k1, k2 = t["k1"].view(np.uint64), t["k2"].view(np.uint64)
+    crowd = np.zeros(n, np.int32)
+    for d in range(1, min(WINDOW, n - 1) + 1):
+        apart = np.bitwise_count(k1[d:] ^ k1[:-d]).astype(np.int32) + np.bitwise_count(k2[d:] ^ k2[:-d])
+        i = np.flatnonzero((apart <= LOOSE_BITS) & (t["unit"][d:] == t["unit"][:-d]) & (t["pass"][d:] == t["pass"][:-d]))
+        if len(i):
+            crowd[i] += 1
+            crowd[i + d] += 1
+            loose.append((i, i + d, apart[i]))
+    if not loose:
+        none = np.empty(0, np.int64)
+        return none, none, none, none
+    i, j, apart = (np.concatenate(x) for x in zip(*loose, strict=True))
+    inside = crowd >= CROWD
+    both = inside[i] & inside[j]
+    pairs = (apart <= NEAR_BITS) & ~both
+    root, (p, q) = np.arange(n), (i[inside[i] | inside[j]], j[inside[i] | inside[j]])
+    while len(p):  # least reachable row of each crowd
+        least = root.copy()
+        np.minimum.at(least, p, root[q])
+        np.minimum.at(least, q, root[p])
+        least = least[least]
+        if (least == root).all():
+            break
+        root = least
+    at = np.flatnonzero(root != np.arange(n))
+    rep = t["rep"]
+    return rep[i[pairs]], rep[j[pairs]], rep[at], rep[root[at]]
+
+
+_FOUND = "kind int, a long, b long, border int, " + KEYS
+
+
+def _found(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    n, none = len(a), [pa.nulls(len(a), t) for t in (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())]
+    return pa.record_batch([pa.array(np.full(n, kind, np.int32)), pa.array(a), pa.array(b), *none], names=[c.split()[0] for c in _FOUND.split(", ")])
+
+
+def _compared(batches: Iterator[pa.RecordBatch], borders: bool) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of ``KEYS`` in windows: pairs to fetch (kind 0), loosely near ones in crowds (1), and the first and last rows (2) for the borders to the partitions before and after."""
+    names = [c.split()[0] for c in KEYS.split(", ")]
+    part = TaskContext.get().partitionId() if borders else 0
+    held: dict[str, np.ndarray] | None = None
+
+    def edge(t: dict[str, np.ndarray], border: int) -> pa.RecordBatch:
+        n = len(t["rep"])
+        return pa.record_batch([pa.array(np.full(n, 2, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, border, np.int32)), *(pa.array(t[c]) for c in names)], names=[c.split()[0] for c in _FOUND.split(", ")])
+
+    head = 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, AT_ONCE):
+            b = batch.slice(at, AT_ONCE)
+            t = {c: b.column(c).to_numpy() for c in names}
+            if borders and head < WINDOW:
+                first = {c: x[: WINDOW - head] for c, x in t.items()}
+                head += len(first["rep"])
+                yield edge(first, part - 1)
+            if held is not None:
+                t = {c: np.concatenate([held[c], x]) for c, x in t.items()}
+            a, b_, node, root = _windows(t)
+            if len(a):
+                yield _found(0, a, b_)
+            if len(node):
+                yield _found(1, node, root)
+            held = {c: x[-WINDOW:] for c, x in t.items()}
+    if borders and held is not None:
+        yield edge(held, part)
+
+
+def _passes(reps: DataFrame) -> DataFrame:
+    """a, b, loose: pairs to fetch and, ``loose``, forests of the crowds, over all passes."""
+    tasks = max(1, -(-reps.count() * PASSES // PER_TASK))
+    keys = in_batches(reps.select("unit", "rep", "v")).mapInArrow(_keys, KEYS)
+    order = ("unit", "pass", "k1", "k2", "rep")
+    keys = keys.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    found = materialize(in_batches(keys).mapInArrow(lambda x: _compared(x, True), _FOUND), "vector-windows")
+    # Two windows of rows for each border.
+    edges = found.where("kind = 2").select("border", *order).repartition("border").sortWithinPartitions("border", *order)
+    over = in_batches(edges.select(*order)).mapInArrow(lambda x: _compared(x, False), _FOUND)
+    every = found.where("kind < 2").unionByName(over)
+    out = materialize(every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("kind") == 1).alias("loose")).where("a != b").distinct(), "vector-pairs")
+    discard(found)
+    return out
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            x, y = _lists(b.column("x")), _lists(b.column("y"))
+            stays = np.zeros(b.num_rows, bool)
+            sizes = np.array([len(r) for r in x])
+            for size in np.unique(sizes).tolist():
+                pick = np.flatnonzero(sizes == size)
+                stays[pick] = linked(_unit_rows(np.stack([x[i] for i in pick])), _unit_rows(np.stack([y[i] for i in pick])))
+            yield pa.record_batch([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(stays))
+
+
+# Regions, exactly.
+
+
 def _near(x: np.ndarray, y: np.ndarray, x32: np.ndarray, y32: np.ndarray) -> np.ndarray:
     """Which pairs of unit rows have a cosine of LEAST or more, exact as double precision is."""
     bound = (x.shape[1] + 8) * 1.2e-7
@@ -58,9 +229,9 @@ def _near(x: np.ndarray, y: np.ndarray, x32: np.ndarray, y32: np.ndarray) -> np.
     near = cosine >= LEAST - bound
     if near.any():
         i, j = np.nonzero(near & (cosine <= LEAST + bound))
-        if len(i) > AGAIN:
-            return x @ y.T >= LEAST
-        near[i, j] = np.einsum("ij,ij->i", x[i], y[j]) >= LEAST
+        for at in range(0, len(i), AGAIN):
+            p, q = i[at : at + AGAIN], j[at : at + AGAIN]
+            near[p, q] = linked(x[p], y[q])
     return near
 
 
@@ -104,8 +275,8 @@ def _unit(t: pa.Table) -> pa.RecordBatch:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by unit, label, size and blocks: what each unit finds."""
-    names, held, now = ("unit", "label", "size", "low", "high"), [], None
+    """Rows sorted by region and blocks: what each pair of blocks finds."""
+    names, held, now = ("region", "low", "high"), [], None
     for b in batches:
         if not b.num_rows:
             continue
@@ -125,30 +296,44 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _unit(pa.Table.from_batches(held))
 
 
+def _regions(reps: DataFrame, of: DataFrame) -> DataFrame:
+    """Links (a, b) that span each region's components, and (a, others) counts; ``of(node, component)`` are the regions."""
+    rows = reps.join(of.select(F.col("node").alias("rep"), F.col("component").alias("region")), "rep").select("region", "rep", "copies", "v")
+    blocks = of.groupBy(F.col("component").alias("region")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(blocks, "region").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("region", "rep", "copies", "v", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    side = F.when(F.col("block") > F.col("other"), 1).otherwise(0)
+    dealt = dealt.select("region", low.alias("low"), high.alias("high"), side.alias("side"), "rep", "copies", "v")
+    dealt = dealt.repartition("region", "low", "high").sortWithinPartitions("region", "low", "high", "side", "rep")
+    return materialize(in_batches(dealt).mapInArrow(_compare, "a long, b long, others long"), "vector-links")
+
+
 def near_embeddings(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row."""
-
     rows = usable(vectors)
-    digest = F.sha2(F.concat_ws(",", F.transform("v", lambda x: (x + F.lit(0.0)).cast("string"))), 256)
-    rows = materialize(rows.select("vec_id", "label", digest.alias("digest"), "v"), "vectors")
-    classes = rows.groupBy("label", "digest").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("copies"))
-    classes = materialize(classes, "vector-classes")
-    reps = rows.join(classes.select(F.col("label").alias("_l"), F.col("digest").alias("_d"), "rep", "copies"), (F.col("label") == F.col("_l")) & (F.col("digest") == F.col("_d")) & (F.col("vec_id") == F.col("rep")))
-    reps = materialize(reps.select("label", "digest", "rep", "copies", "v").dropDuplicates(["label", "digest"]), "vector-reps")
-    reps = reps.withColumn("size", F.size("v"))
-    blocks = reps.groupBy("label", "size").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = reps.join(blocks, ["label", "size"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("label", "size", "rep", "copies", "v", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    side = F.when(F.col("block") > F.col("other"), 1).otherwise(0)
-    dealt = dealt.select(F.xxhash64("label", "size", low, high).alias("unit"), "label", "size", low.alias("low"), high.alias("high"), side.alias("side"), "rep", "copies", "v")
-    dealt = dealt.repartition("unit").sortWithinPartitions("unit", "label", "size", "low", "high", "side", "rep")
-    found = materialize(in_batches(dealt).mapInArrow(_compare, "a long, b long, others long"), "vector-links")
-    comps = materialize(components(found.where("b IS NOT NULL").select("a", "b")), "vector-components")
-    counted = found.where("others IS NOT NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("others").alias("others"))
-    of = classes.join(comps, F.col("rep") == F.col("node"), "left").join(counted, "rep", "left")
-    of = of.select("label", "digest", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("component"))
-    linked = rows.select("vec_id", "label", "digest").join(of, ["label", "digest"]).groupBy(F.col("vec_id").alias("_id")).agg(F.max("n").alias("n"), F.min("component").alias("component"))
-    out = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(linked, F.col("vec_id") == F.col("_id"), "left")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", digest binary"
+    rows = materialize(in_batches(rows).mapInArrow(_digests, schema), "vectors")
+    classes = materialize(rows.groupBy("label", "digest").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("copies")), "vector-classes")
+    least = classes.select(F.col("label").alias("_l"), F.col("digest").alias("_d"), "rep", "copies")
+    reps = rows.join(least, (F.col("vec_id") == F.col("rep")) & (F.col("label") == F.col("_l")) & (F.col("digest") == F.col("_d")))
+    reps = reps.select("label", "digest", "rep", "copies", "v").dropDuplicates(["label", "digest"])
+    reps = materialize(reps.select(F.xxhash64("label", F.size("v")).alias("unit"), "rep", "copies", "v"), "vector-reps")
+    pairs = _passes(reps)
+    of = materialize(components(pairs.where("loose").select("a", "b")), "vector-regions")
+    crowds = _regions(reps, of)
+    one, two = (of.select(F.col("node").alias(x), F.col("component").alias(f"in_{x}")) for x in "ab")
+    # Within a region everything is compared already.
+    single = pairs.where("NOT loose").select("a", "b").join(one, "a", "left").join(two, "b", "left").where("in_a IS NULL OR in_b IS NULL OR in_a != in_b").select("a", "b")
+    x, y = (reps.select(F.col("rep").alias(k), F.col("v").alias(v), F.col("copies").alias(f"n_{k}")) for k, v in (("a", "x"), ("b", "y")))
+    links = in_batches(single.join(x.drop("n_a"), "a").join(y.drop("n_b"), "b").select("a", "b", "x", "y")).mapInArrow(_verified, "a long, b long")
+    links = materialize(links, "vector-singles")
+    comps = materialize(components(links.unionByName(crowds.where("b IS NOT NULL").select("a", "b"))), "vector-components")
+    others = links.join(y.select("b", F.col("n_b").alias("others")), "b").select(F.col("a").alias("rep"), "others").unionByName(links.join(x.select("a", F.col("n_a").alias("others")), "a").select(F.col("b").alias("rep"), "others"))
+    counted = others.unionByName(crowds.where("others IS NOT NULL").select(F.col("a").alias("rep"), "others")).groupBy("rep").agg(F.sum("others").alias("others"))
+    of_class = classes.join(comps, F.col("rep") == F.col("node"), "left").join(counted, "rep", "left")
+    of_class = of_class.select("label", "digest", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("component"))
+    by_id = rows.select("vec_id", "label", "digest").join(of_class, ["label", "digest"]).groupBy(F.col("vec_id").alias("_id")).agg(F.max("n").alias("n"), F.min("component").alias("component"))
+    out = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(by_id, F.col("vec_id") == F.col("_id"), "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
