@@ -8,14 +8,18 @@
 3. A pair's signatures are compared batch by batch. It is dropped as soon as the
    posterior probability of a similarity of ``NEAR`` or more falls under ``MISS``.
    Survivors are confirmed on their full sets.
-4. Links give components. Buckets that still hold members of several components
-   are compared in blocks of ``BLOCK`` members (pairs of blocks are units of their own,
-   so a large bucket is many tasks), skipping pairs that are linked already or that
-   meet in an earlier band; what survives is confirmed on full sets within its unit,
-   and the components are final.
+4. Links give components. In buckets that still hold members of several components
+   the largest component is compared with the rest, and the rest with itself, in
+   blocks of ``BLOCK`` members (pairs of blocks are units of their own, so a large bucket
+   is many tasks), skipping pairs that are linked already or that meet in an earlier
+   band; what survives is confirmed on full sets within its unit, and the
+   components are final. What is sent grows with a bucket's size times the blocks of
+   its strangers; only strangers among themselves are quadratic.
 
 A pair at a similarity of exactly 0.85 shares no band with probability
-(1 - 0.85^5)^24 = 8e-7, and less above.
+(1 - 0.85^5)^24 = 8e-7, and less above. Shingles, band keys and units are 64-bit hashes
+and a set's digest has 128 bits: two of n shingles of a pair of documents fall together
+with chance n^2 / 2^65, two of 10^10 sets with chance 2e-19.
 
 Defined cases: a document without words or text has an empty set and links with
 nothing; fewer than five words count as one shingle; rows that repeat a doc_id
@@ -45,7 +49,8 @@ ROWS, BANDS = 5, 24
 HASHES = ROWS * BANDS
 #: Hashes compared before each decision, and the chance at which a pair may be dropped wrongly.
 STEP, MISS = 20, 1e-7
-BLOCK = 1024
+#: Members of a block of a bucket, and of a split of a hub's members.
+BLOCK, SPLIT = 256, 256
 #: Ids up to which the wanted rows of a large table are found by a broadcast (8 bytes each); beyond it they are joined.
 BROADCAST_IDS = 1_000_000
 
@@ -137,25 +142,26 @@ def plausible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return in_batches(pairs.join(one, "a").join(two, "b").select("a", "b", "sig_a", "sig_b")).mapInArrow(_posterior, "a long, b long")
 
 
-def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, np.ndarray] = {}
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """The one definition of a link between full sets."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= NEAR_PERCENT * (len(x) + len(y) - both)
 
-    def of(i: int, text: str) -> np.ndarray:
-        if i not in held:
-            if len(held) >= 256:
-                held.clear()
-            held[i] = shingle_set(text)
-        return held[i]
 
+def _against_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by hub, split and member, the hub's own text (member null) first: members that are near their hub."""
+    hub = np.empty(0, np.uint64)
     for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            b = batch.slice(at, 1024)
+        for at in range(0, batch.num_rows, 256):
+            b = batch.slice(at, 256)
             keep = []
-            for i, j, x, y in zip(*(b.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
-                s, t = of(i, x), of(j, y)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * both >= NEAR_PERCENT * (len(s) + len(t) - both))
+            for member, text in zip(b.column("b").to_pylist(), b.column("text").to_pylist(), strict=True):
+                own = shingle_set(text)
+                if member is None:
+                    hub = own
+                keep.append(member is not None and similar(hub, own))
             yield pa.record_batch([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    forget()
 
 
 def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
@@ -169,11 +175,18 @@ def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose full sets are near enough, in a table."""
+    """Pairs (a, b) whose full sets are near enough, in a table.
+
+    A hub's members are dealt into splits of about ``SPLIT``; the hub's text goes once to each split.
+    """
     pairs = materialize(pairs, "near-pairs")
     texts = texts_of(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct(), docs)
-    one, two = (texts.select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    out = materialize(in_batches(pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").sortWithinPartitions("a")).mapInArrow(_exact, "a long, b long"), "near-links")
+    splits = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SPLIT).alias("splits"))
+    members = pairs.join(splits, "a").select("a", F.pmod(F.xxhash64("b"), F.col("splits")).alias("split"), "b")
+    own = members.join(texts.withColumnRenamed("rep", "b"), "b").select("a", "split", "b", "text")
+    hubs = members.select("a", "split").distinct().join(texts.withColumnRenamed("rep", "a"), "a").select("a", "split", F.lit(None).cast("long").alias("b"), "text")
+    rows = own.unionByName(hubs).repartition("a", "split").sortWithinPartitions("a", "split", F.asc_nulls_first("b"))
+    out = materialize(in_batches(rows).mapInArrow(_against_hub, "a long, b long"), "near-links")
     discard(pairs)
     discard(texts)
     return out
@@ -253,9 +266,7 @@ def _confirm_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for i, other in _candidates(t):
             for j in other.tolist():
                 if root(comp[i]) != root(comp[j]):
-                    x, y = of(i), of(j)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * both >= NEAR_PERCENT * (len(x) + len(y) - both):
+                    if similar(of(i), of(j)):
                         top[root(comp[i])] = root(comp[j])
                         a.append(rep[i])
                         b.append(rep[j])
@@ -263,6 +274,29 @@ def _confirm_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _dealt(known: DataFrame) -> DataFrame:
+    """Rows of ``known(key, band, rep, n, component)`` in units: a row for each unit that a member is compared in.
+
+    A bucket's largest component is compared with the rest, and the rest with itself, block
+    by block. Members of the largest component never meet each other, so a large
+    group with few strangers costs its size times the strangers' blocks, not its square.
+    """
+    parts = known.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+    buckets = parts.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("members")).where(F.col("members") > F.col("top.size"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    buckets = materialize(buckets.select("key", F.col("top.component").alias("most"), blocks(F.col("top.size")).alias("most_blocks"), blocks(F.col("members") - F.col("top.size")).alias("rest_blocks")), "open-buckets")
+    rows = known.join(buckets, "key").withColumn("top", F.col("component") == F.col("most"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("top"), F.col("most_blocks")).otherwise(F.col("rest_blocks"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    unit = lambda kind, low, high, side: F.struct(F.xxhash64("key", F.lit(kind), low, high).alias("unit"), F.lit(side).alias("side") if isinstance(side, int) else side.alias("side"))
+    of_top = F.transform(upto(F.col("rest_blocks")), lambda p: unit(0, p, F.col("block"), 1))
+    of_rest = F.concat(
+        F.transform(upto(F.col("most_blocks")), lambda q: unit(0, F.col("block"), q, 0)),
+        F.transform(upto(F.col("rest_blocks")), lambda p: unit(1, F.least(p, F.col("block")), F.greatest(p, F.col("block")), F.when(F.col("block") > p, 1).otherwise(0))),
+    )
+    return rows.select("band", "rep", "n", "component", F.explode(F.when(F.col("top"), of_top).otherwise(of_rest)).alias("u")).select("u.unit", "u.side", "band", "rep", "n", "component")
+
+
 def leftovers(rows: DataFrame, comps: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """Confirmed links between different components within buckets, hubs aside; ``rows(key, band, rep, n)``.
 
@@ -270,24 +304,17 @@ def leftovers(rows: DataFrame, comps: DataFrame, reps: DataFrame, docs: DataFram
     their texts are fetched, and no pair leaves a unit before it is confirmed.
     """
     known = rows.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    # Both in tables: their sizes are known when the join is planned, so a small list of keys is
+    # In a table: its size is known when the join is planned, so a small list of keys is
     # broadcast without dealing the rows by key, and a large one is joined with skewed keys split.
     known = materialize(known.select("key", "band", "rep", "n", F.coalesce("component", "rep").alias("component")), "bucket-members")
-    open_keys = known.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    open_keys = materialize(open_keys, "open-buckets")
-    rows = known.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("key", "band", "rep", "n", "component", "block", other)
-    side = F.when(F.col("block") > F.col("other"), 1).otherwise(0)
-    rows = rows.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), side.alias("side"), "band", "rep", "n", "component")
     signs = reps.select("rep", "sig")
     types = "unit long, side int, band int, rep long, n long, component long"
-    asked = rows.join(signs, "rep").select("unit", "side", "band", "rep", "n", "component", "sig").repartition("unit").sortWithinPartitions("unit", "side", "rep")
+    asked = _dealt(known).join(signs, "rep").select("unit", "side", "band", "rep", "n", "component", "sig").repartition("unit").sortWithinPartitions("unit", "side", "rep")
     asked = materialize(in_batches(asked).mapInArrow(_in_question, types), "in-question")
     texts = texts_of(asked.select("rep").distinct(), docs)
     full = asked.join(signs, "rep").join(texts, "rep").select("unit", "side", "band", "n", "component", "rep", "sig", "text")
     links = materialize(in_batches(full.repartition("unit").sortWithinPartitions("unit", "side", "rep")).mapInArrow(_confirm_units, "a long, b long").distinct(), "more-links")
-    for x in (asked, texts, known, open_keys):
+    for x in (asked, texts, known):
         discard(x)
     return links
 
