@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import html
 import random
+import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,6 +175,36 @@ def test_article_of_every_page(spark, sf):
         assert got[r["page_id"]]["text"].replace("\n", " ") == " ".join(want.split()) and got[r["page_id"]]["n_chars"] == len(got[r["page_id"]]["text"])
 
 
+def article_blocks(page):
+    body = page.split("<article>")[1].split("</article>")[0]
+    for tag in ("<b>", "</b>"):
+        body = body.replace(tag, "")
+    parts = body.replace("<br>", " ").replace("<h1>", "<p>").replace("</h1>", "<p>").replace("</p>", "<p>").split("<p>")
+    return [x for x in (" ".join(html.unescape(" ".join(p.split())).split()) for p in parts) if x]
+
+
+def test_block_rules_find_articles_that_nothing_marks():
+    """Article tags, classes, ids and names of furniture are gone: the words decide."""
+    found = right = given = 0
+    for r in pq.read_table("/root/testdata/sf0.1/pages.parquet").to_pylist():
+        want = article_blocks(r["html"])
+        bare = re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|[^\s>]+)", "", re.sub(r"<(/?)(?:article|nav|footer)>", r"<\1div>", r["html"]))
+        got = html_text.main_text(bare).split("\n")
+        hit = sum((Counter(want) & Counter(got)).values())
+        found, right, given = found + len(want), right + hit, given + len(got)
+    assert right / found >= 0.95 and right / given >= 0.95
+
+
+@pytest.mark.parametrize("bad", ["<div>", "<p title=\"x", "<p '", "<svg ", "<!--", "<b><i></q>", "<ul><li>", "<script>", "<p a='\"", "<", "&#", "<a href=x'>", "<article></div>", "</p>"])
+def test_hostile_pages_take_linear_time(bad):
+    took = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        html_text.main_text(bad * n)
+        took.append(time.process_time() - began)
+    assert took[1] < max(0.5, 10 * took[0])
+
+
 LONG = "It was the best of times and it was the worst of times, and that is what the people of the city said when they were asked about it on the day that all of them came to see what had been done with the square."
 
 
@@ -186,6 +220,13 @@ LONG = "It was the best of times and it was the worst of times, and that is what
         (f"<p title='a > b'>{LONG}</p><p>{LONG} <a href=x>{LONG} {LONG}</a></p>", LONG),
         (f"<div class='page has-sidebar'><p>{LONG}</p><div class='sidebar'><p>{LONG}</p></div></div>", LONG),
         (f"<div class='popup'><p>{LONG}</p><nav>{LONG}</nav></div>", LONG),
+        (f"<div class='content-sidebar-wrap'><main><article><p>{LONG}</p><p>Hi.</p></article></main></div><div><p>{LONG} Not this.</p></div>", f"{LONG}\nHi."),
+        (f"<form id='page'><div class='nav-wrap'><article class='post tag-news'><p>{LONG}</p></article></div></form>", LONG),
+        (f"<div id='comments'><article class='comment'><p>{LONG}</p></article></div><div><p>{LONG} x</p></div>", f"{LONG} x"),
+        (f"<div><p>{LONG}</p></div><div><h3>Comments (3)</h3><p>{LONG}</p><p>{LONG}</p></div>", LONG),
+        (f"<article><p>{LONG}</p><p><a href=x>See the list of them all</a></p><pre>a = b[c] + d * e(f) - g / h % i ** j // k</pre></article><div><p>{LONG}</p></div>", f"{LONG}\nSee the list of them all\na = b[c] + d * e(f) - g / h % i ** j // k"),
+        ("<nav><a href=/>x</a></nav><div><p>" + "Это просто длинный текст на другом языке без известных слов. " * 5 + "</p><p>Коротко.</p></div><div><a href=/>a</a></div>", ("Это просто длинный текст на другом языке без известных слов. " * 5).strip() + "\nКоротко."),
+        (f"<p title=\"never closed>{LONG}</p><p>{LONG}</p>", f"{LONG}\n{LONG}"),
         (f"<article><p>{LONG}<br>x</p><style>p{{}}</style><noscript><p>{LONG}</p></noscript></article>", LONG + " x"),
     ],
 )
@@ -432,6 +473,7 @@ def near_rows(n=220, seed=8):
 @pytest.mark.parametrize("block", [512, 8])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+    monkeypatch.setattr(minhash_dedup, "SPLIT", block)
     rows = near_rows()
     df = documents(spark, [(i, t, "a") for i, t in rows])
     assert rows_of(minhash_dedup.near_duplicates(df)) == brute_documents(rows)
