@@ -5,16 +5,19 @@ substitutions to one Latin letter (l and i share one, as 1 may mean either) and
 everything else to spaces. The lexicon holds words and word stems whose document
 frequency differs between toxic and clean labelled rows beyond chance; an entry's
 weight is its log odds. Exception phrases are the pairs of words around an entry
-that occur in clean rows; they cancel the entry's weight. A text's sum of weights,
-by itself and in proportion to its length, goes through a logistic function.
+that occur in clean rows; each cancels the match that it stands around, once, however
+many of them do. A text's sum of weights, by itself and in proportion to its length,
+goes through a logistic function.
 
-Learning sees at most ``LABELLED`` labelled rows, chosen by a hash of the id: that is
-the documented bound. Scores cover whole texts.
+Learning sees at most ``LABELLED`` labelled documents of ``LABELLED_BYTES`` in all, the first
+by a hash of the id and one text for each id: that is the documented bound. Scores
+cover whole texts.
 
 Defined cases: null or empty texts are scored like any text without entries; rows
 without a label, or whose label is null, teach nothing; without toxic labels every
-score is 0; a doc_id labelled twice counts with its largest label. Columns
-other than doc_id and text are never inputs of a score.
+score is 0, with toxic labels but no clean ones every score is 1; a doc_id labelled
+twice counts with its largest label, one with several texts teaches its longest (ties:
+the last in order). Columns other than doc_id and text are never inputs of a score.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 
 from scanlode.llm.common import bucket_of, filtered, in_batches
 
-LABELLED = 12_000
+LABELLED, LABELLED_BYTES = 12_000, 64 << 20
 STEMS = (4, 5, 6)
 #: Natural log of the chance at which a single entry of the lexicon may be there by luck, over all candidates.
 LUCK = 3.0
@@ -41,8 +44,9 @@ MOST_WEIGHT = 6.0
 
 #: Look-alikes of Latin letters (Cyrillic, Greek) and substitutions by digits.
 _ALIKE = dict(zip("авсеніјкморѕтухуԁһԛԝαβεικνορτυχγω0134578", "abceHijkmopstyxydhqwabeiknoptuxywoieastb", strict=True)) | {"н": "h", "l": "i", "ı": "i"}
-_INSIDE = re.compile(r"(?<=[^\W_])[!|$@](?=[^\W_])")
-_SIGNS = {"!": "i", "|": "i", "$": "s", "@": "a"}
+#: Runs of signs that stand for letters: between letters or digits, or $ and @ before a letter at a word's beginning.
+_SIGNED = re.compile(r"(?<=[^\W_])[!|$@]+(?=[^\W_])|(?<![^\W_])[$@]+(?=[^\W\d_])")
+_SIGNS = str.maketrans({"!": "i", "|": "i", "$": "s", "@": "a"})
 
 
 class _Folding(dict):
@@ -66,7 +70,7 @@ def fold(text: str | None) -> str:
     """' word word ' of the folded text, single spaces around each word; ' ' if there is none."""
     if not text:
         return " "
-    text = _INSIDE.sub(lambda m: _SIGNS[m[0]], text)
+    text = _SIGNED.sub(lambda m: m[0].translate(_SIGNS), text)
     words = text.translate(_FOLDING).split()
     return f" {' '.join(words)} " if words else " "
 
@@ -91,24 +95,36 @@ def _gain(k: int, n: int, c: int, m: int) -> float:
 
 
 class Lexicon:
-    """entries and exceptions with weights, and the logistic function over a text's sum."""
+    """entries with weights, exceptions (phrase to the entry it excuses and where that begins), and the logistic function over a text's sum."""
 
-    def __init__(self, entries: dict[str, float], exceptions: dict[str, float], curve: np.ndarray):
+    def __init__(self, entries: dict[str, float], exceptions: dict[str, tuple[int, str]], curve: np.ndarray):
         self.entries, self.exceptions, self.curve, self.machine = entries, exceptions, curve, None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"machine": None}
 
-    def total(self, folded: str) -> float:
+    def matches(self, folded: str) -> list[tuple[int, str]]:
+        """Place and entry of every match that no exception around it cancels."""
         if self.machine is None:
             import ahocorasick
 
             self.machine = ahocorasick.Automaton()
-            for w, x in (self.entries | self.exceptions).items():
-                self.machine.add_word(w, x)
+            for phrase in self.entries.keys() | self.exceptions.keys():
+                self.machine.add_word(phrase, phrase)
             if len(self.machine):
                 self.machine.make_automaton()
-        return max(0.0, sum(x for _, x in self.machine.iter(folded))) if len(self.machine) else 0.0
+        found, excused = [], set()
+        for end, phrase in self.machine.iter(folded) if len(self.machine) else ():
+            at = end - len(phrase) + 1
+            if phrase in self.entries:
+                found.append((at, phrase))
+            if phrase in self.exceptions:
+                offset, entry = self.exceptions[phrase]
+                excused.add((at + offset, entry))
+        return [x for x in found if x not in excused]
+
+    def total(self, folded: str) -> float:
+        return sum(self.entries[entry] for _, entry in self.matches(folded))
 
     def features(self, folded: str) -> list[float]:
         s, n = self.total(folded), folded.count(" ")
@@ -146,26 +162,24 @@ def _lexicon(toxic: list[str], clean: list[str]) -> dict[str, float]:
     return {w: min(x, MOST_WEIGHT) for w, (_, _, x) in kept.items()}
 
 
-def _exceptions(entries: dict[str, float], toxic: list[str], clean: list[str]) -> dict[str, float]:
+def _exceptions(entries: dict[str, float], toxic: list[str], clean: list[str]) -> dict[str, tuple[int, str]]:
     """Pairs of words around an entry that mark it as harmless."""
     lexicon = Lexicon(entries, {}, np.zeros(3))
-    lexicon.total(" ")
 
-    def around(t: str) -> set[tuple[str, float]]:
+    def around(t: str) -> set[tuple[str, int, str]]:
         out = set()
-        for end, x in lexicon.machine.iter(t) if len(lexicon.machine) else ():
-            start = t.rfind(" ", 0, end)
+        for start, entry in lexicon.matches(t):
             stop = t.find(" ", start + 1)
             after, before = t.find(" ", stop + 1), t.rfind(" ", 0, start)
             if after > 0:
-                out.add((t[start : after + 1], -x))
+                out.add((t[start : after + 1], 0, entry))
             if before >= 0:
-                out.add((t[before : stop + 1], -x))
+                out.add((t[before : stop + 1], start - before, entry))
         return out
 
     harmless, harmful = Counter(p for t in clean for p in around(t)), Counter(p for t in toxic for p in around(t))
     n, m = len(toxic), len(clean)
-    return {w: x for (w, x), c in harmless.items() if c >= 3 and c / m > 3 * (harmful[w, x] + 0.5) / n}
+    return {phrase: (offset, entry) for (phrase, offset, entry), c in sorted(harmless.items()) if c >= 3 and c / m > 3 * (harmful[phrase, offset, entry] + 0.5) / n}
 
 
 def _once(folded: list[tuple[str, int]]) -> list[tuple[str, int]]:
@@ -197,12 +211,19 @@ def learn(rows: list[tuple[str | None, int]]) -> Lexicon:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, admit) -> list[tuple[str | None, int]]:
-    """(text, label) of at most ``LABELLED`` rows that ``admit`` lets through, the least by hash."""
+    """(text, label) of the documents that ``admit`` lets through, within the bound: the first by hash, one text for each id."""
     marks = labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("_toxic"))
-    marks = marks.where(admit(F.col("_id"))).orderBy(F.xxhash64("_id"), "_id").limit(LABELLED)
-    few = F.broadcast(marks)  # LABELLED rows at most, 12 bytes each
-    rows = docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("_id")).orderBy("_id", "text").limit(2 * LABELLED)
-    return [(r["text"], r["_toxic"]) for r in rows.select("text", "_toxic").toLocalIterator(prefetchPartitions=False)]
+    marks = marks.where(admit(F.col("_id"))).withColumn("_turn", F.xxhash64("_id")).orderBy("_turn", "_id").limit(LABELLED)
+    few = F.broadcast(marks)  # LABELLED rows at most, 20 bytes each
+    one = F.max(F.struct(F.octet_length("text").alias("size"), "text")).alias("x")
+    rows = docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("_id")).groupBy("_id", "_toxic", "_turn").agg(one)
+    out, left = [], LABELLED_BYTES
+    for r in rows.select("_turn", "_id", "_toxic", F.coalesce("x.size", F.lit(0)).alias("size"), "x.text").orderBy("_turn", "_id").toLocalIterator(prefetchPartitions=False):
+        left -= r["size"]
+        if left < 0:
+            break
+        out.append((r["text"], r["_toxic"]))
+    return out
 
 
 def scores(docs: DataFrame, lexicon: Lexicon) -> DataFrame:

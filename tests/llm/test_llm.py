@@ -133,6 +133,57 @@ def test_folding():
     assert toxicity.fold(None) == " " and toxicity.fold("...") == " "
 
 
+@pytest.mark.parametrize("text, want", [("you a$$hole", " you asshoie "), ("$hit", " shit "), ("@ss", " ass "), ("@@ss!!", " aass "), ("idiot!", " idiot "), ("it costs $100", " it costs ioo "), ("wow!!! ok", " wow ok "), ("sh!!t", " shiit "), ("a | b", " a b "), ("d$ d$", " d d ")])
+def test_folding_of_signs(text, want):
+    assert toxicity.fold(text) == want
+
+
+def naive_total(lexicon, folded):
+    """Every place of every entry that no exception excuses, by plain search."""
+    places = lambda p: [i for i in range(len(folded)) if folded.startswith(p, i)]
+    excused = {(i + offset, entry) for p, (offset, entry) in lexicon.exceptions.items() for i in places(p)}
+    return sum(x for entry, x in lexicon.entries.items() for i in places(entry) if (i, entry) not in excused)
+
+
+def test_exceptions_cancel_their_own_match_once():
+    lexicon = toxicity.Lexicon({" idiot ": 4.0, " ciown ": 4.0, " dumb": 2.0}, {" the ciown ": (4, " ciown "), " ciown fish ": (0, " ciown "), " dumb beii ": (0, " dumb")}, np.zeros(3))
+    for text, want in {"you idiot": 4.0, "you idiot the clown fish": 4.0, "the clown fish": 0.0, "clown clown fish": 4.0, "dumbest dumb bell": 2.0, "": 0.0, "idiot idiot": 8.0}.items():
+        assert lexicon.total(toxicity.fold(text)) == want == naive_total(lexicon, toxicity.fold(text))
+    rng = random.Random(8)
+    for _ in range(2000):
+        folded = toxicity.fold(" ".join(rng.choice(["idiot", "clown", "fish", "the", "dumb", "bell", "dumber", "x"]) for _ in range(rng.randrange(9))))
+        assert lexicon.total(folded) == naive_total(lexicon, folded)
+
+
+def test_scores_equal_a_naive_matcher(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    lexicon = toxicity.learn(toxicity.labelled_rows(docs, labels, lambda i: F.crc32(i.cast("string")) % 5 != 0))
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, labels).collect()}
+    for r in docs.collect():
+        folded = toxicity.fold(r["text"])
+        s, n = naive_total(lexicon, folded), folded.count(" ")
+        z = float(np.dot([1.0, np.log1p(s), np.log1p(100 * s / max(n, 10))], lexicon.curve))
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_labelled_rows_keep_to_their_bound(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 50, "x" * (10 + i)) for i in range(100)] + [(60, None), (None, "n")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(70)] + [(7, 0, 1), (8, 0, None)], "doc_id long, quality int, toxic int")
+    every = toxicity.labelled_rows(docs, labels, lambda i: F.lit(True))
+    assert len(every) == 51 and sorted(len(t) for t, _ in every if t) == list(range(60, 110))
+    monkeypatch.setattr(toxicity, "LABELLED_BYTES", 1000)
+    some = toxicity.labelled_rows(docs, labels, lambda i: F.lit(True))
+    assert some == every[: len(some)] and 900 < sum(len(t or "") for t, _ in some) <= 1000
+    monkeypatch.setattr(toxicity, "LABELLED", 5)
+    assert len(toxicity.labelled_rows(docs, labels, lambda i: F.lit(True))) <= 5
+
+
+def test_toxic_labels_only(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0, 1), (2, 0, 1), (3, 0, 1)], "doc_id long, quality int, toxic int")
+    assert {r["score"] for r in toxicity.toxicity(docs, labels).collect()} == {1.0}
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = (table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
     rows = toxicity.toxicity(docs, labels).join(labels, "doc_id").where("held_out").collect()
