@@ -9,8 +9,9 @@ its exact budget, after whole epochs.
 
 Defined cases: a null or empty text has size 0 and is never taken; a null source
 is a source of its own, last in order; rows that repeat a doc_id are separate
-rows with the same key, ordered among themselves by size; an empty table gives
-an empty mix. Only the columns named in the arguments are read, so extra columns
+rows with the same key, ordered among themselves by size; rows without a doc_id get
+their keys from their texts; an empty table gives an empty mix. Targets are
+windows over one row for each source, in one task: that holds for some millions of sources. Only the columns named in the arguments are read, so extra columns
 of any name do no harm.
 """
 
@@ -69,7 +70,8 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, sha
 
 def _taken(docs: DataFrame, keys: list[str], seed: int, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = MOST_EPOCHS) -> DataFrame:
     """The columns of ``mix``, and ``keys``, which tell rows apart that repeat a doc_id at one size."""
-    key = F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 16)
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("/"), F.md5(F.coalesce("text", F.lit("")))))
+    key = F.substring(F.md5(F.concat(name, F.lit(f":{seed}"))), 1, 16)
     keyed = docs.select("doc_id", "source", n_words().alias("size"), key.alias("key"), *keys)
     keyed = keyed.withColumn("range", F.floor(F.conv(F.substring("key", 1, 4), 16, 10).cast("int") * RANGES / 65536).cast("int"))
     keyed = materialize(keyed, "mix-keys")  # texts are read and counted once, for the totals and for the cut

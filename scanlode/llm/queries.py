@@ -35,7 +35,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(table(spark, sf_dir, "documents")).drop("true_type")
+    return media.media_columns(table(spark, sf_dir, "documents"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 OP1_SQL = r"""
 WITH keyed AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         substr(md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':17')), 1, 16) AS key
+         substr(md5(concat(coalesce(CAST(doc_id AS VARCHAR), concat('/', md5(coalesce(text, '')))), ':17')), 1, 16) AS key
   FROM documents),
 sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM keyed GROUP BY source),
 weighted AS (
