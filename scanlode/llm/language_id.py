@@ -7,8 +7,8 @@ window of ``WINDOW`` bytes goes through a rectifier and a softmax layer. A text
 all of its windows, side by side and padded with zeros; its languages' log
 probabilities are averaged over the windows, weighted by their bytes.
 
-Training sees at most about ``PER_LANGUAGE`` texts of each language (chosen by a hash
-of the id) and ``WINDOWS`` windows of each; that is the documented bound, and nothing
+Training sees at most ``PER_LANGUAGE`` texts of each language (chosen by a hash of id
+and text) and ``WINDOWS`` windows of each; that is the documented bound, and nothing
 else is sampled. ASCII digits, punctuation and case are folded first, so the
 network learns letters.
 
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanlode.llm.common import bucket_of, filtered, in_batches
@@ -146,29 +146,46 @@ class ByteNet:
         return self
 
 
-def training_rows(docs: DataFrame, learn) -> list[tuple[str, str]]:
-    """(lang, text) of about ``PER_LANGUAGE`` rows of each language among the rows that ``learn`` admits."""
+def _drawn_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """At most ``WINDOWS`` windows of each text, drawn by its turn; none of a text without a letter."""
+    for batch in batches:
+        langs, turns, out = [], [], []
+        for lang, turn, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if has_letter(text):
+                own = windows_of(text)
+                langs.append(lang)
+                turns.append(turn)
+                out.append(own[np.random.default_rng(turn % 2**63).permutation(len(own))[:WINDOWS]].tobytes())
+        yield pa.record_batch([pa.array(langs, pa.string()), pa.array(turns, pa.int64()), pa.array(out, pa.binary())], names=["lang", "turn", "windows"])
+
+
+def training_rows(docs: DataFrame, learn) -> list[tuple[str, np.ndarray]]:
+    """(lang, windows) of at most ``PER_LANGUAGE`` texts of each language among the rows that ``learn`` admits.
+
+    Tasks cut the windows, so a text brings ``WINDOWS`` of ``WINDOW`` bytes to the driver at most; rows that
+    repeat an id and its text are one.
+    """
     own = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
     if not counts:
         return []
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, PER_LANGUAGE / n))])
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
-    rows = own.where(draw < share[F.col("lang")]).select("lang", "text", "doc_id").orderBy("doc_id", "text").collect()
-    return [(r["lang"], r["text"]) for r in rows if has_letter(r["text"])]
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.2 * PER_LANGUAGE / n))])
+    turn = F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(3))
+    drawn = own.select("lang", turn.alias("turn"), "text").where(F.pmod("turn", F.lit(1 << 30)) / float(1 << 30) < share[F.col("lang")])
+    cut = in_batches(drawn).mapInArrow(_drawn_windows, "lang string, turn long, windows binary").dropDuplicates(["lang", "turn"])
+    first = Window.partitionBy("lang").orderBy("turn")  # some hundreds of rows of a language
+    rows = cut.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= PER_LANGUAGE).orderBy("lang", "turn").select("lang", "windows").collect()
+    return [(r["lang"], np.frombuffer(r["windows"], np.uint8).reshape(-1, WINDOW)) for r in rows]
 
 
-def train(rows: list[tuple[str, str]], seed: int = 4) -> ByteNet | None:
+def train(rows: list[tuple[str, np.ndarray]], seed: int = 4) -> ByteNet | None:
+    """A network fitted to (lang, windows); None without rows."""
     if not rows:
         return None
     languages = sorted({k for k, _ in rows})
-    rng, x, y = np.random.default_rng(seed), [], []
-    for lang, text in rows:
-        own = windows_of(text)
-        own = own[rng.permutation(len(own))[:WINDOWS]]
-        x.append(own)
-        y += [languages.index(lang)] * len(own)
-    x, y = np.concatenate(x), np.array(y)
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([w for _, w in rows])
+    y = np.concatenate([np.full(len(w), languages.index(k)) for k, w in rows])
     # Each window also counts cut short, so that short texts are known too.
     short = x.copy()
     short[np.arange(WINDOW)[None, :] >= rng.integers(8, WINDOW, len(x))[:, None]] = 0
