@@ -9,6 +9,7 @@ through the library whole.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable
@@ -85,16 +86,32 @@ def _byte_letters(tokenizer) -> list[tuple[str, str]]:
     return out
 
 
+#: The rules under which chunks between white space are encoded each by itself and in lower case: fixed values of the public vocabulary.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PRE_TOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def separable(vocabulary: str) -> bool:
+    """Whether a vocabulary's own rules say that no id reaches across white space, and that case and single marks split as ``Encoder`` has it."""
+    with open(vocabulary, encoding="utf-8") as f:
+        rules = json.load(f)
+    normal, split, model = rules.get("normalizer") or {}, rules.get("pre_tokenizer") or {}, rules.get("model") or {}
+    return normal.get("normalizers") == _NORMALIZERS and split.get("pretokenizers") == _PRE_TOKENIZERS and model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges") and not rules.get("post_processor")
+
+
 class Encoder:
     """``ids(texts)``: little-endian unsigned 16-bit ids of each text (null: none), as bytes."""
 
-    #: Texts that any vocabulary must encode by chunks as it does whole, or chunks are not used with it.
+    #: Texts that a vocabulary of these rules must encode by chunks as it does whole, or chunks are not used with it.
     PROBES = ("The quick, brown fox's 12 jumps. Über\nGrößen; ça... va?!", "a  b\tc", " x", "Don't stop - it's 3.14, no.", "étude ÉTUDE ß ÿ")
 
     def __init__(self, vocabulary: str):
         self.chunks = _Chunks(vocabulary)
         self.get = self.chunks.__getitem__
-        if any(self.one(t) != self.chunks.whole(t) for t in self.PROBES):
+        if not separable(vocabulary) or any(self.one(t) != self.chunks.whole(t) for t in self.PROBES):
             self.one = lambda text: self.chunks.whole(text or "")
 
     def one(self, text: str | None) -> bytes:

@@ -2,8 +2,8 @@
 
 A shard is one file in the Arrow IPC stream format. Its record batches hold
 ``BATCH`` sequences each (the last may hold fewer): ``ids`` is a
-``fixed_size_list<uint16>[LENGTH]`` and ``mask`` a ``fixed_size_list<bool>[LENGTH]``
-that is false on the padding of a shard's last sequence. Every sequence has the
+``fixed_size_list<uint16>[LENGTH]`` and ``mask`` a ``fixed_size_list<uint8>[LENGTH]``
+that is 1, and 0 on the padding of a shard's last sequence. Every sequence has the
 same length, so sequence ``k`` is element ``k % BATCH`` of batch ``k // BATCH``, and a
 memory map serves it without a copy. Documents run on across sequences, each
 closed by the end id; an index row gives each document's place.
@@ -17,7 +17,6 @@ separate documents; an empty table gives no files and no rows.
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -33,7 +32,7 @@ from scanlode.llm.ordered import by_doc_id, encoded, shard, with_starts
 
 LENGTH, BATCH, END = 2048, 64, 1
 INDEX = "shard int, doc_id long, at long, n_tokens long"
-SCHEMA = pa.schema([("ids", pa.list_(pa.uint16(), LENGTH)), ("mask", pa.list_(pa.bool_(), LENGTH))])
+SCHEMA = pa.schema([("ids", pa.list_(pa.uint16(), LENGTH)), ("mask", pa.list_(pa.uint8(), LENGTH))])
 
 
 def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
@@ -57,7 +56,7 @@ class ShardWriter:
             self.held, self.size = [raw[whole:]], len(raw) - whole
 
     def _batch(self, ids: np.ndarray, n: int) -> None:
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(ids.astype(np.uint16, copy=False)), LENGTH), pa.FixedSizeListArray.from_arrays(pa.array(np.arange(len(ids)) < n), LENGTH)]
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(ids.astype(np.uint16, copy=False)), LENGTH), pa.FixedSizeListArray.from_arrays(pa.array((np.arange(len(ids)) < n).astype(np.uint8)), LENGTH)]
         self.writer.write_batch(pa.record_batch(lists, schema=SCHEMA))
 
     def close(self) -> None:
@@ -77,12 +76,13 @@ class ShardReader:
         where, path = open_folder(uri)
         source = pa.memory_map(path) if isinstance(where, fs.LocalFileSystem) else where.open_input_file(path)
         self.source = source
-        self.batches = [(b.column(0).flatten().to_numpy(), b.column(1)) for b in pa.ipc.open_stream(source)]
+        self.batches = [tuple(b.column(i).flatten().to_numpy() for i in range(2)) for b in pa.ipc.open_stream(source)]
 
     def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Views of the file's own ids and mask."""
         ids, mask = self.batches[k // BATCH]
-        at = k % BATCH
-        return ids[at * LENGTH : (at + 1) * LENGTH], mask[at].values.to_numpy(zero_copy_only=False)
+        own = slice(k % BATCH * LENGTH, (k % BATCH + 1) * LENGTH)
+        return ids[own], mask[own]
 
     def span(self, start: int, n: int) -> np.ndarray:
         step, parts = LENGTH * BATCH, []
@@ -131,7 +131,6 @@ def token_digests(index: DataFrame, folder: str) -> DataFrame:
             start = pc.add(b.column("at"), b.column("shard_start"))
             yield pa.record_batch([b.column("doc_id"), b.column("shard"), start, b.column("n_tokens"), pa.array(crc, pa.int64())], names=["doc_id", "shard", "start", "n_tokens", "ids_crc32"])
 
-
     return in_batches(with_starts(index, "n_tokens")).mapInArrow(read, "doc_id long, shard int, start long, n_tokens long, ids_crc32 long")
 
 
@@ -142,9 +141,9 @@ def token_output(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
-    """Place of a public vocabulary file; set SCANLODE_TOKENIZER to use another."""
+    """Place of a public vocabulary file."""
     import public_tokenizers
 
-    return os.environ.get("SCANLODE_TOKENIZER") or str(public_tokenizers.path(name))
+    return str(public_tokenizers.path(name))
 
 
