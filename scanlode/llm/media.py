@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 from scanlode.llm.common import in_batches, materialize
 
 UNIT, PIXELS = 192, 64
+#: Bytes that are inflated at a time.
+PIECE = 1 << 16
 LEVEL = 1
-UNKNOWN = "application/octet-stream"
+UNKNOWN, DECLARED = "application/octet-stream", "text/plain"
 _PNG = b"\x89PNG\r\n\x1a\n"
 
 
@@ -73,34 +75,51 @@ def png_chunks(data: bytes, start: int = 0) -> tuple[int, list[tuple[bytes, byte
 
 
 def from_png(data: bytes) -> bytes:
-    """Samples of an 8-bit image without interlacing; undoes the sub and up filters too."""
+    """Samples of an 8-bit image without interlacing, all filters undone."""
     found = png_chunks(data)
-    if found is None:
+    if found is None or all(name != b"IDAT" for name, _ in found[1]):
         raise ValueError("not a valid PNG file")
     _, chunks = found
     width, height, depth, color, _, _, interlace = struct.unpack(">IIBBBBB", chunks[0][1])
     channels = {0: 1, 2: 3, 4: 2, 6: 4}.get(color)
     if depth != 8 or interlace or channels is None:
         raise ValueError("only 8-bit images without palette and interlacing are read")
-    rows = np.frombuffer(zlib.decompress(b"".join(b for n, b in chunks if n == b"IDAT")), np.uint8).reshape(height, width * channels + 1)
+    raw = zlib.decompress(b"".join(b for n, b in chunks if n == b"IDAT"))
+    if len(raw) != height * (width * channels + 1):
+        raise ValueError("samples don't fill the image")
+    rows = np.frombuffer(raw, np.uint8).reshape(height, width * channels + 1)
     if not rows[:, 0].any():
         return rows[:, 1:].tobytes()
-    out = np.zeros((height + 1, width * channels), np.uint8)
+    out = np.zeros((height + 1, width, channels), np.uint8)
     for i, row in enumerate(rows, 1):
-        if row[0] == 0:
-            out[i] = row[1:]
-        elif row[0] == 1:
-            out[i] = np.cumsum(row[1:].reshape(width, channels), axis=0, dtype=np.uint8).ravel()
-        elif row[0] == 2:
-            out[i] = row[1:] + out[i - 1]
+        kind, line = row[0], row[1:].reshape(width, channels)
+        if kind == 0:
+            out[i] = line
+        elif kind == 1:
+            out[i] = np.cumsum(line, axis=0, dtype=np.uint8)
+        elif kind == 2:
+            out[i] = line + out[i - 1]
+        elif kind in (3, 4):
+            left, corner, above = np.zeros(channels, np.int16), np.zeros(channels, np.int16), out[i - 1].astype(np.int16)
+            for x in range(width):
+                up = above[x]
+                if kind == 3:
+                    guess = (left + up) // 2
+                else:  # of left, up and corner the one nearest to left + up - corner, in this order
+                    whole = left + up - corner
+                    a, b, c = abs(whole - left), abs(whole - up), abs(whole - corner)
+                    guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+                out[i, x] = (line[x] + guess) & 255
+                left, corner = out[i, x].astype(np.int16), up
         else:
-            raise ValueError("filter not supported")
+            raise ValueError("no such filter")
     return out[1:].tobytes()
 
 
 def _png(d: bytes, at: int) -> int | None:
+    """Chunks in order with right checksums, image data among them."""
     found = png_chunks(d, at)
-    return found and found[0]
+    return found[0] if found and any(name == b"IDAT" for name, _ in found[1]) else None
 
 
 def _riff(d: bytes, at: int) -> int | None:
@@ -158,27 +177,54 @@ def _gif(d: bytes, at: int) -> int | None:
 
 
 def _pdf(d: bytes, at: int) -> int | None:
-    stop = d.find(b"%%EOF", at)
-    return stop + 5 if stop > 0 and d[at + 5 : at + 6].isdigit() and d.find(b"startxref", at, stop) > 0 else None
+    """Up to the last end mark before another file begins: each revision adds one, after a cross-reference's place."""
+    if not d[at + 5 : at + 6].isdigit():
+        return None
+    limit = d.find(b"%PDF-", at + 5)
+    limit = len(d) if limit < 0 else limit
+    last = d.rfind(b"%%EOF", at, limit)
+    if last < 0 or d.rfind(b"startxref", at, last) < 0:
+        return None
+    stop = last + 5
+    return stop + (2 if d[stop : stop + 2] == b"\r\n" else 1 if d[stop : stop + 1] in (b"\r", b"\n") else 0)
 
 
 def _zip(d: bytes, at: int) -> int | None:
-    end = d.find(b"PK\x05\x06", at)
-    while end >= 0 and end + 22 <= len(d):
-        size, offset, note = struct.unpack_from("<IIH", d, end + 12)
-        if at + offset + size == end and end + 22 + note <= len(d) and (not size or d[at + offset : at + offset + 4] == b"PK\x01\x02"):
-            return end + 22 + note
-        end = d.find(b"PK\x05\x06", end + 4)
-    return None
+    """Members from one local header to the next, then the directory, whose place and size its end record states."""
+    k = at
+    while d[k : k + 4] == b"PK\x03\x04" and k + 30 <= len(d):
+        flags, packed, name, extra = struct.unpack_from("<H10xI4xHH", d, k + 6)
+        k += 30 + name + extra + packed
+        if flags & 8:  # sizes follow the data: look for the next header
+            k = d.find(b"PK", k)
+            while k >= 0 and d[k : k + 4] not in (b"PK\x03\x04", b"PK\x01\x02"):
+                k = d.find(b"PK", k + 2)
+            if k < 0:
+                return None
+    start = k
+    while d[k : k + 4] == b"PK\x01\x02" and k + 46 <= len(d):
+        k += 46 + sum(struct.unpack_from("<HHH", d, k + 28))
+    if d[k : k + 4] != b"PK\x05\x06" or k + 22 > len(d):
+        return None
+    size, offset, note = struct.unpack_from("<IIH", d, k + 12)
+    return k + 22 + note if (size, offset) == (k - start, start - at) and k + 22 + note <= len(d) else None
 
 
 def _gzip(d: bytes, at: int) -> int | None:
+    """To the end of the member; inflated a piece at a time, none of which is kept."""
+    z, view, k = zlib.decompressobj(31), memoryview(d), at
     try:
-        z = zlib.decompressobj(31)
-        z.decompress(d[at:])
-        return len(d) - len(z.unused_data) if z.eof else None
+        while not z.eof:
+            if z.unconsumed_tail:
+                z.decompress(z.unconsumed_tail, PIECE)
+            elif k < len(d):
+                z.decompress(view[k : k + PIECE], PIECE)
+                k += PIECE
+            else:
+                return None
     except zlib.error:
         return None
+    return min(k, len(d)) - len(z.unused_data)
 
 
 def _bmp(d: bytes, at: int) -> int | None:
@@ -267,8 +313,12 @@ def features(samples: np.ndarray) -> str:
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """Stores every text as media, reads it back through the sniffer and digests it."""
-    types = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, true_type string"
+    """Stores every text as media, reads it back through the sniffer and digests it.
+
+    Cells are declared as the text that they came from, so the sniffer corrects every one; what media
+    a payload holds itself is carved from it (``embedded``: type, offset and length of each).
+    """
+    types = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, true_type string, corrected boolean, embedded array<struct<type: string, offset: long, length: long>>"
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sniffer = Sniffer()
@@ -277,11 +327,14 @@ def media_columns(docs: DataFrame) -> DataFrame:
                 b = batch.slice(at, 512)
                 rows = []
                 for doc_id, n, media in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True):
-                    first = sniffer.find(media)[0]
-                    payload = from_png(media[first.start : first.stop])
-                    rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(np.frombuffer(payload, np.uint8)), first.kind))
-                cols = zip(*rows, strict=True)
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
-                yield pa.record_batch([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in types.split(", ")])
+                    first = next(iter(sniffer.find(media)), None)
+                    if first is None or (first.start, first.stop) != (0, len(media)):
+                        raise ValueError(f"the stored media of document {doc_id} are damaged")
+                    payload = from_png(media)
+                    inside = [{"type": f.kind, "offset": f.start, "length": f.stop - f.start} for f in sniffer.find(payload)]
+                    rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(np.frombuffer(payload, np.uint8)), first.kind, first.kind != DECLARED, inside))
+                names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "true_type", "corrected", "embedded"]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.struct([("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))]
+                yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return in_batches(stored_media(docs)).mapInArrow(digest, types)
