@@ -21,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a temporary folder is made.
+    Only where that is unset and everything runs on this machine, as in tests, a temporary folder is made.
     """
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not where:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = getattr(sc, "_scanlode_shared", None)
         if where is None:
             where = "file://" + tempfile.mkdtemp(prefix="scanlode-")
@@ -65,13 +67,16 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-#: Rows in an Arrow batch: texts of several kilobytes each make the default of 10,000 too large.
-BATCH_ROWS = 2000
+#: Rows and bytes of an Arrow batch: texts of several kilobytes each make Spark's 10,000 rows too large.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "32m")}
 
 
 def in_batches(df: DataFrame) -> DataFrame:
-    """``df`` itself, with Arrow batches of ``BATCH_ROWS`` rows from now on in its session."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """``df`` itself, in a session whose Arrow batches are bounded by ``BATCH``; a bound that the user has set stays."""
+    conf = df.sparkSession.conf
+    for key, (default, own) in BATCH.items():
+        if conf.get(key, default) == default:
+            conf.set(key, own)
     return df
 
 

@@ -105,9 +105,49 @@ def test_mixed_documents_hold_the_words_taken(spark, sf):
     assert words == {k: v for k, v in taken.items() if v}
 
 
+def test_rows_without_id_are_in_random_order(spark):
+    docs = documents(spark, [(None, f"word{i} " * (i % 5 + 1), "a") for i in range(300)])
+    keys = mixing._taken(docs, [], 17)
+    assert keys.where("taken > 0").count() and rows_of(mixing.mix(docs), "size", "taken") == rows_of(mixing.mix(docs.repartition(5)), "size", "taken")
+    taken = [r["taken"] > r["size"] for r in mixing.mix(docs).collect() if r["size"] == 1]
+    assert 0 < sum(taken) < len(taken)
+
+
 # 2: language
 
 
+def naive_log_probabilities(net, window):
+    peaks = []
+    for w in language_id.WIDTHS:
+        places = [sum(net.tables[w][k][window[i + k]].astype(np.float64) for k in range(w)) for i in range(language_id.WINDOW - w + 1)]
+        peaks.append(np.maximum(0, np.max(places, axis=0)))
+    z = np.concatenate(peaks) @ net.top + net.bias
+    return z - z.max() - np.log(np.exp(z - z.max()).sum())
+
+
+def test_predictions_equal_a_plain_forward_pass():
+    net = language_id.ByteNet(["aa", "bb", "cc"]).freeze()
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("abcdeéß漢ñ") for _ in range(rng.randint(1, 9))) for _ in range(n)) for n in (1, 2, 30, 90, 400)]
+    langs, scores = language_id._predict(net, texts)
+    for t, lang, score in zip(texts, langs, scores, strict=True):
+        x = language_id.windows_of(t)
+        weight = (x != 0).sum(axis=1)
+        mean = sum(naive_log_probabilities(net, row) * n for row, n in zip(x, weight, strict=True)) / weight.sum()
+        p = np.exp(mean - mean.max())
+        p /= p.sum()
+        assert net.languages[int(p.argmax())] == lang and abs(p.max() - score) < 1e-4
+
+
+def test_training_rows_keep_to_their_bound(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "PER_LANGUAGE", 20)
+    docs = spark.createDataFrame([(i, f"text number {i} " * 300, "en" if i % 3 else "fr") for i in range(600)] + [(7, "same", "de")] * 500, "doc_id long, text string, lang string")
+    rows = language_id.training_rows(docs, F.lit(True))
+    n = Counter(k for k, _ in rows)
+    assert 10 <= n["en"] <= 20 and 10 <= n["fr"] <= 20 and n["de"] <= 1
+    assert all(w.shape[1] == language_id.WINDOW and len(w) <= language_id.WINDOWS for _, w in rows)
+
+
 def test_language_accuracy_on_held_out_documents(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     got = language_id.language_id(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
@@ -419,6 +459,7 @@ def test_sequences_have_one_length_and_masks(spark, odd):
         n = sum(len(ids) for ids, _ in reader.batches) // token_files.LENGTH
         masks = [reader.sequence(i) for i in range(n)]
         assert all(len(ids) == token_files.LENGTH == len(mask) for ids, mask in masks) and sum(int(m.sum()) for _, m in masks) == total
+        assert all(not x.flags.owndata and not x.flags.writeable for pair in masks for x in pair)  # views of the mapped file
 
 
 def test_pieces_cover_every_token_once(odd, none):
@@ -445,6 +486,7 @@ def test_pieces_cover_every_token_once(odd, none):
 def test_media_round_trip(odd, none):
     import hashlib
 
+    stored = {(r["doc_id"], r["n_bytes"]): bytes(r["media"]) for r in media.stored_media(odd).collect()}
     got = sorted(media.media_columns(odd).collect(), key=repr)
     texts = {}
     for r in odd.collect():
@@ -452,10 +494,75 @@ def test_media_round_trip(odd, none):
     for r in got:
         raw = (texts[r["doc_id"]] or "").encode()
         padded = raw.ljust(max(1, -(-len(raw) // 192)) * 192)
+        cell, x = stored[r["doc_id"], r["n_bytes"]], np.frombuffer(padded, np.uint8).reshape(-1, 3).astype(float)
+        assert (r["media_bytes"], r["media_sha256"], r["corrected"]) == (len(cell), hashlib.sha256(cell).hexdigest(), True)
+        assert r["feature"] == f"rgb64x{len(padded) // 192};mean=" + ",".join(f"{v:.3f}" for v in x.mean(axis=0)) + ";sd=" + ",".join(f"{v:.3f}" for v in x.std(axis=0)) + f";used={len(set(padded))}"
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["true_type"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]), "image/png")
     assert len(got) == odd.count() and media.media_columns(none).count() == 0
 
 
+def test_media_within_a_text_are_carved(spark):
+    pdf = "%PDF-1.4\nstartxref\n0\n%%EOF\n"
+    rows = media.media_columns(documents(spark, [(1, f"é before {pdf} after", "a"), (2, "nothing", "a")])).collect()
+    got = {r["doc_id"]: [tuple(e) for e in r["embedded"]] for r in rows}
+    assert got == {1: [("application/pdf", 10, len(pdf))], 2: []}
+
+
+def filtered_png(pixels, kind):
+    """A PNG of one filter kind, coded by the format's definition."""
+    import struct
+
+    h, w, c = pixels.shape
+    raw = b""
+    for y in range(h):
+        line = bytearray()
+        for x in range(w):
+            for k in range(c):
+                left, up = int(pixels[y, x - 1, k]) if x else 0, int(pixels[y - 1, x, k]) if y else 0
+                corner = int(pixels[y - 1, x - 1, k]) if x and y else 0
+                p = left + up - corner
+                paeth = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
+                line.append((int(pixels[y, x, k]) - [0, left, up, (left + up) // 2, paeth][kind]) & 255)
+        raw += bytes([kind]) + bytes(line)
+    chunk = lambda n, d: struct.pack(">I", len(d)) + n + d + struct.pack(">I", zlib.crc32(n + d))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("kind", range(5))
+def test_every_png_filter_is_undone(kind):
+    pixels = np.random.default_rng(kind).integers(0, 256, (7, 5, 3), np.uint8)
+    assert media.from_png(filtered_png(pixels, kind)) == pixels.tobytes()
+
+
+def test_validators_hold_to_structure():
+    import gzip
+    import io
+    import struct
+    import zipfile
+
+    sniffer = media.Sniffer()
+    chunk = lambda n, d: struct.pack(">I", len(d)) + n + d + struct.pack(">I", zlib.crc32(n + d))
+    empty = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 2, 0, 0, 0)) + chunk(b"IEND", b"")
+    assert sniffer.find(empty) == []
+    two = b"%PDF-1.4\nstartxref\n0\n%%EOF\nmore\nstartxref\n9\n%%EOF\n"
+    assert [(f.start, f.stop) for f in sniffer.find(two + b"tail")] == [(0, len(two))]
+    assert [(f.start, f.stop) for f in sniffer.find(two + two)] == [(0, len(two)), (len(two), 2 * len(two))]
+    bomb = gzip.compress(bytes(50_000_000))
+    assert [(f.kind, f.stop) for f in sniffer.find(bomb + b"x")] == [("application/gzip", len(bomb))] and sniffer.find(bomb[:-3]) == []
+    streamed = io.BytesIO()
+    with zipfile.ZipFile(streamed, "w", zipfile.ZIP_DEFLATED) as f:
+        for i in range(3):
+            with f.open(f"{i}.txt", "w") as m:
+                m.write(b"text" * 100)
+    z = streamed.getvalue()
+    assert [(f.kind, f.start, f.stop) for f in sniffer.find(b"__" + z + b"__")] == [("application/zip", 2, 2 + len(z))] and sniffer.find(z[:-1]) == []
+    with pytest.raises(ValueError):
+        media.from_png(empty)
+    for many in (b"PK\x03\x04" * 100_000, b"%PDF-1" * 100_000, b"BM" * 100_000, b"\xff\xd8\xff" * 100_000):
+        began = time.process_time()
+        assert sniffer.find(many) == [] and time.process_time() - began < 20
+
+
 def test_sniffing_corrects_and_carves(spark):
     import gzip
     import io
