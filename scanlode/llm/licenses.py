@@ -1,11 +1,14 @@
 """License scans, with DataFrame functions only: MinHash bands over text windows retrieve templates, exact containment verifies.
 
 Texts and templates are words of ASCII letters and digits in lower case; shingles
-are five words. Every template gets the window length at hand that is the least to
-hold it; windows of each length start every quarter of their length. A window's
-signature holds ``BANDS`` minima of one row each, so a window that shares a third of
-the union of shingles with a template misses it with probability (2/3)^24 = 6e-5,
-and one that shares half with 6e-8. Retrieved templates are then compared
+are five words. Every template, of any length, gets the least window length that
+holds it, at most half as long again; windows of each length start every quarter of
+their length. A window's signature holds ``BANDS`` minima of one row each. Were the
+minima independent, a window that shares a third of the union of shingles with a
+template would miss it with probability (2/3)^24 = 6e-5, and one that shares half with
+6e-8. They are minima under masks of one hash: measured on random sets of 10 to 150
+shingles, none of 20,000 pairs of each size was missed at a third or at half; of five
+shingles, 2 in 8 shared, 0.3 %. Retrieved templates are then compared
 exactly: the share of a template's shingles that the whole document holds must be
 0.8 or more.
 
@@ -29,10 +32,11 @@ from pyspark.sql import functions as F
 from scanlode.llm.common import materialize
 
 WORDS, LEAST, BANDS = 5, 0.8, 24
-LENGTHS = (6, 9, 14, 21, 32, 48, 72, 108, 162)
-ANCHORS = ("license", "licensed", "copyright", "software", "warranty", "modification", "mpl")
+#: Window lengths: each is half as long again as the one before, from this one up to what the templates need.
+SHORTEST = 6
+ANCHORS = ("license", "licensed", "copyright", "software", "warranty", "warranties", "liability", "liable", "disclaimer", "disclaimed", "permission", "redistribution", "redistributions", "damages", "modification", "mpl", "eclipse")
 #: Every anchor begins with one of these; a text without them needs no splitting.
-BEGINNINGS = ("licens", "copyright", "software", "warrant", "modification", "mpl")
+BEGINNINGS = ("licens", "copyright", "software", "warrant", "liab", "disclaim", "permission", "redistribution", "damages", "modification", "mpl", "eclipse")
 
 #: Notices of public licenses: fixed values.
 TEMPLATES = {
@@ -54,6 +58,16 @@ TEMPLATES = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "AGPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "MIT-whole": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "BSD-2-whole": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "BSD-3-whole": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "ISC-whole": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "BSL-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.",
+    "Unlicense-whole": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
     "CC0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
 }
 
@@ -64,6 +78,14 @@ def template_words(text: str) -> list[str]:
     return re.findall("[a-z0-9]+", text.translate(str.maketrans(UPPER, LOWER)))
 
 
+def window_for(n_words: int) -> int:
+    """The least window length that holds a template of so many words."""
+    n = SHORTEST
+    while n < n_words:
+        n += -(-n // 2)
+    return n
+
+
 def check_templates(templates: dict[str, str]) -> None:
     """Anchors must touch more than a fifth of each template's shingles."""
     for name, text in templates.items():
@@ -111,7 +133,7 @@ def windows_near(n: int) -> Column:
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     """template, window, shingles (distinct hashes): a constant table."""
     check_templates(templates)
-    rows = [(name, min((n for n in LENGTHS if n >= len(template_words(text))), default=LENGTHS[-1]), text) for name, text in templates.items()]
+    rows = [(name, window_for(len(template_words(text))), text) for name, text in templates.items()]
     table = spark.createDataFrame(rows, "template string, window int, text string")
     return table.select("template", "window", hashes(words(F.col("text"))).alias("h")).select("template", "window", F.array_distinct("h").alias("shingles"))
 
@@ -120,7 +142,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """doc_id, template, n_shingles (the template's), containment, first_word (place of the first shared shingle, from 0)."""
     spark = docs.sparkSession
     known = template_table(spark, templates)
-    used = sorted({min((n for n in LENGTHS if n >= len(template_words(t))), default=LENGTHS[-1]) for t in templates.values()})
+    used = sorted({window_for(len(template_words(t))) for t in templates.values()})
     near = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(reduce(or_, (F.lower("text").contains(x) for x in BEGINNINGS)))
     near = materialize(near.select("doc_id", words(F.col("text")).alias("w")), "license-words")
     anchor = F.transform("w", lambda x, i: F.when(x.isin(*ANCHORS), i))

@@ -690,10 +690,22 @@ def test_license_scan(spark, none):
     assert set(got) == {(1, "Apache-2.0-line"), (2, "MIT"), (7, "CC-BY-NC-4.0-line"), (9, "BSD")}
     assert got[1, "Apache-2.0-line"]["containment"] == 1.0 and got[1, "Apache-2.0-line"]["first_word"] == 300 and 0.8 <= got[2, "MIT"]["containment"] < 1
     assert licenses.scan(none).count() == 0
+    whole = {n: x for n, x in t.items() if n.endswith("-whole") or n in ("Zlib", "BSL-1.0")}
+    rows = [(i, f"{fill} {' '.join(w for k, w in enumerate(x.split()) if k % 40)} {fill}", "a") for i, x in enumerate(whole.values())]
+    found = {(r["doc_id"], r["template"]) for r in licenses.scan(documents(spark, rows)).collect()}
+    assert {(i, n) for i, n in enumerate(whole)} <= found
     with pytest.raises(ValueError):
         licenses.check_templates({"x": "a b c d e f"})
 
 
+def test_license_windows_of_any_length(spark):
+    words = [f"w{i} license" for i in range(1000)]
+    long = " ".join(words)
+    docs = documents(spark, [(1, "before " * 50 + long + " after" * 50, "a"), (2, " ".join(words[:700]), "a"), (3, " ".join(words[:850]), "a")])
+    got = {r["doc_id"]: r["containment"] for r in licenses.scan(docs, {"long": long}).collect()}
+    assert got[1] == 1.0 and 0.8 <= got[3] < 0.86 and 2 not in got and licenses.window_for(2000) < 3000
+
+
 # the pipeline
 
 
