@@ -129,17 +129,28 @@ def _table(column, width: int = HASHES) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, width)
 
 
+#: Names a split of a hub's members: splits of a hub that leads buckets of several sizes are counted by size.
+HUB_SPLIT = ["a", "splits", "split"]
+
+
 def _posterior(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
             stays = survives(_table(b.column("sig_a")), _table(b.column("sig_b")))
-            yield pa.record_batch([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(stays))
+            yield b.select([*HUB_SPLIT, "b"]).filter(pa.array(stays))
+
+
+def _to_splits(pairs: DataFrame, of_hub: DataFrame) -> DataFrame:
+    """Columns of the hubs (key a), once for each split of their members: no split is a hot key."""
+    return pairs.select(*HUB_SPLIT).distinct().join(of_hub, "a")
 
 
 def plausible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose signatures survive the sequential comparison."""
-    one, two = (reps.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-    return in_batches(pairs.join(one, "a").join(two, "b").select("a", "b", "sig_a", "sig_b")).mapInArrow(_posterior, "a long, b long")
+    """Pairs (``HUB_SPLIT``, b) whose signatures survive the sequential comparison."""
+    one = _to_splits(pairs, reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")))
+    two = reps.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
+    rows = pairs.join(one, HUB_SPLIT).join(two, "b").select(*HUB_SPLIT, "b", "sig_a", "sig_b")
+    return in_batches(rows).mapInArrow(_posterior, "a long, splits long, split long, b long")
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -175,17 +186,12 @@ def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose full sets are near enough, in a table.
-
-    A hub's members are dealt into splits of about ``SPLIT``; the hub's text goes once to each split.
-    """
+    """Links (a, b) of the pairs whose full sets are near enough, in a table; a hub's text goes once to each split of its members."""
     pairs = materialize(pairs, "near-pairs")
     texts = texts_of(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct(), docs)
-    splits = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SPLIT).alias("splits"))
-    members = pairs.join(splits, "a").select("a", F.pmod(F.xxhash64("b"), F.col("splits")).alias("split"), "b")
-    own = members.join(texts.withColumnRenamed("rep", "b"), "b").select("a", "split", "b", "text")
-    hubs = members.select("a", "split").distinct().join(texts.withColumnRenamed("rep", "a"), "a").select("a", "split", F.lit(None).cast("long").alias("b"), "text")
-    rows = own.unionByName(hubs).repartition("a", "split").sortWithinPartitions("a", "split", F.asc_nulls_first("b"))
+    own = pairs.join(texts.withColumnRenamed("rep", "b"), "b").select(*HUB_SPLIT, "b", "text")
+    hubs = _to_splits(pairs, texts.withColumnRenamed("rep", "a")).select(*HUB_SPLIT, F.lit(None).cast("long").alias("b"), "text")
+    rows = own.unionByName(hubs).repartition(*HUB_SPLIT).sortWithinPartitions(*HUB_SPLIT, F.asc_nulls_first("b"))
     out = materialize(in_batches(rows).mapInArrow(_against_hub, "a long, b long"), "near-links")
     discard(pairs)
     discard(texts)
@@ -343,7 +349,9 @@ def grouped(docs: DataFrame, by_id: bool) -> DataFrame:
     hubs = rows.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = materialize(rows.join(hubs, "key").select("key", "band", "rep", "n", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"), "members").where("rep != hub"), "buckets")
     fits = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * NEAR_PERCENT
-    pairs = shared.where(fits).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    # A bucket's size tells how many splits its hub's members need; a pair that several buckets hold is taken from the smallest.
+    pairs = shared.where(fits).groupBy(F.col("hub").alias("a"), F.col("rep").alias("b")).agg(F.ceil(F.min("members") / SPLIT).alias("splits"))
+    pairs = pairs.select("a", "splits", F.pmod(F.xxhash64("b"), F.col("splits")).alias("split"), "b")
     links = confirmed(plausible(pairs, reps), docs)
     if by_id:
         links = links.unionByName(_one_id(signs, classes))
