@@ -15,18 +15,28 @@ from scanlode.llm.common import discard, materialize
 MOST_ROUNDS = 60
 
 
+#: Parts that a node's neighbours are dealt into, so that a star's centre is no hot key.
+PARTS = 64
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``edges(a, b)`` with m of ``least(a, m)``: the least goes once to each part of a node's neighbours that is there."""
+    rows = edges.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS)))
+    return rows.join(rows.select("a", "part").distinct().join(least, "a"), ["a", "part"]).select("a", "b", "m")
+
+
 def _large(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node points to the least of the node and its neighbours."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
+    return _with_least(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Every neighbour below a node, and the node itself, point to the least neighbour."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
+    moved = _with_least(down, least).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 

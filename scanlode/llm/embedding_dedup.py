@@ -50,6 +50,8 @@ NEAR_BITS, LOOSE_BITS, CROWD = 26, 38, 16
 PER_TASK, AT_ONCE = 100_000, 4096
 #: Vectors of a block of a region, the side of the tiles that a pair of blocks multiplies, and the pairs computed again at a time.
 BLOCK, TILE, AGAIN = 4096, 1024, 4096
+#: Regions that fit one block are cut into so many too, of so many vectors at least, to be several units.
+SPREAD, LEAST_BLOCK = 4, 256
 KEYS = "unit long, pass int, k1 long, k2 long, rep long"
 
 
@@ -299,7 +301,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _regions(reps: DataFrame, of: DataFrame) -> DataFrame:
     """Links (a, b) that span each region's components, and (a, others) counts; ``of(node, component)`` are the regions."""
     rows = reps.join(of.select(F.col("node").alias("rep"), F.col("component").alias("region")), "rep").select("region", "rep", "copies", "v")
-    blocks = of.groupBy(F.col("component").alias("region")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    blocks = of.groupBy(F.col("component").alias("region")).agg(F.count(F.lit(1)).alias("n"))
+    blocks = blocks.select("region", F.greatest(F.ceil(F.col("n") / BLOCK), F.least(F.lit(SPREAD), F.ceil(F.col("n") / LEAST_BLOCK))).cast("int").alias("blocks"))
     dealt = rows.join(blocks, "region").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.select("region", "rep", "copies", "v", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     low, high = F.least("block", "other"), F.greatest("block", "other")

@@ -34,7 +34,8 @@ import html as _html
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -104,8 +105,7 @@ class Block:
     good: bool = False
 
 
-@dataclass(frozen=True)
-class Place:
+class Place(NamedTuple):
     """What holds inside an element: out of the page's text for sure, furniture, article, heading, its number and its parent's."""
 
     apart: bool = False
@@ -177,8 +177,8 @@ class _Reader:
 
     def close(self) -> None:
         b, p = self.now, self.place
-        b.text = " ".join(_html.unescape("".join(b.parts)).split())
-        if b.text:
+        if b.parts and (text := " ".join(_html.unescape("".join(b.parts)).split())):
+            b.text = text
             self.done.append(b)
             if b.heading and _COMMENTS_HEAD.fullmatch(b.text):
                 self._apart_from_here()
@@ -190,7 +190,7 @@ class _Reader:
         for i in range(len(self.stack) - 1, -1, -1):
             name, around = self.stack[i]
             if name in _HEADINGS:
-                self.stack[i] = (name, replace(around, apart=True))
+                self.stack[i] = (name, around._replace(apart=True))
                 return
 
     def say(self, text: str) -> None:
