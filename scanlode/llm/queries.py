@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanlode.llm import embedding_dedup, html_text, language_id, licenses, media, minhash_dedup, mixing, packing, token_files, toxicity
+from scanlode.llm import byte_bpe, embedding_dedup, html_text, language_id, licenses, media, minhash_dedup, mixing, packing, periodic_runs, spelling, token_files, toxicity
 from scanlode.llm.common import table
 
 
@@ -50,8 +50,20 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), byte_bpe.ranks_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_mixing, op2_language_id, op3_toxicity, op4_html_text, op5_embedding_near_dedup, op6_token_files, op7_media_columns, op8_packing, op9_minhash_near_dedup, op10_license_scan)
+    own = (op1_mixing, op2_language_id, op3_toxicity, op4_html_text, op5_embedding_near_dedup, op6_token_files, op7_media_columns, op8_packing, op9_minhash_near_dedup, op10_license_scan, op11_spelling_variants, op12_periodic_runs, op13_byte_bpe)
     return {f.__name__: f for f in own}
 
 
@@ -113,4 +125,4 @@ FROM documents d JOIN comps ON a = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.do
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op5_embedding_near_dedup": OP5_SQL, "op9_minhash_near_dedup": OP9_SQL, "op10_license_scan": licenses.oracle()}
+    return {"op1_mixing": OP1_SQL, "op5_embedding_near_dedup": OP5_SQL, "op9_minhash_near_dedup": OP9_SQL, "op10_license_scan": licenses.oracle(), "op11_spelling_variants": spelling.ORACLE}
