@@ -111,6 +111,23 @@ def first_line(text: Column) -> Column:
     return F.when(F.coalesce(t, F.lit("")) == "", "No fix given.").otherwise(F.element_at(F.split(t, "\n"), 1))
 
 
+#: Named character references: fixed values, the ampersand last.
+REFERENCES = (("&quot;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
+NUMBERED = r"&#(?:[xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});"
+
+
+def unescaped(html: Column) -> Column:
+    """Text in which character references, named or numbered, are characters; a number that is no character is left out."""
+    codes = F.regexp_extract_all(html, F.lit(NUMBERED), F.lit(0))
+    digits = lambda c: F.regexp_extract(c, r"[0-9A-Fa-f]+", 0)
+    number = lambda c: F.when(F.lower(c).startswith("&#x"), F.conv(digits(c), 16, 10).cast("long")).otherwise(digits(c).cast("long"))
+    sign = lambda n: F.when(((n > 0) & (n < 0xD800)) | ((n > 0xDFFF) & (n < 0x110000)), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("")
+    out = F.array_join(F.zip_with(F.split(html, NUMBERED), codes, lambda gap, c: F.concat(gap, F.when(c.isNull(), "").otherwise(sign(number(c))))), "")
+    for name, char in REFERENCES:
+        out = F.replace(out, F.lit(name), F.lit(char))
+    return out
+
+
 def glob_regex(glob: str) -> str:
     """A path glob relative to the scan root, with ``**`` for any number of folders."""
     out, i = "", 0

@@ -6,20 +6,20 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanlode.functions import columns as C
 from scanlode.functions.domains import MANIFESTS
+from scanlode.functions.versions import after, package_name, sort_key
 from scanlode.operators.findings import COLUMNS, no_evidence
 
-ADVISORY = "id string, ecosystem string, name string, aliases array<string>, severity array<struct<type: string, score: string>>, summary string, affected array<struct<ranges: array<struct<events: array<struct<introduced: string, fixed: string>>>>>>"
+ADVISORY = "id string, ecosystem string, name string, aliases array<string>, severity array<struct<type: string, score: string>>, summary string, affected array<struct<ranges: array<struct<type: string, events: array<struct<introduced: string, fixed: string, last_affected: string>>>>, versions: array<string>>>"
 #: A requirement's name, comparison and version, and one of nothing but a name.
 PINNED = r"^([\w.-]+)\s*(?:={1,3}|[~!<>^]=?)\s*(\d[^\s,;]*)"
 BARE = r"^[\w.-]+$"
-#: An entry of a lock file's section: a name and its version, indented by four.
-GEM = r"^ {4}([\w-]+) +\((\d[^)]*)\)"
 SECTIONS = ("dependencies", "devDependencies", "peerDependencies")
 
 
@@ -58,9 +58,14 @@ def go_mod(content: Column) -> Column:
 
 
 def gemfile_lock(content: Column) -> Column:
-    """Entries of the GEM section: the text is cut where a line is not indented, and each part begins with its heading."""
+    """Entries of the GEM section: the text is cut where a line is not indented, and each part begins with its heading.
+
+    An entry is indented by four and has its version in brackets; what is indented deeper is only required by it.
+    """
     own = F.filter(F.split(F.concat(F.lit("\n"), content), r"\n(?=\S)"), lambda x: x.rlike(r"^GEM[ \t]*(?:\r?\n|$)"))
-    return F.transform(F.flatten(F.transform(own, C.lines)), lambda t: _entry(F.regexp_extract(t, GEM, 1), F.regexp_extract(t, GEM, 2)))
+    entries = F.filter(F.flatten(F.transform(own, C.lines)), lambda t: t.startswith(" " * 4) & ~t.startswith(" " * 5) & t.contains("("))
+    version = lambda t: F.substring_index(F.substring_index(t, "(", -1), ")", 1)
+    return F.transform(F.filter(entries, lambda t: version(t).rlike(r"^\d")), lambda t: _entry(C.stripped(F.substring_index(t, "(", 1)), version(t)))
 
 
 def dependencies(files: DataFrame) -> DataFrame:
@@ -74,22 +79,32 @@ def dependencies(files: DataFrame) -> DataFrame:
     return rows.where((F.size("entries") > 0) & F.col("ecosystem").isNotNull()).mapInArrow(_located, "file_path string, ecosystem string, name string, version string, line int")
 
 
+def _first_places(text: str, names: set[str]) -> dict[str, int]:
+    """Where each name first stands in a text, from one walk over it."""
+    automaton = ahocorasick.Automaton()
+    for name in names:
+        automaton.add_word(name, name)
+    automaton.make_automaton()
+    first: dict[str, int] = {}
+    for end, name in automaton.iter(text):
+        if name not in first:
+            first[name] = end - len(name) + 1
+            if len(first) == len(names):
+                break
+    return first
+
+
 def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per entry with its line. A text is searched for each of its names, so this runs where searching a long text is cheapest."""
+    """A row per entry with its line: one walk over a text finds all its names."""
     for b in batches:
         for path, eco, content, entries in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            text = content.encode()
-            feeds = [m.start() for m in re.finditer(b"\n", text)]
-            lines = [1 + bisect_left(feeds, max(0, text.find(e["name"].encode()))) for e in entries]
+            feeds = [m.start() for m in re.finditer("\n", content)]
+            first = _first_places(content, {e["name"] for e in entries})
+            lines = [1 + bisect_left(feeds, first.get(e["name"], 0)) for e in entries]
             n = len(entries)
             yield pa.record_batch([pa.array([path] * n, pa.string()), pa.array([eco] * n, pa.string()), pa.array([e["name"] for e in entries], pa.string()), pa.array([e["version"] for e in entries], pa.string()), pa.array(lines, pa.int32())], names=["file_path", "ecosystem", "name", "version", "line"])
 
 
-def version_key(version: Column) -> Column:
-    """Numbers of a version, for comparing as arrays."""
-    return F.transform(F.regexp_extract_all(version, F.lit(r"\d+"), F.lit(0)), lambda x: F.try_element_at(F.array(x.cast("long")), F.lit(1)))
-
-
 def severity_of(scores: Column) -> Column:
     """From the first numeric score of 4 or more; MEDIUM if there is none (score vectors count as none)."""
     numbers = F.filter(F.transform(F.coalesce(scores, F.array().cast("array<struct<type:string,score:string>>")), lambda s: s["score"].try_cast("double")), lambda x: x >= 4)
@@ -101,19 +116,47 @@ def alias_of(advisory_id: Column, aliases: Column) -> Column:
     return F.coalesce(F.try_element_at(F.filter(aliases, lambda a: a.startswith("CVE-")), F.lit(1)), advisory_id)
 
 
-def fixed_in(affected: Column) -> Column:
-    """The first fixed version that is named."""
-    events = F.flatten(F.flatten(F.transform(affected, lambda a: F.transform(a["ranges"], lambda r: r["events"]))))
-    return F.try_element_at(F.filter(F.transform(events, lambda e: e["fixed"]), lambda x: x.isNotNull()), F.lit(1))
+def affected_spans(advisories: DataFrame) -> DataFrame:
+    """Rows of advisories as spans of sorted version keys: id, ecosystem, name, low (included), high (excluded; null: open), fixed.
+
+    A range's events are swept in version order: a version is affected from an introduction on
+    to the next fix, or to just behind the next version that is named as the last affected.
+    Versions that are listed by name are spans of their own. Ranges of commits are left out.
+    """
+    own = advisories.select("id", "ecosystem", package_name(F.col("ecosystem"), F.col("name")).alias("name"), F.explode("affected").alias("a"), F.monotonically_increasing_id().alias("_a"))
+    key = lambda v: sort_key(F.col("ecosystem"), v)
+    ranges = own.select("id", "ecosystem", "name", "_a", F.posexplode("a.ranges").alias("_r", "r")).where(F.coalesce("r.type", F.lit("")) != "GIT")
+    events = ranges.select("id", "ecosystem", "name", "_a", "_r", F.posexplode("r.events").alias("_e", "e"))
+    opens, closes = F.col("e.introduced"), F.coalesce("e.fixed", "e.last_affected")
+    place = F.when(opens == "0", "").when(opens.isNotNull(), key(opens)).when(F.col("e.fixed").isNotNull(), key(F.col("e.fixed"))).otherwise(after(key(F.col("e.last_affected"))))
+    swept = events.where(opens.isNotNull() | closes.isNotNull()).withColumn("low", place).where("low IS NOT NULL")
+    # An introduction stands before a fix of the same version.
+    order = Window.partitionBy("_a", "_r", "id").orderBy("low", opens.isNull(), "_e").rowsBetween(1, Window.unboundedFollowing)
+    close = F.first(F.when(opens.isNull(), F.struct(F.col("low").alias("high"), F.col("e.fixed").alias("fixed"))), ignorenulls=True).over(order)
+    spans = swept.withColumn("close", close).where(opens.isNotNull()).select("id", "ecosystem", "name", "low", F.col("close.high").alias("high"), F.col("close.fixed").alias("fixed"))
+    named = own.select("id", "ecosystem", "name", F.explode("a.versions").alias("v")).select("id", "ecosystem", "name", key(F.col("v")).alias("low")).where("low IS NOT NULL")
+    return spans.unionByName(named.select("id", "ecosystem", "name", "low", after(F.col("low")).alias("high"), F.lit(None).cast("string").alias("fixed")))
 
 
 def vulnerable(deps: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Findings of dependencies older than an advisory's fix; an unknown version or fix counts as affected."""
-    adv = advisories.select("id", F.col("ecosystem").alias("_eco"), F.lower("name").alias("_name"), alias_of(F.col("id"), F.col("aliases")).alias("alias"), severity_of(F.col("severity")).alias("severity"), "summary", fixed_in(F.col("affected")).alias("fixed"))
-    rows = deps.join(adv, (F.col("ecosystem") == F.col("_eco")) & (F.lower("name") == F.col("_name")))
-    rows = rows.where((F.col("version") == "") | F.col("fixed").isNull() | (version_key(F.col("version")) < version_key(F.col("fixed"))))
+    """Findings of dependencies in an advisory's spans; a version that is unknown or no version counts as affected.
+
+    The fix is that of the branch the version is on; for an unknown version, or one that is only
+    listed by name, the newest that is named.
+    """
+    spans = affected_spans(advisories)
+    newest = F.max(F.when(F.col("fixed").isNotNull(), F.struct(F.col("high"), F.col("fixed")))).over(Window.partitionBy("_id", "_eco", "_name"))
+    spans = spans.select(F.col("id").alias("_id"), F.col("ecosystem").alias("_eco"), F.col("name").alias("_name"), "low", "high", "fixed").withColumn("newest", newest)
+    spans = spans.withColumns({"newest": F.col("newest.fixed")})
+    told = advisories.select(F.col("id").alias("_id"), F.col("ecosystem").alias("_eco"), package_name(F.col("ecosystem"), F.col("name")).alias("_name"), alias_of(F.col("id"), F.col("aliases")).alias("alias"), severity_of(F.col("severity")).alias("severity"), "summary")
+    rows = deps.withColumns({"_key": sort_key(F.col("ecosystem"), F.col("version")), "_pkg": package_name(F.col("ecosystem"), F.col("name"))})
+    inside = F.col("_key").isNull() | ((F.col("low") <= F.col("_key")) & (F.col("high").isNull() | (F.col("_key") < F.col("high"))))
+    hit = rows.join(spans, (F.col("ecosystem") == F.col("_eco")) & (F.col("_pkg") == F.col("_name")) & inside)
+    # An advisory may cover a version by several ranges.
+    known = F.when(F.col("_key").isNotNull() & F.col("fixed").isNotNull(), F.struct("high", "fixed"))
+    hit = hit.groupBy(*deps.columns, "_id", "_eco", "_name").agg(F.coalesce(F.min(known)["fixed"], F.max("newest")).alias("fixed"))
     own = {
         "rule_id": F.concat(F.lit("SCA-"), "alias"), "rule_name": F.concat(F.lit("Vulnerable dependency: "), "name"), "line_number": F.col("line"), "snippet": F.concat_ws(" ", "name", "version"),
         "description": F.coalesce("summary", F.lit("")), "fix": F.coalesce(F.concat(F.lit("Upgrade to "), "fixed", F.lit(" or later.")), F.lit("No fixed version is known.")), "language": F.lower("ecosystem"), "confidence": F.lit("HIGH"), "evidence": no_evidence(),
     }
-    return rows.withColumns(own).select(*COLUMNS)
+    return hit.join(told, ["_id", "_eco", "_name"]).withColumns(own).select(*COLUMNS)

@@ -1,12 +1,16 @@
 """Syntax-tree and taint analysis of Python files, as one Arrow pass per partition.
 
-A file is a row and is analysed on its own, so nothing is shuffled. Taint is a map
-from a name to the labels of where it came from, filled in one pass over a scope's
-assignments and loops; what a module's functions return is found first, by
-repeating over all functions until nothing changes (five rounds at most).
-Rules are entries of a table: a name, a test on a call, and whether the test's
-argument must be tainted. Every call is tried in its function's scope and, without
-taint, in the module's; the first finding of a line and rule stays.
+A file is a row and is analysed on its own, so nothing is shuffled. One walk over the
+tree gives each node to its innermost function and keeps what binds, loops, returns,
+tests and calls, outer things before inner ones. Taint is a map from a name to the
+labels of where it came from, filled in one pass over a function and all that is
+nested in it; what only a nested function's own parameters taint is known in that
+function alone. What functions return is found first: after a round over all, only
+those that call a name found in the round before are looked at again (five rounds
+at most). Rules are entries of a table: a name, a test on a call, and whether the
+test's argument must be tainted. Every call is tried once, in its innermost function,
+or without taint outside of all; the first finding of a line and rule stays. The work
+is linear in a file's nodes.
 """
 
 from __future__ import annotations
@@ -65,41 +69,51 @@ def source_label(node: ast.AST) -> str | None:
 
 
 class Scope:
-    """Labels of the tainted names of a function."""
-
-    def __init__(self, returns: set[str], function: ast.AST | None = None):
-        self.returns, self.names = returns, {}
-        if function is None:
-            return
-        for a in (*function.args.posonlyargs, *function.args.args):
-            if a.arg in PARAMETERS:
-                self.names[a.arg] = {f"param:{a.arg}"}
-        for node in ast.walk(function):
-            if isinstance(node, ast.Assign):
-                self._bind(node.targets, node.value)
-            elif isinstance(node, (ast.AnnAssign, ast.AugAssign, ast.NamedExpr)) and node.value is not None:
-                self._bind([node.target], node.value)
-            elif isinstance(node, (ast.For, ast.AsyncFor)) and source_label(node.iter):
-                self._add(node.target, {"loop:tainted_iter"})
-
-    def _bind(self, targets: list[ast.expr], value: ast.expr) -> None:
-        if self.dirty(value):
-            for t in targets:
-                self._add(t, self.labels(value))
-
-    def _add(self, target: ast.expr, labels: set[str]) -> None:
-        if isinstance(target, ast.Name):
-            self.names.setdefault(target.id, set()).update(labels)
+    """Labels of the tainted names of a function, and behind them those of the functions around it."""
+
+    def __init__(self, returns: set[str], outer: Scope | None = None, function: ast.AST | None = None):
+        self.returns, self.outer, self.names = returns, outer, {}
+        self.root: Scope = self if outer is None else outer.root
+        if function is not None:
+            for a in (*function.args.posonlyargs, *function.args.args):
+                if a.arg in PARAMETERS:
+                    self.names[a.arg] = {f"param:{a.arg}"}
+
+    def get(self, name: str) -> set[str] | None:
+        scope: Scope | None = self
+        while scope is not None:
+            if name in scope.names:
+                return scope.names[name]
+            scope = scope.outer
+        return None
+
+    def take(self, node: ast.AST) -> None:
+        """What a binding or a loop taints."""
+        if isinstance(node, (ast.For, ast.AsyncFor)):
+            if source_label(node.iter):
+                self.root._add([node.target], {"loop:tainted_iter"})
+        elif node.value is not None:
+            targets = node.targets if isinstance(node, ast.Assign) else [node.target]
+            # What the outermost function taints is seen by all in it, whichever binds it.
+            for scope in (self.root, self) if self is not self.root else (self,):
+                if scope.dirty(node.value):
+                    scope._add(targets, scope.labels(node.value))
+                    break
+
+    def _add(self, targets: list[ast.expr], labels: set[str]) -> None:
+        for t in targets:
+            if isinstance(t, ast.Name):
+                self.names.setdefault(t.id, set()).update(labels)
 
     def held(self, node: ast.AST) -> list[str]:
         """Tainted names anywhere in an expression."""
-        return [n.id for n in ast.walk(node) if isinstance(n, ast.Name) and n.id in self.names]
+        return [n.id for n in ast.walk(node) if isinstance(n, ast.Name) and self.get(n.id) is not None]
 
     def dirty(self, node: ast.AST) -> bool:
         if source_label(node):
             return True
         if isinstance(node, ast.Name):
-            return node.id in self.names
+            return self.get(node.id) is not None
         if isinstance(node, ast.JoinedStr):
             return any(isinstance(v, ast.FormattedValue) and self.dirty(v.value) for v in node.values)
         if isinstance(node, (ast.BinOp, ast.BoolOp)):
@@ -113,7 +127,7 @@ class Scope:
 
     def labels(self, node: ast.AST) -> set[str]:
         out = {s for n in ast.walk(node) if (s := source_label(n))}
-        out.update(*(self.names[n] for n in self.held(node)))
+        out.update(*(self.get(n) for n in self.held(node)))
         if not out and isinstance(node, ast.Call):
             out.add("call:" + ".".join(chain(node.func)))
         return out or {"unknown_source"}
@@ -121,7 +135,7 @@ class Scope:
     def dynamic(self, node: ast.AST) -> bool:
         """Text that is not fixed in the source."""
         if isinstance(node, ast.Name):
-            return node.id in self.names
+            return self.get(node.id) is not None
         if isinstance(node, ast.JoinedStr):
             return any(isinstance(v, ast.FormattedValue) for v in node.values)
         if isinstance(node, ast.BinOp):
@@ -132,18 +146,112 @@ class Scope:
         return self.dynamic(node) and (self.dirty(node) or (not isinstance(node, ast.Call) and bool(self.held(node))))
 
 
-def functions_of(tree: ast.Module) -> list[ast.AST]:
-    return [n for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]
+BINDINGS = (ast.Assign, ast.AnnAssign, ast.AugAssign, ast.NamedExpr, ast.For, ast.AsyncFor)
+
+
+class Function:
+    """A function and the one around it; an outermost one keeps, outer things first, what binds, returns and calls in it and all nested in it."""
 
+    def __init__(self, node: ast.AST, outer: Function | None):
+        self.node, self.outer = node, outer
+        self.root: Function = self if outer is None else outer.root
+        self.within = [self] if outer is None else None
+        self.root.within.append(self) if outer is not None else None
+        self.bindings: list[tuple[Function, ast.AST]] = []
+        self.returned: list[tuple[Function, ast.expr]] = []
+        self.calls: list[tuple[Function, ast.Call]] = []
+        self.scope: Scope | None = None
+
+    def fill(self, returns: set[str]) -> None:
+        """Scopes of an outermost function and those in it."""
+        for f in self.within:  # outer ones come first
+            f.scope = Scope(returns, f.outer.scope if f.outer else None, f.node)
+        for owner, node in self.bindings:
+            with suppress(RecursionError):
+                owner.scope.take(node)
+
+    def returning(self) -> set[Function]:
+        """Of an outermost function and those in it the ones that return outside data; a nested return counts for those around it too, but for what its own parameters taint."""
+        out: set[Function] = set()
+        for owner, value in self.returned:
+            if owner in out and self in out:
+                continue
+            with suppress(RecursionError):
+                if self.scope.dirty(value):
+                    f: Function | None = owner
+                    while f is not None and f not in out:
+                        out.add(f)
+                        f = f.outer
+                    out.add(self)
+                elif owner.scope.dirty(value):
+                    out.add(owner)
+        return out
+
+
+@dataclass
+class Outline:
+    """What one walk over a module finds, outer things before inner ones."""
+
+    functions: list[Function]
+    calls: list[ast.Call]
+    tests: list[ast.If]
+    loose: list[ast.Call]
 
-def returning(functions: list[ast.AST]) -> set[str]:
-    """Names of functions that return outside data; of equal names the last one counts."""
-    last, out = {f.name: f for f in functions}, set()
+    @property
+    def outermost(self) -> list[Function]:
+        return [f for f in self.functions if f.outer is None]
+
+
+def outline(tree: ast.Module) -> Outline:
+    out, todo, at = Outline([], [], [], []), [(tree, None)], 0
+    while at < len(todo):
+        node, owner = todo[at]
+        todo[at] = None
+        at += 1
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            owner = Function(node, owner)
+            out.functions.append(owner)
+        elif isinstance(node, ast.Call):
+            out.calls.append(node)
+            if owner is None:
+                out.loose.append(node)
+            else:
+                owner.root.calls.append((owner, node))
+        elif isinstance(node, ast.If):
+            out.tests.append(node)
+        elif owner is not None:
+            if isinstance(node, BINDINGS):
+                owner.root.bindings.append((owner, node))
+            elif isinstance(node, ast.Return) and node.value is not None:
+                owner.root.returned.append((owner, node.value))
+        todo.extend((child, owner) for child in ast.iter_child_nodes(node))
+    return out
+
+
+def returning(module: Outline) -> set[str]:
+    """Names of functions that return outside data; of equal names the last one counts. Scopes of all functions are filled with them."""
+    last = {f.node.name: f for f in module.functions}
+    callers: dict[str, set[Function]] = {}
+    for f in module.outermost:
+        for _, call in f.calls:
+            for name in chain(call.func)[-1:]:
+                if name in last:
+                    callers.setdefault(name, set()).add(f)
+    out: set[str] = set()
+    due = dict.fromkeys(module.outermost)
     for _ in range(ROUNDS):
-        more = {name for name, f in last.items() if name not in out and any(isinstance(n, ast.Return) and n.value is not None and Scope(out, f).dirty(n.value) for n in ast.walk(f))}
-        if not more:
+        known = frozenset(out)
+        found = set()
+        for f in due:
+            f.fill(known)
+            found.update(g.node.name for g in f.returning() if last[g.node.name] is g)
+        if not found - out:
             break
-        out |= more
+        due = dict.fromkeys(f for name in found - out for f in callers.get(name, ()))
+        out |= found
+    else:
+        for f in due:
+            f.fill(out)
     return out
 
 
@@ -256,39 +364,38 @@ def analyse(path: str, content: str | None) -> list[dict]:
 
     def judge(rule: tuple, c: Call) -> None:
         rule_id, _, _, _, test, needs, shows = rule
-        if needs and (c.first is None or not c.scope.risky(c.first)) or not test(c):
+        if needs and c.first is None or not test(c) or needs and not c.scope.risky(c.first):
             return
         sources = sorted(c.scope.labels(c.first)) if shows and c.first is not None and c.scope.dirty(c.first) else []
         proof = {"sink": ".".join(c.name), "sink_rule": None, "taint_sources": sources, "taint_path": f"{', '.join(sources)} -> {'.'.join(c.name)}"} if sources else None
         weaker = rule_id == "CMD003" and not sources
         emit((rule_id, rule[1], "MEDIUM") if weaker else rule, c.node.lineno, "MEDIUM" if weaker else "HIGH", proof)
 
-    def check(nodes: Iterator[ast.AST], scope: Scope) -> None:
-        opened, tested = [], {}
-        for node in nodes:
+    def check(node: ast.Call, scope: Scope) -> None:
+        c = Call(node, chain(node.func), scope)
+        for rule in RULES:
             with suppress(RecursionError):
-                if isinstance(node, ast.If):
-                    for dump, line in _tested_paths(node.test):
-                        tested[dump] = min(line, tested.get(dump, line))
-                elif isinstance(node, ast.Call):
-                    c = Call(node, chain(node.func), scope)
-                    for rule in RULES:
-                        with suppress(RecursionError):
-                            judge(rule, c)
-                    if c.name == ("open",) and c.first is not None:
-                        opened.append((ast.dump(c.first), node.lineno))
-        for dump, line in opened:
-            if dump in tested and tested[dump] <= line:
-                emit(RACE, line)
-
-    functions = functions_of(tree)
-    returns: set[str] = set()
+                judge(rule, c)
+
+    module = outline(tree)
     with suppress(RecursionError):
-        returns = returning(functions)
-    for f in functions:
+        returning(module)
+    for f in module.outermost:
+        for owner, node in f.calls:
+            check(node, owner.scope)
+    bare = Scope(set())
+    for node in module.loose:
+        check(node, bare)
+    tested: dict[str, int] = {}
+    for node in module.tests:
         with suppress(RecursionError):
-            check(ast.walk(f), Scope(returns, f))
-    check(ast.walk(tree), Scope(set()))
+            for dump, line in _tested_paths(node.test):
+                tested[dump] = min(line, tested.get(dump, line))
+    for node in module.calls if tested else ():
+        if node.args and chain(node.func) == ("open",):
+            with suppress(RecursionError):
+                if tested.get(ast.dump(node.args[0]), node.lineno + 1) <= node.lineno:
+                    emit(RACE, node.lineno)
     return list(found.values())
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from scanlode.functions import columns as C
 from scanlode.functions.domains import LOW_RULES, MEDIUM_RULES, TAINT_RULES
 from scanlode.functions.rules import BUILTIN, FAMILY, FLAGS, REPEATING
 from scanlode.operators import dependencies, js_flow, line_scan, py_ast, secrets
@@ -206,7 +207,7 @@ deps AS (
     SELECT file_path, content, regexp_replace(t, '^require ', '') AS d FROM lines l
     WHERE kind = 2 AND t <> 'require (' AND ((t LIKE 'require %') OR (t <> ')' AND t <> '' AND i > (SELECT min(o.i) FROM lines o WHERE o.file_path = l.file_path AND o.t = 'require (') AND i < (SELECT min(o.i) FROM lines o WHERE o.file_path = l.file_path AND o.t = ')'))))
   UNION ALL
-  SELECT file_path, content, 'RubyGems', regexp_extract(raw, {_q(dependencies.GEM)}, 1), regexp_extract(raw, {_q(dependencies.GEM)}, 2) FROM lines WHERE kind = 3),
+  SELECT file_path, content, 'RubyGems', regexp_extract(raw, '^ {{4}}([^ (]+) +[(][0-9][^)]*[)]', 1), regexp_extract(raw, '^ {{4}}[^ (]+ +[(]([0-9][^)]*)[)]', 1) FROM lines WHERE kind = 3),
 dependencies AS (
   SELECT file_path, ecosystem, name, version, CAST(coalesce((SELECT min(l.i) FROM lines l WHERE l.file_path = d.file_path AND contains(l.raw, d.name)), 1) AS INTEGER) AS line FROM deps d WHERE name <> '')"""
 
@@ -216,7 +217,7 @@ def _vulnerable() -> str:
     for i, eco, name, aliases, scores, _, affected in manifests.ADVISORIES:
         numbers = [float(s) for _, s in scores if s.replace(".", "").isdigit() and float(s) >= 4]
         severity = "CRITICAL" if numbers and numbers[0] >= 9 else "HIGH" if numbers and numbers[0] >= 7 else "MEDIUM"
-        fixed = next((f for a in affected for r in a[0] for _, f in r[0] if f), None)
+        fixed = next((f for a in affected for r in a[0] for _, f, _ in r[1] if f), None)
         alias = next((a for a in aliases if a.startswith("CVE-")), i)
         rows.append(f"({_q(eco)}, {_q(name)}, {_q(alias)}, {_q(severity)}, {_q(fixed) if fixed else 'NULL'})")
     number = "list_transform(regexp_extract_all({}, '\\d+'), lambda x: CAST(x AS BIGINT))"
@@ -227,6 +228,15 @@ FROM dependencies JOIN adv ON ecosystem = eco AND lower(name) = pkg
 WHERE version = '' OR fixed IS NULL OR {number.format('version')} < {number.format('fixed')}"""
 
 
+def _branches() -> str:
+    """The answers by hand, for each part's case."""
+    severity = {"CVE-2024-1001": "CRITICAL", "CVE-2024-1003": "HIGH"}
+    line = {"PyPI": 2, "npm": 1, "Go": 3, "RubyGems": 3}
+    rows = [f"({i}, {_q(manifests.SINGLE[eco][0])}, {line[eco]}, {_q('SCA-' + a)}, {_q(severity.get(a, 'MEDIUM'))}, {_q(f'{name} {version}')}, {_q(f'Upgrade to {fix} or later.' if fix else 'No fixed version is known.')})" for i, (eco, name, version, answers) in enumerate(manifests.BRANCH_CASES) for a, fix in answers]
+    return f"""WITH answers(i, file, line_number, rule_id, severity, snippet, fix) AS (VALUES {', '.join(rows)})
+SELECT concat('branches/', p_partkey, '/', file) AS file_path, line_number, rule_id, severity, snippet, fix FROM part JOIN answers ON p_partkey % {len(manifests.BRANCH_CASES)} = i"""
+
+
 def oracle_sql() -> dict[str, str]:
     files = source_files_sql()
     family = lambda *langs: f"WITH {files}, {_matches(langs)} SELECT {_COLUMNS} FROM ({_once('lined')})"
@@ -234,7 +244,13 @@ def oracle_sql() -> dict[str, str]:
     bits, measured = f"round({_BITS.format('measured')}, 4) AS bits", "CASE WHEN rule_id = 'SEC013' THEN value ELSE text END AS measured"
     tree = f"WITH {_seen(_tree())}"
     docs = "documents_as_files AS (SELECT doc_id AS file_path, text AS content, 'text' AS language FROM documents)"
-    pages = """pages_as_files AS (SELECT page_id AS file_path, replace(replace(html, '&quot;', '"'), '&amp;', '&') AS content, 'html' AS language FROM pages)"""
+    decoded = "numbered"
+    for name, char in C.REFERENCES:
+        decoded = f"replace({decoded}, {_q(name)}, {_q(char)})"
+    code = "CASE WHEN starts_with(lower(c[i]), '&#x') THEN CAST('0x' || regexp_extract(c[i], '[0-9A-Fa-f]+') AS BIGINT) ELSE CAST(regexp_extract(c[i], '[0-9]+') AS BIGINT) END"
+    pages = f"""cut_pages AS (SELECT page_id, string_split_regex(html, {_q(C.NUMBERED)}) AS p, regexp_extract_all(html, {_q(C.NUMBERED)}) AS c FROM pages),
+numbered_pages AS (SELECT page_id, array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || CASE WHEN i > len(c) THEN '' ELSE coalesce(chr(CAST({code} AS INTEGER)), '') END), '') AS numbered FROM cut_pages),
+pages_as_files AS (SELECT page_id AS file_path, {decoded} AS content, 'html' AS language FROM numbered_pages)"""
     events = "now AS (SELECT event_type AS expected_rule, count(*) FILTER (event_id % 7 <> 0) / count(*) AS precision, count(*) FILTER (event_id % 11 <> 0) / count(*) AS recall FROM events GROUP BY 1)"
     return {
         "route_counts": f"WITH {files} SELECT tier, language, count(*) AS n FROM source_files GROUP BY ALL",
@@ -249,7 +265,7 @@ def oracle_sql() -> dict[str, str]:
         "confidence_counts": f"{seen} SELECT rule_id, confidence, count(*) AS n FROM seen GROUP BY ALL",
         "strict_policy": f"{seen} SELECT file_path, line_number, rule_id, severity, confidence FROM seen WHERE severity IN ('CRITICAL', 'HIGH', 'MEDIUM') AND confidence IN ('HIGH', 'MEDIUM')",
         "fingerprints": f"{seen} SELECT file_path, line_number, rule_id, fingerprint FROM seen",
-        "new_findings": f"{seen} SELECT s.file_path, s.line_number, s.rule_id FROM seen s ANTI JOIN (SELECT fingerprint FROM seen WHERE line_number % 2 = 0) USING (fingerprint)",
+        "new_findings": f"{seen} SELECT unnest(kept, recursive := true) FROM (SELECT list({{'file_path': file_path, 'line_number': line_number, 'rule_id': rule_id}}) AS kept FROM seen GROUP BY fingerprint HAVING count(*) FILTER (line_number % 2 = 0) = 0)",
         "python_scan": f"WITH {files}, {_interpreted()} SELECT file_path, line_number, rule_id, severity, own AS confidence, nullif(sources, '') AS sources FROM interpreted WHERE language = 'python'",
         "config_json_scan": f"WITH {files}, {_interpreted()} SELECT {_COLUMNS} FROM interpreted WHERE language = 'json'",
         "full_scan": f"{seen} SELECT file_path, line_number, rule_id, severity, confidence, language, snippet, fingerprint FROM seen",
@@ -266,7 +282,10 @@ SELECT file_path, line_number, rule_id, severity, confidence, fingerprint FROM s
         "own_rules": f"""WITH {files}, cuts AS (SELECT * FROM ({_cut("(?im)" + OWN_PATTERN, "'OWN1' AS rule_id, 'LOW' AS severity", "language IN ('javascript', 'typescript', 'go')")})),
 hits AS (SELECT file_path, language, rule_id, severity, content, i, CAST({_LINE} AS INTEGER) AS line_number FROM cuts, unnest(generate_series(1, len(m))) AS s(i))
 SELECT file_path, line_number, rule_id, any_value(severity) AS severity, any_value(language) AS language, regexp_replace(string_split(any_value(content), {_NL})[line_number], '\\s+$', '') AS snippet FROM hits GROUP BY file_path, line_number, rule_id, CASE WHEN language = 'go' THEN i ELSE -1 END""",
-        "labelled_cases": f"WITH t(rule) AS (VALUES {', '.join(f'({_q(t[2])})' for t in corpus.TEMPLATES if t[2])}) SELECT rule AS expected_rule, count(*) AS tp, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn, TRUE AS passed FROM t GROUP BY rule",
+        "labelled_cases": f"WITH {source_files_sql('part', 'p_partkey')} SELECT expected AS expected_rule, count(*) AS tp, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn, TRUE AS passed FROM source_files WHERE expected IS NOT NULL GROUP BY expected",
+        "long_python_scan": f"""WITH {files}, {_interpreted()},
+placed AS (SELECT *, CAST(coalesce(sum(strlen(content) - strlen(replace(content, {_NL}, ''))) OVER (PARTITION BY key // {corpus.TOGETHER} ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS above FROM source_files WHERE language = 'python' AND template NOT IN {_among(corpus.APART)})
+SELECT concat('long/f', key // {corpus.TOGETHER}, '.py') AS file_path, above + i.line_number AS line_number, i.rule_id, i.severity, i.own AS confidence FROM placed JOIN interpreted i USING (file_path)""",
         "shard_two_of_three": f"WITH {files} SELECT file_path FROM (SELECT file_path, row_number() OVER (ORDER BY file_path) - 1 AS r FROM source_files) WHERE r % 3 = 1",
         "severity_summary": f"{seen}, counts AS (SELECT d.severity, count(s.severity) AS n FROM (VALUES ('CRITICAL'), ('HIGH'), ('MEDIUM'), ('LOW')) AS d(severity) LEFT JOIN seen s USING (severity) GROUP BY 1) SELECT * FROM counts UNION ALL SELECT 'TOTAL', CAST(sum(n) AS BIGINT) FROM counts",
         "top_rules": f"{seen} SELECT rule_name, count(*) AS n FROM seen GROUP BY 1 ORDER BY n DESC, rule_name LIMIT 5",
@@ -282,5 +301,5 @@ SELECT file_path, line_number, rule_id, any_value(severity) AS severity, any_val
         "timing_summary": """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
 SELECT event_type, count(*) AS runs, round(avg(value), 6) AS average, min(value) AS least, round(median(value), 6) AS median, max(value) FILTER (i = round_even((n - 1) * 0.95::DOUBLE, 0)) AS p95, max(value) AS most FROM r GROUP BY event_type""",
         "manifest_dependencies": f"WITH {_manifests()} SELECT * FROM dependencies",
-        "vulnerable_dependencies": _vulnerable(),
+        "vulnerable_dependencies": _vulnerable(), "advisory_ranges": _branches(),
     }

@@ -17,7 +17,7 @@ from scanlode.operators import findings as fd
 from scanlode.plans import scan as plan
 from scanlode.plans.tables import cut, new_path, spread
 from scanlode.sources import corpus, files, state
-from scanlode.sources.manifests import ADVISORIES, manifest_files
+from scanlode.sources.manifests import ADVISORIES, BRANCHED, branch_files, manifest_files
 
 #: Tests of dates use this day, so results do not depend on when they run.
 TODAY = datetime.date(2025, 1, 1)
@@ -86,8 +86,8 @@ def document_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of every family in pages, whose quotes are written as character references."""
-    plain = F.replace(F.replace("html", F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
+    """Secrets of every family in pages, whose quotes are written as character references of any kind."""
+    plain = C.unescaped(F.col("html"))
     pages = spread(_table(spark, sf_dir, "pages").select("page_id", "html")).select(F.col("page_id").alias("file_path"), plain.alias("content"), F.lit("html").alias("language"))
     return secrets.secret_matches(pages).select(F.col("file_path").alias("page_id"), "rule_id", "line_number", _bits())
 
@@ -96,6 +96,11 @@ def python_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return py_ast.python_findings(_files(spark, sf_dir)).select("file_path", "line_number", "rule_id", "severity", "confidence", F.array_join("evidence.taint_sources", ",").alias("sources"))
 
 
+def long_python_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Python findings of files of several hundred kilobytes, each put together from thousands of templates."""
+    return py_ast.python_findings(corpus.long_python_files(_files(spark, sf_dir))).select("file_path", "line_number", "rule_id", "severity", "confidence")
+
+
 def full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = plan.scan(_files(spark, sf_dir).select("file_path", "content"), plan.Options(today=TODAY))
     return out.select("file_path", "line_number", "rule_id", "severity", "confidence", "language", "snippet", "fingerprint")
@@ -216,6 +221,12 @@ def vulnerable_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("file_path", "line_number", "rule_id", "severity", "snippet", "fix")
 
 
+def advisory_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Advisories with several branches, pre-releases, last affected and listed versions, over versions of four ecosystems."""
+    found = dependencies.vulnerable(dependencies.dependencies(branch_files(_table(spark, sf_dir, "part"))), spark.createDataFrame(BRANCHED, dependencies.ADVISORY))
+    return found.select("file_path", "line_number", "rule_id", "severity", "snippet", "fix")
+
+
 # Sources and sinks, over a tree and files in the shared folder.
 
 
@@ -308,12 +319,13 @@ def own_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Figures of each rule over a file of labelled cases, and whether they reach its thresholds."""
-    with tempfile.TemporaryDirectory() as folder:
-        with open(f"{folder}/cases.json", "w") as f:
-            cases = [{"name": n, "detector": "any", "extension": e, "code": c.replace("@K@", "7"), "expect_finding": x is not None, "expected_rule": x} for n, e, x, c in corpus.TEMPLATES]
-            json.dump({"cases": cases, "rule_thresholds": {x: {"precision": 1.0, "recall": 1.0} for _, _, x, _ in corpus.TEMPLATES if x}}, f)
-        rows, thresholds = state.read_cases(spark, f"{folder}/cases.json")
+    """Figures of each rule over a table of labelled cases, one per part, written and read back, and whether they reach its thresholds."""
+    made = corpus.source_files(spark, spread(_table(spark, sf_dir, "part").select("p_partkey")))
+    path = new_path(spark, "cases")
+    case = made.select(F.concat_ws("_", "template", "key").alias("name"), F.lit("any").alias("detector"), F.concat(F.lit("."), F.substring_index("file_path", ".", -1)).alias("extension"), F.col("content").alias("code"), F.col("expected").isNotNull().alias("expect_finding"), F.col("expected").alias("expected_rule"))
+    state.write_case_table(case, path)
+    rows = state.read_case_table(spark, path)
+    thresholds = spark.createDataFrame([(x, 1.0, 1.0) for x in sorted({x for _, _, x, _ in corpus.TEMPLATES if x})], "expected_rule string, precision double, recall double")
     code = rows.select(F.concat(F.lit("cases/"), "name", "extension").alias("file_path"), F.col("code").alias("content"), "name")
     found = plan.scan(code.select("file_path", "content"), plan.Options(today=TODAY)).join(code.select("file_path", "name"), "file_path")
     predicted = quality.predictions(rows.select("name", "expected_rule", "expect_finding"), found.select("name", "rule_id", "confidence"))
@@ -322,9 +334,9 @@ def labelled_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        route_counts, flow_gate, shell_scan, config_scan, config_json_scan, secret_scan, document_secrets, page_secrets, python_scan, full_scan, suppression, confidence_counts, strict_policy, fingerprints, new_findings,
+        route_counts, flow_gate, shell_scan, config_scan, config_json_scan, secret_scan, document_secrets, page_secrets, python_scan, long_python_scan, full_scan, suppression, confidence_counts, strict_policy, fingerprints, new_findings,
         shard_two_of_three, severity_summary, top_rules, rule_dictionary, findings_by_file, import_edges, impacted_files, cache_hits, quality_overall, quality_by_rule, quality_by_confidence, quality_violations, timing_summary,
-        manifest_dependencies, vulnerable_dependencies, tree_files, tree_scan, manifest_tree, baseline_file, json_report, sarif_report, sarif_rules, cache_file, history_file, own_rules, labelled_cases,
+        manifest_dependencies, vulnerable_dependencies, advisory_ranges, tree_files, tree_scan, manifest_tree, baseline_file, json_report, sarif_report, sarif_rules, cache_file, history_file, own_rules, labelled_cases,
     )
     families = {"script_rules": ("javascript", "typescript"), "java_rules": ("java", "kotlin"), "php_rules": ("php",), "ruby_rules": ("ruby",), "go_rules": ("go",)}
     return {name: _family(*langs) for name, langs in families.items()} | {f.__name__: f for f in own}

@@ -184,6 +184,18 @@ def source_files(spark: SparkSession, keys: DataFrame, folders: tuple[str, ...]
     return files.select(F.concat(folder, F.lit("/"), "template", F.lit("/f"), key, "ext").alias("file_path"), F.replace("code", F.lit("@K@"), key).alias("content"), "template", "expected", "key")
 
 
+#: Keys whose Python templates make one long file, and templates that don't stand beside others.
+TOGETHER, APART = 10_000, ("py_broken",)
+
+
+def long_python_files(files: DataFrame) -> DataFrame:
+    """file_path, content, language: files of several hundred kilobytes, each the Python templates of ``TOGETHER`` keys in their order."""
+    own = files.where(F.col("file_path").endswith(".py") & ~F.col("template").isin(*APART))
+    parts = F.array_sort(F.collect_list(F.struct("key", "content")))  # bounded by TOGETHER
+    path = F.concat(F.lit("long/f"), F.floor(F.col("key") / TOGETHER).cast("string"), F.lit(".py"))
+    return own.groupBy(path.alias("file_path")).agg(F.array_join(F.transform(parts, lambda x: x["content"]), "").alias("content")).withColumn("language", F.lit("python"))
+
+
 def write_tree(files: DataFrame, root: str) -> int:
     """Writes ``files(file_path, content)`` below a folder that all tasks reach; returns their number."""
 

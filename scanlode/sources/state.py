@@ -64,16 +64,19 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
-    """fingerprint, from lines as ``write_baseline`` writes them, ``{"fingerprints": [...]}`` or a bare list; empty if missing or damaged."""
+    """fingerprint, from lines as ``write_baseline`` writes them, ``{"fingerprints": [...]}`` or a bare list; empty if missing or damaged.
+
+    The first line that is not empty tells which. Lines are read as lines, however many there are;
+    only the forms that hold one list are read in one piece.
+    """
     if not _exists(spark, path):
         return spark.createDataFrame([], "fingerprint string")
     lines = spark.read.text(path)
-    one = F.from_json("value", "struct<fingerprint: string>")["fingerprint"]
-    single = lines.select(one.alias("fingerprint")).where("fingerprint IS NOT NULL")
-    # Only a file that holds one list has to be read in one piece.
-    texts = spark.read.text(path, wholetext=True).where(F.ltrim("value").startswith("[") | F.left("value", F.lit(1000)).contains('"fingerprints"'))
+    first = lines.where(F.trim("value") != "").head()
+    if first is None or first["value"].lstrip().startswith('{"fingerprint":'):
+        return lines.select(F.from_json("value", "struct<fingerprint: string>")["fingerprint"].alias("fingerprint")).where("fingerprint IS NOT NULL").distinct()
     listed = F.coalesce(F.from_json("value", "struct<fingerprints: array<string>>")["fingerprints"], F.from_json("value", "array<string>"))
-    return single.unionByName(texts.select(F.explode(listed).alias("fingerprint"))).distinct()
+    return spark.read.text(path, wholetext=True).select(F.explode(listed).alias("fingerprint")).where("fingerprint IS NOT NULL").distinct()
 
 
 def write_baseline(findings: DataFrame, path: str) -> None:
@@ -135,9 +138,19 @@ def read_cases(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame(cases, CASES), spark.createDataFrame(rules, "expected_rule string, precision double, recall double")
 
 
+def write_case_table(cases: DataFrame, path: str) -> None:
+    """Labelled cases (columns ``CASES``), one JSON object a line."""
+    cases.write.mode("overwrite").json(path)
+
+
+def read_case_table(spark: SparkSession, path: str) -> DataFrame:
+    """Labelled cases of JSON lines, of any number; damaged lines are left out."""
+    return spark.read.schema(CASES).option("mode", "DROPMALFORMED").json(path).where(F.col("name").isNotNull() & F.col("code").isNotNull())
+
+
 def read_advisories(spark: SparkSession, path: str) -> DataFrame:
     """Advisories in the public exchange schema, one JSON object a line, exploded by affected package."""
-    nested = "id string, aliases array<string>, summary string, severity array<struct<type: string, score: string>>, affected array<struct<package: struct<ecosystem: string, name: string>, ranges: array<struct<events: array<struct<introduced: string, fixed: string>>>>>>"
+    nested = "id string, aliases array<string>, summary string, severity array<struct<type: string, score: string>>, affected array<struct<package: struct<ecosystem: string, name: string>, ranges: array<struct<type: string, events: array<struct<introduced: string, fixed: string, last_affected: string>>>>, versions: array<string>>>"
     rows = spark.read.schema(nested).json(path).select("id", "aliases", "summary", "severity", F.explode("affected").alias("a"))
-    own = rows.select("id", F.col("a.package.ecosystem").alias("ecosystem"), F.col("a.package.name").alias("name"), "aliases", "severity", "summary", F.array(F.struct(F.col("a.ranges").alias("ranges"))).alias("affected"))
+    own = rows.select("id", F.col("a.package.ecosystem").alias("ecosystem"), F.col("a.package.name").alias("name"), "aliases", "severity", "summary", F.array(F.struct(F.col("a.ranges").alias("ranges"), F.col("a.versions").alias("versions"))).alias("affected"))
     return own.select(*[x.split()[0] for x in ("id", "ecosystem", "name", "aliases", "severity", "summary", "affected")]).to(spark.createDataFrame([], ADVISORY).schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 
 from scanlode.operators.py_ast import analyse
@@ -66,3 +68,43 @@ def test_deep_code_keeps_the_other_findings(deep):
 
 def test_code_too_deep_to_parse():
     assert analyse("a.py", "open(" + "+".join(["a"] * 100_000) + ")") == [] and analyse("a.py", "(" * 5000) == []
+
+
+@pytest.mark.parametrize(
+    "code",
+    [
+        "def f(x):\n" + "".join(f"    return {i}\n" for i in range(20_000)),
+        "".join(" " * i + f"def g{i}(request):\n" for i in range(90)) + "".join(" " * 90 + f"x{k} = h{k % 50}(request, x{k - 1})\n" for k in range(4_000)),
+        "".join(" " * i + f"def g{i}(request):\n" for i in range(90)) + "".join(" " * 90 + f"os.system(a + b{k})\n" for k in range(4_500)),
+        "".join(f"def f{i}(data):\n    return f{i + 1}(data)\n" for i in range(9_000)),
+        "import os\n" + "".join(f"os.system('x' + y{k})\n" for k in range(18_000)),
+    ],
+)
+def test_large_files_take_linear_time(code):
+    began = time.time()
+    analyse("a.py", code)
+    assert time.time() - began < 15
+
+
+def lines_of(code):
+    return sorted((r["line_number"], r["rule_id"]) for r in analyse("a.py", code))
+
+
+def test_taint_reaches_nested_functions_and_back():
+    assert lines_of("def f(request):\n    p = request.args['p']\n    def g():\n        open(p)\n") == [(4, "PATH001")]
+    assert lines_of("def f():\n    def g(data):\n        x = data\n        open(x)\n    open(x)\n") == [(4, "PATH001")]
+    assert lines_of("def f(request):\n    def g():\n        nonlocal q\n        q = request.args['p']\n    open(q)\n") == [(5, "PATH001")]
+    assert lines_of("class A:\n    def f(self, request):\n        open(request)\n    def g(self):\n        open(request)\n") == [(3, "PATH001")]
+
+
+def test_what_functions_return_is_followed_for_five_calls():
+    hops = "def f0(request):\n    return request.args.get('x')\n" + "".join(f"def f{i + 1}():\n    return f{i}()\n" for i in range(8))
+    use = lambda k: lines_of(hops + f"def z(c):\n    v = f{k}()\n    c.execute('select ' + v)\n")
+    assert use(4) == [(21, "SQL001")] and use(5) == []
+    nested = "def outer():\n    def inner(request):\n        return request.args.get('x')\n    return inner\ndef z(c):\n    v = outer()\n    c.execute('select ' + v)\n"
+    assert lines_of(nested) == [(7, "SQL001")]
+    assert lines_of("def a(request):\n    return request.json\ndef a():\n    return 1\ndef z(c):\n    v = a()\n    c.execute('select ' + v)\n") == []
+
+
+def test_race_over_functions():
+    assert lines_of("import os\ndef a():\n    if os.path.isfile(p):\n        pass\ndef b():\n    open(p)\n") == [(6, "RACE001")]
