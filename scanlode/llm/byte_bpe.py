@@ -84,11 +84,11 @@ def codec(path: str):
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
     own, piece = _encoding(public_tokenizers.PATTERN, ranks), _encoding("(?s).+", ranks)
     pattern, shown = regex.compile(public_tokenizers.PATTERN), _stand_ins()
-    odd = regex.compile(f"[{''.join(map(regex.escape, map(chr, shown)))}]") if shown else None
+    odd = frozenset(map(chr, shown))
 
     def ends(text: str) -> list[int]:
         """Where the pre-tokens of a text end."""
-        if not text.isascii() and odd is not None and odd.search(text):
+        if not text.isascii() and not odd.isdisjoint(text):
             text = text.translate(shown)
         return [m.end() for m in pattern.finditer(text)]
 
