@@ -96,8 +96,8 @@ def _by_line(first_shell: int, first_config: int) -> Column:
     return F.when(lang == "bash", items(shell)).when(lang.isin(*PAIR_LANGUAGES), items(config(first_config))).when(lang == "yaml", items(config(first_config + 1))).otherwise(F.array().cast(ITEM))
 
 
-def native(files: DataFrame, rules: list[Rule] = BUILTIN) -> DataFrame:
-    """Findings of regular-expression rules (gated ones with a flow), secrets, shell and key-value files."""
+def native(files: DataFrame, rules: list[Rule] = BUILTIN, grouped: bool = True) -> DataFrame:
+    """Findings of regular-expression rules (gated ones with a flow), secrets, shell and key-value files; one per line and rule if ``grouped``."""
     table = _catalogue(rules)
     at = {k: next(i for i, kind, *_ in table if kind == k) for k in ("secret", "shell", "config")}
     literal = at["shell"] - 1
@@ -112,7 +112,7 @@ def native(files: DataFrame, rules: list[Rule] = BUILTIN) -> DataFrame:
     rows = rows.where((F.col("unless") == "") | ~F.rlike(F.col("text"), F.concat(F.lit(FLAGS), "unless")))
     key = F.concat(F.lit("The key "), F.regexp_extract("text", line_scan.PAIR, 1), F.lit(" holds a credential in plain text."))
     rows = rows.withColumn("description", F.when(F.col("kind") == "config", key).otherwise(F.col("description")))
-    return js_flow.with_flows(rows, lambda out, evidence: regex_scan.as_findings(out, evidence, F.when(F.col("kind").isin("shell", "config"), F.col("text")), F.col("kind") == "regex"))
+    return js_flow.with_flows(rows, lambda out, evidence: regex_scan.as_findings(out, evidence, F.when(F.col("kind").isin("shell", "config"), F.col("text")), F.col("kind") == "regex", grouped))
 
 
 def interpreted(files: DataFrame) -> DataFrame:
@@ -129,6 +129,6 @@ def interpreted(files: DataFrame) -> DataFrame:
     return files.where(F.col("language").isin("python", "json")).select("file_path", "content", "language").mapInArrow(run, SCHEMA)
 
 
-def detect(files: DataFrame, rules: list[Rule] = BUILTIN) -> DataFrame:
-    """Raw findings of every detector over ``files(file_path, content, language)``."""
-    return native(files, rules).unionByName(interpreted(files))
+def detect(files: DataFrame, rules: list[Rule] = BUILTIN, grouped: bool = True) -> DataFrame:
+    """Raw findings of every detector over ``files(file_path, content, language)``; nothing is exchanged without ``grouped``, as a stream needs it."""
+    return native(files, rules, grouped).unionByName(interpreted(files))

@@ -44,18 +44,21 @@ def matches(files: DataFrame, rules: list[Rule] = BUILTIN) -> DataFrame:
     return rows.where((F.col("unless") == "") | ~F.rlike(F.col("text"), F.concat(F.lit(FLAGS), "unless")))
 
 
-def as_findings(rows: DataFrame, evidence: Column | None = None, snippet: Column | None = None, repeats: Column | None = None) -> DataFrame:
+def as_findings(rows: DataFrame, evidence: Column | None = None, snippet: Column | None = None, repeats: Column | None = None, grouped: bool = True) -> DataFrame:
     """Rows of ``matches`` as findings; one per line and rule, but for languages that report every match.
 
     ``snippet`` replaces the match's line where it is not null; ``repeats`` says which rows such languages may report again.
 
-    A file's rows leave one task together, so the aggregate only exchanges what is found.
+    A file's rows leave one task together, so the aggregate only exchanges what is found. Without ``grouped`` there
+    is none, and a line may report a rule several times, each time alike.
     """
     label = F.when((F.col("language") == "kotlin") & (F.lit(True) if repeats is None else repeats), "java").otherwise(F.col("language"))
     again = F.col("language").isin(*REPEATING) & (F.lit(True) if repeats is None else repeats)
     line = C.snippet(F.col("content"), F.col("line_number"))
     out = rows.withColumn("turn", F.when(again, F.col("at")).otherwise(-1)).withColumn("snippet", line if snippet is None else F.coalesce(snippet, line)).withColumn("evidence", no_evidence() if evidence is None else evidence)
     out = out.withColumn("language", label)
+    if not grouped:
+        return out.select(*COLUMNS)
     keys = ["file_path", "line_number", "rule_id"]
     rest = [c for c in COLUMNS if c not in keys]
     return out.groupBy(*keys, "turn").agg(F.min_by(F.struct(*rest), "at").alias("x")).select(*keys, *[f"x.{c}" for c in rest]).select(*COLUMNS)

@@ -278,6 +278,11 @@ SELECT file_path, line_number, rule_id, severity, confidence, fingerprint FROM s
         "sarif_report": f"{tree} SELECT rule_id, CASE severity {' '.join(f'WHEN {_q(s)} THEN {_q(x)}' for s, (x, _) in LEVELS.items())} END AS level, file_path AS uri, line_number AS line, snippet, fingerprint FROM seen",
         "sarif_rules": f"{tree} SELECT DISTINCT rule_id, rule_name, CASE severity {' '.join(f'WHEN {_q(s)} THEN {_q(x)}' for s, (_, x) in LEVELS.items())} END AS score FROM seen",
         "cache_file": f"{tree} SELECT file_path, line_number, rule_id, severity, confidence FROM seen JOIN source_files USING (file_path) WHERE key % 2 = 0",
+        "rescan_changes": f"""WITH {_seen(source_files_sql('customer', 'c_custkey'))},
+known AS (SELECT DISTINCT s.file_path, s.rule_id, s.line_number, s.severity, f.key % 3 AS turn FROM seen s JOIN source_files f USING (file_path))
+SELECT file_path, 'opened' AS change, rule_id, line_number, severity FROM known
+UNION ALL SELECT file_path, 'closed', rule_id, line_number, severity FROM known WHERE turn < 2
+UNION ALL SELECT file_path, 'opened', rule_id, line_number + 1, severity FROM known WHERE turn = 0""",
         "history_file": "SELECT CAST(n AS INTEGER) AS files_scanned, CAST(2 * n AS INTEGER) AS findings_total, CAST(n AS INTEGER) AS findings_shown, 'balanced' AS policy FROM (SELECT count(*) AS n FROM nation UNION ALL SELECT count(*) FROM supplier)",
         "own_rules": f"""WITH {files}, cuts AS (SELECT * FROM ({_cut("(?im)" + OWN_PATTERN, "'OWN1' AS rule_id, 'LOW' AS severity", "language IN ('javascript', 'typescript', 'go')")})),
 hits AS (SELECT file_path, language, rule_id, severity, content, i, CAST({_LINE} AS INTEGER) AS line_number FROM cuts, unnest(generate_series(1, len(m))) AS s(i))

@@ -18,6 +18,7 @@ from scanlode.plans import scan as plan
 from scanlode.plans.tables import cut, new_path, spread
 from scanlode.sources import corpus, files, state
 from scanlode.sources.manifests import ADVISORIES, BRANCHED, branch_files, manifest_files
+from scanlode.streaming import rescan
 
 #: Tests of dates use this day, so results do not depend on when they run.
 TODAY = datetime.date(2025, 1, 1)
@@ -309,6 +310,18 @@ def history_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.read_history(spark, path, 2).select("files_scanned", "findings_total", "findings_shown", "policy")
 
 
+def rescan_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings opened and closed by two runs of one stream: of the files' first versions, and of what changed since (a third has a line on top, a third is gone)."""
+    folder, out, checkpoint = (new_path(spark, x) for x in ("versions", "changes", "rescan"))
+    first = corpus.source_files(spark, spread(_table(spark, sf_dir, "customer").select("c_custkey"))).withColumn("ts", F.lit("2025-01-01").cast("timestamp"))
+    later = F.when(F.col("key") % 3 == 0, F.concat(F.lit("\n"), "content"))
+    second = first.where("key % 3 < 2").select("file_path", later.alias("content"), F.lit("2025-01-02").cast("timestamp").alias("ts"))
+    for i, files in enumerate((first.select("file_path", "content", "ts"), second)):
+        files.write.parquet(f"{folder}/{i}")
+        rescan.start(rescan.versions(spark, f"{folder}/*"), out, checkpoint, TODAY).awaitTermination()
+    return spark.read.parquet(out).select("file_path", "change", "rule_id", "line_number", "severity")
+
+
 def own_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of rules from a folder, over the generated files."""
     with tempfile.TemporaryDirectory() as folder:
@@ -336,7 +349,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         route_counts, flow_gate, shell_scan, config_scan, config_json_scan, secret_scan, document_secrets, page_secrets, python_scan, long_python_scan, full_scan, suppression, confidence_counts, strict_policy, fingerprints, new_findings,
         shard_two_of_three, severity_summary, top_rules, rule_dictionary, findings_by_file, import_edges, impacted_files, cache_hits, quality_overall, quality_by_rule, quality_by_confidence, quality_violations, timing_summary,
-        manifest_dependencies, vulnerable_dependencies, advisory_ranges, tree_files, tree_scan, manifest_tree, baseline_file, json_report, sarif_report, sarif_rules, cache_file, history_file, own_rules, labelled_cases,
+        manifest_dependencies, vulnerable_dependencies, advisory_ranges, tree_files, tree_scan, manifest_tree, baseline_file, json_report, sarif_report, sarif_rules, cache_file, history_file, rescan_changes, own_rules, labelled_cases,
     )
     families = {"script_rules": ("javascript", "typescript"), "java_rules": ("java", "kotlin"), "php_rules": ("php",), "ruby_rules": ("ruby",), "go_rules": ("go",)}
     return {name: _family(*langs) for name, langs in families.items()} | {f.__name__: f for f in own}
