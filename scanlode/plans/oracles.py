@@ -272,6 +272,8 @@ pages_as_files AS (SELECT page_id AS file_path, {decoded} AS content, 'html' AS
         "tree_files": f"WITH {_tree()} SELECT file_path, CAST(strlen(content) AS BIGINT) AS size, sha256(content) AS sha256 FROM source_files",
         "tree_scan": f"""WITH {_seen(_tree("NOT regexp_matches(file_path, '^src/java_[^/]*/') AND right(file_path, 5) <> '.rake'"))}
 SELECT file_path, line_number, rule_id, severity, confidence, fingerprint FROM seen WHERE rule_id NOT IN ('CRY102', 'SEC002') AND severity IN ('CRITICAL', 'HIGH', 'MEDIUM') AND confidence IN ('HIGH', 'MEDIUM')""",
+        "tree_source_scan": f"""WITH {_seen(_tree("left(file_path, 9) <> 'src/java_' AND regexp_matches(file_path, '[.](py|js|java|rb|sh)$') AND strlen(content) < 160"))}
+SELECT file_path, line_number, rule_id, severity, confidence, fingerprint FROM seen""",
         "manifest_tree": f"WITH {_manifests('supplier', 's_suppkey', 'node_modules/deps/')} SELECT * FROM dependencies",
         "baseline_file": f"{tree} SELECT DISTINCT fingerprint FROM seen",
         "json_report": f"{tree} SELECT file_path, line_number, rule_id, rule_name, severity, confidence, language, snippet, fingerprint FROM seen",

@@ -16,7 +16,7 @@ from scanlode.operators import dependencies, impact, js_flow, line_scan, one_pas
 from scanlode.operators import findings as fd
 from scanlode.plans import scan as plan
 from scanlode.plans.tables import cut, new_path, spread
-from scanlode.sources import corpus, files, state
+from scanlode.sources import corpus, files, state, tree_source
 from scanlode.sources.manifests import ADVISORIES, BRANCHED, branch_files, manifest_files
 from scanlode.streaming import rescan
 
@@ -253,6 +253,12 @@ def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tree_findings(spark, sf_dir, options).select("file_path", "line_number", "rule_id", "severity", "confidence", "fingerprint")
 
 
+def tree_source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan of a tree read as a data source: folders and files that the filters leave out are not entered or opened."""
+    read = tree_source.source_tree(spark, _tree(spark, sf_dir)).where(F.col("file_path").startswith("src/") & ~F.col("file_path").startswith("src/java_") & F.col("suffix").isin(".py", ".js", ".java", ".rb", ".sh") & (F.col("size") < 160))
+    return plan.scan(read.select("file_path", "content"), plan.Options(today=TODAY)).select("file_path", "line_number", "rule_id", "severity", "confidence", "fingerprint")
+
+
 def manifest_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifests found by name in a tree, skipped folders included, and their dependencies."""
     root = new_path(spark, "manifests")
@@ -349,7 +355,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         route_counts, flow_gate, shell_scan, config_scan, config_json_scan, secret_scan, document_secrets, page_secrets, python_scan, long_python_scan, full_scan, suppression, confidence_counts, strict_policy, fingerprints, new_findings,
         shard_two_of_three, severity_summary, top_rules, rule_dictionary, findings_by_file, import_edges, impacted_files, cache_hits, quality_overall, quality_by_rule, quality_by_confidence, quality_violations, timing_summary,
-        manifest_dependencies, vulnerable_dependencies, advisory_ranges, tree_files, tree_scan, manifest_tree, baseline_file, json_report, sarif_report, sarif_rules, cache_file, history_file, rescan_changes, own_rules, labelled_cases,
+        manifest_dependencies, vulnerable_dependencies, advisory_ranges, tree_files, tree_scan, tree_source_scan, manifest_tree, baseline_file, json_report, sarif_report, sarif_rules, cache_file, history_file, rescan_changes, own_rules, labelled_cases,
     )
     families = {"script_rules": ("javascript", "typescript"), "java_rules": ("java", "kotlin"), "php_rules": ("php",), "ruby_rules": ("ruby",), "go_rules": ("go",)}
     return {name: _family(*langs) for name, langs in families.items()} | {f.__name__: f for f in own}
