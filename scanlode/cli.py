@@ -65,10 +65,15 @@ def scan(spark: SparkSession, a: argparse.Namespace) -> int:
         found = cut(fd.calibrate(fd.unsuppressed(plan.detect(files, o.rules), o.today, o.enforce, o.disabled)))
     else:
         where = a.cache or state.cache_path()
-        known, fresh = impact.cache_lookup(files, state.read_cache(spark, where), ruleset)
+        cache = state.read_cache(spark, where)
+        known, fresh = impact.cache_lookup(files, cache, ruleset)
+        fresh = cut(fresh)
         new = fd.calibrate(fd.unsuppressed(plan.detect(fresh, o.rules), o.today, o.enforce, o.disabled))
+        new = cut(new)
         found = cut(known.unionByName(new))
-        state.write_cache(cut(impact.cache_table(files, found, ruleset)), where)
+        # A scan of a part says nothing of the rest.
+        gone = None if a.changed_only or a.impacted_only else cache.select("file_path").join(files.select("file_path"), "file_path", "left_anti")
+        state.merge_cache(impact.cache_table(fresh, new, ruleset), where, gone)
     shown = fd.with_fingerprints(fd.at_least(found, severity, confidence))
     if a.baseline:
         shown = fd.new_since(shown, state.read_baseline(spark, a.baseline))

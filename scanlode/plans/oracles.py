@@ -280,6 +280,7 @@ SELECT file_path, line_number, rule_id, severity, confidence, fingerprint FROM s
         "sarif_report": f"{tree} SELECT rule_id, CASE severity {' '.join(f'WHEN {_q(s)} THEN {_q(x)}' for s, (x, _) in LEVELS.items())} END AS level, file_path AS uri, line_number AS line, snippet, fingerprint FROM seen",
         "sarif_rules": f"{tree} SELECT DISTINCT rule_id, rule_name, CASE severity {' '.join(f'WHEN {_q(s)} THEN {_q(x)}' for s, (_, x) in LEVELS.items())} END AS score FROM seen",
         "cache_file": f"{tree} SELECT file_path, line_number, rule_id, severity, confidence FROM seen JOIN source_files USING (file_path) WHERE key % 2 = 0",
+        "cache_merge": f"{tree} SELECT file_path, CAST(strlen(content) + key % 2 AS BIGINT) AS size, CAST(line_number + key % 2 AS INTEGER) AS line_number, rule_id, confidence FROM seen JOIN source_files USING (file_path) WHERE key % 5 <> 0",
         "rescan_changes": f"""WITH {_seen(source_files_sql('customer', 'c_custkey'))},
 known AS (SELECT DISTINCT s.file_path, s.rule_id, s.line_number, s.severity, f.key % 3 AS turn FROM seen s JOIN source_files f USING (file_path))
 SELECT file_path, 'opened' AS change, rule_id, line_number, severity FROM known
@@ -289,6 +290,10 @@ UNION ALL SELECT file_path, 'opened', rule_id, line_number + 1, severity FROM kn
         "own_rules": f"""WITH {files}, cuts AS (SELECT * FROM ({_cut("(?im)" + OWN_PATTERN, "'OWN1' AS rule_id, 'LOW' AS severity", "language IN ('javascript', 'typescript', 'go')")})),
 hits AS (SELECT file_path, language, rule_id, severity, content, i, CAST({_LINE} AS INTEGER) AS line_number FROM cuts, unnest(generate_series(1, len(m))) AS s(i))
 SELECT file_path, line_number, rule_id, any_value(severity) AS severity, any_value(language) AS language, regexp_replace(string_split(any_value(content), {_NL})[line_number], '\\s+$', '') AS snippet FROM hits GROUP BY file_path, line_number, rule_id, CASE WHEN language = 'go' THEN i ELSE -1 END""",
+        "own_detectors": f"""WITH {files}
+SELECT file_path, CAST(line_number AS INTEGER) AS line_number, 'OWN2' AS rule_id, 'LOW' AS severity, CAST(NULL AS VARCHAR) AS error FROM {_lines("language IS NOT NULL")} WHERE contains(line, 'SELECT') AND line_number >= 2
+UNION ALL SELECT file_path, 1, 'OWN3', 'HIGH', NULL FROM source_files WHERE language = 'bash'
+UNION ALL SELECT file_path, NULL, NULL, NULL, 'RuntimeError: no Ruby here' FROM source_files WHERE language = 'ruby'""",
         "labelled_cases": f"WITH {source_files_sql('part', 'p_partkey')} SELECT expected AS expected_rule, count(*) AS tp, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn, TRUE AS passed FROM source_files WHERE expected IS NOT NULL GROUP BY expected",
         "long_python_scan": f"""WITH {files}, {_interpreted()},
 placed AS (SELECT *, CAST(coalesce(sum(strlen(content) - strlen(replace(content, {_NL}, ''))) OVER (PARTITION BY key // {corpus.TOGETHER} ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS above FROM source_files WHERE language = 'python' AND template NOT IN {_among(corpus.APART)})

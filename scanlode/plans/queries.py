@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from scanlode.functions import columns as C
 from scanlode.functions import rules as R
-from scanlode.operators import dependencies, impact, js_flow, line_scan, one_pass, py_ast, quality, regex_scan, reports, secrets
+from scanlode.operators import dependencies, impact, js_flow, line_scan, one_pass, plug_in, py_ast, quality, regex_scan, reports, secrets
 from scanlode.operators import findings as fd
 from scanlode.plans import scan as plan
 from scanlode.plans.tables import cut, new_path, spread
 from scanlode.sources import corpus, files, state, tree_source
+from scanlode.sources.example_detectors import Marks, Strict
 from scanlode.sources.manifests import ADVISORIES, BRANCHED, branch_files, manifest_files
 from scanlode.streaming import rescan
 
@@ -299,14 +300,28 @@ def cache_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings from a cache that was written and read back, for files that have not changed since: those with an even key."""
     path = new_path(spark, "cache")
     read = cut(plan.admitted(plan.routed(files.source_tree(spark, _tree(spark, sf_dir)))))
-    found = fd.calibrate(fd.unsuppressed(one_pass.detect(read), TODAY))
-    state.write_cache(impact.cache_table(read, found, "r1"), path)
+    state.write_cache(impact.cache_table(read, _calibrated(read), "r1"), path)
     odd = F.regexp_extract("file_path", r"(\d)\.\w+$", 1).cast("int") % 2 == 1
     now = read.withColumns({"sha256": F.when(odd, "changed").otherwise(F.col("sha256")), "mtime_ns": F.col("mtime_ns") + 1})
     hits, _ = impact.cache_lookup(now, state.read_cache(spark, path), "r1")
     return hits.select("file_path", "line_number", "rule_id", "severity", "confidence")
 
 
+def cache_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings in a cache into which a second scan was merged: files with an odd key have a line more on top, and those whose key five divides are gone."""
+    path = new_path(spark, "cache")
+    read = cut(plan.admitted(plan.routed(files.source_tree(spark, _tree(spark, sf_dir)))))
+    state.write_cache(impact.cache_table(read, _calibrated(read), "r1"), path)
+    key = F.regexp_extract("file_path", r"(\d+)\.\w+$", 1).cast("long")
+    later = read.where((key % 2 == 1) & (key % 5 != 0)).withColumns({"content": F.concat(F.lit("\n"), "content"), "size": F.col("size") + 1, "sha256": F.sha2(F.concat(F.lit("\n"), "content"), 256)})
+    state.merge_cache(impact.cache_table(later, _calibrated(later), "r1"), path, read.where(key % 5 == 0))
+    return state.read_cache(spark, path).select("size", F.inline("findings")).select("file_path", "size", "line_number", "rule_id", "confidence")
+
+
+def _calibrated(read: DataFrame) -> DataFrame:
+    return fd.calibrate(fd.unsuppressed(one_pass.detect(read), TODAY))
+
+
 def history_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest two of three rows appended to a history."""
     path = new_path(spark, "history")
@@ -337,6 +352,13 @@ def own_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(regex_scan.scan(_files(spark, sf_dir), own))
 
 
+def own_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two detectors of a user's own report as table functions, one of which fails on some files."""
+    own = _files(spark, sf_dir)
+    rows = plug_in.detect(own, Marks, word="SELECT", least_line=2).unionByName(plug_in.detect(own, Strict))
+    return rows.select("file_path", "line_number", "rule_id", "severity", "error")
+
+
 def labelled_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures of each rule over a table of labelled cases, one per part, written and read back, and whether they reach its thresholds."""
     made = corpus.source_files(spark, spread(_table(spark, sf_dir, "part").select("p_partkey")))
@@ -355,7 +377,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         route_counts, flow_gate, shell_scan, config_scan, config_json_scan, secret_scan, document_secrets, page_secrets, python_scan, long_python_scan, full_scan, suppression, confidence_counts, strict_policy, fingerprints, new_findings,
         shard_two_of_three, severity_summary, top_rules, rule_dictionary, findings_by_file, import_edges, impacted_files, cache_hits, quality_overall, quality_by_rule, quality_by_confidence, quality_violations, timing_summary,
-        manifest_dependencies, vulnerable_dependencies, advisory_ranges, tree_files, tree_scan, tree_source_scan, manifest_tree, baseline_file, json_report, sarif_report, sarif_rules, cache_file, history_file, rescan_changes, own_rules, labelled_cases,
+        manifest_dependencies, vulnerable_dependencies, advisory_ranges, tree_files, tree_scan, tree_source_scan, manifest_tree, baseline_file, json_report, sarif_report, sarif_rules, cache_file, cache_merge, history_file, rescan_changes, own_rules, own_detectors, labelled_cases,
     )
     families = {"script_rules": ("javascript", "typescript"), "java_rules": ("java", "kotlin"), "php_rules": ("php",), "ruby_rules": ("ruby",), "go_rules": ("go",)}
     return {name: _family(*langs) for name, langs in families.items()} | {f.__name__: f for f in own}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from scanlode.functions import columns as C
 from scanlode.functions.rules import BUILTIN, Rule
 from scanlode.operators import findings as fd
+from scanlode.operators import plug_in
 from scanlode.operators.one_pass import detect
 
 
@@ -24,6 +25,8 @@ class Options:
     enforce: bool = False
     today: datetime.date = field(default_factory=datetime.date.today)
     rules: list[Rule] = field(default_factory=lambda: BUILTIN)
+    #: Own detectors and their options.
+    detectors: tuple[tuple[type[plug_in.Detector], dict], ...] = ()
 
 
 def routed(files: DataFrame) -> DataFrame:
@@ -41,7 +44,10 @@ def admitted(files: DataFrame, excluded: tuple[str, ...] = ()) -> DataFrame:
 def scan(files: DataFrame, options: Options | None = None, baseline: DataFrame | None = None) -> DataFrame:
     """Findings with fingerprints of ``files(file_path, content)``."""
     o = options or Options()
-    out = detect(admitted(routed(files), o.excluded), o.rules)
+    own = admitted(routed(files), o.excluded)
+    out = detect(own, o.rules)
+    for detector, given in o.detectors:
+        out = out.unionByName(plug_in.findings(plug_in.detect(own, detector, **given)))
     out = fd.calibrate(fd.unsuppressed(out, o.today, o.enforce, o.disabled))
     out = fd.with_fingerprints(fd.at_least(out, *fd.thresholds(o.policy, o.severity, o.confidence)))
     return out if baseline is None else fd.new_since(out, baseline)

@@ -109,20 +109,28 @@ def cache_path() -> str:
 _CACHE = f"file_path string, size long, mtime_ns long, sha256 string, ruleset string, findings array<struct<{SCHEMA}>>"
 
 
+#: Folders that a cache's rows are dealt to by their path: a merge rewrites those it touches.
+BUCKETS = 256
+
+
+def _dealt(table: DataFrame, buckets: int) -> DataFrame:
+    return table.withColumns({"of": F.lit(buckets), "bucket": F.pmod(F.xxhash64("file_path"), F.lit(buckets)).cast("int")})
+
+
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """The cache; what is damaged in it is left out and scanned again. A replacement that was interrupted leaves the one before it."""
     for where in (path, path + ".old"):
         if _exists(spark, where):
-            return spark.read.schema(_CACHE).option("ignoreCorruptFiles", "true").parquet(where)
+            return spark.read.schema(f"{_CACHE}, of int, bucket int").option("ignoreCorruptFiles", "true").parquet(where).drop("of", "bucket")
     return spark.createDataFrame([], _CACHE)
 
 
-def write_cache(table: DataFrame, path: str) -> None:
+def write_cache(table: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Replaces the cache: written aside, then the old one steps aside, so one of them is whole at any time."""
     spark = table.sparkSession
     new, now, old = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path + ".new", path, path + ".old"))
     store = now.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    table.write.mode("overwrite").parquet(path + ".new")
+    _dealt(table, buckets).repartition("bucket").write.mode("overwrite").partitionBy("of", "bucket").parquet(path + ".new")
     store.delete(old, True)
     if store.exists(now):
         store.rename(now, old)
@@ -130,6 +138,44 @@ def write_cache(table: DataFrame, path: str) -> None:
     store.delete(old, True)
 
 
+def merge_cache(scanned: DataFrame, path: str, gone: DataFrame | None = None, buckets: int = BUCKETS) -> list[int]:
+    """Rows of ``scanned``, one per file, replace their files' rows or join them; files of ``gone(file_path)`` leave. Returns the buckets that were rewritten.
+
+    Only buckets that hold one of these files are read and written; the others keep their files. New files of a bucket
+    are staged and take the old ones' place when all are written: a merge that is interrupted
+    leaves a bucket as it was or, at worst, without its rows, whose files are then scanned again.
+    """
+    from scanlode.plans.tables import cut
+
+    spark = scanned.sparkSession
+    new = cut(_dealt(scanned, buckets))  # read three times
+    keys = new.select("file_path", "of", "bucket")
+    if gone is not None:
+        keys = keys.unionByName(_dealt(gone.select("file_path"), buckets))
+    keys = cut(keys)
+    touched = sorted(r["bucket"] for r in keys.select("bucket").distinct().collect())  # BUCKETS at most
+    if not touched:
+        return []
+    rows = new
+    if _exists(spark, path):
+        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for other in store.listStatus(root):  # rows dealt to another number of buckets can't be found again
+            if other.getPath().getName().startswith("of=") and other.getPath().getName() != f"of={buckets}":
+                store.delete(other.getPath(), True)
+        held = spark.read.schema(f"{_CACHE}, of int, bucket int").option("ignoreCorruptFiles", "true").parquet(path)
+        kept = held.where((F.col("of") == buckets) & F.col("bucket").isin(touched)).join(keys.select("file_path"), "file_path", "left_anti")
+        rows = new.unionByName(kept)
+    rows = cut(rows)
+    rows.repartition(len(touched), "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("of", "bucket").parquet(path)
+    # A bucket that nothing is left of isn't written.
+    empty = set(touched) - {r["bucket"] for r in rows.select("bucket").distinct().collect()}
+    for bucket in empty:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/of={buckets}/bucket={bucket}")
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return touched
+
+
 def read_cases(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Labelled cases and per-rule thresholds of a corpus file (YAML or JSON with ``cases`` and ``rule_thresholds``)."""
     data = _load(Path(path))
