@@ -37,3 +37,13 @@ MANIFESTS = {
     "requirements.txt": "PyPI", "requirements-dev.txt": "PyPI", "requirements-prod.txt": "PyPI", "requirements-test.txt": "PyPI",
     "package.json": "npm", "go.mod": "Go", "Gemfile.lock": "RubyGems",
 }
+
+#: Scripts: objects whose members hold request data, what else does, and calls that clean it. Fixed values that decide results.
+SCRIPT_OBJECTS = ("req", "request", "params", "query", "body", "location")
+SCRIPT_NAMES = ("document.URL", "userInput", "getParam")
+SCRIPT_CLEANERS = ("encodeURIComponent", "DOMPurify.sanitize", "sanitizeHtml", "escapeHtml")
+#: Keys of credentials, parts of a key set apart by nothing, a hyphen, an underscore or a dot. Fixed values that decide results.
+SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token")
+SECRET_PHRASES = ("api key", "auth key", "private key", "client secret", "access key", "signing key", "encryption key", "db pass", "db password", "database pass", "database password")
+#: Values of credentials that are to be filled in. Fixed values that decide results.
+FILL_IN = ("your", "change", "insert", "replace", "example", "placeholder")

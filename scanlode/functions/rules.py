@@ -14,6 +14,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scanlode.functions.domains import SCRIPT_NAMES, SCRIPT_OBJECTS
+
 #: Flags of every rule: ignore case, line anchors.
 FLAGS = "(?im)"
 
@@ -52,16 +54,33 @@ def _built(callee: str, ends: str) -> str:
     return _call(callee, rf"\+\s*[\w$.]*|{_TEMPLATE}") + rf"|{callee}\s*\(\s*{_NAME}\s*{ends}"
 
 
-# What visitors send, by language; names that end in these words count as well.
-_JS_INPUT = r"\b(?:req|request|params|query|body|ctx|location)\s*\.\s*[\w$]+|\bdocument\s*\.\s*URL\b|\bgetParam\b|\buserInput\b|\w(?:Input|Param)\b"
-_JAVA_INPUT = r"\b(?:req|request)\s*\.|\bget(?:Parameter|PathVariable|Header|QueryString)\b|\w(?:Input|Param)\b"
+#: What a variable is called at its end that holds what visitors send, a command, a place on disk or an address: one vocabulary for all languages.
+ENDINGS = {
+    "input": ("Arg", "Body", "Data", "Form", "Input", "Param", "Payload", "Query"),
+    "command": ("Cmd", "Command", "Script", "Shell"),
+    "place": ("Dir", "File", "Filename", "Folder", "Page", "Path", "Template"),
+    "address": ("Address", "Endpoint", "Host", "Link", "Uri", "Url"),
+}
+
+
+def _ending(*kinds: str) -> str:
+    """The end of a name of these kinds, in the singular or plural."""
+    return rf"\w(?:{'|'.join(w for k in kinds for w in ENDINGS[k])})s?\b"
+
+
+# What visitors send, by language.
+_JS_INPUT = rf"\b(?:{'|'.join((*SCRIPT_OBJECTS, 'ctx'))})\s*\.\s*[\w$]+|\b(?:{'|'.join(x.replace('.', r'[.]') for x in SCRIPT_NAMES)})\b|{_ending('input')}"
+_JAVA_INPUT = rf"\b(?:req|request)\s*\.|\bget(?:Parameter|PathVariable|Header|QueryString)\b|{_ending('input')}"
 _PHP_INPUT = r"\$_(?:GET|POST|REQUEST|COOKIE)\b"
 _RUBY_CALL = r"[\s(]+[^\n]*?"
+#: PHP functions that start a program, and those that open, move or make a file: the language's own.
+PHP_PROGRAMS = ("exec", "passthru", "pcntl_exec", "popen", "proc_open", "shell_exec", "system")
+PHP_FILES = ("copy", "file_get_contents", "file_put_contents", "fopen", "link", "mkdir", "move_uploaded_file", "parse_ini_file", "readfile", "rename", "rmdir", "scandir", "symlink", "touch", "unlink")
 
 
-def _php(callee: str, *names: str) -> str:
-    """A PHP call whose statement goes on to visitors' data or to a variable whose name ends in one of ``names``."""
-    return rf"\b(?:{callee})\s*\([^;]*?(?:{_PHP_INPUT}|\$\w+(?:{'|'.join(names)})\b)"
+def _php(callee: str, *kinds: str) -> str:
+    """A PHP call whose statement goes on to visitors' data or to a variable whose name is of one of ``kinds``."""
+    return rf"\b(?:{callee})\s*\([^;]*?(?:{_PHP_INPUT}|\$\w*{_ending(*kinds)})"
 
 
 def _params(callee: str) -> str:
@@ -84,28 +103,28 @@ _CATALOGUE: list[tuple] = [
     ("DSER104", "YAML loaded without a schema", "HIGH", 502, "javascript", r"\byaml\s*\.\s*load\s*\(\s*[^(),;]+(?:\([^(),;]*\))?\s*\)"),
     ("CRY101", "Weak hash algorithm", "HIGH", 327, "javascript", r"\bcreateHash\s*\(\s*[\"'`](?:md[245]|sha-?1)[\"'`]"),
     ("CRY102", "Predictable random numbers", "MEDIUM", 338, "javascript", r"\bMath\s*\.\s*random\s*\(\s*\)"),
-    ("PATH101", "Request data in a file path", "HIGH", 22, "javascript", rf"\bfs(?:\s*\.\s*promises)?\s*\.\s*(?:append|read|write)(?:File|Sync)\s*\([^;]*?(?:{_JS_INPUT}|\w(?:Data|Id)\b)|\bfs\s*\.\s*(?:open|unlink|create(?:Read|Write)Stream)\s*\([^;]*?(?:{_JS_INPUT}|\w(?:Data|Id)\b)"),
+    ("PATH101", "Request data in a file path", "HIGH", 22, "javascript", rf"\bfs(?:\s*\.\s*promises)?\s*\.\s*(?:(?:append|read|write)(?:File|Sync)|open|unlink|create(?:Read|Write)Stream)\s*\([^;]*?(?:{_JS_INPUT})"),
     ("SQL201", "SQL statement built by concatenation or formatting", "HIGH", 89, "java", _call(r"\.\s*(?:execute(?:Query|Update|LargeUpdate)?|addBatch|prepare(?:Statement|Call))", r"\+|\bString\s*\.\s*(?:format|valueOf|join)\b|\bStringBuilder\b")),
     ("SQL202", "Raw interpolation in a mapped query", "HIGH", 89, "java", r"\b(?:select|insert\s+into|update|delete|from|where|order\s+by)\b[^\"'\n]*?\$\{\s*[\w.]+\s*\}"),
-    ("CMD201", "Runtime.exec with dynamic text", "HIGH", 78, "java", r"\bgetRuntime\s*\(\s*\)\s*\.\s*exec\s*\([^;\n]*?(?:\+|\bnew\s+String\b|\w(?:Cmd|Command|Input)\b)"),
-    ("CMD202", "ProcessBuilder with dynamic text", "HIGH", 78, "java", rf"\bnew\s+ProcessBuilder\s*\([^;)]*?(?:\+|{_JAVA_INPUT}|\bparams\s*\.|\wCmd\b)"),
+    ("CMD201", "Runtime.exec with dynamic text", "HIGH", 78, "java", r"\bgetRuntime\s*\(\s*\)\s*\.\s*exec\s*\([^;\n]*?(?:\+|\bnew\s+String\b|" + _ending("command", "input") + ")"),
+    ("CMD202", "ProcessBuilder with dynamic text", "HIGH", 78, "java", rf"\bnew\s+ProcessBuilder\s*\([^;)]*?(?:\+|{_JAVA_INPUT}|\bparams\s*\.|{_ending('command')})"),
     ("XXE201", "XML factory with external entities", "HIGH", 611, "java", r"\b(?:DocumentBuilder|SAXParser|Transformer|XMLInput)Factory\s*\.\s*new(?:Instance|Factory|DefaultInstance)\s*\("),
     ("DSER201", "Object revived from a stream", "HIGH", 502, "java", r"\bObjectInputStream\s*\(|\.\s*read(?:Object|Unshared)\s*\(\s*\)"),
     ("SSRF201", "Request to a dynamic address", "HIGH", 918, "java", r"\bnew\s+URL\s*\(\s*(?:[A-Za-z_]|\"[^\"\n]*\"\s*\+)[^;\n]*?\)\s*\.\s*open(?:Connection|Stream)\b|\b(?:HttpURLConnection|OkHttp\w*|RestTemplate)\b"),
     ("CRY201", "Weak hash algorithm", "HIGH", 327, "java", r"\bMessageDigest\s*\.\s*getInstance\s*\(\s*\"(?:MD[25]|SHA-?1?)\""),
     ("CRY202", "Predictable random numbers", "MEDIUM", 338, "java", r"\bnew\s+(?:[\w.]+\.)?Random\s*\("),
-    ("PATH201", "Request data in a file path", "HIGH", 22, "java", rf"\bnew\s+(?:[\w.]+\.)?(?:RandomAccess)?File(?:(?:In|Out)putStream|Reader|Writer)?\s*\([^;)]*?(?:{_JAVA_INPUT}|\w(?:File|Path)\b)"),
+    ("PATH201", "Request data in a file path", "HIGH", 22, "java", rf"\bnew\s+(?:[\w.]+\.)?(?:RandomAccess)?File(?:(?:In|Out)putStream|Reader|Writer)?\s*\([^;)]*?(?:{_JAVA_INPUT}|{_ending('place')})"),
     ("CONF201", "Cross-site request protection switched off", "HIGH", 352, "java", r"\bcsrf\s*(?:\(\s*\)\s*)?\.\s*disable\b|\bcsrf\s*\(\s*\w+\s*(?:::|->\s*\w+\s*\.)\s*disable\b"),
-    ("LOG201", "Request data in a log message", "MEDIUM", 117, "java", rf"\blog(?:ger)?\s*\.\s*(?:trace|debug|info|warn|error)\s*\([^;)]*?(?:{_JAVA_INPUT}|\wData\b)"),
-    ("SQL301", "Request data in a query call", "HIGH", 89, "php", _php(r"mysqli?_(?:multi_|real_|unbuffered_)?query", "Input", "Param", "Data")),
+    ("LOG201", "Request data in a log message", "MEDIUM", 117, "java", rf"\blog(?:ger)?\s*\.\s*(?:config|debug|error|fatal|fine|info|log|severe|trace|warn(?:ing)?)\s*\([^;)]*?(?:{_JAVA_INPUT})"),
+    ("SQL301", "Request data in a query call", "HIGH", 89, "php", _php(r"(?:mysqli?_(?:multi_|real_|unbuffered_)?|odbc_|pg_|sqlsrv_)(?:exec|query)", "input")),
     ("SQL302", "Query without a prepared statement", "HIGH", 89, "php", r"\$(?:pdo|dbh?|mysqli|conn(?:ection)?)\s*->\s*(?:exec|query)\s*\([^;]*?(?:\$\w|[\"']\s*\.|\bsprintf\b)"),
-    ("CMD301", "Request data in a shell command", "HIGH", 78, "php", _php("exec|system|passthru|shell_exec|p(?:roc_)?open", "Cmd", "Input", "Param")),
-    ("CMD302", "Request data in back-ticks", "HIGH", 78, "php", rf"`[^`;]*(?:{_PHP_INPUT}|\$\w+Input\b)[^`]*`"),
-    ("LFI301", "Request data in an include", "HIGH", 98, "php", rf"\b(?:include|require)(?:_once)?\b[^;]*?(?:{_PHP_INPUT}|\$\w+(?:File|Page|Path)\b)"),
+    ("CMD301", "Request data in a shell command", "HIGH", 78, "php", _php("|".join(PHP_PROGRAMS), "command", "input")),
+    ("CMD302", "Request data in back-ticks", "HIGH", 78, "php", rf"`[^`;]*(?:{_PHP_INPUT}|\$\w*{_ending('command', 'input')})[^`]*`"),
+    ("LFI301", "Request data in an include", "HIGH", 98, "php", rf"\b(?:include|require)(?:_once)?\b[^;]*?(?:{_PHP_INPUT}|\$\w*{_ending('place')})"),
     ("XSS301", "Request data printed unescaped", "HIGH", 79, "php", rf"(?:\b(?:echo|print)\b|<\?=)[^;]*?(?:{_PHP_INPUT}|\$_SERVER\s*\[\s*[\"']HTTP_)", r"^(?:echo|print|<\?=)[\s(]*(?:html(?:specialchars|entities)|strip_tags|intval|urlencode)\b"),
-    ("PATH301", "Request data in a file function", "HIGH", 22, "php", _php("file_(?:get|put)_contents|fopen|readfile|unlink|copy|rename|mkdir|rmdir", "File", "Path")),
-    ("SSRF301", "Request to a dynamic address", "HIGH", 918, "php", rf"(?:\bCURLOPT_URL\s*,|\b(?:curl_init|file_get_contents)\s*\()[^;]*?(?:{_PHP_INPUT}|\$\w+(?:Uri|Url)\b)"),
-    ("DSER301", "Request data unserialized", "HIGH", 502, "php", _php("unserialize", "Data", "Input")),
+    ("PATH301", "Request data in a file function", "HIGH", 22, "php", _php("|".join(PHP_FILES), "place")),
+    ("SSRF301", "Request to a dynamic address", "HIGH", 918, "php", rf"(?:\bCURLOPT_URL\s*,|\b(?:curl_init|file_get_contents)\s*\()[^;]*?(?:{_PHP_INPUT}|\$\w*{_ending('address')})"),
+    ("DSER301", "Request data unserialized", "HIGH", 502, "php", _php("unserialize|igbinary_unserialize|yaml_parse", "input")),
     ("CRY301", "Password hashed with a weak algorithm", "HIGH", 327, "php", r"\b(?:md5|sha1)\s*\(\s*\$\w*(?:pass|pwd|secret)"),
     ("CONF301", "Errors shown to visitors", "MEDIUM", 209, "php", r"\bini_set\s*\(\s*[\"']display_errors[\"']\s*,\s*[\"']?(?:1|on|true)\b|^\s*display_errors\s*=\s*(?:1|on)\b"),
     ("SQL401", "SQL text with interpolation", "HIGH", 89, "ruby", rf"\.\s*(?:where|select|execute|find_by_sql|joins)[\s(]+[\"'][^\n]*?#\{{[^}}\n]*\}}"),

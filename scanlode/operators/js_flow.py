@@ -8,15 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanlode.functions import columns as C
+from scanlode.functions.domains import SCRIPT_CLEANERS, SCRIPT_NAMES, SCRIPT_OBJECTS
 from scanlode.functions.rules import BUILTIN, Rule
 from scanlode.operators import regex_scan
 from scanlode.operators.findings import EVIDENCE
 
 NAME = r"[A-Za-z_$][\w$]*"
-#: Where request data enters: a member of one of these objects, or one of these by itself.
-SOURCES = r"\b(?:req|request|params|query|body|location)\s*\.\s*[A-Za-z_$]|\bdocument\s*\.\s*URL\b|\buserInput\b|\bgetParam\s*\("
+
+
+def _dotted(name: str) -> str:
+    """A dotted name, with white space around its dots."""
+    return r"\s*\.\s*".join(name.split("."))
+
+
+#: Where request data enters: a member of an object that holds it, or a name that stands for it.
+SOURCES = rf"\b(?:{'|'.join(SCRIPT_OBJECTS)})\s*\.\s*[A-Za-z_$]|\b(?:{'|'.join(map(_dotted, SCRIPT_NAMES))})\b"
 #: Calls that clean what goes through them.
-CLEANERS = r"(?i)\b(?:encodeURI(?:Component)?|DOMPurify\s*\.\s*sanitize|escapeHtml|sanitizeHtml)\s*\("
+CLEANERS = rf"(?i)\b(?:{'|'.join(map(_dotted, SCRIPT_CLEANERS))})\s*\("
 #: A name, its type where one is given, and what it is set to or extended by; no comparison and no arrow.
 ASSIGNMENT = rf"^\s*(?:(?:const|let|var)\s+)?({NAME})\s*(?::\s*[\w<>\[\]| ]+?)?\s*\+?=\s*([^\s=>].*)$"
 

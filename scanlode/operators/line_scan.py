@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanlode.functions import columns as C
+from scanlode.functions.domains import FILL_IN, SECRET_PHRASES, SECRET_WORDS
 from scanlode.operators.findings import ARROW, COLUMNS, SCHEMA, no_evidence
 
 _EXPANDED = r"\$[\w@*#!?{]"
@@ -21,10 +22,10 @@ SHELL = (
     ("SH003", "Variable inside a command substitution", "MEDIUM", rf"\$\((?:[^()$][^)$]*)?{_EXPANDED}"),
     ("SH004", "Unquoted variable handed to a risky command", "HIGH", r"(?:^|[\s;&|(/])(?:ba|z)?(?:sh|curl|wget|python3?|perl|ruby|php)\s+(?:-[\w-]+\s+){0,10}[^\s\"'$]*\$[\w{]"),
 )
-#: What makes a key a credential's: one of these words at the end of a part of it, or a key of one of these kinds.
-SECRET_KEY = r"(?i)(?:pass(?:word|wd|phrase)|pwd|secret|token|credential)s?(?:$|[^a-z])|(?:access|api|auth|client|encryption|private|signing)[-_.]?key|(?:database|db)[-_.]?pass"
-#: Values that stand for a value to be filled in.
-PLACEHOLDER = r"(?i)^(?:your|my|insert|enter|replace)[^a-z]|change[-_ ]?(?:me|this|it)|example|placeholder|dummy|<[^>]*>|^\$\{|x{3}|\*{3}"
+#: A key is a credential's if it ends in one of the words, in the singular or plural, or one of its parts does, or if it holds one of the phrases.
+SECRET_KEY = rf"(?i)(?:{'|'.join(SECRET_WORDS)})s?(?:$|[^a-z])|{'|'.join(x.replace(' ', '[-_.]?') for x in SECRET_PHRASES)}"
+#: Values that stand for a value to be filled in: a word of these that begins one of the value's parts, or signs that surround a name.
+PLACEHOLDER = rf"(?i)(?:^|[^a-z])(?:{'|'.join(FILL_IN)})(?:$|[^a-z])|{'|'.join(FILL_IN[1:])}(?:me|this|it)\b|<[^>]*>|^\$\{{|x{{3}}|\*{{3}}"
 #: KEY=value or KEY: value, the value in quotes of one kind or bare.
 PAIR = r"^(?:export\s+)?([A-Za-z_][\w.-]*)\s*[:=]\s*(?:\"([^\"]+)\"|'([^']+)'|([^\s\"'][^\"']*))"
 

@@ -174,3 +174,27 @@ def test_own_rules_from_a_folder(spark, tmp_path):
     assert [(r.rule_id, r.language, r.severity) for r in own] == [("OWN1", "ruby", "LOW"), ("OWN1", "go", "LOW")]
     assert R.table(spark, own).count() == 2
     assert ("x.go", 1, "OWN1") in found(spark, ("x.go", "dangerous"), options=plan.Options(today=TODAY, rules=own))
+
+
+ENDING_CASES = [
+    ("php", "<?php mysqli_query($db, $userPayload);\n", {"SQL301"}),
+    ("php", "<?php pg_query($db, $searchArgs);\n", {"SQL301"}),
+    ("php", "<?php pg_query($db, $fixed);\n", set()),
+    ("php", "<?php passthru($nextCommand);\n", {"CMD301"}),
+    ("php", "<?php include $oldTemplate;\n", {"LFI301"}),
+    ("php", "<?php scandir($uploadFolders);\n", {"PATH301"}),
+    ("php", "<?php curl_init($targetHost);\n", {"SSRF301"}),
+    ("php", "<?php curl_init($handle);\n", set()),
+    ("php", "<?php unserialize($rawBody);\n", {"DSER301"}),
+    ("java", "Runtime.getRuntime().exec(buildScript);\n", {"CMD201"}),
+    ("java", "new File(exportFolder);\n", {"PATH201"}),
+    ("java", "logger.severe(rawQuery);\n", {"LOG201"}),
+    ("java", "logger.severe(message);\n", set()),
+]
+
+
+def test_names_of_one_vocabulary_in_all_languages(spark):
+    rows = [(f"f{i}.{ext}", code) for i, (ext, code, _) in enumerate(ENDING_CASES)]
+    found = plan.scan(spark.createDataFrame(rows, "file_path string, content string")).collect()
+    got = {p: {r["rule_id"] for r in found if r["file_path"] == p} for p, _ in rows}
+    assert got == {f"f{i}.{ext}": want for i, (ext, _, want) in enumerate(ENDING_CASES)}
