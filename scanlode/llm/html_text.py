@@ -16,7 +16,13 @@ element that together are a long block of many stop words are good. The others t
 the label of the nearest decided neighbours. Where these differ the structure decides, then the
 neighbour in the same parent element, then the text goes on from the one before
 (headings belong to the one after). Doubtful blocks between bad ones stay if they
-are of ``ALONE`` characters.
+are of ``ALONE`` characters, and with them short ones beside them in the same parent element.
+
+A heading like "Comments" begins what readers wrote only if it is no first-level heading, text of
+the article stands before it, and what follows in the element around it looks like comments: a
+number in the heading, or ``BYLINES`` short blocks with a date, a time or who said it. Otherwise it
+is a heading like others. A page in which no block is good is read again
+without the names of elements, for a name around the whole page says nothing.
 
 An article or main element lifts what the names of elements around it say. Where no
 long block reaches the lower stop-word density, the page is in a language that the
@@ -73,6 +79,13 @@ _APART, _WRAPPERS = frozenset("nav footer aside menu dialog".split()), frozenset
 #: Names of elements that hold what readers wrote, and headings over it.
 _COMMENTS = re.compile(r"(?:^|[^a-z])(?:comments?|commentlist|disqus|respond|repl(?:y|ies))(?:$|[^a-z])")
 _COMMENTS_HEAD = re.compile(r"(?:\d+ )?(?:reader )?(?:comments?|repl(?:y|ies)|responses?|kommentare?|commentaires?|comentarios?)(?: ?\(\d+\)| ?: ?\d*)?", re.I)
+#: A short line over a comment: when, or that somebody said something.
+_BYLINE = re.compile(
+    r"\b\d{4}-\d\d?-\d\d?\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b|\b\d{1,2}:\d{2}\b|\b\d+ ?(?:min|minutes?|hours?|days?|weeks?|months?|years?) ago\b|\b(?:said|says|wrote|writes|replied|posted)\b[^.]*:?$|"
+    r"\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.? \d{1,2}(?:, \d{4})?\b|\b\d{1,2}\.? (?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\b|^reply$",
+    re.I,
+)
+BYLINES, BYLINE_MOST = 2, 80
 #: Words in class, id or role names that mark page furniture, and those that mark the article.
 _BAD_NAMES = re.compile(
     r"(?:^|[^a-z])(?:ad|ads|adv|advert\w*|adslot|adsense|banner|sponsor\w*|promo\w*|comment\w*|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|"
@@ -101,12 +114,14 @@ class Block:
     heading: bool = False
     #: Number of the element around the block's own.
     home: int = 0
+    #: Number of the heading of comments that it stands under, if any.
+    under: int = 0
     text: str = ""
     good: bool = False
 
 
 class Place(NamedTuple):
-    """What holds inside an element: out of the page's text for sure, furniture, article, heading, its number and its parent's."""
+    """What holds inside an element: out of the page's text for sure, furniture, article, heading, its number and its parent's, and the heading of comments above it."""
 
     apart: bool = False
     furniture: bool = False
@@ -114,6 +129,7 @@ class Place(NamedTuple):
     heading: bool = False
     number: int = 0
     parent: int = 0
+    under: int = 0
 
 
 def _ends(name: str) -> re.Pattern:
@@ -174,25 +190,39 @@ class _Reader:
         self.stack: list[tuple[str, Place]] = []  # name, and the place around the element
         self.open: Counter = Counter()
         self.place, self.links, self.now = Place(), 0, Block()
+        self.heads: list[Block] = []  # that may stand over comments
 
     def close(self) -> None:
         b, p = self.now, self.place
         if b.parts and (text := " ".join(_html.unescape("".join(b.parts)).split())):
             b.text = text
             self.done.append(b)
-            if b.heading and _COMMENTS_HEAD.fullmatch(b.text):
-                self._apart_from_here()
-                p = self.place
-        self.now = Block(apart=p.apart, furniture=p.furniture, article=p.article, heading=p.heading, home=p.parent)
+            if b.heading and not b.under and _COMMENTS_HEAD.fullmatch(b.text):
+                self._perhaps_comments()
+        self.now = Block(apart=p.apart, furniture=p.furniture, article=p.article, heading=p.heading, home=p.parent, under=p.under)
 
-    def _apart_from_here(self) -> None:
-        """What follows in the element around the innermost heading is comments."""
+    def _perhaps_comments(self) -> None:
+        """What follows in the element around the innermost heading may be comments."""
         for i in range(len(self.stack) - 1, -1, -1):
             name, around = self.stack[i]
             if name in _HEADINGS:
-                self.stack[i] = (name, around._replace(apart=True))
+                if name != "h1" and any(len(x.text) >= LENGTH_LOW and not (x.apart or x.furniture) for x in self.done[:-1]):
+                    self.heads.append(self.done[-1])
+                    self.stack[i] = (name, around._replace(under=len(self.heads)))
                 return
 
+    def _comments(self) -> None:
+        """Blocks under a heading of comments are out of the text if they look like it."""
+        below: dict[int, list[Block]] = {}
+        for b in self.done:
+            if b.under:
+                below.setdefault(b.under, []).append(b)
+        for number, blocks in below.items():
+            head = self.heads[number - 1]
+            if any(c.isdigit() for c in head.text) or sum(len(b.text) <= BYLINE_MOST and bool(_BYLINE.search(b.text)) for b in blocks) >= BYLINES:
+                for b in (head, *blocks):
+                    b.apart = True
+
     def say(self, text: str) -> None:
         self.now.parts.append(text)
         if self.links:
@@ -251,7 +281,7 @@ class _Reader:
         block = name in _BLOCKS
         self.stack.append((name, around))
         self.open[name] += 1
-        self.place = Place(apart, furniture, article, around.heading or name in _HEADINGS, self.numbers if block or name in _APART else around.number, around.number if block else around.parent)
+        self.place = Place(apart, furniture, article, around.heading or name in _HEADINGS, self.numbers if block or name in _APART else around.number, around.number if block else around.parent, around.under)
         if block or furniture != around.furniture or apart != around.apart:
             self.close()
 
@@ -285,6 +315,7 @@ class _Reader:
             else:
                 self.begun(name, attributes)
         self.close()
+        self._comments()
         return self.done
 
 
@@ -364,6 +395,18 @@ def second_pass(blocks: list[Block], points: list[int], places: list[int]) -> No
             at_home = [x >= 0 and blocks[x].home == b.home, y >= 0 and blocks[y].home == b.home]
             of_right = b.heading if at_home[0] == at_home[1] else at_home[1]
             b.good = (right if of_right else left) > 0
+    _beside(blocks, sure)
+
+
+def _beside(blocks: list[Block], sure: list[int]) -> None:
+    """Short undecided blocks stay with a neighbour of the same parent that stays by its own length."""
+    alone = {i for i, b in enumerate(blocks) if b.good and not sure[i]}
+    for order, step in ((range(1, len(blocks)), -1), (range(len(blocks) - 2, -1, -1), 1)):
+        for i in order:
+            b = blocks[i]
+            if not sure[i] and not b.good and not b.linked and i + step in alone and blocks[i + step].home == b.home:
+                b.good = True
+                alone.add(i)
 
 
 def main_text(page: str | None) -> str:
