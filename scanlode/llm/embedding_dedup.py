@@ -23,8 +23,9 @@ size and not in the label's; a region is as large as its crowd.
 
 Defined cases: a null label or a vector that is null, empty, zero or holds null or
 non-finite components links with nothing; vectors of different length never link;
-rows that repeat a vec_id are one vertex, and are links of each other only if
-another vec_id is involved; an empty table gives an empty result.
+rows that repeat a vec_id are one vertex: whatever one of them reaches, all reach, and
+their n_links is the sum over their different vectors of the other vec_ids that each links with;
+they are no links of each other; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -331,12 +332,16 @@ def near_embeddings(vectors: DataFrame) -> DataFrame:
     x, y = (reps.select(F.col("rep").alias(k), F.col("v").alias(v), F.col("copies").alias(f"n_{k}")) for k, v in (("a", "x"), ("b", "y")))
     links = in_batches(single.join(x.drop("n_a"), "a").join(y.drop("n_b"), "b").select("a", "b", "x", "y")).mapInArrow(_verified, "a long, b long")
     links = materialize(links, "vector-singles")
-    comps = materialize(components(links.unionByName(crowds.where("b IS NOT NULL").select("a", "b"))), "vector-components")
+    # Classes that share a vec_id are reached from each other.
+    of_id = rows.select("vec_id", "label", "digest").join(classes, ["label", "digest"]).select("vec_id", "rep").distinct()
+    several = of_id.groupBy(F.col("vec_id").alias("_id")).agg(F.min("rep").alias("a"), F.max("rep").alias("most")).where("a < most").drop("most")
+    shared = of_id.join(several, F.col("vec_id") == F.col("_id")).select("a", F.col("rep").alias("b")).where("a != b").distinct()
+    comps = materialize(components(links.unionByName(crowds.where("b IS NOT NULL").select("a", "b")).unionByName(shared)), "vector-components")
     others = links.join(y.select("b", F.col("n_b").alias("others")), "b").select(F.col("a").alias("rep"), "others").unionByName(links.join(x.select("a", F.col("n_a").alias("others")), "a").select(F.col("b").alias("rep"), "others"))
     counted = others.unionByName(crowds.where("others IS NOT NULL").select(F.col("a").alias("rep"), "others")).groupBy("rep").agg(F.sum("others").alias("others"))
     of_class = classes.join(comps, F.col("rep") == F.col("node"), "left").join(counted, "rep", "left")
     of_class = of_class.select("label", "digest", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("component"))
-    by_id = rows.select("vec_id", "label", "digest").join(of_class, ["label", "digest"]).groupBy(F.col("vec_id").alias("_id")).agg(F.max("n").alias("n"), F.min("component").alias("component"))
+    by_id = rows.select("vec_id", "label", "digest").distinct().join(of_class, ["label", "digest"]).groupBy(F.col("vec_id").alias("_id")).agg(F.sum("n").alias("n"), F.min("component").alias("component"))
     out = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(by_id, F.col("vec_id") == F.col("_id"), "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

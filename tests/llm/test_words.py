@@ -231,3 +231,46 @@ def test_chunks_resynchronise_or_are_joined(spark):
 def test_bpe_of_nothing(spark):
     empty = frame(spark, []).limit(0)
     assert byte_bpe.round_trip(empty, RANKS).count() == 0 and byte_bpe.encode(empty, RANKS).count() == 0
+
+
+# 5: repeated ids
+
+
+def test_rows_that_repeat_an_id_are_one_vertex(spark):
+    from scanlode.llm import embedding_dedup
+
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, a, 0), (5, a, 0), (2, b, 0), (5, b, 0), (5, b, 0), (7, c, 0), (7, c, 0), (9, b, 1), (5, c, 1), (8, c, 1)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert got == {1: (1, 1, True), 5: (3, 1, False), 2: (1, 1, False), 7: (0, 7, True), 9: (0, 9, True), 8: (1, 1, False)}
+
+
+# 4: headings over comments
+
+
+@pytest.mark.parametrize(
+    "page, kept, lost",
+    [
+        ("<article><h2>Responses</h2>{0}{1}</article>", "Responses|0|1", ""),
+        ("<article><h1>Comments</h1>{0}</article>", "Comments|0", ""),
+        ("<article><h1>T</h1>{0}<h2>Response</h2>{1}</article>", "0|Response|1", ""),
+        ("<article><h1>T</h1>{0}<h2>Comments</h2>{1}{2}</article>", "0|Comments|1|2", ""),
+        ("<div><h1>T</h1>{0}</div><div><h3>2 Comments</h3>{1}{2}</div>", "0", "2 Comments|1|2"),
+        ("<div><h1>T</h1>{0}<h3>Comments</h3><p>Ann said:</p>{1}<p>Bob, 3 days ago</p>{2}</div>", "0", "Comments|Ann said|1|Bob|2"),
+        ("<div><h1>T</h1>{0}<section><h3>Replies (2)</h3>{1}</section>{2}</div>", "0|2", "Replies|1"),
+    ],
+)
+def test_a_heading_over_comments_needs_evidence(page, kept, lost):
+    from scanlode.llm import html_text
+
+    texts = [f"This is paragraph {k} of an article about the weather and the way that it has changed in the last ten years for all of us, and what we can do." for k in range(3)]
+    got = html_text.main_text(page.format(*(f"<p>{t}</p>" for t in texts)))
+    full = lambda x: texts[int(x)] if x.isdigit() else x
+    assert all(full(x) in got.split("\n") for x in kept.split("|") if x) and not any(full(x) in got for x in lost.split("|") if x)
+
+
+def test_a_short_end_stays_with_its_paragraph():
+    from scanlode.llm import html_text
+
+    first = "The end of the day is when we all go home and rest for a while, and then we come back to the place where we were before it all began."
+    assert html_text.main_text(f"<div><p>{first}</p><p>Short end.</p></div><ul><li><a href=x>More</a></li></ul>") == f"{first}\nShort end."
