@@ -9,8 +9,11 @@ import argparse
 import datetime
 import hashlib
 import json
+import os
+import shutil
 import sys
 import time
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +24,7 @@ from scanlode.operators import findings as fd
 from scanlode.plans import scan as plan
 from scanlode.plans.tables import cut
 from scanlode.sources import files as src
-from scanlode.sources import state
+from scanlode.sources import online, state
 
 
 def session() -> SparkSession:
@@ -46,6 +49,16 @@ def _chosen(spark: SparkSession, a: argparse.Namespace, o: plan.Options) -> Data
     return plan.admitted(plan.routed(src.read(listed, a.path)), o.excluded)
 
 
+def _told(shown: DataFrame, a: argparse.Namespace) -> Iterator[str]:
+    """The report on the terminal: for people where one is watching, else plain lines."""
+    form = a.format or ("rich" if sys.stdout.isatty() else "plain")
+    if form == "rich":
+        yield from reports.terminal(shown, a.verbose, color=not os.environ.get("NO_COLOR"), width=shutil.get_terminal_size((100, 24)).columns)
+    else:
+        yield from reports.plain(shown, a.verbose)
+        yield from reports.summary(shown)
+
+
 def scan(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.changed_only and a.impacted_only:
         raise SystemExit("choose one of --changed-only and --impacted-only")
@@ -72,7 +85,7 @@ def scan(spark: SparkSession, a: argparse.Namespace) -> int:
         new = cut(new)
         found = cut(known.unionByName(new))
         # A scan of a part says nothing of the rest.
-        gone = None if a.changed_only or a.impacted_only else cache.select("file_path").join(files.select("file_path"), "file_path", "left_anti")
+        gone = None if a.changed_only or a.impacted_only or a.shard_count > 1 else cache.select("file_path").join(files.select("file_path"), "file_path", "left_anti")
         state.merge_cache(impact.cache_table(fresh, new, ruleset), where, gone)
     shown = fd.with_fingerprints(fd.at_least(found, severity, confidence))
     if a.baseline:
@@ -89,9 +102,7 @@ def scan(spark: SparkSession, a: argparse.Namespace) -> int:
         else:
             reports.write_json(shown, a.json)
     if not (a.sarif or a.json):
-        for line in reports.plain(shown, a.verbose):
-            print(line)
-        for line in reports.summary(shown):
+        for line in _told(shown, a):
             print(line)
     n = shown.count()
     if a.history:
@@ -181,11 +192,18 @@ def budget_violations(now: dict, before: dict, budget: dict) -> list[str]:
 
 def deps(spark: SparkSession, a: argparse.Namespace) -> int:
     rows = dependencies.dependencies(src.manifests(spark, a.path).select("file_path", "content"))
-    found = fd.ordered(fd.at_least(dependencies.vulnerable(rows, state.read_advisories(spark, a.advisories)), a.severity, "LOW"))
+    failed = 0
+    if a.online:
+        found, failed = online.vulnerable(rows, online.Service(a.online, a.details or "", timeout=a.timeout))
+    else:
+        found = dependencies.vulnerable(rows, state.read_advisories(spark, a.advisories))
+    found = fd.ordered(fd.at_least(found, a.severity, "LOW"))
     n = 0
     for r in found.select("rule_id", "rule_name", "severity", "file_path", "line_number", "snippet", "fix").toLocalIterator():
         n += 1
         print(json.dumps(r.asDict()) if a.json else f"{r['severity']:<8} {r['file_path']}:{r['line_number']} {r['snippet']} {r['rule_id']} {r['fix']}")
+    if failed:
+        print(f"warning: the service gave nothing for {failed} packages or advisories", file=sys.stderr)
     return 1 if n else 0
 
 
@@ -196,7 +214,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("path")
     for flag, more in {
         "--severity": {"choices": ["CRITICAL", "HIGH", "MEDIUM", "LOW"]}, "--min-confidence": {"choices": ["HIGH", "MEDIUM", "LOW"]}, "--policy": {"choices": ["balanced", "strict"]}, "--json": {}, "--sarif": {}, "--baseline": {}, "--write-baseline": {}, "--history": {}, "--cache": {},
-        "--exclude": {"action": "append", "default": []}, "--no-cache": {"action": "store_true"}, "--changed-only": {"action": "store_true"}, "--impacted-only": {"action": "store_true"}, "--require-suppression-metadata": {"action": "store_true"}, "--verbose": {"action": "store_true"},
+        "--exclude": {"action": "append", "default": []}, "--no-cache": {"action": "store_true"}, "--changed-only": {"action": "store_true"}, "--impacted-only": {"action": "store_true"}, "--require-suppression-metadata": {"action": "store_true"}, "--verbose": {"action": "store_true"}, "--format": {"choices": ["rich", "plain"]},
         "--shard-index": {"type": int, "default": 0}, "--shard-count": {"type": int, "default": 1}, "--today": {"type": datetime.date.fromisoformat, "default": datetime.date.today()},
     }.items():
         s.add_argument(flag, **more)
@@ -217,7 +235,11 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("--today", type=datetime.date.fromisoformat, default=datetime.date.today())
     d = sub.add_parser("deps")
     d.add_argument("path")
-    d.add_argument("--advisories", required=True)
+    where = d.add_mutually_exclusive_group(required=True)
+    where.add_argument("--advisories")
+    where.add_argument("--online", help="address that packages are posted to")
+    d.add_argument("--details", help="address below which an advisory's text is fetched by its id")
+    d.add_argument("--timeout", type=float, default=10.0)
     d.add_argument("--severity", default="LOW", choices=["CRITICAL", "HIGH", "MEDIUM", "LOW"])
     d.add_argument("--json", action="store_true")
     return p

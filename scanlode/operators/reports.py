@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import textwrap
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -72,6 +73,50 @@ def plain(findings: DataFrame, verbose: bool = False) -> Iterator[str]:
                 yield f"      flow: {r['evidence']['taint_path']}"
 
 
+#: Terminal styles: of severities, and of the parts of a report.
+SIGNS = {"CRITICAL": "1;97;41", "HIGH": "1;91", "MEDIUM": "1;93", "LOW": "1;94", "path": "1;96", "title": "1", "dim": "2", "code": "33", "fix": "32", "flow": "35", "good": "1;92"}
+
+
+def terminal(findings: DataFrame, verbose: bool = False, color: bool = True, width: int = 100) -> Iterator[str]:
+    """Lines of a report for people, file by file as findings come in order, a partition at a time; then severities and commonest rules."""
+
+    def say(style: str, text: str) -> str:
+        return f"\x1b[{SIGNS[style]}m{text}\x1b[0m" if color else text
+
+    def folded(text: str, first: str = "", style: str = "dim") -> Iterator[str]:
+        label = say(style, first)
+        for i, line in enumerate(textwrap.wrap(first + " ".join(text.split()), width - 8) or [first]):
+            yield "    " + (label + line[len(first) :] if i == 0 and first else say("dim", line) if not first else line)
+
+    last = None
+    for r in fd.ordered(findings).toLocalIterator(prefetchPartitions=True):
+        if r["file_path"] != last:
+            last = r["file_path"]
+            yield ""
+            yield say("path", last) + " " + say("dim", "─" * max(3, width - len(last) - 1))
+        severity = r["severity"] if r["severity"] in SIGNS else "dim"
+        yield f"  {say(severity, f' {r['severity']} ')} {say('title', r['rule_name'])} {say('dim', r['rule_id'])}"
+        yield "    " + say("dim", f"line {r['line_number']}, confidence {r['confidence']}, {(r['fingerprint'] or '')[:12]}")
+        if (code := r["snippet"].strip()) != "":
+            yield "    " + say("dim", "│ ") + say("code", code if len(code) <= width - 8 else code[: width - 9] + "…")
+        if verbose:
+            yield from folded(r["description"] or "")
+            if r["evidence"] is not None and r["evidence"]["taint_path"]:
+                yield from folded(r["evidence"]["taint_path"], "flow: ", "flow")
+            yield from folded(r["fix"] or "", "fix: ", "fix")
+        else:
+            yield from folded(textwrap.shorten(r["description"] or "No description.", width - 8, placeholder="…"))
+            yield from folded((r["fix"] or "").split("\n")[0], "fix: ", "fix")
+    yield ""
+    if last is None:
+        yield say("good", "No findings.")
+        return
+    counts = [r for r in fd.by_severity(findings).collect() if r["n"]]  # one row per severity
+    yield "  ".join(f"{say(r['severity'] if r['severity'] in SIGNS else 'title', r['severity'])} {r['n']}" for r in sorted(counts, key=lambda r: list(fd.SEVERITIES).index(r["severity"]) if r["severity"] in fd.SEVERITIES else 9))
+    for r in fd.top_rules(findings).collect():
+        yield f"  {r['n']:>6}  {r['rule_name']}"
+
+
 def summary(findings: DataFrame) -> Iterator[str]:
     yield "Findings: " + ", ".join(f"{r['severity']} {r['n']}" for r in fd.by_severity(findings).collect())
     for r in fd.top_rules(findings).collect():
