@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanlode.functions import columns as C
 from scanlode.functions.domains import MANIFESTS
+from scanlode.functions.texts import first_lines
 from scanlode.functions.versions import after, package_name, sort_key
 from scanlode.operators.findings import COLUMNS, no_evidence
 
@@ -79,28 +77,12 @@ def dependencies(files: DataFrame) -> DataFrame:
     return rows.where((F.size("entries") > 0) & F.col("ecosystem").isNotNull()).mapInArrow(_located, "file_path string, ecosystem string, name string, version string, line int")
 
 
-def _first_places(text: str, names: set[str]) -> dict[str, int]:
-    """Where each name first stands in a text, from one walk over it."""
-    automaton = ahocorasick.Automaton()
-    for name in names:
-        automaton.add_word(name, name)
-    automaton.make_automaton()
-    first: dict[str, int] = {}
-    for end, name in automaton.iter(text):
-        if name not in first:
-            first[name] = end - len(name) + 1
-            if len(first) == len(names):
-                break
-    return first
-
-
 def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per entry with its line: one walk over a text finds all its names."""
     for b in batches:
         for path, eco, content, entries in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            feeds = [m.start() for m in re.finditer("\n", content)]
-            first = _first_places(content, {e["name"] for e in entries})
-            lines = [1 + bisect_left(feeds, first.get(e["name"], 0)) for e in entries]
+            first = first_lines(content, {e["name"] for e in entries})
+            lines = [first.get(e["name"], 1) for e in entries]
             n = len(entries)
             yield pa.record_batch([pa.array([path] * n, pa.string()), pa.array([eco] * n, pa.string()), pa.array([e["name"] for e in entries], pa.string()), pa.array([e["version"] for e in entries], pa.string()), pa.array(lines, pa.int32())], names=["file_path", "ecosystem", "name", "version", "line"])
 

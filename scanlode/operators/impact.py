@@ -71,11 +71,16 @@ def impacted(graph: DataFrame, changed: DataFrame, most_rounds: int = 1000) -> D
     raise RuntimeError("the import graph is deeper than most_rounds")
 
 
-def cache_lookup(files: DataFrame, cache: DataFrame, ruleset: str) -> tuple[DataFrame, DataFrame]:
-    """(findings of unchanged files, files to scan): same size and time, or else same hash, and same rule set."""
+def _looked_up(files: DataFrame, cache: DataFrame, ruleset: str) -> DataFrame:
+    """``files`` with the cache's ``_path`` and ``findings`` where it has them: same size and time, or else same hash, and same rule set."""
     c = cache.where(F.col("ruleset") == ruleset).select(F.col("file_path").alias("_path"), F.col("size").alias("_size"), F.col("mtime_ns").alias("_mtime"), F.col("sha256").alias("_sha"), "findings")
     same = ((F.col("size") == F.col("_size")) & (F.col("mtime_ns") == F.col("_mtime"))) | (F.col("sha256") == F.col("_sha"))
-    joined = files.join(c, (F.col("file_path") == F.col("_path")) & same, "left")
+    return files.join(c, (F.col("file_path") == F.col("_path")) & same, "left")
+
+
+def cache_lookup(files: DataFrame, cache: DataFrame, ruleset: str) -> tuple[DataFrame, DataFrame]:
+    """(findings of unchanged files, files to scan)."""
+    joined = _looked_up(files, cache, ruleset)
     hits = joined.where(F.col("_path").isNotNull()).select(F.inline("findings"))
     return hits, joined.where(F.col("_path").isNull()).select(*files.columns)
 
@@ -88,6 +93,6 @@ def cache_table(files: DataFrame, findings: DataFrame, ruleset: str) -> DataFram
 
 
 def cache_counts(files: DataFrame, cache: DataFrame, ruleset: str) -> DataFrame:
-    """hits and misses."""
-    hits, misses = cache_lookup(files, cache, ruleset)
-    return files.agg(F.count(F.lit(1)).alias("files")).crossJoin(misses.agg(F.count(F.lit(1)).alias("misses"))).select((F.col("files") - F.col("misses")).alias("hits"), "misses")
+    """hits and misses, from one lookup."""
+    joined = _looked_up(files, cache.drop("findings").withColumn("findings", F.lit(None)), ruleset)
+    return joined.agg(F.count_if(F.col("_path").isNotNull()).alias("hits"), F.count_if(F.col("_path").isNull()).alias("misses"))

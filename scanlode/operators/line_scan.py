@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from scanlode.functions import columns as C
 from scanlode.functions.domains import FILL_IN, SECRET_PHRASES, SECRET_WORDS
+from scanlode.functions.texts import first_lines
 from scanlode.operators.findings import ARROW, COLUMNS, SCHEMA, no_evidence
 
 _EXPANDED = r"\$[\w@*#!?{]"
@@ -103,13 +104,12 @@ def json_findings(path: str, content: str | None) -> list[dict]:
         tree = json.loads(content or "")
     except (ValueError, RecursionError):
         return []
-    text, out = content.lower().split("\n"), []
-    for key, value in _members(tree):
-        if _SECRET.search(key) and len(value) >= 6 and not _PLACEHOLDER.search(value):
-            quoted = f'"{key.lower()}"'
-            line = next((i for i, x in enumerate(text, 1) if quoted in x), 1)
-            said = f"The key {key} holds a credential in plain text."
-            out.append({"rule_id": "CFG002", "rule_name": "Credential in a JSON file", "severity": "HIGH", "file_path": path, "line_number": line, "snippet": f'"{key}": "{"*" * min(len(value), 8)}..."', "description": said, "fix": "Read it from the environment or a secret store.", "language": "json", "confidence": "MEDIUM", "evidence": None})
+    found = [(k, v) for k, v in _members(tree) if _SECRET.search(k) and len(v) >= 6 and not _PLACEHOLDER.search(v)]
+    lines, out = first_lines(content.lower(), {f'"{k.lower()}"' for k, _ in found if "\n" not in k}), []
+    for key, value in found:
+        line = lines.get(f'"{key.lower()}"', 1)
+        said = f"The key {key} holds a credential in plain text."
+        out.append({"rule_id": "CFG002", "rule_name": "Credential in a JSON file", "severity": "HIGH", "file_path": path, "line_number": line, "snippet": f'"{key}": "{"*" * min(len(value), 8)}..."', "description": said, "fix": "Read it from the environment or a secret store.", "language": "json", "confidence": "MEDIUM", "evidence": None})
     return out
 
 

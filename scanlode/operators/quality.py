@@ -76,6 +76,28 @@ def violations(now: DataFrame, before: DataFrame, budget: dict[str, float], key:
     return rows.select(key, "x.metric", "x.before", "x.now")
 
 
+def budget_violations(now: dict[str, DataFrame], before: dict[str, DataFrame], budget: dict[str, dict[str, float]]) -> DataFrame:
+    """scope, name, metric, before, now of every figure beyond its scope's budget.
+
+    Scopes are ``global`` (``overall``), ``rules`` (``by_rule``) and ``confidence`` (``by_confidence``); a scope that one side or the budget lacks
+    is skipped, and so is a confidence budget of 0 or less.
+    """
+    keys = {"global": None, "rules": "expected_rule", "confidence": "strongest"}
+    out = None
+    for scope, key in keys.items():
+        limits = {m: x for m, x in budget.get(scope, {}).items() if scope != "confidence" or x > 0}
+        if scope not in now or scope not in before or not limits:
+            continue
+        a, b = now[scope], before[scope]
+        if key is None:
+            key, a, b = "_all", a.withColumn("_all", F.lit("all")), b.withColumn("_all", F.lit("all"))
+        rows = violations(a, b, limits, key).select(F.lit(scope).alias("scope"), F.col(key).alias("name"), "metric", "before", "now")
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("a budget needs a scope that both sides have")
+    return out
+
+
 def timings(runs: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     """runs, average, least, median, p95 and most; p95 is the element at round((n - 1) * 0.95), half to even.
 

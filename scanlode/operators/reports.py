@@ -22,6 +22,14 @@ def json_rows(findings: DataFrame) -> DataFrame:
     return fd.ordered(findings).select(F.to_json(F.struct(*findings.columns), {"ignoreNullFields": "false"}).alias("value"))
 
 
+DEPENDENCY = ("rule_id", "rule_name", "severity", "file_path", "line_number", "snippet", "fix")
+
+
+def write_dependencies(findings: DataFrame, path: str) -> None:
+    """Findings of dependencies as JSON lines of the columns ``DEPENDENCY``."""
+    fd.ordered(findings).select(F.to_json(F.struct(*DEPENDENCY), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
 def write_json(findings: DataFrame, path: str) -> None:
     """JSON lines: a list needs all findings in one place, lines do not."""
     json_rows(findings).write.mode("overwrite").text(path)

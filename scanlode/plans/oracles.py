@@ -313,5 +313,14 @@ SELECT concat('long/f', key // {corpus.TOGETHER}, '.py') AS file_path, above + i
         "timing_summary": """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
 SELECT event_type, count(*) AS runs, round(avg(value), 6) AS average, min(value) AS least, round(median(value), 6) AS median, max(value) FILTER (i = round_even((n - 1) * 0.95::DOUBLE, 0)) AS p95, max(value) AS most FROM r GROUP BY event_type""",
         "manifest_dependencies": f"WITH {_manifests()} SELECT * FROM dependencies",
-        "vulnerable_dependencies": _vulnerable(), "advisory_ranges": _branches(),
+        "quality_budgets": f"""WITH {_predicted()},
+overall AS ({_rates('', 'predicted')}), rules AS ({_rates('expected_rule, ', 'predicted WHERE expected_rule IS NOT NULL GROUP BY expected_rule')}),
+confidence AS (SELECT ['HIGH', 'MEDIUM', 'LOW'][best + 1] AS name, count(*) FILTER (expect_finding) / count(*) AS precision FROM predicted WHERE best IS NOT NULL GROUP BY 1),
+figures AS (
+  SELECT 'global' AS scope, 'all' AS name, 'precision' AS metric, 1.0::DOUBLE AS before, precision AS now, 0.001 AS most FROM overall
+  UNION ALL SELECT 'global', 'all', 'recall', 1.0, recall, 0.001 FROM overall UNION ALL SELECT 'global', 'all', 'false_positive_rate', 0.0, false_positive_rate, 0.01 FROM overall
+  UNION ALL SELECT 'rules', expected_rule, 'precision', 1.0, precision, 0 FROM rules UNION ALL SELECT 'rules', expected_rule, 'recall', 1.0, recall, 0 FROM rules
+  UNION ALL SELECT 'confidence', name, 'precision', 1.0, precision, 0.01 FROM confidence)
+SELECT scope, name, metric, before, round(now, 6) AS now FROM figures WHERE abs(before - now) > most""",
+        "vulnerable_dependencies": _vulnerable(), "dependency_report": _vulnerable(), "advisory_ranges": _branches(),
     }

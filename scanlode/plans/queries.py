@@ -209,6 +209,16 @@ def quality_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("expected_rule", "metric", "before", F.round("now", 6).alias("now"))
 
 
+def quality_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of all scopes that are further from perfect ones than a budget allows."""
+    predicted = cut(_predicted(spark, sf_dir))  # read by three scopes
+    now = {"global": quality.overall(predicted), "rules": quality.by_rule(predicted), "confidence": quality.by_confidence(predicted)}
+    best = {"precision": F.lit(1.0), "recall": F.lit(1.0), "false_positive_rate": F.lit(0.0)}
+    before = {scope: rows.withColumns({m: x for m, x in best.items() if m in rows.columns}) for scope, rows in now.items()}
+    budget = {"global": {"precision": 0.001, "recall": 0.001, "false_positive_rate": 0.01}, "rules": {"precision": 0.0, "recall": 0.0}, "confidence": {"precision": 0.01}}
+    return quality.budget_violations(now, before, budget).select("scope", "name", "metric", "before", F.round("now", 6).alias("now"))
+
+
 def timing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.timings(_table(spark, sf_dir, "events"), "value", ["event_type"])
     return out.select("event_type", "runs", F.round("average", 6).alias("average"), "least", F.round("median", 6).alias("median"), "p95", "most")
@@ -223,6 +233,14 @@ def vulnerable_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("file_path", "line_number", "rule_id", "severity", "snippet", "fix")
 
 
+def dependency_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of vulnerable dependencies, written as JSON lines and read back."""
+    path = new_path(spark, "deps")
+    found = dependencies.vulnerable(dependencies.dependencies(manifest_files(_table(spark, sf_dir, "part"))), spark.createDataFrame(ADVISORIES, dependencies.ADVISORY))
+    reports.write_dependencies(found, path)
+    return spark.read.schema("file_path string, line_number int, rule_id string, severity string, snippet string, fix string").json(path)
+
+
 def advisory_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Advisories with several branches, pre-releases, last affected and listed versions, over versions of four ecosystems."""
     found = dependencies.vulnerable(dependencies.dependencies(branch_files(_table(spark, sf_dir, "part"))), spark.createDataFrame(BRANCHED, dependencies.ADVISORY))
@@ -376,8 +394,8 @@ def labelled_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         route_counts, flow_gate, shell_scan, config_scan, config_json_scan, secret_scan, document_secrets, page_secrets, python_scan, long_python_scan, full_scan, suppression, confidence_counts, strict_policy, fingerprints, new_findings,
-        shard_two_of_three, severity_summary, top_rules, rule_dictionary, findings_by_file, import_edges, impacted_files, cache_hits, quality_overall, quality_by_rule, quality_by_confidence, quality_violations, timing_summary,
-        manifest_dependencies, vulnerable_dependencies, advisory_ranges, tree_files, tree_scan, tree_source_scan, manifest_tree, baseline_file, json_report, sarif_report, sarif_rules, cache_file, cache_merge, history_file, rescan_changes, own_rules, own_detectors, labelled_cases,
+        shard_two_of_three, severity_summary, top_rules, rule_dictionary, findings_by_file, import_edges, impacted_files, cache_hits, quality_overall, quality_by_rule, quality_by_confidence, quality_violations, quality_budgets, timing_summary,
+        manifest_dependencies, vulnerable_dependencies, dependency_report, advisory_ranges, tree_files, tree_scan, tree_source_scan, manifest_tree, baseline_file, json_report, sarif_report, sarif_rules, cache_file, cache_merge, history_file, rescan_changes, own_rules, own_detectors, labelled_cases,
     )
     families = {"script_rules": ("javascript", "typescript"), "java_rules": ("java", "kotlin"), "php_rules": ("php",), "ruby_rules": ("ruby",), "go_rules": ("go",)}
     return {name: _family(*langs) for name, langs in families.items()} | {f.__name__: f for f in own}

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanlode.operators import findings as fd
-from scanlode.operators import line_scan, one_pass
+from scanlode.operators import one_pass
 from scanlode.plans.scan import admitted, routed
+from scanlode.streaming.rescan import APART
 
 ARRIVALS = "file_path string, content string, ts timestamp"
 
@@ -18,31 +19,21 @@ def arrivals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_findings(files: DataFrame, baseline: DataFrame | None = None, late: str = "1 hour") -> DataFrame:
-    """Shell findings of a stream, each fingerprint once per ``late`` of event time, known ones left out.
+    """Findings of all detectors in a stream, each fingerprint once per ``late`` of event time, known ones left out.
 
-    State is bounded by the watermark. Whole-file rules keep one row per line and rule by
-    an aggregate, so in a stream they run in ``foreachBatch`` (see ``scan_batches``).
+    Detectors run row by row without an exchange; a finding carries its file's event time, and the
+    watermark bounds what is remembered of fingerprints. What a file's later version opens or closes is
+    the business of ``rescan``.
     """
-    rows = admitted(routed(files.withWatermark("ts", late)))
-    times = rows.select("file_path", "ts", "content", "language")
-    found = _timed(times)
-    out = fd.with_fingerprints(fd.calibrate(found)).dropDuplicatesWithinWatermark(["fingerprint"])
+    rows = admitted(routed(files))
+    # While it is scanned a file's name carries its time.
+    stamped = rows.select(F.concat_ws(APART, "file_path", F.unix_micros("ts").cast("string")).alias("file_path"), "content", "language")
+    tail = F.substring_index("file_path", APART, -1)
+    found = one_pass.detect(stamped, grouped=False).withColumns({"ts": F.timestamp_micros(tail.cast("long")), "file_path": F.substr("file_path", F.lit(1), F.length("file_path") - F.length(tail) - 1)})
+    out = fd.with_fingerprints(fd.calibrate(found)).withWatermark("ts", late).dropDuplicatesWithinWatermark(["fingerprint"])
     return out if baseline is None else out.join(baseline.select("fingerprint"), "fingerprint", "left_anti")
 
 
-def _timed(rows: DataFrame) -> DataFrame:
-    """Shell lines with their row's event time."""
-    from scanlode.functions import columns as C
-
-    lines = rows.where(F.col("language") == "bash").select("file_path", "ts", "language", F.posexplode(C.lines(F.col("content"))).alias("i", "line")).where(~F.col("line").rlike(r"^\s*#"))
-    which = F.lit(None).cast("int")
-    for i, (_, _, _, pattern) in reversed(list(enumerate(line_scan.SHELL))):
-        which = F.when(F.col("line").rlike(pattern), i).otherwise(which)
-    pick = lambda k: F.element_at(F.array(*[F.lit(r[k]) for r in line_scan.SHELL]), which + 1)
-    own = {"rule_id": pick(0), "rule_name": pick(1), "severity": pick(2), "line_number": F.col("i") + 1, "snippet": C.stripped(F.col("line")), "description": F.lit(""), "fix": F.lit(""), "confidence": F.lit("HIGH"), "evidence": fd.no_evidence()}
-    return lines.where(which.isNotNull()).withColumns(own).select(*fd.COLUMNS, "ts")
-
-
 def scan_batches(files: DataFrame, path: str, checkpoint: str):
     """Starts a query that runs the whole scan over each micro-batch and adds its findings to a table.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import subprocess
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -230,11 +231,12 @@ def test_deps_command(spark, tmp_path):
 
 def test_stream_reports_a_finding_once(spark, tmp_path):
     folder = str(tmp_path / "in")
-    rows = [("a.sh", 'eval "$X"\n'), ("a.sh", 'eval "$X"\n'), ("b.sh", "echo 1\n")]
+    rows = [("a.sh", 'eval "$X"\n'), ("a.sh", 'eval "$X"\n'), ("b.sh", "echo 1\n"), ("c.py", "import pickle\npickle.loads(b)\n"), ("d.js", "Math.random(); Math.random();\n"), ("e.json", '{"password": "hunter2hunter2"}\n'), ("f.env", "DB_PASSWORD=s3cr3tvalue\n")]
     spark.createDataFrame(rows, "file_path string, content string").withColumn("ts", F.lit("2025-01-01").cast("timestamp")).write.parquet(folder)
     q = scan_stream.stream_findings(scan_stream.arrivals(spark, folder)).writeStream.format("memory").queryName("stream_found").trigger(availableNow=True).start()
     q.awaitTermination(60)
-    assert rows_of(spark.table("stream_found"), "file_path", "rule_id") == [("a.sh", "SH001")]
+    got = rows_of(spark.table("stream_found"), "file_path", "rule_id")
+    assert [x for x in got if x[0] < "e"] == [("a.sh", "SH001"), ("c.py", "DSER001"), ("d.js", "CRY102")] and {("e.json", "CFG002"), ("f.env", "CFG001")} <= set(got)
 
 
 def test_json_sink_and_text(spark, tmp_path):
@@ -243,3 +245,26 @@ def test_json_sink_and_text(spark, tmp_path):
     (r,) = [json.loads(x["value"]) for x in spark.read.text(str(tmp_path / "j")).collect()]
     assert r["rule_id"] == "DYN401" and len(r["fingerprint"]) == 40 and set(fd.COLUMNS) <= set(r)
     assert any("DYN401" in x for x in reports.plain(df, verbose=True)) and "HIGH 1" in next(reports.summary(df))
+
+
+def test_json_keys_are_found_in_one_walk():
+    import time
+
+    from scanlode.operators import line_scan
+
+    text = json.dumps({f"k{i}": {f"token_{i}": "valuevalue"} for i in range(8000)}, indent=1)
+    began = time.time()
+    got = line_scan.json_findings("a.json", text)
+    lines = text.split("\n")
+    assert time.time() - began < 5 and len(got) == 8000 and all(f'"token_{i}"' in lines[r["line_number"] - 1] for i, r in enumerate(got))
+
+
+def test_budgets_of_all_scopes(spark):
+    row = lambda p, r, f, **k: spark.createDataFrame([(*k.values(), p, r, f)], [*k, "precision", "recall", "false_positive_rate"])
+    now = {"global": row(0.9, 0.5, 0.3), "rules": row(0.5, 1.0, 0.0, expected_rule="A"), "confidence": row(0.7, 0.0, 0.0, strongest="LOW")}
+    before = {"global": row(0.95, 0.9, 0.1), "rules": row(0.9, 1.0, 0.0, expected_rule="A"), "confidence": row(0.9, 0.0, 0.0, strongest="LOW")}
+    told = lambda budget: rows_of(quality.budget_violations(now, before, budget), "scope", "name", "metric")
+    assert told({"global": {"precision": 0.1, "recall": 0.1, "false_positive_rate": 0.1}}) == [("global", "all", "false_positive_rate"), ("global", "all", "recall")]
+    assert told({"rules": {"precision": 0.1, "recall": 0.0}, "confidence": {"precision": 0.1}}) == [("confidence", "LOW", "precision"), ("rules", "A", "precision")]
+    with pytest.raises(ValueError):
+        quality.budget_violations(now, before, {"confidence": {"precision": 0.0}})

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scanlode.functions import columns as C
-from scanlode.functions import versions
+from scanlode.functions import texts, versions
 from scanlode.operators import dependencies
 from scanlode.sources import manifests, state
 
@@ -86,9 +86,9 @@ def test_names_of_long_manifests_are_found_in_one_walk():
     names = {f"package-{i}" for i in range(100_000)}
     text = "\n".join(f"package-{i}==1" for i in range(100_000))
     began = time.time()
-    first = dependencies._first_places(text, names)
+    first = texts.first_places(text, names)
     assert time.time() - began < 20 and all(text.startswith(n, first[n]) for n in ("package-1", "package-99999")) and first["package-1"] == text.find("package-1")
-    assert dependencies._first_places("ab abc b", {"b", "abc", "missing"}) == {"b": 1, "abc": 3}
+    assert texts.first_places("ab abc b", {"b", "abc", "missing"}) == {"b": 1, "abc": 3}
 
 
 def test_character_references(spark):
