@@ -14,7 +14,8 @@ exactly: the share of a template's shingles that the whole document holds must b
 
 Only windows near an anchor word are built. That loses nothing: for every template
 more than a fifth of the shingles hold an anchor (checked when templates are
-read), so a text that holds four fifths of them holds an anchor too.
+read), so a text that holds four fifths of them holds an anchor too. Whole licenses of ``LONG`` words and more
+(the texts in ``license_texts``) also count ``WIDE_ANCHORS``, commoner words that only texts long enough are searched for.
 
 Defined cases: null, empty and short texts match nothing; rows that repeat a doc_id
 give one row per template, of the best match; an empty table gives an empty result.
@@ -23,8 +24,9 @@ give one row per template, of the best match; an empty table gives an empty resu
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import cache, reduce
 from operator import or_
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +40,10 @@ ANCHORS = ("license", "licensed", "copyright", "software", "warranty", "warranti
 #: Every anchor begins with one of these; a text without them needs no splitting.
 BEGINNINGS = ("licens", "copyright", "software", "warrant", "liab", "disclaim", "permission", "redistribution", "damages", "modification", "mpl", "eclipse")
 
+#: Templates of so many words are whole licenses, in which these words count as well.
+LONG = 500
+WIDE_ANCHORS = ("library", "program", "cover", "contributor", "invariant", "package", "affirmer", "waiver", "distribute")
+
 #: Notices of public licenses: fixed values.
 TEMPLATES = {
     "MIT-line": "Released under the MIT License.",
@@ -78,6 +84,17 @@ def template_words(text: str) -> list[str]:
     return re.findall("[a-z0-9]+", text.translate(str.maketrans(UPPER, LOWER)))
 
 
+@cache
+def whole_texts() -> dict[str, str]:
+    """Public licenses in full, from the package's ``license_texts``."""
+    folder = Path(__file__).parent / "license_texts"
+    return {f"{path.name.removesuffix('.txt')}-text": path.read_text(encoding="utf-8") for path in sorted(folder.glob("*.txt"))}
+
+
+def all_templates() -> dict[str, str]:
+    return TEMPLATES | whole_texts()
+
+
 def window_for(n_words: int) -> int:
     """The least window length that holds a template of so many words."""
     n = SHORTEST
@@ -91,7 +108,8 @@ def check_templates(templates: dict[str, str]) -> None:
     for name, text in templates.items():
         w = template_words(text)
         shingles = {tuple(w[i : i + WORDS]) for i in range(len(w) - WORDS + 1)}
-        if not shingles or sum(any(x in ANCHORS for x in s) for s in shingles) <= (1 - LEAST) * len(shingles):
+        anchors = {*ANCHORS, *WIDE_ANCHORS} if len(w) >= LONG else ANCHORS
+        if not shingles or sum(any(x in anchors for x in s) for s in shingles) <= (1 - LEAST) * len(shingles):
             raise ValueError(f"no anchor covers the template {name}")
 
 
@@ -116,16 +134,17 @@ def minima(rows: DataFrame, keep: list[str]) -> DataFrame:
     """
     masks = F.array(*[F.struct(F.lit(k).alias("band"), F.lit(m).alias("mask")) for k, m in enumerate(MASKS)])
     rows = rows.select(*keep, "h", "windows", F.explode(masks).alias("b"))
-    rows = rows.select(*keep, "windows", "b.band", F.transform("h", lambda x: x.bitwiseXOR(F.col("b.mask"))).alias("masked"))
-    rows = rows.select(*keep, "band", "masked", F.explode("windows").alias("w"))
-    return rows.select(*keep, "w.window", F.xxhash64("band", F.array_min(F.slice("masked", F.col("w.first") + 1, F.col("w.n")))).alias("key"))
+    # Exploded, though it is one array: what a generator makes isn't worked out again for each window.
+    rows = rows.select(*keep, "windows", "b.band", F.explode(F.array(F.transform("h", lambda x: x.bitwiseXOR(F.col("b.mask"))))).alias("masked"))
+    least = lambda w: F.struct(w["window"].alias("window"), F.xxhash64("band", F.array_min(F.slice("masked", w["first"] + 1, w["n"]))).alias("key"))
+    return rows.select(*keep, F.explode(F.transform("windows", least)).alias("w")).select(*keep, "w.window", "w.key")
 
 
 def windows_near(n: int) -> Column:
-    """Windows of n words that begin within n words of an anchor: (window, first, n), n the number of shingles."""
+    """Windows of n words that begin within n words of an anchor: (window, first, n), n the number of shingles. Windows of whole licenses look at all anchors."""
     step = max(1, n // 4)
     reach = F.sequence(F.lit(-(n // step) - 1), F.lit(n // step + 1))
-    starts = F.transform("anchors", lambda p: F.transform(reach, lambda k: F.greatest(F.lit(0), (F.floor(p / step).cast("int") + k) * step)))
+    starts = F.transform("anchors" if n < LONG else "wide", lambda p: F.transform(reach, lambda k: F.greatest(F.lit(0), (F.floor(p / step).cast("int") + k) * step)))
     starts = F.filter(F.array_distinct(F.flatten(starts)), lambda i: i < F.size("h"))
     return F.transform(starts, lambda i: F.struct(F.lit(n).alias("window"), i.alias("first"), F.lit(max(1, n - WORDS + 1)).alias("n")))
 
@@ -133,20 +152,30 @@ def windows_near(n: int) -> Column:
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     """template, window, shingles (distinct hashes): a constant table."""
     check_templates(templates)
-    rows = [(name, window_for(len(template_words(text))), text) for name, text in templates.items()]
-    table = spark.createDataFrame(rows, "template string, window int, text string")
-    return table.select("template", "window", hashes(words(F.col("text"))).alias("h")).select("template", "window", F.array_distinct("h").alias("shingles"))
+    rows = [(name, window_for(len(w)), w) for name, w in ((name, template_words(text)) for name, text in templates.items())]
+    table = spark.createDataFrame(rows, "template string, window int, w array<string>")
+    return materialize(table.select("template", "window", F.array_distinct(hashes(F.col("w"))).alias("shingles")), "license-templates")
+
+
+def _anchored(w: str, anchors: tuple[str, ...], at_least: int) -> Column:
+    """Places of anchors in a text of ``at_least`` words; none in a shorter one."""
+    places = F.array_compact(F.transform(w, lambda x, i: F.when(x.isin(*anchors), i)))
+    return F.when(F.size(w) >= at_least, places).otherwise(F.array().cast("array<int>"))
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """doc_id, template, n_shingles (the template's), containment, first_word (place of the first shared shingle, from 0)."""
     spark = docs.sparkSession
+    templates = all_templates() if templates is None else templates
+    # A text that holds four fifths of a long template's distinct shingles has as many words.
+    long = [len({*zip(*(w[k:] for k in range(WORDS)))}) for w in map(template_words, templates.values()) if len(w) >= LONG]
+    least = int(LEAST * min(long)) if long else 1 << 30
     known = template_table(spark, templates)
     used = sorted({window_for(len(template_words(t))) for t in templates.values()})
-    near = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(reduce(or_, (F.lower("text").contains(x) for x in BEGINNINGS)))
+    near = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(reduce(or_, (F.lower("text").contains(x) for x in BEGINNINGS)) | ((F.char_length("text") >= 2 * least) & reduce(or_, (F.lower("text").contains(x) for x in WIDE_ANCHORS))))
     near = materialize(near.select("doc_id", words(F.col("text")).alias("w")), "license-words")
-    anchor = F.transform("w", lambda x, i: F.when(x.isin(*ANCHORS), i))
-    near = near.select("doc_id", hashes(F.col("w")).alias("h"), F.array_compact(anchor).alias("anchors")).where((F.size("h") > 0) & (F.size("anchors") > 0))
+    near = near.select("doc_id", hashes(F.col("w")).alias("h"), _anchored("w", ANCHORS, 1).alias("anchors"), _anchored("w", (*ANCHORS, *WIDE_ANCHORS), least).alias("wide"))
+    near = near.where((F.size("h") > 0) & ((F.size("anchors") > 0) | (F.size("wide") > 0)))
     near = materialize(near, "license-hashes")  # in tables, or the optimizer would put the splitting into every use
     keys = minima(near.select("doc_id", "h", F.concat(*map(windows_near, used)).alias("windows")), ["doc_id"])
     whole = F.array(F.struct("window", F.lit(0).alias("first"), F.size("shingles").alias("n")))
@@ -161,8 +190,9 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     return out.select("doc_id", "template", "n_shingles", F.col("x.containment").alias("containment"), (-F.col("x.first")).alias("first_word"))
 
 
-def oracle(templates: dict[str, str] = TEMPLATES) -> str:
+def oracle(templates: dict[str, str] | None = None) -> str:
     """The same rows by comparing every shingle of every document, as DuckDB SQL."""
+    templates = all_templates() if templates is None else templates
     rows = ", ".join("('{}', ['{}'])".format(name, "', '".join(template_words(text))) for name, text in templates.items())
     return f"""
 WITH templates(template, w) AS (VALUES {rows}),

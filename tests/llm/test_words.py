@@ -274,3 +274,28 @@ def test_a_short_end_stays_with_its_paragraph():
 
     first = "The end of the day is when we all go home and rest for a while, and then we come back to the place where we were before it all began."
     assert html_text.main_text(f"<div><p>{first}</p><p>Short end.</p></div><ul><li><a href=x>More</a></li></ul>") == f"{first}\nShort end."
+
+
+# 10: whole licenses
+
+
+def test_whole_licenses_are_found_in_long_texts(spark):
+    from scanlode.llm import licenses
+
+    texts = licenses.whole_texts()
+    licenses.check_templates(licenses.all_templates())
+    assert len(texts) >= 13 and min(map(len, map(licenses.template_words, texts.values()))) > licenses.LONG
+    rnd = random.Random(10)
+    fill = " ".join(f"word{rnd.randrange(3000)} of the program" for _ in range(4000))
+    cut = lambda t, share: t[: int(len(t) * share)]
+    rows, want = [], {}
+    for i, (name, text) in enumerate(texts.items()):
+        rows += [(10 * i, text), (10 * i + 1, fill[: 997 * (i + 1)] + " " + text.upper() + " " + fill), (10 * i + 2, cut(text, 0.5))]
+        want[10 * i] = want[10 * i + 1] = name
+    rows += [(900, fill), (901, texts["GPL-3-text"] * 2)]
+    docs = frame(spark, rows)
+    got = {}
+    for r in licenses.scan(docs).where(F.col("template").endswith("-text")).collect():
+        got.setdefault(r["doc_id"], {})[r["template"]] = r["containment"]
+    assert all(got[i][name] == 1.0 for i, name in want.items()) and got[901]["GPL-3-text"] == 1.0 and 900 not in got
+    assert not any(i % 10 == 2 for i in got if i < 900)
