@@ -30,7 +30,6 @@ import hashlib
 from collections.abc import Iterator
 from functools import cache
 from itertools import pairwise
-from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -74,35 +73,75 @@ def _stand_ins() -> dict[int, str]:
     return {ord(c): theirs.get(c, "!") for c in {*theirs, *ours} if theirs.get(c) != ours.get(c)}
 
 
+# What a worker process needs is made when it first needs it, and kept.
+
+
+@cache
+def ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+
+
 @cache
-def codec(path: str):
-    """One for each rank file and worker process: ``ids(text)``, ``ids_apart(text)``, ``ends(text)`` and ``text_bytes(ids)``."""
+def whole_encoder(path: str):
+    import public_tokenizers
+
+    return _encoding(public_tokenizers.PATTERN, ranks(path))
+
+
+@cache
+def piece_encoder(path: str):
+    """Encodes its text as one pre-token."""
+    return _encoding("(?s).+", ranks(path))
+
+
+@cache
+def splitter():
+    """The pattern for ``regex``, the characters that it must be shown as others, and the same as a set."""
     import public_tokenizers
     import regex
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    own, piece = _encoding(public_tokenizers.PATTERN, ranks), _encoding("(?s).+", ranks)
-    pattern, shown = regex.compile(public_tokenizers.PATTERN), _stand_ins()
-    odd = frozenset(map(chr, shown))
+    shown = _stand_ins()
+    return regex.compile(public_tokenizers.PATTERN), shown, frozenset(map(chr, shown))
 
-    def ends(text: str) -> list[int]:
-        """Where the pre-tokens of a text end."""
-        if not text.isascii() and not odd.isdisjoint(text):
-            text = text.translate(shown)
-        return [m.end() for m in pattern.finditer(text)]
 
-    def ids_apart(text: str) -> list[int]:
-        """Ids of a text with runs too long for the library's pattern, pre-token by pre-token."""
-        return [i for a, b in pairwise((0, *ends(text))) for i in piece.encode_ordinary(text[a:b])]
+@cache
+def id_bytes(path: str) -> list[bytes]:
+    """Bytes of each id."""
+    out = [b""] * (1 + max(ranks(path).values()))
+    for token, i in ranks(path).items():
+        out[i] = token
+    return out
+
+
+@cache
+def id_signs(path: str) -> list[str]:
+    """Decimal spelling of each id."""
+    return [str(i) for i in range(len(id_bytes(path)))]
+
+
+def text_bytes(path: str, ids: list[int]) -> bytes:
+    known = id_bytes(path)
+    return b"".join([known[i] for i in ids])
+
 
-    return SimpleNamespace(ids=own.encode_ordinary, ids_apart=ids_apart, ends=ends, text_bytes=own.decode_bytes, signs=[str(i) for i in range(own.n_vocab)])
+def pre_token_ends(text: str) -> list[int]:
+    """Where the pre-tokens of a text end."""
+    pattern, shown, odd = splitter()
+    if not text.isascii() and not odd.isdisjoint(text):
+        text = text.translate(shown)
+    return [m.end() for m in pattern.finditer(text)]
+
+
+def encode_apart(path: str, text: str) -> list[int]:
+    """Ids of a text with runs too long for the library's pattern, pre-token by pre-token."""
+    encode = piece_encoder(path).encode_ordinary
+    return [i for a, b in pairwise((0, *pre_token_ends(text))) for i in encode(text[a:b])]
 
 
 def encode_text(path: str, text: str) -> list[int]:
     """A piece of a chunk's length goes through the library's own pattern, a longer one (it holds a long run) pre-token by pre-token."""
-    own = codec(path)
-    return own.ids(text) if len(text) <= CHUNK + OVERLAP else own.ids_apart(text)
+    return whole_encoder(path).encode_ordinary(text) if len(text) <= CHUNK + OVERLAP else encode_apart(path, text)
 
 
 def _numbered(docs: DataFrame, long: bool) -> DataFrame:
@@ -112,6 +151,13 @@ def _numbered(docs: DataFrame, long: bool) -> DataFrame:
     return rows.select((2 * F.monotonically_increasing_id() + int(long)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks that are handled at once: as Python numbers, ids take ten times the room of their text."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            yield batch.slice(at, 64)
+
+
 def _packed(ids: list[list[int]]) -> pa.Array:
     return pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary())
 
@@ -120,10 +166,8 @@ def encode_short(docs: DataFrame, path: str) -> DataFrame:
     """``IDS`` of the texts that are one chunk: one part each, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                b = batch.slice(at, 256)
-                yield pa.record_batch([b.column(0), b.column(1), pa.array([0] * b.num_rows, pa.int64()), _packed([encode_text(path, t) for t in b.column(2).to_pylist()])], names=["row", "doc_id", "part", "ids"])
+        for b in _few(batches):
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([0] * b.num_rows, pa.int64()), _packed([encode_text(path, t) for t in b.column(2).to_pylist()])], names=["row", "doc_id", "part", "ids"])
 
     return in_batches(_numbered(docs, long=False)).mapInArrow(run, IDS)
 
@@ -151,14 +195,13 @@ def _candidates(text: str, ends: list[int], last: bool) -> tuple[list[int], list
     return [e for e in sure if e < OVERLAP], [] if last else [e - at for e in sure if e >= at]
 
 
-def marked(parts: DataFrame, path: str) -> DataFrame:
+def marked(parts: DataFrame) -> DataFrame:
     """``MARKED``: chunks pre-tokenised each by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
-        for b in batches:
+        for b in _few(batches):
             texts, following = b.column("text").to_pylist(), b.column("next").to_pylist()
-            both = [_candidates(t, own.ends(t), n is None) for t, n in zip(texts, following, strict=True)]
+            both = [_candidates(t, pre_token_ends(t), n is None) for t, n in zip(texts, following, strict=True)]
             yield pa.record_batch([*b.columns, *(pa.array([x[i] for x in both], pa.list_(pa.int32())) for i in range(2))], names=[*b.schema.names, "head", "tail"])
 
     return in_batches(parts).mapInArrow(run, MARKED)
@@ -187,7 +230,7 @@ def joined(chunks: DataFrame, places: DataFrame) -> DataFrame:
 def encode_long(docs: DataFrame, path: str) -> DataFrame:
     """``IDS`` of the longer texts, a part for each piece between resynchronised places."""
     dealt = slices(docs).repartition("row", "k")
-    chunks = materialize(marked(dealt, path), "bpe-chunks")
+    chunks = materialize(marked(dealt), "bpe-chunks")
     whole, fits = [], []
     while True:
         places = materialize(synchronised(chunks), "bpe-places")
@@ -198,7 +241,7 @@ def encode_long(docs: DataFrame, path: str) -> DataFrame:
         whole.append(chunks.join(loose, "row", "left_anti"))
         fits.append(places.join(loose, "row", "left_anti"))
         rest, around = chunks.join(loose, "row", "left_semi"), places.join(loose, "row", "left_semi")
-        chunks = materialize(marked(joined(rest, around).repartition("row", "k"), path), "bpe-chunks")
+        chunks = materialize(marked(joined(rest, around).repartition("row", "k")), "bpe-chunks")
     for table in whole:
         chunks = chunks.unionByName(table)
     for table in fits:
@@ -208,7 +251,7 @@ def encode_long(docs: DataFrame, path: str) -> DataFrame:
     pieces = chunks.select("row", "doc_id", "k", "text").join(cuts, ["row", "k"], "left").select("row", "doc_id", "k", "text", "start", "end")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _few(batches):
             ids = [encode_text(path, t[s or 0 : len(t) + e if e is not None and e < 0 else len(t)]) for t, s, e in zip(*(b.column(c).to_pylist() for c in ("text", "start", "end")), strict=True)]
             yield pa.record_batch([b.column("row"), b.column("doc_id"), b.column("k"), _packed(ids)], names=["row", "doc_id", "part", "ids"])
 
@@ -224,9 +267,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``BYTES``: the raw bytes of each part; a character may begin in one id and end in the next, so only a whole row's bytes need be UTF-8."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
-        for b in batches:
-            raw = [own.text_bytes(np.frombuffer(x, "<u4").tolist()) for x in b.column("ids").to_pylist()]
+        for b in _few(batches):
+            raw = [text_bytes(path, np.frombuffer(x, "<u4").tolist()) for x in b.column("ids").to_pylist()]
             yield pa.record_batch([b.column("row"), b.column("doc_id"), b.column("part"), pa.array(raw, pa.binary())], names=["row", "doc_id", "part", "bytes"])
 
     return in_batches(encoded).mapInArrow(run, BYTES)
@@ -236,7 +278,7 @@ def digests(encoded: DataFrame, path: str) -> DataFrame:
     """``DIGESTS`` of encoded rows whose parts follow each other in order: ids are hashed and decoded part by part, never a row at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, row, told = codec(path), None, None
+        signs, row, told = id_signs(path), None, None
         for b in batches:
             done = []
             for r, doc_id, raw in zip(*(b.column(c).to_pylist() for c in ("row", "doc_id", "ids")), strict=True):
@@ -246,8 +288,8 @@ def digests(encoded: DataFrame, path: str) -> DataFrame:
                     row, told = r, [doc_id, 0, hashlib.sha256(), hashlib.sha256()]
                 ids = np.frombuffer(raw, "<u4").tolist()
                 if ids:
-                    told[2].update(("," * (told[1] > 0) + ",".join([own.signs[i] for i in ids])).encode())
-                    told[3].update(own.text_bytes(ids))
+                    told[2].update(("," * (told[1] > 0) + ",".join([signs[i] for i in ids])).encode())
+                    told[3].update(text_bytes(path, ids))
                     told[1] += len(ids)
             if done:
                 yield _digest_batch(done)

@@ -178,7 +178,7 @@ def test_suffixes_of_each_text_are_sorted_apart():
 
 
 def plain_bpe(doc_id, text):
-    ids = byte_bpe.codec(RANKS).ids(text or "")
+    ids = byte_bpe.whole_encoder(RANKS).encode_ordinary(text or "")
     return (doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
 
 
@@ -194,7 +194,7 @@ def test_whole_texts_are_encoded_as_by_the_library(spark, odd_rows):
 
 def test_white_space_beyond_the_library_pattern_round_trips(spark):
     text = "begin" + " " * 1_200_000 + "end"
-    ids = byte_bpe.codec(RANKS).ids_apart(text)
+    ids = byte_bpe.encode_apart(RANKS, text)
     (row,) = byte_bpe.round_trip(frame(spark, [(1, text)]), RANKS).collect()
     assert row["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest() and row["n_tokens"] == len(ids)
     assert row["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
@@ -211,15 +211,14 @@ def test_pieces_and_bytes_of_a_row_are_in_order(spark):
 
 
 def test_characters_that_tables_class_differently_split_as_in_the_library():
-    own = byte_bpe.codec(RANKS)
     odd = [chr(c) for c in byte_bpe._stand_ins()][:4_000]
     text = " ".join(f"a{c}1{c}. {c}" for c in odd)
-    assert own.ids_apart(text) == own.ids(text)
+    assert byte_bpe.encode_apart(RANKS, text) == byte_bpe.whole_encoder(RANKS).encode_ordinary(text)
 
 
 def test_chunks_resynchronise_or_are_joined(spark):
     rows = [(1, "word " * 20_000), (2, "y" * 50_000 + " word" * 9_000)]
-    chunks = byte_bpe.marked(byte_bpe.slices(frame(spark, rows)), RANKS)
+    chunks = byte_bpe.marked(byte_bpe.slices(frame(spark, rows)))
     places = {(r["row"], r["k"]): r["at"] for r in byte_bpe.synchronised(chunks).collect()}
     loose = [k for k, at in places.items() if at is None]
     assert len({r for r, _ in places}) == 2 and len({r for r, _ in loose}) == 1 and loose
