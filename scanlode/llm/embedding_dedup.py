@@ -1,25 +1,34 @@
-"""Near-duplicate embeddings by sorted projection passes, and exactly where vectors crowd.
+"""Near-duplicate embeddings by sorted projection passes over centred vectors, and exactly where vectors crowd.
 
 1. Vectors of one label that are equal component by component form a class; only
    its least vec_id goes on, with the class's size.
-2. Signs of ``BITS`` random projections are a vector's sketch. Each of ``PASSES`` passes
-   puts the sketches' bits in another random order and sorts a label's vectors
+2. A label's vectors (a unit) of ``CENTRED`` or more are taken relative to their mean direction, so that
+   a direction that all share doesn't spoil the signs.
+3. Signs of ``BITS`` random projections are a vector's sketch. Each of ``PASSES`` passes
+   puts the sketches' bits in another random order and sorts a unit's vectors
    lexicographically by them. Each is compared with the ``WINDOW`` before it, over
-   the borders of partitions too. Only keys and ids are sorted.
-3. Pairs whose sketches differ in at most ``NEAR_BITS`` bits are fetched once and
-   confirmed by their cosine in double precision. At a cosine of exactly 0.98 a bit
-   differs with chance 0.064, so that limit loses a pair with chance 1e-7; all
-   passes together miss one among 300,000 evenly spread vectors of a label with chance
-   1e-4 or so, and less at higher cosines.
-4. A bounded window can't hold the neighbours of a vector in a crowd. Where ``CROWD`` of a
-   window lie within ``LOOSE_BITS`` bits (a cosine of about 0.6), the loosely near are put
-   into one region, over all passes, and a region's vectors are compared exactly: in
-   pairs of blocks of ``BLOCK``, single-precision tiles, double at the border. Only
-   counts and a spanning forest of the links leave a pair of blocks.
-5. Confirmed pairs and forests are united over all passes.
-
-Passes are linear in a label's vectors (times the sort), regions quadratic in their own
-size and not in the label's; a region is as large as its crowd.
+   the borders of partitions too (a partition of fewer rows than ``WINDOW`` hides pairs between
+   its two neighbours in that pass). Only keys and ids are sorted.
+4. Pairs whose sketches differ in few enough bits are fetched once and confirmed by their
+   cosine in double precision. A cosine of 0.98 is a distance of 0.2 at most; ``near_bits`` of a vector at
+   distance r from the mean is what that distance can turn, and five deviations. Without a
+   centre a bit differs with chance 0.064, the limit is 26 and loses a pair with chance 1e-7; all
+   passes together miss one among 300,000 evenly spread vectors with chance 1e-4 or so.
+   At r = 0.55 (a mean cosine of 0.7) a bit differs with chance 0.117: of 1,942 links of 100,000 such
+   vectors of one label 1,940 were found, 4 % of the vectors lay within ``TIGHT``.
+5. A bounded window can't hold the neighbours of a vector in a crowd. Where ``CROWD`` of a
+   window lie within ``LOOSE_BITS`` bits (an angle of about 53 degrees as seen from the mean), the loosely near
+   are put into one region, over all passes; so are the vectors of a unit that are nearer than
+   ``TIGHT`` to its mean, where sign bits are no guide. A region of more than
+   ``BLOCK`` vectors is a unit of its own: centred at its own mean, it goes through all passes again.
+   Regions of up to ``BLOCK`` vectors, and those that remain after the second turn,
+   are compared exactly: in pairs of blocks of ``BLOCK``, single-precision tiles, double at the
+   border. Only counts and a spanning forest of the links leave a pair of blocks.
+6. Confirmed pairs and forests are united over all passes and both turns.
+
+Passes are linear in a label's vectors (times the sort), exact regions quadratic in their own
+size and not in the label's. What is still exact after two turns are near copies by the thousand, whose
+links no window holds, and sets whose vectors lie within ``TIGHT`` of their common mean (a mean cosine of 0.76 and more).
 
 Defined cases: a null label or a vector that is null, empty, zero or holds null or
 non-finite components links with nothing; vectors of different length never link;
@@ -47,13 +56,17 @@ from scanlode.llm.components import components
 LEAST = 0.98
 BITS, PASSES, WINDOW = 128, 24, 64
 NEAR_BITS, LOOSE_BITS, CROWD = 26, 38, 16
+#: Vectors that a unit needs to be centred, and the distance to the mean under which sign bits are no guide.
+CENTRED, TIGHT = 1000, 0.49
+#: Turns of passes: over labels, then over what is crowded there.
+TURNS = 2
 #: Rows of a pass that a task sorts, and those that are compared at a time.
 PER_TASK, AT_ONCE = 100_000, 4096
 #: Vectors of a block of a region, the side of the tiles that a pair of blocks multiplies, and the pairs computed again at a time.
 BLOCK, TILE, AGAIN = 4096, 1024, 4096
-#: Regions that fit one block are cut into so many too, of so many vectors at least, to be several units.
+#: Regions that fit one block are cut into so many too, of so many vectors at least, so that a single crowd is worked on by several tasks.
 SPREAD, LEAST_BLOCK = 4, 256
-KEYS = "unit long, pass int, k1 long, k2 long, rep long"
+KEYS = "unit long, pass int, k1 long, k2 long, rep long, near int"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -107,19 +120,63 @@ def _projections(size: int) -> np.ndarray:
 _ORDERS = [np.random.default_rng(98 + p).permutation(BITS) for p in range(PASSES)]
 
 
+def near_bits(r: np.ndarray) -> np.ndarray:
+    """Most bits in which the sketch of a vector at distance r from the centre may differ from that of a vector linked with it."""
+    p = 2 / np.pi * np.arcsin(np.minimum(1.0, np.sqrt((1 - LEAST) / 2) / np.maximum(r, 1e-9)))
+    return np.clip(np.ceil(BITS * p + 5 * np.sqrt(BITS * p * (1 - p))), NEAR_BITS, LOOSE_BITS).astype(np.int32)
+
+
+def _relative(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length of vectors: row numbers, and their unit rows relative to their centres (none: as they are)."""
+    rows, centres = _lists(batch.column("v")), batch.column("centre").to_pylist()
+    sizes = np.array([len(x) for x in rows])
+    for size in np.unique(sizes).tolist():
+        pick = np.flatnonzero(sizes == size)
+        x = _unit_rows(np.stack([rows[i] for i in pick]))
+        for k, i in enumerate(pick.tolist()):
+            if centres[i] is not None:
+                x[k] -= centres[i]
+        yield pick, x
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each vector and pass: the bits of its sketch in the pass's order."""
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             b = batch.slice(at, 1024)
-            rows, unit, rep = _lists(b.column("v")), b.column("unit").to_numpy(), b.column("rep").to_numpy()
-            sizes = np.array([len(x) for x in rows])
-            for size in np.unique(sizes).tolist():
-                pick = np.flatnonzero(sizes == size)
-                bits = _unit_rows(np.stack([rows[i] for i in pick])) @ _projections(size) > 0
+            unit, rep = b.column("unit").to_numpy(), b.column("rep").to_numpy()
+            for pick, x in _relative(b):
+                bits, near = x @ _projections(x.shape[1]) > 0, pa.array(near_bits(np.sqrt((x * x).sum(axis=1))))
                 for p, order in enumerate(_ORDERS):
                     k = np.ascontiguousarray(np.packbits(bits[:, order], axis=1)).view(">i8").astype(np.int64)
-                    yield pa.record_batch([pa.array(unit[pick]), pa.array(np.full(len(pick), p, np.int32)), pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), pa.array(rep[pick])], names=["unit", "pass", "k1", "k2", "rep"])
+                    yield pa.record_batch([pa.array(unit[pick]), pa.array(np.full(len(pick), p, np.int32)), pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), pa.array(rep[pick]), near], names=[c.split()[0] for c in KEYS.split(", ")])
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """unit, n, s: the number and the sum of the unit vectors of each unit in a batch."""
+    for b in batches:
+        rows, units = _lists(b.column("v")), b.column("unit").to_numpy()
+        out = []
+        for unit in np.unique(units).tolist():
+            x = _unit_rows(np.stack([rows[i] for i in np.flatnonzero(units == unit)]))
+            out.append((unit, len(x), x.sum(axis=0)))
+        yield pa.record_batch([pa.array([u for u, _, _ in out], pa.int64()), pa.array([n for _, n, _ in out], pa.int64()), pa.array([x for _, _, x in out], pa.list_(pa.float64()))], names=["unit", "n", "s"])
+
+
+def _centred(units: DataFrame) -> DataFrame:
+    """``units(unit, rep, v)`` with the mean of the unit's unit vectors, null in small units; sums are taken batch by batch, then by unit and place."""
+    sums = in_batches(units.select("unit", "v")).mapInArrow(_sums, "unit long, n long, s array<double>")
+    means = sums.select("unit", "n", F.posexplode("s")).groupBy("unit", "pos").agg(F.sum("n").alias("n"), F.sum("col").alias("s")).where(F.col("n") >= CENTRED)
+    centres = means.groupBy("unit").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", (F.col("s") / F.col("n")).alias("m")))), lambda x: x["m"]).alias("centre"))
+    return units.join(materialize(centres, "vector-centres"), "unit", "left").select("unit", "rep", "v", "centre")
+
+
+def _tight(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """unit, rep of the vectors nearer than ``TIGHT`` to their centre."""
+    for b in batches:
+        for pick, x in _relative(b) if b.num_rows else ():
+            rows = pa.array(pick[(x * x).sum(axis=1) < TIGHT * TIGHT])
+            yield pa.record_batch([b.column("unit").take(rows), b.column("rep").take(rows)], names=["unit", "rep"])
 
 
 def _windows(t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -140,7 +197,7 @@ def _windows(t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     i, j, apart = (np.concatenate(x) for x in zip(*loose, strict=True))
     inside = crowd >= CROWD
     both = inside[i] & inside[j]
-    pairs = (apart <= NEAR_BITS) & ~both
+    pairs = (apart <= np.maximum(t["near"][i], t["near"][j])) & ~both
     root, (p, q) = np.arange(n), (i[inside[i] | inside[j]], j[inside[i] | inside[j]])
     while len(p):  # least reachable row of each crowd
         least = root.copy()
@@ -159,7 +216,7 @@ _FOUND = "kind int, a long, b long, border int, " + KEYS
 
 
 def _found(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    n, none = len(a), [pa.nulls(len(a), t) for t in (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())]
+    n, none = len(a), [pa.nulls(len(a), t) for t in (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())]
     return pa.record_batch([pa.array(np.full(n, kind, np.int32)), pa.array(a), pa.array(b), *none], names=[c.split()[0] for c in _FOUND.split(", ")])
 
 
@@ -194,22 +251,50 @@ def _compared(batches: Iterator[pa.RecordBatch], borders: bool) -> Iterator[pa.R
         yield edge(held, part)
 
 
-def _passes(reps: DataFrame) -> DataFrame:
-    """a, b, loose: pairs to fetch and, ``loose``, forests of the crowds, over all passes."""
-    tasks = max(1, -(-reps.count() * PASSES // PER_TASK))
-    keys = in_batches(reps.select("unit", "rep", "v")).mapInArrow(_keys, KEYS)
-    order = ("unit", "pass", "k1", "k2", "rep")
+def _passes(units: DataFrame) -> DataFrame:
+    """a, b, loose: pairs to fetch and, ``loose``, forests of the crowds, over all passes; ``units(unit, rep, v)`` is a table."""
+    tasks = max(1, -(-units.count() * PASSES // PER_TASK))
+    centred = _centred(units)
+    keys = in_batches(centred).mapInArrow(_keys, KEYS)
+    order = ("unit", "pass", "k1", "k2", "rep", "near")
     keys = keys.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
     found = materialize(in_batches(keys).mapInArrow(lambda x: _compared(x, True), _FOUND), "vector-windows")
     # Two windows of rows for each border.
     edges = found.where("kind = 2").select("border", *order).repartition("border").sortWithinPartitions("border", *order)
     over = in_batches(edges.select(*order)).mapInArrow(lambda x: _compared(x, False), _FOUND)
     every = found.where("kind < 2").unionByName(over)
-    out = materialize(every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("kind") == 1).alias("loose")).where("a != b").distinct(), "vector-pairs")
+    tight = materialize(in_batches(centred.where("centre IS NOT NULL")).mapInArrow(_tight, "unit long, rep long"), "vector-tight")
+    about = tight.join(tight.groupBy("unit").agg(F.min("rep").alias("b")), "unit").select(F.col("rep").alias("a"), "b", F.lit(True).alias("loose"))
+    every = every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("kind") == 1).alias("loose")).unionByName(about)
+    out = materialize(every.where("a != b").distinct(), "vector-pairs")
     discard(found)
+    discard(tight)
     return out
 
 
+def _candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """a, b: pairs to fetch; node, component: the members of the regions that are compared exactly. ``reps(unit, rep, v)``."""
+    pairs, exact, units = [], [], reps.select("unit", "rep", "v")
+    for turn in range(TURNS):
+        found = _passes(units)
+        pairs.append(found.where("NOT loose").select("a", "b"))
+        of = materialize(components(found.where("loose").select("a", "b")), "vector-regions")
+        large = materialize(of.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("component"), "large-regions")
+        if turn + 1 == TURNS or not large.limit(1).count():
+            exact.append(of)
+            break
+        exact.append(of.join(large, "component", "left_anti").select("node", "component"))
+        again = of.join(large, "component", "left_semi").select(F.col("node").alias("rep"), F.col("component").alias("unit"))
+        units = materialize(units.select("rep", "v").join(again, "rep").select("unit", "rep", "v"), "vector-units")
+    every = pairs[0]
+    for more in pairs[1:]:
+        every = every.unionByName(more).distinct()
+    regions = exact[0]
+    for more in exact[1:]:
+        regions = regions.unionByName(more)
+    return every, materialize(regions, "exact-regions")
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
@@ -323,12 +408,11 @@ def near_embeddings(vectors: DataFrame) -> DataFrame:
     reps = rows.join(least, (F.col("vec_id") == F.col("rep")) & (F.col("label") == F.col("_l")) & (F.col("digest") == F.col("_d")))
     reps = reps.select("label", "digest", "rep", "copies", "v").dropDuplicates(["label", "digest"])
     reps = materialize(reps.select(F.xxhash64("label", F.size("v")).alias("unit"), "rep", "copies", "v"), "vector-reps")
-    pairs = _passes(reps)
-    of = materialize(components(pairs.where("loose").select("a", "b")), "vector-regions")
+    pairs, of = _candidates(reps)
     crowds = _regions(reps, of)
     one, two = (of.select(F.col("node").alias(x), F.col("component").alias(f"in_{x}")) for x in "ab")
     # Within a region everything is compared already.
-    single = pairs.where("NOT loose").select("a", "b").join(one, "a", "left").join(two, "b", "left").where("in_a IS NULL OR in_b IS NULL OR in_a != in_b").select("a", "b")
+    single = pairs.join(one, "a", "left").join(two, "b", "left").where("in_a IS NULL OR in_b IS NULL OR in_a != in_b").select("a", "b")
     x, y = (reps.select(F.col("rep").alias(k), F.col("v").alias(v), F.col("copies").alias(f"n_{k}")) for k, v in (("a", "x"), ("b", "y")))
     links = in_batches(single.join(x.drop("n_a"), "a").join(y.drop("n_b"), "b").select("a", "b", "x", "y")).mapInArrow(_verified, "a long, b long")
     links = materialize(links, "vector-singles")

@@ -403,6 +403,54 @@ def test_embeddings_of_a_dense_label(spark, monkeypatch, block):
     assert sorted(got) == [(i, int(near[i].sum()) - 1, int(near[i].argmax()), int(near[i].argmax()) == i) for i in range(n)]
 
 
+def shared_direction(n: int, pairs: int, mean: float, seed: int) -> np.ndarray:
+    """Vectors at a mutual cosine of about ``mean``; the last ``pairs`` are at 0.2 at most from the first."""
+    rng = np.random.default_rng(seed)
+    unit = rng.normal(size=(n + 1, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    x = np.sqrt(mean) * unit[n] + np.sqrt(1 - mean) * unit[:n]
+    off = rng.normal(size=(pairs, 64))
+    x[-pairs:] = x[:pairs] + 0.18 * off / np.linalg.norm(off, axis=1, keepdims=True)
+    return x.astype(np.float32)
+
+
+def found_links(spark, x: np.ndarray) -> tuple[list, list]:
+    """What the operator gives for one label of vectors, and brute force."""
+    y = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    near = np.einsum("ik,jk->ij", y, y, optimize=True) >= 0.98
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x), "label": np.ones(len(x), np.int32)}))
+    got = sorted(r["n_links"] for r in embedding_dedup.near_embeddings(df).sort("vec_id").collect())
+    return got, sorted((near.sum(axis=1) - 1).tolist())
+
+
+def test_embeddings_that_share_a_direction_are_no_region(spark, monkeypatch):
+    """A mean cosine of 0.7 in one label: windows over centred vectors find the pairs; only the few that lie about the mean are compared exactly."""
+    sizes, regions = [], embedding_dedup._regions
+    monkeypatch.setattr(embedding_dedup, "_regions", lambda reps, of: (sizes.append(of.count()), regions(reps, of))[1])
+    got, want = found_links(spark, shared_direction(6000, 400, 0.7, 7))
+    assert sum(want) >= 700
+    assert sizes[0] < 0.1 * 6000
+    assert sum(got) <= sum(want)
+    assert sum(got) >= 0.99 * sum(want)
+
+
+def test_dense_runs_are_split_again(spark, monkeypatch):
+    """Topics within a label are crowds as seen from its mean, and spread as seen from their own."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 1200)
+    sizes, regions = [], embedding_dedup._regions
+    monkeypatch.setattr(embedding_dedup, "_regions", lambda reps, of: (sizes.append(of.count()), regions(reps, of))[1])
+    x = np.concatenate([shared_direction(2000, 200, 0.7, seed) for seed in (11, 12, 13)])
+    got, want = found_links(spark, x)
+    assert sizes[0] < len(x) / 4
+    assert sum(got) <= sum(want)
+    assert sum(got) >= 0.99 * sum(want)
+
+
+@pytest.mark.parametrize("r, least, most", [(1.0, 26, 26), (0.55, 31, 36), (0.1, 38, 38), (0.0, 38, 38)])
+def test_near_bits(r, least, most):
+    assert least <= embedding_dedup.near_bits(np.array([r]))[0] <= most
+
+
 def test_components_of_chains_and_cycles(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7), (200, 150)]
     got = dict(rows_of(components(spark.createDataFrame(edges, "a long, b long"))))
