@@ -20,14 +20,14 @@
    window lie within ``LOOSE_BITS`` bits (an angle of about 53 degrees as seen from the mean), the loosely near
    are put into one region, over all passes; so are the vectors of a unit that are nearer than
    ``TIGHT`` to its mean, where sign bits are no guide. A region of more than
-   ``BLOCK`` vectors is a unit of its own: centred at its own mean, it goes through all passes again.
-   Regions of up to ``BLOCK`` vectors, and those that remain after the second turn,
-   are compared exactly: in pairs of blocks of ``BLOCK``, single-precision tiles, double at the
+   ``BLOCK`` vectors and at most ``SHARE`` of its unit is a unit of its own: centred at its own mean, it goes
+   through all passes again, and so on; units shrink by that share each turn.
+   The other regions are compared exactly: in pairs of blocks of ``BLOCK``, single-precision tiles, double at the
    border. Only counts and a spanning forest of the links leave a pair of blocks.
-6. Confirmed pairs and forests are united over all passes and both turns.
+6. Confirmed pairs and forests are united over all passes and turns.
 
 Passes are linear in a label's vectors (times the sort), exact regions quadratic in their own
-size and not in the label's. What is still exact after two turns are near copies by the thousand, whose
+size and not in the label's. What is large and still exact are near copies by the thousand, whose
 links no window holds, and sets whose vectors lie within ``TIGHT`` of their common mean (a mean cosine of 0.76 and more).
 
 Defined cases: a null label or a vector that is null, empty, zero or holds null or
@@ -58,8 +58,8 @@ BITS, PASSES, WINDOW = 128, 24, 64
 NEAR_BITS, LOOSE_BITS, CROWD = 26, 38, 16
 #: Vectors that a unit needs to be centred, and the distance to the mean under which sign bits are no guide.
 CENTRED, TIGHT = 1000, 0.49
-#: Turns of passes: over labels, then over what is crowded there.
-TURNS = 2
+#: A region of at most this share of its unit passes again; a larger one would look as crowded from its own mean.
+SHARE = 0.75
 #: Rows of a pass that a task sorts, and those that are compared at a time.
 PER_TASK, AT_ONCE = 100_000, 4096
 #: Vectors of a block of a region, the side of the tiles that a pair of blocks multiplies, and the pairs computed again at a time.
@@ -275,12 +275,14 @@ def _passes(units: DataFrame) -> DataFrame:
 def _candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """a, b: pairs to fetch; node, component: the members of the regions that are compared exactly. ``reps(unit, rep, v)``."""
     pairs, exact, units = [], [], reps.select("unit", "rep", "v")
-    for turn in range(TURNS):
+    while True:
         found = _passes(units)
         pairs.append(found.where("NOT loose").select("a", "b"))
         of = materialize(components(found.where("loose").select("a", "b")), "vector-regions")
-        large = materialize(of.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("component"), "large-regions")
-        if turn + 1 == TURNS or not large.limit(1).count():
+        sizes = units.groupBy("unit").agg(F.count(F.lit(1)).alias("whole"))
+        parts = of.join(units.select(F.col("rep").alias("node"), "unit"), "node").groupBy("component").agg(F.min("unit").alias("unit"), F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
+        large = materialize(parts.join(sizes, "unit").where(F.col("n") <= SHARE * F.col("whole")).select("component"), "large-regions")
+        if not large.limit(1).count():
             exact.append(of)
             break
         exact.append(of.join(large, "component", "left_anti").select("node", "component"))
