@@ -1,8 +1,10 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick after folding.
 
-Folding lowers case, strips accents, maps look-alike letters and digit or sign
+Folding lowers case, strips accents and characters that don't show (zero-width ones, soft
+hyphens), maps look-alike letters, letters in circles and squares and digit or sign
 substitutions to one Latin letter (l and i share one, as 1 may mean either) and
-everything else to spaces. The lexicon holds words and word stems whose document
+everything else to spaces. Letters that spaces part stay words of their own: joining
+them would make words of initials. The lexicon holds words and word stems whose document
 frequency differs between toxic and clean labelled rows beyond chance; an entry's
 weight is its log odds. Exception phrases are the pairs of words around an entry
 that occur in clean rows; each cancels the match that it stands around, once, however
@@ -46,18 +48,22 @@ MOST_WEIGHT = 6.0
 _ALIKE = dict(zip("авсеніјкморѕтухуԁһԛԝαβεικνορτυχγω0134578", "abceHijkmopstyxydhqwabeiknoptuxywoieastb", strict=True)) | {"н": "h", "l": "i", "ı": "i"}
 #: Runs of signs that stand for letters: between letters or digits, or $ and @ before a letter at a word's beginning.
 _SIGNED = re.compile(r"(?<=[^\W_])[!|$@]+(?=[^\W_])|(?<![^\W_])[$@]+(?=[^\W\d_])")
+#: Characters that don't show, between which signs would not be seen as standing inside a word.
+_HIDDEN = re.compile("[\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]+")
+#: A letter in a circle, square or parentheses, by the end of its character's name.
+_FRAMED = re.compile(r"(?:CIRCLED|SQUARED|PARENTHESIZED|REGIONAL INDICATOR) (?:LATIN (?:CAPITAL|SMALL) LETTER|SYMBOL LETTER) ([A-Z])$")
 _SIGNS = str.maketrans({"!": "i", "|": "i", "$": "s", "@": "a"})
 
 
 class _Folding(dict):
     def __missing__(self, code: int) -> str:
-        out = ""
-        for c in unicodedata.normalize("NFKD", chr(code).lower()):
+        out, framed = "", _FRAMED.search(unicodedata.name(chr(code), ""))
+        for c in unicodedata.normalize("NFKD", framed[1].lower() if framed else chr(code).lower()):
             if unicodedata.combining(c):
                 continue
             c = _ALIKE.get(c, c)
             out += c if c.isalnum() else " "
-        if unicodedata.combining(chr(code)):
+        if unicodedata.combining(chr(code)) or unicodedata.category(chr(code)) == "Cf":
             out = ""
         self[code] = out
         return out
@@ -70,6 +76,7 @@ def fold(text: str | None) -> str:
     """' word word ' of the folded text, single spaces around each word; ' ' if there is none."""
     if not text:
         return " "
+    text = _HIDDEN.sub("", text)
     text = _SIGNED.sub(lambda m: m[0].translate(_SIGNS), text)
     words = text.translate(_FOLDING).split()
     return f" {' '.join(words)} " if words else " "

@@ -185,6 +185,15 @@ def naive_total(lexicon, folded):
     return sum(x for entry, x in lexicon.entries.items() for i in places(entry) if (i, entry) not in excused)
 
 
+@pytest.mark.parametrize("text", ["id\u200biot", "i\u00addi\ufeffot", "\U0001f178\U0001f173\U0001f178\U0001f17e\U0001f183", "\U0001f158\U0001f153\U0001f158\U0001f15e\U0001f163", "\u24d8\u24d3\u24d8\u24de\u24e3", "i\u200bd!\u2060ot", "\U0001f1ee\U0001f1e9\U0001f1ee\U0001f1f4\U0001f1f9"])
+def test_folding_of_hidden_and_framed_letters(text):
+    assert toxicity.fold(text) == toxicity.fold("idiot")
+
+
+def test_letters_that_spaces_part_stay_apart():
+    assert toxicity.fold("i d i o t").split() == list("idiot")
+
+
 def test_exceptions_cancel_their_own_match_once():
     lexicon = toxicity.Lexicon({" idiot ": 4.0, " ciown ": 4.0, " dumb": 2.0}, {" the ciown ": (4, " ciown "), " ciown fish ": (0, " ciown "), " dumb beii ": (0, " dumb")}, np.zeros(3))
     for text, want in {"you idiot": 4.0, "you idiot the clown fish": 4.0, "the clown fish": 0.0, "clown clown fish": 4.0, "dumbest dumb bell": 2.0, "": 0.0, "idiot idiot": 8.0}.items():
