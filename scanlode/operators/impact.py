@@ -48,26 +48,31 @@ def edges(files: DataFrame) -> DataFrame:
     js = files.where(ext.isin(*JS_ENDS[1:7])).select("file_path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(JS_IMPORT), F.lit(1)))).alias("m"))
     base = _normal(_join(_folder(F.col("file_path")), F.col("m")))
     js = js.select("file_path", F.explode(F.array(*[F.concat(base, F.lit(e)) for e in JS_ENDS])).alias("dst"))
-    known = files.select(F.col("file_path").alias("dst")).distinct()
+    known = files.select(F.col("file_path").alias("dst"))
     return py.unionByName(js).join(known, "dst", "left_semi").select(F.col("file_path").alias("src"), "dst").where("src != dst").distinct()
 
 
 def impacted(graph: DataFrame, changed: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """Changed files and all that import them, directly or not.
 
-    Each round only follows what the round before found; the frontier and what is
-    reached are tables in the shared folder, so lineage stays short and cycles end.
+    The edges are found once and kept in a table. Each round reads them and only follows what
+    the round before found; the rounds are partitions of one table in the shared folder, so each
+    writes no more than it found, lineage stays short and cycles end.
     """
-    from scanlode.plans.tables import cut
-
-    reached = cut(changed.select("file_path").distinct())
-    frontier = reached
-    for _ in range(most_rounds):
-        found = graph.join(frontier, graph["dst"] == frontier["file_path"], "left_semi").select(F.col("src").alias("file_path")).distinct()
-        frontier = cut(found.join(reached, "file_path", "left_anti"))
-        if not frontier.limit(1).count():
+    from scanlode.plans.tables import cut, new_path
+
+    spark = changed.sparkSession
+    graph = cut(graph.select("src", "dst"))
+    path = new_path(spark, "reached")
+    rounds = spark.read.schema("file_path string, round int").option("basePath", path)
+    found = changed.select("file_path").distinct()
+    for i in range(most_rounds + 1):
+        found.write.parquet(f"{path}/round={i}")
+        frontier = rounds.parquet(f"{path}/round={i}").select("file_path")
+        reached = rounds.parquet(path).select("file_path")
+        if frontier.isEmpty():
             return reached
-        reached = cut(reached.unionByName(frontier))
+        found = graph.join(frontier, graph["dst"] == frontier["file_path"], "left_semi").select(F.col("src").alias("file_path")).distinct().join(reached, "file_path", "left_anti")
     raise RuntimeError("the import graph is deeper than most_rounds")
 
 

@@ -44,6 +44,21 @@ def test_import_graph_and_impact_with_a_cycle(spark):
     assert rows_of(impact.impacted(graph, changed), "file_path") == [("pkg/a.py",), ("pkg/b.py",), ("pkg/c.py",), ("web/x.js",), ("web/y.ts",)]
 
 
+def test_impact_finds_the_edges_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        seen.add(1)
+        yield from batches
+
+    graph = spark.createDataFrame([(f"m{i + 1}", f"m{i}") for i in range(4)], "src string, dst string").coalesce(1).mapInArrow(count, "src string, dst string")
+    reached = impact.impacted(graph, spark.createDataFrame([("m1",)], "file_path string"))
+    assert rows_of(reached, "file_path") == [("m1",), ("m2",), ("m3",), ("m4",)] and reached.columns == ["file_path"]
+    assert seen.value == 1
+    with pytest.raises(RuntimeError, match="deeper"):
+        impact.impacted(graph, spark.createDataFrame([("m0",)], "file_path string"), most_rounds=3)
+
+
 def test_manifests(spark):
     files = spark.createDataFrame(
         [("requirements.txt", "a==1.2\nb>=2.0,<3\n# c\n-r x\nd\nE[x]==1\n"), ("w/package.json", '{"dependencies": {"q": "^1.2.3"}, "peerDependencies": {"r": ">=4 <5"}}'), ("bad/package.json", "{"), ("go.mod", "require (\n\tx/y v1.0.0\n)\nrequire z/w v2.1.0\n"), ("Gemfile.lock", "GEM\n  specs:\n    rake (13.0)\n      dep (1.0)\nPLATFORMS\n    no (1)\n"), ("other.txt", "a==1")],
