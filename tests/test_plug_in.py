@@ -65,3 +65,12 @@ def test_scan_with_own_detectors(files):
     options = plan.Options(detectors=((Marks, {"word": "TODO"}), (Strict, {})))
     got = plan.scan(files.drop("language"), options).select("file_path", "rule_id", "line_number", "severity", "confidence", F.length("fingerprint")).collect()
     assert sorted(tuple(r) for r in got if r["rule_id"].startswith("OWN")) == [("a.py", "OWN2", 2, "LOW", "MEDIUM", 40), ("a.py", "OWN2", 3, "LOW", "MEDIUM", 40), ("c.sh", "OWN3", 1, "HIGH", "HIGH", 40)]
+
+
+def test_own_detectors_only_get_their_languages_and_no_batch_a_row(spark):
+    files = spark.createDataFrame([("a.sh", "x", "bash"), ("a.go", "x", "go"), ("a.rb", "x", "ruby"), ("a", "x", None)], "file_path string, content string, language string")
+    found = plug_in.detect(files, Strict)
+    plan = found._jdf.queryExecution().toString()
+    assert "BatchEvalPythonUDTF" in plan and "ArrowEvalPythonUDTF" not in plan
+    assert "IN (bash,ruby)" in plan or "IN (ruby,bash)" in plan
+    assert sorted((r.file_path, r.rule_id, r.error is None) for r in found.collect()) == [("a.rb", None, False), ("a.sh", "OWN3", True)]
