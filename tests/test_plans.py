@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from scanlode.functions import columns as C
 from scanlode.plans import queries
 
 
@@ -21,3 +24,16 @@ def test_manifests_without_entries_or_ecosystem_give_nothing(spark):
 
     files = spark.createDataFrame([("a/go.mod", "module m\n"), ("a/package.json", "{"), ("a/requirements-x.txt", "a==1"), ("a/other.txt", "a==1"), ("a/go.mod", None), ("b/requirements.txt", "# x\na==1\nb\n")], "file_path string, content string")
     assert sorted(map(tuple, dependencies(files).collect())) == [("b/requirements.txt", "PyPI", "a", "1", 2), ("b/requirements.txt", "PyPI", "b", "", 3)]
+
+
+def test_pages_are_matched_once_and_after_they_are_dealt(spark, sf):
+    above, _, below = optimised(queries.page_secrets(spark, sf)).partition("Repartition ")
+    # A cheap test, and a pattern to match, to extract and to split at.
+    assert above.count("AKIA") == 4 and below and "AKIA" not in below
+
+
+def test_entropy_works_its_text_out_once(spark):
+    plan = optimised(spark.range(1).select(C.entropy(F.regexp_replace(F.col("id").cast("string"), "MARK", "")).alias("bits")))
+    assert plan.count("MARK") == 1
+    texts = spark.createDataFrame([("aabb",), ("",), (None,), ("abcd",)], "t string")
+    assert [r[0] for r in texts.select(C.entropy(F.col("t"))).collect()] == [1.0, 0.0, None, 2.0]
