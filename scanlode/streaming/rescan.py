@@ -70,8 +70,9 @@ class Rescan(StatefulProcessor):
             if r.fingerprint is not None:
                 found[r.fingerprint] = (r.fingerprint, r.rule_id, r.severity, r.line_number)
         sha, time, open_ = None, None, {}
-        if self.last.exists():
-            sha, time, held = self.last.get()
+        state = self.last.get()  # None if there is none: each question to the state is a message to the executor
+        if state is not None:
+            sha, time, held = state
             open_ = {x[0]: tuple(x) for x in held}
         for (ts, own), found in sorted(arrived.items()):
             if time is not None and ts < time:
